@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, pii
 
 
 def queries() -> dict:
-    return {"op8_mixing": mixing.op8}
+    return {"op7_pii": pii.op7, "op8_mixing": mixing.op8}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_pii": pii.ORACLE}
