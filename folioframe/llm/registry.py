@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, pii
+from . import mixing, pii, vectors
 
 
 def queries() -> dict:
-    return {"op7_pii": pii.op7, "op8_mixing": mixing.op8}
+    return {"op3_embedding_neardup": vectors.op3, "op7_pii": pii.op7, "op8_mixing": mixing.op8, "op9_topk": vectors.op9}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_pii": pii.ORACLE}
+    return {"op3_embedding_neardup": vectors.ORACLE_LINKS, "op7_pii": pii.ORACLE, "op9_topk": vectors.ORACLE_TOP}
