@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, pii, vectors
+from . import jaccard, mixing, pii, vectors
 
 
 def queries() -> dict:
-    return {"op3_embedding_neardup": vectors.op3, "op7_pii": pii.op7, "op8_mixing": mixing.op8, "op9_topk": vectors.op9}
+    return {"op1_ngram_jaccard": jaccard.op1, "op3_embedding_neardup": vectors.op3, "op7_pii": pii.op7, "op8_mixing": mixing.op8, "op9_topk": vectors.op9}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_neardup": vectors.ORACLE_LINKS, "op7_pii": pii.ORACLE, "op9_topk": vectors.ORACLE_TOP}
+    return {"op1_ngram_jaccard": jaccard.ORACLE, "op3_embedding_neardup": vectors.ORACLE_LINKS, "op7_pii": pii.ORACLE, "op9_topk": vectors.ORACLE_TOP}
