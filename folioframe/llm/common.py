@@ -94,8 +94,9 @@ _P = 0xD1342543DE82EF95
 _POW, _INV = _powers(_P, BLOCK), _powers(pow(_P, -1, 1 << 64), BLOCK)
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of a text; A-Z count as a-z, words are parted by ASCII white space."""
+def word_hashes(raw: bytes, most: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word of a text; A-Z count as a-z, words are parted by ASCII white space. With ``most``,
+    of the first so many bytes of each word."""
     b = np.frombuffer(raw, np.uint8)
     if not b.size:
         return np.zeros(0, np.uint64)
@@ -104,6 +105,8 @@ def word_hashes(raw: bytes) -> np.ndarray:
     start, end = edge[::2], edge[1::2]
     if not start.size:
         return np.zeros(0, np.uint64)
+    if most:
+        end = np.minimum(end, start + most)
     out = np.zeros(start.size, np.uint64)
     k = 0
     while k < start.size:
