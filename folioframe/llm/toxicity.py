@@ -12,7 +12,7 @@ from .common import Scratch, word_hashes
 #: Labelled rows of the fit at most, those of least hash; words whose weights are learnt, the most telling ones.
 SAMPLE, WORDS, SEED = 20_000, 512, 11
 #: Severity grades 0 (none) to GRADES. Documents of this expected severity or more are rejected.
-GRADES, REJECT = 3, 0.5
+GRADES, REJECT = 3, 0.4
 #: A word is told by its labels from so many documents and standard errors on.
 LEAST_DOCS, LEAST_Z = 8, 5.0
 
