@@ -56,7 +56,7 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Deletes the files of a written table that no later step reads."""
-        for path in [p for p in self.paths if any(p.split("://")[-1] in f for f in df.inputFiles()[:1])]:
+        for path in [p for p in self.paths if any(f"{p.split('://')[-1]}/" in f for f in df.inputFiles()[:1])]:
             jvm = self.spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

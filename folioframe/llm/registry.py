@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
-from . import jaccard, mixing, pieces, pii, repeats, toxicity, vectors
+from . import jaccard, licenses, mixing, pieces, pii, quality, repeats, toxicity, vectors
 
 
 def queries() -> dict:
-    return {"op1_ngram_jaccard": jaccard.op1, "op2_toxicity": toxicity.op2, "op3_embedding_neardup": vectors.op3, "op4_suffix_dedup": repeats.op4, "op6_sentencepiece": pieces.op6, "op7_pii": pii.op7, "op8_mixing": mixing.op8, "op9_topk": vectors.op9}
+    return {
+        "op1_ngram_jaccard": jaccard.op1,
+        "op2_toxicity": toxicity.op2,
+        "op3_embedding_neardup": vectors.op3,
+        "op4_suffix_dedup": repeats.op4,
+        "op5_quality": quality.op5,
+        "op6_sentencepiece": pieces.op6,
+        "op7_pii": pii.op7,
+        "op8_mixing": mixing.op8,
+        "op9_topk": vectors.op9,
+        "op10_licenses": licenses.op10,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
