@@ -31,9 +31,10 @@ def _chain(base: int, n: int) -> np.ndarray:
 
 
 _POW, _INV = _chain(_BASE, _STEP + _MARGIN), _chain(pow(_BASE, -1, 1 << 64), _STEP + _MARGIN)
-_POSTING = np.dtype([("gram", np.uint64), ("span", np.uint64), ("doc", np.int64), ("at", np.uint32), ("first", np.uint8), ("last", np.uint8)])
-_RANGE = np.dtype([("doc", np.int64), ("start", np.uint32), ("stop", np.uint32)])
-_REQUEST = np.dtype([("gram", np.uint64), ("doc", np.int64), ("at", np.uint32), ("first", np.uint8), ("last", np.uint8)])
+#: tag: of the text, which tells rows of one id apart.
+_POSTING = np.dtype([("gram", np.uint64), ("span", np.uint64), ("doc", np.int64), ("tag", np.uint32), ("at", np.uint32), ("first", np.uint8), ("last", np.uint8)])
+_RANGE = np.dtype([("doc", np.int64), ("tag", np.uint32), ("start", np.uint32), ("stop", np.uint32)])
+_REQUEST = np.dtype([("gram", np.uint64), ("doc", np.int64), ("tag", np.uint32), ("at", np.uint32), ("first", np.uint8), ("last", np.uint8)])
 
 
 def anchors(raw: bytes, depth: int = DEPTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -79,9 +80,13 @@ def _doc_task(doc: np.ndarray, tasks: int) -> np.ndarray:
     return (mixed(doc.view(np.uint64) + np.uint64(0x9E37)) % np.uint64(tasks)).astype(np.int64)
 
 
-def _windows(at, first, last, doc, depth) -> np.ndarray:
-    out = np.empty(len(doc), _RANGE)
-    out["doc"], out["start"], out["stop"] = doc, at.astype(np.int64) - first, at.astype(np.int64) - last + depth
+def _tag(raw: bytes) -> int:
+    return int.from_bytes(hashlib.md5(raw).digest()[:4], "little")
+
+
+def _windows(p: np.ndarray, depth: int) -> np.ndarray:
+    out, at = np.empty(p.size, _RANGE), p["at"].astype(np.int64)
+    out["doc"], out["tag"], out["start"], out["stop"] = p["doc"], p["tag"], at - p["first"], at - p["last"] + depth
     return out
 
 
@@ -105,7 +110,7 @@ def _gather(docs: DataFrame, depth: int, gram: int, sorts: int, tasks: int) -> D
         p = p[p["doc"] == least]
         yield rows("p", _dealt(p, (p["gram"] % np.uint64(sorts)).astype(np.int64)))
         if seen.size:
-            r = _windows(seen["at"], seen["first"], seen["last"], seen["doc"], depth)
+            r = _windows(seen, depth)
             yield rows("r", _dealt(r, _doc_task(r["doc"], tasks)), sorts)
 
     def run(batches):
@@ -115,7 +120,7 @@ def _gather(docs: DataFrame, depth: int, gram: int, sorts: int, tasks: int) -> D
             for raw, doc in texts.items():
                 g, s, at, a, b = anchors(raw, depth, gram)
                 p = np.empty(g.size, _POSTING)
-                p["gram"], p["span"], p["doc"], p["at"], p["first"], p["last"] = g, s, doc, at, a, b
+                p["gram"], p["span"], p["doc"], p["tag"], p["at"], p["first"], p["last"] = g, s, doc, _tag(raw), at, a, b
                 yield p
 
         def empty():
@@ -168,7 +173,7 @@ def _sorted_pass(depth: int, sorts: int, tasks: int):
         seen = p["doc"] > p["doc"][np.flatnonzero(s)][of_s]
         docs = np.minimum.reduceat(p["doc"], np.flatnonzero(g))[of_g] != np.maximum.reduceat(p["doc"], np.flatnonzero(g))[of_g]
         ask = ~seen & docs & (np.bincount(of_g[s])[of_g] > 1)
-        full = _windows(p["at"][seen], p["first"][seen], p["last"][seen], p["doc"][seen], depth)
+        full = _windows(p[seen], depth)
         q = np.empty(int(ask.sum()), _REQUEST)
         for name in _REQUEST.names:
             q[name] = p[name][ask]
@@ -196,10 +201,10 @@ def _spans(depth: int, gram: int, sorts: int):
         q = np.concatenate(asked)
         q = q[np.argsort(q["doc"], kind="stable")]
         texts, found, cut = _texts_of(left), [], []
-        for doc, rows in _dealt(q, q["doc"]):
-            for raw in texts.get(doc, ()):
+        for doc, asked_of in _dealt(q, q["doc"]):
+            for raw in {_tag(raw): raw for raw in texts.get(doc, ())}.values():
                 b = np.frombuffer(raw, np.uint8)
-                rows = rows[rows["at"].astype(np.int64) - rows["last"] + depth <= b.size]
+                rows = asked_of[asked_of["tag"] == _tag(raw)]
                 lo = rows["at"].astype(np.int64) - rows["first"]
                 size = depth + rows["first"].astype(np.int64) - rows["last"]
                 take = np.minimum(lo[:, None] + np.arange(2 * depth - gram), b.size - 1) if rows.size else np.zeros((0, 2 * depth - gram), np.int64)
@@ -250,7 +255,7 @@ def _last_passes(depth: int, gram: int, tasks: int):
         np.minimum.at(least, group, doc)
         seen = doc > least[group]
         out = np.empty(int(seen.sum()), _RANGE)
-        out["doc"], out["start"] = doc[seen], (q["at"].astype(np.int64) - q["first"])[row[seen]] + off[seen]
+        out["doc"], out["tag"], out["start"] = doc[seen], q["tag"][row[seen]], (q["at"].astype(np.int64) - q["first"])[row[seen]] + off[seen]
         out["stop"] = out["start"] + depth
         dealt = _dealt(out, _doc_task(out["doc"], tasks))
         return pa.table([pa.array([k for k, _ in dealt], pa.int64()), pa.array([x.tobytes() for _, x in dealt], pa.binary()), pa.nulls(len(dealt), pa.binary())], schema=schema)
@@ -303,7 +308,7 @@ def dedup(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, id_col: str = "
         for doc, text in zip(left["doc_id"].to_pylist(), left["text"]):
             raw = text.as_buffer().to_pybytes() if text.is_valid else b""
             mine = by_doc.get(doc, np.zeros(0, _RANGE)) if doc is not None else np.zeros(0, _RANGE)
-            kept, runs = _removed(raw, mine[mine["stop"] <= len(raw)])
+            kept, runs = _removed(raw, mine[mine["tag"] == _tag(raw)] if mine.size else mine)
             for k, v in zip(out, (doc, hashlib.md5(raw).hexdigest(), len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept, [{"start": a, "stop": b} for a, b in runs])):
                 out[k].append(v)
         names = list(out) if texts else list(out)[:-2]

@@ -1,0 +1,267 @@
+"""Set join, repeated passages, tokens and personal data against brute force on small and awkward tables."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from folioframe.llm import common, jaccard, pieces, pii, repeats
+
+DOCS = "doc_id bigint, text string, source string, _p string, key string, n_chars bigint"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "s", "x", "y", 1) for i, t in rows], DOCS)
+
+
+def awkward(seed=0):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(60)]
+    base = [" ".join(rng.choices(words, k=80)) for _ in range(4)]
+    rows, i = [], 0
+    for b in base:
+        for _ in range(6):
+            w = b.split()
+            for _ in range(rng.choice((0, 0, 1, 1, 2, 3))):
+                w[rng.randrange(len(w))] = rng.choice(words)
+            i += 1
+            rows.append((i, " ".join(w).upper() if rng.random() < 0.2 else " ".join(w)))
+    rows += [(50, None), (51, ""), (52, " \n\t "), (53, "one two"), (54, "ONE  two"), (55, "é漢 " * 30), (56, "long " * 20000), (None, base[0]), (57, "a b c d e"), (3, rows[2][1])]
+    return rows
+
+
+def shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[i : i + 5]) for i in range(len(w) - 4)])
+
+
+def least_reachable(nodes, edges):
+    at = {n: n for n in nodes}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            m = min(at[a], at[b])
+            if at[a] != m or at[b] != m:
+                at[a] = at[b] = m
+                changed = True
+    return at
+
+
+def brute_join(rows):
+    real = [(i, shingles(t)) for i, t in rows if i is not None]
+    edges = [(a, b) for a, x in real for b, y in real if x and y and 100 * len(x & y) >= 75 * len(x | y)]
+    return least_reachable({i for i, _ in real}, edges)
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_jaccard(spark, seed):
+    rows = awkward(seed)
+    got = jaccard.join(frame(spark, rows)).collect()
+    want = brute_join(rows)
+    assert sorted((r["doc_id"] is None, r["doc_id"], r["n_shingles"]) for r in got if r["doc_id"] is not None) == sorted((False, i, len(shingles(t))) for i, t in rows if i is not None)
+    assert all(r["component_id"] == want[r["doc_id"]] for r in got if r["doc_id"] is not None)
+    assert [r["component_id"] for r in got if r["doc_id"] is None] == [None]
+
+
+def test_jaccard_frequent_shingles(spark, monkeypatch):
+    """With hot lists, small blocks and shingles held frequent, results stay the same."""
+    monkeypatch.setattr(jaccard, "FREQUENT", 2)
+    monkeypatch.setattr(jaccard, "BLOCK", 2)
+    rows = awkward(3)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join(frame(spark, rows)).collect() if r["doc_id"] is not None}
+    assert got == brute_join(rows)
+
+
+def test_jaccard_empty(spark):
+    assert jaccard.join(frame(spark, [])).collect() == []
+    assert [r["component_id"] for r in jaccard.join(frame(spark, [(1, None), (2, "")])).orderBy("doc_id").collect()] == [1, 2]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 400), max_size=80), st.lists(st.integers(0, 400), max_size=80))
+def test_sketch_never_overstates(a, b):
+    x, y = (np.unique(common.mixed(np.array(v, np.uint64) + np.uint64(7))) if v else np.zeros(0, np.uint64) for v in (a, b))
+    assert jaccard.sketch_distance(jaccard.odd_sketch(x), jaccard.odd_sketch(y)) <= len(set(x.tolist()) ^ set(y.tolist()))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.sets(st.integers(0, 50)), st.sets(st.integers(0, 50)), st.sets(st.integers(0, 50)))
+def test_answers_are_derived(p, x, z):
+    a = lambda s: np.array(sorted(s), np.uint64)
+    assert jaccard.derived_overlap(len(p & z), a(z), a(x - p), a(p - x)) == len(x & z)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("aB \t\né", max_size=60))
+def test_words(text):
+    raw = text.encode()
+    words = raw.lower().split()
+    got = common.word_hashes(raw)
+    assert len(got) == len(words) and len(set(got.tolist())) == len(set(words))
+
+
+def test_words_longer_than_a_block(monkeypatch):
+    text = b"x" * 100 + b" " + b"y" * 3 + b" " + b"x" * 100
+    monkeypatch.setattr(common, "BLOCK", 16)
+    h = common.word_hashes(text)
+    assert h[0] == h[2] != h[1]
+
+
+# ---------------------------------------------------------------- repeated passages
+
+
+def brute_repeats(rows, depth):
+    first = {}
+    for i, t in rows:
+        if i is not None:
+            b = (t or "").encode()
+            for k in range(len(b) - depth + 1):
+                w = b[k : k + depth]
+                first[w] = min(first.get(w, i), i)
+    out = []
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        if i is not None:
+            for k in range(len(b) - depth + 1):
+                if first[b[k : k + depth]] < i:
+                    gone[k : k + depth] = b"\1" * depth
+        kept = bytes(c for c, g in zip(b, gone) if not g)
+        runs = len(re.findall(b"\1+", bytes(gone)))
+        out.append((i, len(b), len(b) - len(kept), runs, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("depth, gram", [(50, 18), (12, 5), (9, 8)])
+def test_repeats(spark, depth, gram):
+    rng = random.Random(depth)
+    letters = "ab" if depth < 20 else "abcdefgh "
+    passage = "".join(rng.choices("xyz é漢", k=70))
+    rows = [(i, "".join(rng.choices(letters, k=rng.randrange(0, 160))) + (passage if i % 3 == 0 else "")) for i in range(30)]
+    rows += [(40, None), (41, ""), (42, rows[3][1]), (43, rows[3][1]), (44, "a" * 300), (45, "a" * 200), (None, passage), (5, passage * 2), (46, passage[:25] + "Q" + passage[25:])]
+    got = repeats.dedup(frame(spark, rows), depth, gram).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    assert sorted([(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got], key=key) == sorted(brute_repeats(rows, depth), key=key)
+    assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] and len(r["spans"]) == r["n_spans"] for r in got)
+
+
+def test_repeats_empty(spark):
+    assert repeats.dedup(frame(spark, [])).collect() == []
+
+
+def test_anchors_agree_across_blocks(monkeypatch):
+    rng = random.Random(1)
+    raw = bytes(rng.choices(b"abcd", k=5000))
+    whole = [x.tolist() for x in repeats.anchors(raw)]
+    monkeypatch.setattr(repeats, "_STEP", 700)
+    parts = [x.tolist() for x in repeats.anchors(raw)]
+    assert set(whole[2]) == set(parts[2])
+
+
+# ---------------------------------------------------------------- tokens
+
+MODEL = pieces.model_path()
+sentencepiece = pytest.importorskip("sentencepiece")
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return pieces.Pieces.load(MODEL)
+
+
+TEXTS = ["", "a", "  x", " Hello   world\n\n x \t é 漢𐍈 ", "It isn't 12345 1.5e-7 <s> <0x41>", "    " * 5, "the" * 200, "ﬁ ½ trail ", "internationalization Überraschung niño"]
+
+
+def test_tokens_as_the_library(vocabulary):
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    assert [c.tolist() for c in vocabulary.encode([t.encode() for t in TEXTS])] == [sp.encode(t) for t in TEXTS]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(max_size=60).filter(lambda t: not any(0xD800 <= ord(c) < 0xE000 for c in t)))
+def test_tokens_round_trip(vocabulary, text):
+    assert vocabulary.decode(vocabulary.encode([text.encode()])[0]) == text.encode()
+
+
+def test_shared_prefixes_change_nothing(vocabulary):
+    rng = random.Random(0)
+    words = {"▁" + "".join(rng.choices("thean$.", k=rng.randrange(1, 9))) for _ in range(300)}
+    together = vocabulary.encode_words(words)
+    assert all(together[w] == vocabulary.encode_words([w])[w] == tuple(vocabulary.merged(w)) for w in words)
+
+
+def test_unigram_against_all_paths():
+    names = ["▁", "a", "b", "ab", "ba", "▁a", "aba"]
+    p = pieces.Pieces(names + [f"<0x{b:02X}>" for b in range(256)], [-3.0, -2.0, -2.5, -3.5, -4.0, -3.5, -6.5] + [0.0] * 256, [True] * 7 + [False] * 256, list(range(7, 263)), "unigram")
+
+    def best(word):
+        if not word:
+            return 0.0
+        return max([p.scores[p.ids[word[:k]]] + best(word[k:]) for k in range(1, len(word) + 1) if word[:k] in p.ids], default=-1e9)
+
+    for n in range(1, 8):
+        for k in range(2**n):
+            word = "▁" + "".join("ab"[(k >> i) & 1] for i in range(n))
+            got = p.encode_words([word])[word]
+            assert "".join(names[c] for c in got) == word and abs(sum(p.scores[c] for c in got) - best(word)) < 1e-9
+
+
+def test_encode_rows(spark):
+    rows = [(1, TEXTS[3]), (2, None), (None, ""), (1, "▁own ▁▁ marks"), (3, "x " * 5000)]
+    got = {(r["doc_id"], r["text"]): r for r in pieces.encode(frame(spark, rows)).collect()}
+    assert len(got) == 5 and all(r["restored"] for r in got.values())
+    assert got[2, None]["tokens"] is None and got[2, None]["n_tokens"] == 0 and got[None, ""]["tokens"] == []
+    assert pieces.encode(frame(spark, [])).collect() == []
+
+
+# ---------------------------------------------------------------- personal data
+
+
+def brute_pii(text):
+    found = []
+
+    def luhn(d):
+        return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    tests = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+        ("card", r"[0-9]([ -]?[0-9])+", lambda m: 12 <= len(re.sub("[^0-9]", "", m)) <= 19 and luhn(re.sub("[^0-9]", "", m))),
+        ("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15),
+    ]
+    for place, (kind, pattern, ok) in enumerate(tests):
+        found += [(m.start(), place, kind, m.end()) for m in re.finditer(pattern, text or "") if ok(m[0])]
+    return [f"{k}:{a}:{b}" for a, _, k, b in sorted(found)]
+
+
+PII = ["", None, "a@b.c", "x" * 3000, "a@b-c.d%x@e.f é漢 4111-1111-1111-1111", "ip 1.2.3.4.5.6.7.800 0255.1.1.1 256.1.1.1 000.0.0.0", "+1 (555) 123-4567 +12 3 + 3 +31 10 123 4567.", "4111 1111 1111 1111 4111111111111112 12", "1 2 3 4 5 6 7 8 9 " * 200, "." * 200 + "@x.y", "a.b@c", "𐍈 mail a.b+c@d-e.co.uk, b@c.de", "9" * 5000, "a@b." * 300]
+
+
+def test_pii_base(spark):
+    rows = list(enumerate(PII))
+    got = {r["doc_id"]: r["s"] for r in pii.find(frame(spark, rows)).select("doc_id", pii.joined(F.filter("pii", lambda x: x["place"] < 4)).alias("s")).collect()}
+    assert got == {i: ",".join(brute_pii(t)) for i, t in rows}
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.text("a1 .@+-()4é", max_size=40), min_size=30, max_size=30))
+def test_pii_random(spark, texts):
+    got = {r["doc_id"]: r["s"] for r in pii.find(frame(spark, list(enumerate(texts)))).select("doc_id", pii.joined(F.filter("pii", lambda x: x["place"] < 4)).alias("s")).collect()}
+    assert got == {i: ",".join(brute_pii(t)) for i, t in enumerate(texts)}
+
+
+def test_pii_added_and_masked(spark):
+    rows = [(1, "iban DE89370400440532013000 and DE89370400440532013001"), (2, "my ssn is 123-45-6789"), (3, "code 123-45-6789"), (4, "write a@b.c, 4111111111111111!"), (5, None)]
+    df = pii.find(frame(spark, rows))
+    kinds = {r["doc_id"]: [(x["kind"], x["score"]) for x in r["pii"]] for r in df.collect()}
+    assert kinds[1] == [("iban", 1.0)] and kinds[2] == [("ssn", 0.6)] and kinds[3] == [] and kinds[5] == []
+    assert "_p" in df.columns
+    masked = {r["doc_id"]: r["text"] for r in pii.mask(frame(spark, rows)).collect()}
+    assert masked[4] == "write <email>, <card>!" and masked[3] == rows[2][1] and masked[5] is None
+    assert pii.find(frame(spark, [])).collect() == []
