@@ -24,6 +24,7 @@ saturday sunday new existing pro plan team customer customers""".split())
 IBAN = r"\b[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4}){2,7}(?:\s?[A-Z0-9]{1,3})?\b"
 EMAIL = r"(?U)(?<![\w.<])[\w.+-]{1,64}@(?:[\w-]+\.)+[\w-]{2,}"
 PHONE = r"(?U)(?<![\w€$£])(?:\+\d{1,3}[\s.-]?)?(?:\(\d{1,4}\)[\s.-]?)?\d{2,4}(?:[\s.-]\d{2,4}){2,4}(?![\w%])"
+# Citation markers, and sentences that state that nothing was decided.
 MARKER = r"\s*\[\^(\d+)\]"
 NO_DECISION = r"(?i)^\s*(no\b[^.]{0,80}?\bdecision\b|there (is|was) no (recorded )?decision|(we|the company) (did not|never) decide)"
 

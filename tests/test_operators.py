@@ -30,18 +30,18 @@ def scratch(spark):
 
 
 def eml(body="hi", **headers):
-    head = {"From": "Ann Lee <ann@x.example>", "To": "bob@x.example", "Subject": "Pricing", "Date": "Mon, 05 Jan 2026 10:00:00 +0100", "Message-ID": "<1@x>"} | {k.replace("_", "-"): v for k, v in headers.items()}
+    head = {"From": "Ann Lee <ann@x.example>", "To": "bob@x.example", "Subject": "Shed", "Date": "Mon, 05 Jan 2026 10:00:00 +0100", "Message-ID": "<1@x>"} | {k.replace("_", "-"): v for k, v in headers.items()}
     return ("\r\n".join(f"{k}: {v}" for k, v in head.items() if v) + "\r\n\r\n" + body).encode()
 
 
 @pytest.fixture(scope="module")
 def mails(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("mail")
-    (root / "a.eml").write_bytes(eml("Offer is out: 15% for 2 years.\n\nSaludos!\nAnn Lee\nHead of Sales, Nimbus"))
-    (root / "b.eml").write_bytes(eml("a", From="Bob Ray <bob@x.example>", To="ann@x.example", Subject="=?utf-8?q?Re=3A_Pricing?=", Message_ID="<2@x>", In_Reply_To="<1@x>"))
+    (root / "a.eml").write_bytes(eml("The shed costs 900 in all.\n\nKind regards\nAnn Lee\nHead gardener, Gardens Ltd"))
+    (root / "b.eml").write_bytes(eml("a", From="Bob Ray <bob@x.example>", To="ann@x.example", Subject="=?utf-8?q?Re=3A_Shed?=", Message_ID="<2@x>", In_Reply_To="<1@x>"))
     (root / "skip.txt").write_bytes(b"no")
     with zipfile.ZipFile(root / "c.zip", "w") as z:
-        z.writestr("1.eml", eml("b", Subject="Pricing (fwd)", Message_ID="<3@x>", Date="Tue, 06 Jan 2026 10:00:00 +0100"))
+        z.writestr("1.eml", eml("b", Subject="Shed (fwd)", Message_ID="<3@x>", Date="Tue, 06 Jan 2026 10:00:00 +0100"))
         z.writestr("2.eml", eml("again", Message_ID="<1@x>"))
     box = b"".join(b"From x Mon Jan  5 10:00:00 2026\n" + eml("c", From="Zed <zed@y.example>", To="q@y.example", Message_ID="<4@x>", Date="bad").replace(b"\r\n", b"\n") + b"\n\n" for _ in range(1))
     (root / "d.mbox").write_bytes(box + b"From y Mon Jan  5 10:00:00 2026\n" + eml("no id", Message_ID="").replace(b"\r\n", b"\n") + b"\n")
@@ -50,8 +50,8 @@ def mails(spark, tmp_path_factory):
 
 def test_mail_scan(mails):
     rows = {r["message_id"]: r for r in mails.collect()}
-    assert len(rows) == 5 and rows["<2@x>"]["subject"] == "Re: Pricing" and rows["<2@x>"]["in_reply_to"] == "<1@x>"
-    assert rows["<1@x>"]["new_text"] == "Offer is out: 15% for 2 years." and rows["<1@x>"]["sent_tz"] == "+0100"
+    assert len(rows) == 5 and rows["<2@x>"]["subject"] == "Re: Shed" and rows["<2@x>"]["in_reply_to"] == "<1@x>"
+    assert rows["<1@x>"]["new_text"] == "The shed costs 900 in all." and rows["<1@x>"]["sent_tz"] == "+0100"
     assert rows["<1@x>"]["sent_at"] == dt.datetime(2026, 1, 5, 9) and rows["<4@x>"]["sent_at"] == dt.datetime(1970, 1, 1)
     assert any(k.startswith("<generated-") for k in rows)
 
@@ -83,8 +83,8 @@ def test_identity(spark, scratch):
 
 
 def test_verify(spark):
-    texts = spark.createDataFrame([("t", "<a>", 1, "nothing relevant here", ""), ("t", "<b>", 2, "Keep  Ann in the loop on spend. We go with Nimbus from 6 July.", ""), ("t", "<f>", 3, "FYI", "the batch runs thursday this time.")], "thread_id string, message_id string, pos int, new_text string, fwd_text string")
-    quotes = spark.createDataFrame([(1, "t", "<a>", "Keep Ann in the loop"), (2, "t", "<b>", "we will switch to another provider"), (3, "t", "<f>", "the batch runs Thursday"), (4, "t", "<b>", "We go with Nimbus from 6 Jully.")], "quote_id int, thread_id string, message_id string, quote string").withColumn("role", F.lit("decision"))
+    texts = spark.createDataFrame([("t", "<a>", 1, "some other words", ""), ("t", "<b>", 2, "Tell  Ann before the nails are bought. We paint it green from 6 July.", ""), ("t", "<f>", 3, "FYI", "the shop shuts at noon on sundays.")], "thread_id string, message_id string, pos int, new_text string, fwd_text string")
+    quotes = spark.createDataFrame([(1, "t", "<a>", "Tell Ann before the nails"), (2, "t", "<b>", "the fence will be blue after all"), (3, "t", "<f>", "the shop shuts at Noon"), (4, "t", "<b>", "We paint it green from 6 Jully.")], "quote_id int, thread_id string, message_id string, quote string").withColumn("role", F.lit("decision"))
     got = verify_quotes(quotes, texts).cache()
     assert {r["quote_id"]: (r["source_id"], r["how"]) for r in got.collect()} == {1: ("<b>", "reanchored"), 2: ("<b>", "dropped"), 3: ("<f>", "exact"), 4: ("<b>", "snapped")}
     stats = quote_stats(got).first()
@@ -92,18 +92,18 @@ def test_verify(spark):
 
 
 def test_ledger(spark):
-    answer = {"records": [{"topic_label": "pay", "decision_text": "go", "stance": "final", "decision_type": "explicit", "decided_by": ["Ann"], "decision_date": "soon", "evidence": [{"message_id": "[m2]", "quote": "we go with nimbus", "role": "approval"}]}, {"topic_label": "x", "decision_text": "y", "stance": "final", "evidence": [{"message_id": "m1", "quote": "never said at all here", "role": "recap"}]}]}
+    answer = {"records": [{"topic_label": "pay", "decision_text": "go", "stance": "final", "decision_type": "explicit", "decided_by": ["Ann"], "decision_date": "soon", "evidence": [{"message_id": "[m2]", "quote": "we paint it green", "role": "approval"}]}, {"topic_label": "x", "decision_text": "y", "stance": "final", "evidence": [{"message_id": "m1", "quote": "never said at all here", "role": "recap"}]}]}
     import json
 
     req = spark.createDataFrame([("T-1234567890", json.dumps({"thread": 1}))], "thread_id string, request string")
     cache = spark.createDataFrame([(tables.request_key({"thread": 1}), "```json\n" + json.dumps(answer) + "\n```")], DDL["llm_cache"])
     got, missing = tables.answers(req, cache, "extract")
     assert got.count() == 1 and missing.count() == 0
-    msgs = spark.createDataFrame([("T-1234567890", "<1>", "m1", 1, dt.datetime(2026, 1, 5, 23, 30), "+0100", "hello", ""), ("T-1234567890", "<2>", "m2", 2, dt.datetime(2026, 1, 6, 23, 30), "+0100", "ok. We go with Nimbus", "")], "thread_id string, message_id string, alias string, pos int, sent_at timestamp, sent_tz string, new_text string, fwd_text string")
+    msgs = spark.createDataFrame([("T-1234567890", "<1>", "m1", 1, dt.datetime(2026, 1, 5, 23, 30), "+0100", "hello", ""), ("T-1234567890", "<2>", "m2", 2, dt.datetime(2026, 1, 6, 23, 30), "+0100", "ok. We paint it green", "")], "thread_id string, message_id string, alias string, pos int, sent_at timestamp, sent_tz string, new_text string, fwd_text string")
     recs, ev = L.records(got.select("thread_id", "answer"), msgs)
     row = recs.first()
     assert recs.count() == 1 and row["record_id"] == "R-1234567890-01" and row["decision_date"] == "2026-01-07"
-    assert ev.first()["quote"] == "We go with Nimbus"
+    assert ev.first()["quote"] == "We paint it green"
     direct = L.direct_decisions(recs.withColumn("cluster_id", F.lit("C-1")), ev)
     assert direct.count() == 1
     drafts = spark.createDataFrame([("C-1", "d10", "2026-01-02", "active"), ("C-1", "d2", "2026-01-02", "active"), ("C-0", "d1", "2026-01-01", "contested")], "cluster_id string, temp_id string, decided_at string, status string")
@@ -134,15 +134,15 @@ def test_graph(spark, scratch):
 def test_retrieval(spark):
     ranks = [spark.createDataFrame(list(zip(x, range(1, 9))), "id string, rank int") for x in (["a", "b"], ["b", "c"])]
     assert [r["id"] for r in V.rrf(ranks, "id").collect()][0] == "b"
-    docs = spark.createDataFrame([(1, "free tier free"), (2, "no such"), (3, "tier list of things")], "id long, text string")
-    got = V.bm25(docs, "id", F.col("text"), ["free", "tier"], 5).collect()
+    docs = spark.createDataFrame([(1, "oak shed oak"), (2, "no such"), (3, "shed list of things")], "id long, text string")
+    got = V.bm25(docs, "id", F.col("text"), ["oak", "shed"], 5).collect()
     assert [r["id"] for r in got] == [1, 3]
     rows, fresh = V.embed(docs, spark.createDataFrame([], DDL["embed_cache"]))
     assert rows.count() == 3 and fresh.count() == 3
-    a = spark.createDataFrame([("q", "Go on 6 July [^1][^2].", [(1, "<1>", "go on 6 july")], ["DEC-1"])], "answer_id string, answer_md string, citations array<struct<n:int,message_id:string,quote:string>>, decision_ids array<string>")
-    t = spark.createDataFrame([("<1>", "We go on 6 July.", "")], "message_id string, new_text string, fwd_text string")
+    a = spark.createDataFrame([("q", "Paint on 6 July [^1][^2].", [(1, "<1>", "paint on 6 july")], ["DEC-1"])], "answer_id string, answer_md string, citations array<struct<n:int,message_id:string,quote:string>>, decision_ids array<string>")
+    t = spark.createDataFrame([("<1>", "We paint on 6 July.", "")], "message_id string, new_text string, fwd_text string")
     row = V.check_answer(a, t, spark.createDataFrame([], "decision_id string")).first()
-    assert row["cites"][0]["quote"] == "go on 6 July" and row["errors"] == ["marker [^2] has no citation", "unknown decision id DEC-1"]
+    assert row["cites"][0]["quote"] == "paint on 6 July" and row["errors"] == ["marker [^2] has no citation", "unknown decision id DEC-1"]
 
 
 def test_assignment():
@@ -169,12 +169,12 @@ def test_clusters(spark, scratch):
 
 
 def test_metrics_and_serving(spark, scratch, tmp_path):
-    dec = spark.createDataFrame([("DEC-1", "C", "Use Nimbus", "2026-01-01", "cheap", "explicit", "superseded"), ("DEC-2", "C", "Use Redline", "2026-02-01", None, "explicit", "active"), ("DEC-3", "D", "Hire", "2026-03-01", "x", "implicit", "contested")], "decision_id string, cluster_id string, canonical_text string, decided_at string, rationale string, decision_type string, status string")
+    dec = spark.createDataFrame([("DEC-1", "C", "Use oak", "2026-01-01", "cheap", "explicit", "superseded"), ("DEC-2", "C", "Use pine", "2026-02-01", None, "explicit", "active"), ("DEC-3", "D", "Hire", "2026-03-01", "x", "implicit", "contested")], "decision_id string, cluster_id string, canonical_text string, decided_at string, rationale string, decision_type string, status string")
     edges = spark.createDataFrame([("DEC-2", "DEC-1", "supersedes")], "src string, dst string, kind string")
-    assert [r["decision_id"] for r in S.list_decisions(dec, q="redline").collect()] == ["DEC-2"]
+    assert [r["decision_id"] for r in S.list_decisions(dec, q="pine").collect()] == ["DEC-2"]
     assert [r["decision_id"] for r in S.list_decisions(dec, status="active,contested", since="2026-02-15").collect()] == ["DEC-3"]
-    emails = spark.createDataFrame([("<1>", "T", "s", "ann@x", "Ann", dt.datetime(2026, 1, 1), "we use Nimbus", "older words", ("Old Author", "old@x", "2025-12-01", None, None))], f"message_id string, thread_id string, subject string, from_addr string, from_name string, sent_at timestamp, new_text string, fwd_text string, fwd_meta {DDL['emails'].split('fwd_meta ')[1].split('>')[0]}>")
-    ev = spark.createDataFrame([(1, "decision", "DEC-1", "<1>", "use Nimbus", "decision", True), (2, "decision", "DEC-1", "<1>", "older words", "recap", True), (3, "decision", "DEC-2", "<1>", "not there", "recap", False)], DDL["evidence"])
+    emails = spark.createDataFrame([("<1>", "T", "s", "ann@x", "Ann", dt.datetime(2026, 1, 1), "we use oak", "older words", ("Old Author", "old@x", "2025-12-01", None, None))], f"message_id string, thread_id string, subject string, from_addr string, from_name string, sent_at timestamp, new_text string, fwd_text string, fwd_meta {DDL['emails'].split('fwd_meta ')[1].split('>')[0]}>")
+    ev = spark.createDataFrame([(1, "decision", "DEC-1", "<1>", "use oak", "decision", True), (2, "decision", "DEC-1", "<1>", "older words", "recap", True), (3, "decision", "DEC-2", "<1>", "not there", "recap", False)], DDL["evidence"])
     page = S.decision_page(scratch, "DEC-2", dec, edges, ev, emails)
     assert page["chain"].count() == 2 and page["edges"].count() == 1 and page["evidence"].count() == 0
     cards = {r["id"]: r for r in S.evidence_cards(ev, emails).collect()}
