@@ -6,14 +6,16 @@ import hashlib
 import heapq
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MARK = "▁"
+_MARK = MARK.encode()
 #: A worker keeps the codes of this many distinct words, then starts anew; nothing depends on it but speed.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 1_000_000
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -36,9 +38,12 @@ class Pieces:
         self.ids = {p: i for i, p in enumerate(pieces) if normal[i]}
         self.scores = scores
         self.byte = bytes_at
-        self.raw = [p.replace(MARK, " ").encode() for p in pieces]
+        raw = [p.replace(MARK, " ").encode() for p in pieces]
         for b, i in enumerate(bytes_at):
-            self.raw[i] = bytes([b])
+            raw[i] = bytes([b])
+        self.raw, self.raw_size = np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw])
+        self.raw_start = np.cumsum(self.raw_size) - self.raw_size
+        self.ends = {p[k:]: -1 for p in self.ids for k in range(1, len(p))} | self.ids
         self.chars = set("".join(self.ids))
         self.longest = max(map(len, self.ids), default=1)
         self.unknown = min((scores[i] for i in self.ids.values()), default=0.0) - 10.0
@@ -46,8 +51,8 @@ class Pieces:
         inner = any(MARK in p.lstrip(MARK) for p in self.ids)
         if inner:
             raise ValueError("a piece spans words")
-        self.words: dict[str, tuple] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.pairs: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
         odd = "".join(map(re.escape, sorted(self.chars - {MARK})))
         self.unit = re.compile(f"{MARK}*[{odd}]+|{MARK}+|[^{odd}{MARK}]") if odd else re.compile(f"{MARK}+|[^{MARK}]")
@@ -89,84 +94,125 @@ class Pieces:
         return [self.ids[p] for p in part if p]
 
     def fits(self, a: int, b: int) -> bool:
-        if (ok := self.pairs.get((a, b))) is None:
-            ok = self.pairs[a, b] = self.merged(self.pieces[a] + self.pieces[b]) == [a, b]
+        ok = self.pairs[a << 20 | b] = self.merged(self.pieces[a] + self.pieces[b]) == [a, b]
         return ok
 
     def stands(self, a: int) -> bool:
-        if (ok := self.alone.get(a)) is None:
-            ok = self.alone[a] = self.merged(self.pieces[a]) == [a]
+        ok = self.alone[a] = self.merged(self.pieces[a]) == [a]
         return ok
 
     def encode_words(self, words) -> dict[str, tuple]:
         """Codes of distinct words. Sorted words are a walk through their trie, depth first: the states of the prefix
         that a word shares with the one before stay on the stack."""
-        out, ids, scores, longest = {}, self.ids, self.scores, self.longest
-        bpe = self.kind == "bpe"
-        last, code, best = [0], [-1], [0.0]  # by end: start of the last piece, its id, the score
+        return self._merge_walk(words) if self.kind == "bpe" else self._score_walk(words)
+
+    def _merge_walk(self, words) -> dict[str, tuple]:
+        out, ends, pairs, fits = {}, self.ends, self.pairs, self.fits
+        last, path = [0], [()]  # by end: the last piece that fits, -1 if none does, and the pieces up to it
         before = ""
         for word in sorted(words):
-            if bpe and word.startswith(MARK * 2):
+            if word[:2] == MARK * 2:
                 out[word] = tuple(self.merged(word))  # pieces of marks alone may tie in score
                 continue
+            shared = 0
+            for a, b in zip(before, word):
+                if a != b:
+                    break
+                shared += 1
+            del last[shared + 1 :], path[shared + 1 :]
+            before = word
+            for end in range(shared + 1, len(word) + 1):
+                # pieces that end here, from the shortest; a string that ends no piece ends the search
+                found, way, start = -1, (), end
+                while start:
+                    start -= 1
+                    if (k := ends.get(word[start:end])) is None:
+                        break
+                    if k < 0 or (prior := last[start]) < 0:
+                        continue
+                    ok = pairs.get(prior << 20 | k) if start else self.alone.get(k)
+                    if ok is None:
+                        ok = fits(prior, k) if start else self.stands(k)
+                    if ok:
+                        found, way = k, path[start] + (k,)
+                last.append(found)
+                path.append(way)
+            out[word] = path[-1] if last[-1] >= 0 else tuple(self.merged(word))
+        return out
+
+    def _score_walk(self, words) -> dict[str, tuple]:
+        out, ids, scores, longest = {}, self.ids, self.scores, self.longest
+        start_of, code, best = [0], [-1], [0.0]  # by end: start of the last piece, its id, the sum of scores
+        before = ""
+        for word in sorted(words):
             shared = len(os.path.commonprefix((before, word)))
-            del last[shared + 1 :], code[shared + 1 :], best[shared + 1 :]
+            del start_of[shared + 1 :], code[shared + 1 :], best[shared + 1 :]
+            before = word
             for end in range(shared + 1, len(word) + 1):
-                at = got = -1
-                top = 0.0
+                at, got, top = end - 1, -1, best[end - 1] + self.unknown
                 for start in range(max(0, end - longest), end):
-                    if (k := ids.get(word[start:end])) is None:
-                        continue
-                    if not bpe:
-                        score = best[start] + scores[k]
-                        if got < 0 or score > top:
-                            at, got, top = start, k, score
-                    elif code[start] != -2 and (self.fits(code[start], k) if start else self.stands(k)):
-                        at, got = start, k
-                        break
-                if got < 0 and not bpe:
-                    at, got, top = end - 1, -3, best[end - 1] + self.unknown
-                last.append(at)
-                code.append(got if got != -1 else -2)
+                    if (k := ids.get(word[start:end])) is not None and (got < 0 or best[start] + scores[k] > top):
+                        at, got, top = start, k, best[start] + scores[k]
+                start_of.append(at)
+                code.append(got)
                 best.append(top)
-            before = word
-            if code[-1] == -2:
-                out[word] = tuple(self.merged(word))
-                continue
             path, end = [], len(word)
             while end:
-                path.append(code[end]) if code[end] != -3 else path.extend(self.byte[b] for b in reversed(word[last[end] : end].encode()))
-                end = last[end]
+                start = start_of[end]
+                path.extend([code[end]] if code[end] >= 0 else [self.byte[b] for b in reversed(word[start:end].encode())])
+                end = start
             out[word] = tuple(reversed(path))
         return out
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Codes of each text; an empty one has none. Characters without a piece go by their bytes, as does the mark
-        itself where a text holds it, so that decoding gives every text back."""
-        units = []
-        for text in texts:
-            units.append([self.unit.findall(p) for p in self._parts(text)])
-        words = self.words
-        new = {u for parts in units for us in parts for u in us if u not in words}
-        if len(words) + len(new) > KEPT_WORDS:
-            words = {}
-            new = {u for parts in units for us in parts for u in us}
-        known = {u for u in new if u[0] in self.chars}
-        words |= self.encode_words(known)
-        for u in new - known:
-            words[u] = tuple(self.byte[b] for b in u.encode())
-        self.words = words
-        mark = [self.byte[b] for b in MARK.encode()]
-        out = []
-        for parts in units:
-            codes: list[int] = []
-            for k, us in enumerate(parts):
-                if k:
-                    codes += mark
-                for u in us:
-                    codes += words[u]
-            out.append(codes)
-        return out
+    def encode(self, raws: list[bytes]) -> list[np.ndarray]:
+        """Codes of each UTF-8 text; an empty one has none. Characters without a piece go by their bytes, as does the
+        mark itself where a text holds it, so that decoding gives every text back.
+
+        What stands between two spaces is coded once for all texts, with the mark before it."""
+        if len(self.words) > KEPT_WORDS:
+            self.words = {}
+        out: list = [None] * len(raws)
+        get, missing, later = self.words.get, set(), []
+        for k, raw in enumerate(raws):
+            if not raw:
+                out[k] = b""
+            elif raw[0] == 32 or b"  " in raw or _MARK in raw:
+                out[k] = self._odd(raw)  # runs of marks, or marks of the text's own
+            else:
+                got = list(map(get, words := raw.split(b" ")))
+                if None in got:
+                    missing.update(w for w, g in zip(words, got) if g is None)
+                    later.append((k, words))
+                else:
+                    out[k] = b"".join(got)
+        if missing:
+            self._learn(missing)
+            for k, words in later:
+                out[k] = b"".join(map(self.words.__getitem__, words))
+        return [np.frombuffer(x, np.int32) for x in out]
+
+    def _learn(self, words: set[bytes]) -> None:
+        units = {}
+        for w in words:
+            word = MARK + w.decode()
+            units[w] = (word,) if self.chars.issuperset(word) and MARK not in word[1:] else self.unit.findall(word)
+        known = self._coded({u for us in units.values() for u in us})
+        for w, us in units.items():
+            self.words[w] = b"".join([array("i", known[u]).tobytes() for u in us])
+
+    def _coded(self, units: set[str]) -> dict[str, tuple]:
+        held = {u for u in units if u[0] in self.chars}
+        return self.encode_words(held) | {u: tuple(self.byte[b] for b in u.encode()) for u in units - held}
+
+    def _odd(self, raw: bytes) -> bytes:
+        parts = [self.unit.findall(p) for p in self._parts(raw.decode())]
+        known = self._coded({u for us in parts for u in us})
+        codes: list[int] = []
+        for k, us in enumerate(parts):
+            codes += [self.byte[b] for b in _MARK] if k else []
+            for u in us:
+                codes += known[u]
+        return np.array(codes, np.int32).tobytes()
 
     @staticmethod
     def _parts(text: str) -> list[str]:
@@ -175,8 +221,14 @@ class Pieces:
         first, *rest = text.split(MARK)
         return [MARK + first.replace(" ", MARK), *(p.replace(" ", MARK) for p in rest)]
 
-    def decode(self, codes) -> str:
-        return b"".join(map(self.raw.__getitem__, codes)).decode("utf-8", "replace")[1:]
+    def decode(self, codes: np.ndarray) -> bytes:
+        """The UTF-8 text of codes."""
+        if not len(codes):
+            return b""
+        size = self.raw_size[codes]
+        stop = np.cumsum(size)
+        at = np.arange(stop[-1]) + np.repeat(self.raw_start[codes] - stop + size, size)
+        return self.raw[at][1:].tobytes()
 
 
 _LOADED: dict = {}
@@ -204,19 +256,19 @@ def encode(docs: DataFrame, path: str | None = None, kind: str = "bpe", id_col:
         pieces = vocabulary(where, kind)
         low, high = min(pieces.byte), max(pieces.byte)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = part.column("text").to_pylist()
-                codes = pieces.encode([t or "" for t in texts])
-                arrays = [np.array(c, np.int32) for c in codes]
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                raws = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in part.column("text")]
+                codes = pieces.encode(raws)
                 cols = {"doc_id": part.column("doc_id")}
                 if tokens:
-                    cols |= {"text": part.column("text"), "tokens": pa.array([None if t is None else a for t, a in zip(texts, arrays)], pa.list_(pa.int32()))}
+                    lists = [c if t.is_valid else None for c, t in zip(codes, part.column("text"))]
+                    cols |= {"text": part.column("text"), "tokens": pa.array(lists, pa.list_(pa.int32()))}
                 cols |= {
-                    "n_tokens": pa.array([a.size for a in arrays], pa.int64()),
-                    "n_byte_tokens": pa.array([int(((a >= low) & (a <= high)).sum()) for a in arrays], pa.int64()),
-                    "ids_sha256": [hashlib.sha256(a.tobytes()).hexdigest() for a in arrays],
-                    "restored": [pieces.decode(c) == (t or "") for c, t in zip(codes, texts)],
+                    "n_tokens": pa.array([c.size for c in codes], pa.int64()),
+                    "n_byte_tokens": pa.array([int(((c >= low) & (c <= high)).sum()) for c in codes], pa.int64()),
+                    "ids_sha256": [hashlib.sha256(c.tobytes()).hexdigest() for c in codes],
+                    "restored": [pieces.decode(c) == raw for c, raw in zip(codes, raws)],
                 }
                 yield pa.RecordBatch.from_pydict(cols)
 
