@@ -1,72 +1,16 @@
-"""Shared pieces: written intermediate tables, word and shingle hashing, connected components."""
+"""Shared pieces: word and shingle hashing, besides written tables and connected components."""
 
 from __future__ import annotations
 
-import contextlib
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+from ..operators.graph import components  # noqa: F401
+from ..plans.scratch import Scratch, partitions, shared_dir  # noqa: F401
+
 #: ASCII white space, the only word separators of the contracts.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="folioframe-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-class Scratch:
-    """Tables written to the shared folder, to cut lineage and to survive lost executors.
-
-    The shuffle files of a written step are released when the write ends, since later steps read the table.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
-        self.paths: list[str] = []
-
-    @contextlib.contextmanager
-    def _released(self):
-        before = self.spark.conf.get(CLEANUP, None)
-        self.spark.conf.set(CLEANUP, "true")
-        try:
-            yield
-        finally:
-            if before is None:
-                self.spark.conf.unset(CLEANUP)
-            else:
-                self.spark.conf.set(CLEANUP, before)
-
-    def write(self, df: DataFrame, compression: str = "zstd") -> DataFrame:
-        path = f"{self.root}/{self.n}"
-        self.n += 1
-        self.paths.append(path)
-        with self._released():
-            df.write.option("compression", compression).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, df: DataFrame) -> None:
-        """Deletes the files of a written table that no later step reads."""
-        for path in [p for p in self.paths if any(f"{p.split('://')[-1]}/" in f for f in df.inputFiles()[:1])]:
-            jvm = self.spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-            self.paths.remove(path)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit integers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -140,32 +84,3 @@ def shingle_hashes(raw: bytes, n: int = 5) -> np.ndarray:
     for i in range(take):
         h = mixed(h * _BASE + w[i : w.size - take + 1 + i])
     return np.unique(h)
-
-
-def components(scratch: Scratch, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) of every node of the undirected edges (a, b); component is the smallest node reachable.
-
-    Alternating large-star and small-star steps over written tables; each round aggregates with partial sums,
-    so a node of very many edges isn't gathered in one task. Nothing but the number of changed edges reaches
-    the driver.
-    """
-    e = scratch.write(edges.where("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct())
-    before = None
-    for _ in range(rounds):
-        # large star: each neighbour above u is linked to the least neighbour of u
-        both = e.select("a", "b").unionAll(e.selectExpr("b a", "a b"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a u", "least(a, m) m")
-        large = both.join(least, both.a == least.u).where("b > a").selectExpr("b a", "m b").where("a <> b").distinct()
-        # small star: the lower neighbours of u are linked to the least of them
-        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        small = large.join(low, large.a == low.u).selectExpr("b a", "m b").where("a <> b").unionAll(low.selectExpr("u a", "m b")).distinct()
-        nxt = scratch.write(small)
-        now = nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        scratch.drop(e)
-        e = nxt
-        if tuple(now) == before:
-            break
-        before = tuple(now)
-    else:
-        raise RuntimeError("components did not settle")
-    return e.selectExpr("a node", "b component").unionAll(e.selectExpr("b node", "b component").distinct())
