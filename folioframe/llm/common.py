@@ -11,6 +11,13 @@ from ..plans.scratch import Scratch, partitions, shared_dir  # noqa: F401
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def fresh(df, name: str) -> str:
+    """A column name that the frame doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit integers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

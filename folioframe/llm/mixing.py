@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, partitions
+from .common import WORD, Scratch, fresh, partitions
 
 WEIGHTS = (5, 2, 1)
 MOST = 3.0
@@ -56,22 +56,33 @@ def source_targets(scratch: Scratch, sizes: DataFrame, weights: tuple = WEIGHTS,
 def pivotal(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Rounds copy probabilities pair by pair, in the given order: words move at random within a pair until one of
     the two probabilities is 0 or 1. Each expected value stays, and so does the sum of p * size, but for the one
-    probability that may be left between."""
-    p, s, draws = p.tolist(), size.tolist(), rng.random(p.size).tolist()
-    left = -1
+    probability that may be left between.
+
+    A row much longer than all that follow is drawn at once, and those that follow take up the words it is off by, in
+    equal shares of probability; so what is left in the end is short.
+    """
+    open_row = (p > _NEAR) & (p < 1 - _NEAR)
+    behind = lambda x, f, none: f.accumulate(np.where(open_row, x, none)[::-1])[::-1].tolist() + [none]
+    words, least, most = behind(size, np.add, 0.0), behind(p, np.minimum, 1.0), behind(p, np.maximum, 0.0)
+    p, s, draws = p.tolist(), size.tolist(), rng.random((2, p.size)).tolist()
+    left, shift = -1, 0.0
     for i in range(len(p)):
-        if not _NEAR < p[i] < 1 - _NEAR:
+        if not open_row[i]:
             p[i] = float(round(p[i]))
             continue
+        if left >= 0 and s[left] >= 4 * s[i] and s[left] / words[i] < min(least[i] + shift, 1 - most[i] - shift):
+            drawn = float(draws[1][i] < p[left])
+            shift += (p[left] - drawn) * s[left] / words[i]
+            p[left], left = drawn, -1
+        p[i] += shift
         if left < 0:
             left = i
             continue
         a, b, r = p[left], p[i], s[i] / s[left]
         up, down = min(1 - a, b * r), min(a, (1 - b) * r)
-        move = up if draws[i] * (up + down) < down else -down
+        move = up if draws[0][i] * (up + down) < down else -down
         p[left], p[i] = a + move, b - move / r
-        held = left
-        left = -1
+        held, left = left, -1
         for j in (held, i):
             if _NEAR < p[j] < 1 - _NEAR:
                 left = j
@@ -141,8 +152,8 @@ def op8(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; those of 0 copies go."""
-    rows = mix(docs).select("doc_id", "copies")
-    keys = rows.groupBy("doc_id").agg(F.max("copies").alias("_copies")).withColumnRenamed("doc_id", "_id")
-    out = docs.join(keys, docs.doc_id.eqNullSafe(keys["_id"])).where("_copies > 0")
-    return out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    """Each document as often as the mix takes it; those of 0 copies go. Rows of one id come as often as any of them."""
+    key, n = fresh(docs, "_id"), fresh(docs, "_copies")
+    copies = mix(docs).groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(n)).where(F.col(n) > 0)
+    out = docs.join(copies, docs.doc_id.eqNullSafe(copies[key]))
+    return out.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).select(*docs.columns)

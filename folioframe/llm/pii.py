@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Kinds in the order that breaks ties; the first four are the base ones, which always stay. Possessive repeats and
 #: look-behinds leave each pattern's leftmost longest match as it is and keep the matcher linear and off the stack.
 #: kind: (pattern, what a text must hold for it to match, score, words whose nearness raises the score)
@@ -91,9 +93,7 @@ def find(docs: DataFrame, text_col: str = "text", into: str = "pii") -> DataFram
     kinds all stand. Whole texts are read; columns of any other names stay as they are, rows are neither lost nor
     joined, so repeated rows and null ids keep their own results.
     """
-    taken = set(docs.columns)
-    name = lambda x: next(n for n in (x + "_" * i for i in range(99)) if n not in taken)
-    m, s = {k: name(f"_m_{k}") for k in KINDS}, {k: name(f"_s_{k}") for k in KINDS}
+    m, s = ({k: fresh(docs, f"_{x}_{k}") for k in KINDS} for x in "ms")
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = docs.withColumns({m[k]: _found(k, text) for k in KINDS})
     df = df.withColumns({s[k]: _spans(k, text, F.col(m[k])) for k in KINDS}).drop(*m.values())
@@ -108,9 +108,10 @@ def joined(spans: Column) -> Column:
 
 def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The same columns, with each run of overlapping spans replaced by the tag of its first one, as in <email>."""
-    df = find(docs, text_col, "_pii")
+    spans, joined_spans = fresh(docs, "_pii"), fresh(docs, "_runs")
+    df = find(docs, text_col, spans)
     runs = F.aggregate(
-        F.col("_pii"), F.expr("cast(array() as array<struct<start:int,stop:int,kind:string>>)"),
+        F.col(spans), F.expr("cast(array() as array<struct<start:int,stop:int,kind:string>>)"),
         lambda acc, x: F.when(
             (F.size(acc) > 0) & (F.element_at(acc, -1)["stop"] > x["start"]),
             F.concat(
@@ -120,12 +121,12 @@ def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
         ).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["kind"].alias("kind"))))),
     )
     rebuilt = F.aggregate(
-        F.col("_runs"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        F.col(joined_spans), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, x: F.struct(x["stop"].alias("at"), F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, x["start"] - acc["at"]), F.lit("<"), x["kind"], F.lit(">")).alias("out")),
         lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.length(text_col))),
     )
-    df = df.withColumn("_runs", runs)
-    return df.withColumn(text_col, F.when(F.size("_pii") > 0, rebuilt).otherwise(F.col(text_col))).select(*docs.columns)
+    df = df.withColumn(joined_spans, runs)
+    return df.withColumn(text_col, F.when(F.size(spans) > 0, rebuilt).otherwise(F.col(text_col))).select(*docs.columns)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

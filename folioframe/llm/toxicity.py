@@ -140,16 +140,16 @@ def score(docs: DataFrame, model: Model, reject: float = REJECT, id_col: str = "
 
     def severity(batches):
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("_text" if keep else "text"))
+            texts = batch.column(text_col if keep else "text")
             m = np.array([known.value.margin(t.as_buffer().to_pybytes()) if t.is_valid else 0.0 for t in texts])
             s = expected_severity(m, known.value.cut) if m.size else m
             if keep:
-                yield batch.filter(pa.array(s < reject)).drop_columns(["_text"])
+                yield batch.filter(pa.array(s < reject, pa.bool_()))
             else:
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "severity": np.round(s, 6), "grade": np.rint(s).astype(np.int32), "toxic": s >= reject})
 
     if keep:
-        return docs.withColumn("_text", F.col(text_col)).mapInArrow(severity, docs.schema)
+        return docs.mapInArrow(severity, docs.schema)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(severity, "doc_id bigint, severity double, grade int, toxic boolean")
 
 
