@@ -27,7 +27,7 @@ def reply_components(scratch: Scratch, emails: DataFrame) -> DataFrame:
     return out.select("message_id", F.coalesce("component", "message_id").alias("component"))
 
 
-def _follow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _follow(key, pdf):
     """Joins a component without a known parent to the latest open one of its subject, within the window and with
     enough of its first message's people; what joins widens the open one."""
     pdf = pdf.sort_values(["first_at", "component"])
