@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, shingle_hashes
+from .common import Scratch, components, mixed, shingle_hashes
 
 WORDS = 5
 #: Postings of an index task; postings and shingles that a task holds before it passes them on.
@@ -178,16 +178,65 @@ def _bounds(p: np.ndarray) -> np.ndarray:
     return np.concatenate((np.flatnonzero(np.diff(p["token"], prepend=p["token"][:1] + np.uint64(1))), [p.size])) if p.size else np.zeros(1, np.int64)
 
 
+#: Pivots of a list; each is the least set of it in another order.
+PIVOTS = 3
+
+
 def _stars(batches):
-    """Each member of a list with the list's pivot, its least set."""
+    """Each member of a list with the list's pivots."""
     for batch in batches:
+        out = [np.zeros((2, 0), np.int64)]
         for raw in batch.column("p").to_pylist():
             p = np.frombuffer(raw, _POSTING)
+            if not p.size:
+                continue
             at = _bounds(p)
-            pivot = np.repeat(np.minimum.reduceat(p["sid"], at[:-1]), np.diff(at)) if p.size else p["sid"]
-            far = p["sid"] != pivot
-            pairs = np.unique(np.stack((p["sid"][far], pivot[far])), axis=1)
-            yield pa.RecordBatch.from_pydict({"a": pairs[0], "b": pairs[1]})
+            size = np.diff(at)
+            for k in range(PIVOTS):
+                order = mixed(p["sid"].view(np.uint64) + np.uint64(k)) if k else p["sid"].view(np.uint64)
+                least = np.repeat(np.minimum.reduceat(order, at[:-1]), size)
+                place = np.flatnonzero(order == least)
+                _, first = np.unique(np.repeat(np.arange(size.size), size)[place], return_index=True)
+                pivot = np.repeat(p["sid"][place[first]], size)
+                far = p["sid"] != pivot
+                out.append(np.stack((np.maximum(p["sid"], pivot)[far], np.minimum(p["sid"], pivot)[far])))
+        pairs = np.unique(np.concatenate(out, axis=1), axis=1)
+        yield pa.RecordBatch.from_pydict({"a": pairs[0], "b": pairs[1]})
+
+
+def _folded(sketches: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distances of the sketches of pairs (i, j), all pairs of two lengths at once."""
+    size = np.array([x.size for x in sketches], np.int64)
+    out = np.zeros(i.size, np.int64)
+    for si, sj in np.unique(np.stack((size[i], size[j])), axis=1).T if i.size else ():
+        for rows in np.array_split(f := np.flatnonzero((size[i] == si) & (size[j] == sj)), f.size * max(si, sj) // (1 << 24) + 1):
+            x, y = (np.stack([sketches[k] for k in side[rows]]) for side in (i, j))
+            while x.shape[1] > y.shape[1]:
+                x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+            while y.shape[1] > x.shape[1]:
+                y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+            out[rows] = np.bitwise_count(x ^ y).sum(1)
+    return out
+
+
+_INFO = np.dtype([("sid", np.int64), ("component", np.int64), ("n", np.uint32), ("bits", np.uint32)])
+
+
+def _sid_task(sid: np.ndarray, tasks: int) -> np.ndarray:
+    return (mixed(sid.view(np.uint64) + np.uint64(0x5DEECE66D)) % np.uint64(tasks)).astype(np.int64)
+
+
+def _packed(sid, component, n, sketch) -> bytes:
+    info = np.empty(len(sid), _INFO)
+    info["sid"], info["component"], info["n"], info["bits"] = sid, component, n, [len(x) for x in sketch]
+    return len(sid).to_bytes(8, "little") + info.tobytes() + b"".join(sketch)
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+    n = int.from_bytes(blob[:8], "little")
+    info = np.frombuffer(blob, _INFO, n, 8)
+    rest = np.frombuffer(blob, np.uint8, offset=8 + n * _INFO.itemsize)
+    return info, np.split(rest, np.cumsum(info["bits"].astype(np.int64))[:-1]) if n else []
 
 
 def open_pairs(p: np.ndarray, component: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -274,7 +323,7 @@ def join(docs: DataFrame, words: int = WORDS, num: int = 75, den: int = 100, id_
 
         return scratch.write(real.join(wanted, "doc_id").select("text", "want").mapInArrow(run, schema).dropDuplicates(["sid"]))
 
-    # first, every member of a list against the list's pivot
+    # first, every member of a list against the list's pivots
     first = near(lists.select("p").mapInArrow(_stars, "a bigint, b bigint"))
     known = shingles_of(first)
     side = lambda t, s: t.withColumnsRenamed({"sid": s, "s": f"s{s}"})
@@ -296,33 +345,60 @@ def join(docs: DataFrame, words: int = WORDS, num: int = 75, den: int = 100, id_
     linked = scratch.write(first.join(side(known, "a"), "a").join(side(known, "b"), "b").select("a", "b", "sa", "sb").mapInArrow(against_pivot, "a bigint, b bigint, plus binary, minus binary"))
     comp = scratch.write(components(scratch, linked.select("a", "b")))
 
-    # then pairs that are still in different components
-    def members(batches):
+    # then pairs that are still in different components; buckets and what they need of their sets go as packed rows
+    tasks = max(1, -(-sets.count() // 20_000))
+
+    def keyed(batches):
         for batch in batches:
-            for k, raw in zip(batch.column("bucket").to_pylist(), batch.column("p").to_pylist()):
-                sid = np.unique(np.frombuffer(raw, _POSTING)["sid"])
-                yield pa.RecordBatch.from_pydict({"bucket": np.full(sid.size, k), "sid": sid})
+            yield batch.append_column("k", pa.array(_sid_task(batch.column("sid").to_numpy(), tasks)))
 
-    of_bucket = lists.mapInArrow(members, "bucket bigint, sid bigint").join(comp.withColumnRenamed("node", "sid"), "sid")
+    info = sets.select("sid", "n", "sketch").join(comp.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("component", "sid").alias("component"), "n", "sketch")
+    info = info.mapInArrow(keyed, "sid bigint, component bigint, n bigint, sketch binary, k bigint")
 
-    def crossing(key, left, right):
+    def ask(batches):
+        for batch in batches:
+            for bucket, raw in zip(batch.column("bucket").to_pylist(), batch.column("p").to_pylist()):
+                sid = np.unique(np.frombuffer(raw, _POSTING)["sid"])
+                k = _sid_task(sid, tasks)
+                order = np.argsort(k, kind="stable")
+                at = np.flatnonzero(np.diff(k[order], prepend=-1))
+                yield pa.RecordBatch.from_pydict({"k": k[order][at], "bucket": np.full(at.size, bucket), "sids": [x.tobytes() for x in np.split(sid[order], at[1:])]})
+
+    def answer(left, right):
+        sid = left["sid"].to_numpy()
+        order = np.argsort(sid)
+        held = left.take(order)
+        sid, component, n, sketch = sid[order], held["component"].to_numpy(), held["n"].to_numpy(), held["sketch"].to_pylist()
         out = []
-        c_sid, c = right["sid"].to_numpy(), right["component"].to_numpy()
-        order = np.argsort(c_sid)
-        c_sid, c = c_sid[order], c[order]
+        for blob in right["sids"].to_pylist():
+            at = np.searchsorted(sid, np.frombuffer(blob, np.int64))
+            out.append(_packed(sid[at], component[at], n[at], [sketch[i] for i in at]))
+        return pa.table({"bucket": right["bucket"], "info": pa.array(out, pa.binary())})
+
+    of_bucket = info.groupBy("k").cogroup(lists.mapInArrow(ask, "k bigint, bucket bigint, sids binary").groupBy("k")).applyInArrow(answer, "bucket bigint, info binary")
+
+    def crossing(left, right):
+        parts = [_unpacked(x) for x in right["info"].to_pylist()]
+        sketches = [x for _, found in parts for x in found]
+        known = np.concatenate([i for i, _ in parts]) if parts else np.zeros(0, _INFO)
+        order = np.argsort(known["sid"])
+        sid = known["sid"][order]
+        out = [np.zeros((2, 0), np.int64)]
         for raw in left["p"].to_pylist():
             p = np.frombuffer(raw, _POSTING)
-            component = p["sid"].copy()
-            if c_sid.size:
-                at = np.minimum(np.searchsorted(c_sid, p["sid"]), c_sid.size - 1)
-                component = np.where(c_sid[at] == p["sid"], c[at], component)
+            if not p.size:
+                continue
+            component = known["component"][order[np.searchsorted(sid, p["sid"])]]
             at = _bounds(p)
-            mixed = np.minimum.reduceat(component, at[:-1]) != np.maximum.reduceat(component, at[:-1]) if p.size else []
-            for k in np.flatnonzero(mixed):
+            several = np.minimum.reduceat(component, at[:-1]) != np.maximum.reduceat(component, at[:-1])
+            for k in np.flatnonzero(several):
                 out.append(open_pairs(p[at[k] : at[k + 1]], component[at[k] : at[k + 1]], num, den))
-        pairs = np.sort(np.concatenate(out, axis=1), axis=0) if out else np.zeros((2, 0), np.int64)
-        pairs = np.unique(pairs, axis=1)
-        return pa.table({"a": pairs[0], "b": pairs[1]})
+        pairs = np.unique(np.sort(np.concatenate(out, axis=1), axis=0), axis=1)
+        i, j = (order[np.searchsorted(sid, side)] for side in pairs)
+        n = known["n"].astype(np.int64)
+        d = _folded(sketches, i, j)
+        ok = den * (n[i] + n[j] - d) >= num * (n[i] + n[j] + d)
+        return pa.table({"a": pairs[0][ok], "b": pairs[1][ok]})
 
     rest = near(lists.groupBy("bucket").cogroup(of_bucket.groupBy("bucket")).applyInArrow(crossing, "a bigint, b bigint"))
     rest = scratch.write(rest.join(first.select("a", "b"), ["a", "b"], "left_anti").join(first.selectExpr("a as b", "b as a"), ["a", "b"], "left_anti"))
@@ -370,7 +446,8 @@ def op1(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one of the least id; documents without words stay."""
+    """One document of each group of near copies stays, the one of the least id, with all rows of that id; documents
+    without words and rows without an id stay."""
     kept = join(docs).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
