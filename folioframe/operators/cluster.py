@@ -8,70 +8,128 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..plans.scratch import Scratch
+from ..plans.scratch import Scratch, partitions
 from .graph import components
 from .relational import DECISIVE  # noqa: F401
 from .retrieval import cosine
 
 THRESHOLD, BONUS, STRONG, HINT = 0.62, 0.25, 0.85, 0.55
+#: Records a block of the exact search for strong pairs, about.
+BLOCK = 512
 
 
 def agglomerate(sim: np.ndarray, can_link: np.ndarray, threshold: float) -> list[list[int]]:
     """Average-linkage merging of the most similar linkable pair, down to the threshold; of equals, the first pair.
-    What any member may link to, its cluster may."""
+    What any member may link to, its cluster may. Each row keeps its best, so a merge looks again only at rows whose
+    best it changed."""
     n = len(sim)
     members = [[i] for i in range(n)]
     s = np.where(np.triu(np.ones((n, n), bool), 1), sim, -np.inf).astype(float)
     s = np.maximum(s, s.T)
     link = can_link | can_link.T
     alive = np.ones(n, bool)
+    row = lambda r: np.where(link[r] & alive, s[r], -np.inf)
+    at = np.array([int(row(r).argmax()) for r in range(n)], int)
+    best = np.array([row(r)[at[r]] for r in range(n)], float)
     while alive.sum() > 1:
-        masked = np.where(link & alive[:, None] & alive[None] & ~np.eye(n, dtype=bool), s, -np.inf)
-        i, j = divmod(int(masked.argmax()), n)
-        if masked[i, j] < threshold:
+        i = int(best.argmax())
+        if best[i] < threshold:
             break
+        j = int(row(i).argmax())
         a, b = len(members[i]), len(members[j])
         s[i] = s[:, i] = (a * s[i] + b * s[j]) / (a + b)
+        s[i, i] = -np.inf
         link[i] |= link[j]
         link[:, i] = link[i]
         members[i] += members[j]
-        alive[j] = False
+        alive[j], best[j] = False, -np.inf
+        new = row(i)
+        more = new > best
+        best[more], at[more] = new[more], i
+        for r in {i, *np.flatnonzero(alive & ~more & ((at == i) | (at == j))).tolist()}:
+            at[r] = row(r).argmax()
+            best[r] = row(r)[at[r]]
     return [sorted(m) for m, a in zip(members, alive) if a]
 
 
-def similar_pairs(records: DataFrame, key: str = "record_id", bonus: float = BONUS, strong: float = STRONG) -> DataFrame:
-    """(a, b, cos, sim, link) of record pairs that share a person or an entity, or whose vectors fall in one cell of a
-    few random planes; link: a person in common or a strong cosine. records: (key, vec, people, entities)."""
-    planes = np.random.default_rng(1).standard_normal((4, 8, int(records.select(F.size("vec")).first()[0])))
-    cell = F.array(*[F.concat(F.lit(f"c{t}:"), F.concat_ws("", *[(F.aggregate(F.zip_with("vec", F.array(*[F.lit(float(x)) for x in p]), lambda u, v: u * v), F.lit(0.0), lambda s, x: s + x) > 0).cast("int").cast("string") for p in table])) for t, table in enumerate(planes)])
-    keyed = records.withColumn("k", F.explode(F.array_distinct(F.concat(F.transform("people", lambda p: F.concat(F.lit("p:"), p)), F.transform("entities", lambda e: F.concat(F.lit("e:"), e)), cell))))
-    pairs = keyed.select(F.col(key).alias("a"), "k").join(keyed.select(F.col(key).alias("b"), "k"), "k").where("a < b").select("a", "b").distinct()
-    side = lambda s: records.select(F.col(key).alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("vec", "people", "entities")])
-    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("cos", cosine(F.col("vec_a"), F.col("vec_b")))
-    shared = F.coalesce(F.arrays_overlap("entities_a", "entities_b"), F.lit(False))
-    link = F.coalesce(F.arrays_overlap("people_a", "people_b"), F.lit(False)) | (F.col("cos") >= strong)
-    return both.select("a", "b", "cos", (F.col("cos") + F.when(shared, bonus).otherwise(0.0)).alias("sim"), link.alias("link"))
+def _units(vectors) -> np.ndarray:
+    """Rows of length one; a null vector or one of zeros is near nothing."""
+    dim = max((len(v) for v in vectors if v is not None), default=0)
+    m = np.array([np.zeros(dim) if v is None else np.asarray(v, float) for v in vectors]).reshape(len(vectors), dim)
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
+def _shared(sets) -> np.ndarray:
+    """Which rows have an item in common."""
+    rows: dict = {}
+    for i, items in enumerate(sets):
+        for x in set(() if items is None else items) - {None}:
+            rows.setdefault(x, []).append(i)
+    out = np.zeros((len(sets), len(sets)), bool)
+    for r in rows.values():
+        out[np.ix_(r, r)] = True
+    return out
+
+
+def similarities(vectors, people, entities, bonus: float = BONUS, strong: float = STRONG) -> tuple[np.ndarray, np.ndarray]:
+    """(sim, link) of every pair of records: the cosine with the bonus of a shared entity; a person in common or a strong
+    cosine."""
+    u = _units(vectors)
+    cos = u @ u.T
+    return cos + bonus * _shared(entities), _shared(people) | (cos >= strong)
+
+
+def strong_edges(scratch: Scratch, records: DataFrame, strong: float = STRONG, block: int = BLOCK) -> DataFrame:
+    """(a, b): edges that connect whatever pairs of cosine >= strong connect, by products of all pairs of blocks. A pair
+    of blocks gives a star for each group of its graph, not all pairs of the group."""
+    n = -(-max(1, records.count()) // block)
+    keyed = records.select("record_id", "vec", F.pmod(F.xxhash64("record_id"), F.lit(n)).alias("k")).repartition(min(n, 4 * partitions(records.sparkSession)), "k")
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "ids": [pdf["record_id"].tolist()], "v": [_units(pdf["vec"].tolist()).tobytes()]})
+
+    packed = scratch.write(keyed.groupBy("k").applyInPandas(pack, "k bigint, ids array<string>, v binary"))
+    met = packed.toDF("ka", "ids_a", "va").crossJoin(packed.toDF("kb", "ids_b", "vb")).where("ka <= kb").select("ids_a", "va", "ids_b", "vb")
+
+    def stars(batches):
+        for pdf in batches:
+            out = []
+            for ia, va, ib, vb in pdf.itertuples(index=False):
+                near = np.frombuffer(va).reshape(len(ia), -1) @ np.frombuffer(vb).reshape(len(ib), -1).T >= strong
+                rest = near.any(1)
+                while rest.any():
+                    rows, cols = np.zeros(len(ia), bool), np.zeros(len(ib), bool)
+                    first = rest.argmax()
+                    fresh = np.arange(len(ia)) == first
+                    while fresh.any():
+                        rows |= fresh
+                        more = near[fresh].any(0) & ~cols
+                        cols |= more
+                        fresh = near[:, more].any(1) & ~rows
+                    rest &= ~rows
+                    out += [(ia[first], x) for x in {*(ia[r] for r in np.flatnonzero(rows)), *(ib[c] for c in np.flatnonzero(cols))} - {ia[first]}]
+            yield pd.DataFrame(out, columns=["a", "b"], dtype=object)
+
+    return met.mapInPandas(stars, "a string, b string")
 
 
 def cluster_records(scratch: Scratch, records: DataFrame, threshold: float = THRESHOLD, hints: DataFrame | None = None) -> DataFrame:
-    """(record_id, root). Merges never leave a component of the can-link graph, so each is clustered alone. hints (a, b)
-    join the clusters of their records afterwards."""
-    pairs = scratch.write(similar_pairs(records))
-    comp = components(scratch, pairs.where("link").select("a", "b"))
-    comp = scratch.write(records.select("record_id").join(comp, F.col("record_id") == F.col("node"), "left").select("record_id", F.coalesce("component", "record_id").alias("c")))
-    inside = pairs.join(comp.withColumnsRenamed({"record_id": "a", "c": "ca"}), "a").join(comp.withColumnsRenamed({"record_id": "b", "c": "cb"}), "b").where("ca = cb").selectExpr("ca c", "a", "b", "sim", "link")
-
-    def run(key, nodes, edges):
-        ids = sorted(nodes["record_id"])
-        at = {v: i for i, v in enumerate(ids)}
-        sim, link = np.full((len(ids), len(ids)), -1.0), np.zeros((len(ids), len(ids)), bool)
-        for a, b, s, ok in zip(edges["a"], edges["b"], edges["sim"], edges["link"]):
-            sim[at[a], at[b]] = sim[at[b], at[a]] = s
-            link[at[a], at[b]] |= bool(ok)
-        groups = agglomerate(sim, link, threshold)
-        return pd.DataFrame([(ids[i], ids[g[0]]) for g in groups for i in g], columns=["record_id", "root"])
-
-    out = scratch.write(comp.groupBy("c").cogroup(inside.groupBy("c")).applyInPandas(run, "record_id string, root string"))
+    """(record_id, root). Merges never leave a component of the can-link graph, so each is clustered alone, over the
+    similarities of all its pairs. hints (a, b) join the clusters of their records afterwards."""
+    person = records.select("record_id", F.explode("people").alias("p"))
+    least = person.groupBy("p").agg(F.min("record_id").alias("b"))
+    edges = scratch.write(person.join(least, "p").selectExpr("record_id a", "b").unionByName(strong_edges(scratch, records)).where("a <> b").distinct())
+    comp = components(scratch, edges)
+    inside = records.select("record_id", "vec", "people", "entities").join(comp, F.col("record_id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "record_id")).drop("node", "component")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("record_id")
+        ids = pdf["record_id"].tolist()
+        sim, link = similarities(pdf["vec"].tolist(), pdf["people"].tolist(), pdf["entities"].tolist())
+        return pd.DataFrame([(ids[i], ids[g[0]]) for g in agglomerate(sim, link, threshold) for i in g], columns=["record_id", "root"])
+
+    out = scratch.write(inside.groupBy("c").applyInPandas(run, "record_id string, root string"))
     if hints is None:
         return out
     of = out.withColumnsRenamed({"record_id": "r", "root": "c"})
