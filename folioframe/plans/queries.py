@@ -403,7 +403,7 @@ def page_text(spark, d):
 
 @query()
 def citations_enforced(spark, d):
-    md = F.array_join(F.transform(F.slice(F.split("text", r"(?<=\.)\s+"), 1, 8), lambda s, i: F.concat(s, F.when(i % 3 == 0, F.lit(" [^1].")).when(i % 3 == 1, F.lit(" [^9].")).otherwise(F.lit("")))), " ")
+    md = F.array_join(F.transform(F.split("text", r"(?<=\.)\s+"), lambda s, i: F.concat(s, F.when(i % 3 == 0, F.lit(" [^1].")).when(i % 3 == 1, F.lit(" [^9].")).otherwise(F.lit("")))), " ")
     out = T.enforce_citations(md, F.array(F.lit(1)), F.lit("found"))
     return table(spark, d, "documents").select("doc_id", out.alias("o")).select("doc_id", "o.dropped", F.md5("o.text").alias("digest"))
 

@@ -1,10 +1,13 @@
 """Operators over the whole of their input, against brute force on small tables."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from folioframe.operators import cluster as C
+from folioframe.plans import queries as Q
 from folioframe.plans.scratch import Scratch
 
 
@@ -61,3 +64,24 @@ def test_strong_edges_connect_all(spark, scratch):
         return sorted(sorted(i for i in range(50) if of[i] == k) for k in set(of))
 
     assert parts([(int(r["a"][1:]), int(r["b"][1:])) for r in got]) == parts(zip(*np.nonzero(u @ u.T >= 0.85)))
+
+
+# ---------------------------------------------------------------- queries over whole tables
+
+@pytest.fixture()
+def tables(spark, tmp_path):
+    """Writes small tables in place of the driver's and gives their folder."""
+
+    def write(**frames):
+        for name, (rows, ddl) in frames.items():
+            spark.createDataFrame(rows, ddl).write.parquet(str(tmp_path / f"{name}.parquet"))
+        return str(tmp_path)
+
+    return write
+
+
+def test_citations_of_whole_texts(spark, tables):
+    d = tables(documents=([(1, " ".join(f"Sentence number {i} stands here." for i in range(30))), (2, "One only.")], "doc_id long, text string"))
+    got = {r["doc_id"]: r for r in Q.QUERIES["q_citations_enforced"](spark, d).collect()}
+    kept = " ".join(f"Sentence number {i} stands here. [^1]." for i in range(0, 30, 3))
+    assert got[1]["digest"] == hashlib.md5(kept.encode()).hexdigest() and got[2]["dropped"] == 0
