@@ -207,8 +207,9 @@ def match(candidates: DataFrame, left: str, right: str, weight: str, block: str)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, cols = sorted(set(pdf[left])), sorted(set(pdf[right]))
+        at, to = {x: i for i, x in enumerate(rows)}, {x: i for i, x in enumerate(cols)}
         w = np.zeros((len(rows), len(cols)))
-        w[[rows.index(x) for x in pdf[left]], [cols.index(x) for x in pdf[right]]] = pdf[weight]
+        w[[at[x] for x in pdf[left]], [to[x] for x in pdf[right]]] = pdf[weight]
         return pd.DataFrame([(rows[i], cols[j], float(w[i, j])) for i, j in assign(w)], columns=[left, right, weight])
 
     types = dict(candidates.dtypes)

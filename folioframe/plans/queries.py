@@ -321,6 +321,13 @@ def chain_expansion(spark, d):
     return reachable(Scratch(spark, "chain"), g.where("src < 500").selectExpr("src node"), g)
 
 
+@query()
+def chain_expansion_whole(spark, d):
+    """The same over every line item; parts are numbered below 0, so that no order has their number."""
+    g = table(spark, d, "lineitem").selectExpr("l_orderkey src", "-1 - l_partkey dst").distinct()
+    return reachable(Scratch(spark, "chain"), g.where("src < 500").selectExpr("src node"), g)
+
+
 @query()
 def constrained_clusters(spark, d):
     e = table(spark, d, "embeddings")
@@ -330,15 +337,16 @@ def constrained_clusters(spark, d):
 
 @query()
 def assignment(spark, d):
-    p = table(spark, d, "part").where("p_size = 10").selectExpr("p_partkey l", "p_brand block", "p_retailprice lp")
-    q = table(spark, d, "part").where("p_size = 20").selectExpr("p_partkey r", "p_brand block", "p_retailprice rp")
+    """Within a brand, each part of the smaller sizes is given one of the larger that is near in price."""
+    p = table(spark, d, "part").where("p_size <= 25").selectExpr("p_partkey l", "p_brand block", "p_retailprice lp")
+    q = table(spark, d, "part").where("p_size > 25").selectExpr("p_partkey r", "p_brand block", "p_retailprice rp")
     cand = p.join(q, "block").withColumn("w", F.round(F.greatest(F.lit(0.0), 1 - F.abs(F.col("lp") - F.col("rp")) / 300), 4)).where("w > 0")
     return C.match(cand, "l", "r", "w", "block")
 
 
 @query()
 def lane_packing(spark, d):
-    items = table(spark, d, "orders").where("o_custkey % 25 = 0").selectExpr("o_custkey lane", "o_orderkey k", "o_orderdate s", "o_orderdate + interval 60 days e")
+    items = table(spark, d, "orders").selectExpr("o_custkey lane", "o_orderkey k", "o_orderdate s", "o_orderdate + interval 60 days e")
     return C.pack_lanes(items, "lane", "s", "e", "k").select("lane", "k", "row")
 
 

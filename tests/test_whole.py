@@ -1,6 +1,8 @@
 """Operators over the whole of their input, against brute force on small tables."""
 
+import datetime as dt
 import hashlib
+import itertools
 
 import numpy as np
 import pytest
@@ -85,3 +87,43 @@ def test_citations_of_whole_texts(spark, tables):
     got = {r["doc_id"]: r for r in Q.QUERIES["q_citations_enforced"](spark, d).collect()}
     kept = " ".join(f"Sentence number {i} stands here. [^1]." for i in range(0, 30, 3))
     assert got[1]["digest"] == hashlib.md5(kept.encode()).hexdigest() and got[2]["dropped"] == 0
+
+
+ORDERS = "o_orderkey long, o_custkey long, o_orderdate timestamp, o_orderpriority string, o_totalprice double"
+
+
+def orders(n=120):
+    rng = np.random.default_rng(2)
+    day = lambda k: dt.datetime(1995, 1, 1) + dt.timedelta(days=int(k))
+    return [(i, int(c), day(t), f"{i % 5 + 1}-P", float(p)) for i, (c, t, p) in enumerate(zip(rng.integers(1, 8, n), rng.integers(0, 300, n), rng.integers(1000, 500000, n)))]
+
+
+def test_lanes_of_all_customers(spark, tables):
+    rows, want = orders(), {}
+    for c in {r[1] for r in rows}:
+        ends: list = []
+        for k, _, s, *_ in sorted((r for r in rows if r[1] == c), key=lambda r: (r[2], r[0])):
+            free = [i for i, e in enumerate(ends) if e <= s]
+            row = free[0] if free else len(ends)
+            ends[row : row + 1] = [s + dt.timedelta(days=60)]
+            want[k] = (c, row)
+    got = Q.QUERIES["q_lane_packing"](spark, tables(orders=(rows, ORDERS))).collect()
+    assert {r["k"]: (r["lane"], r["row"]) for r in got} == want and len(got) == len(rows)
+
+
+def test_assignment_of_all_parts(spark, tables):
+    rng = np.random.default_rng(3)
+    rows = [(i, f"Brand#{i % 2}", int(5 + 40 * (i % 4 > 1) + i // 4), float(900 + rng.integers(0, 400))) for i in range(16)]
+    got = Q.QUERIES["q_assignment"](spark, tables(part=(rows, "p_partkey long, p_brand string, p_size int, p_retailprice double"))).collect()
+    best = 0.0
+    for brand in ("Brand#0", "Brand#1"):
+        l, r = ([x for x in rows if x[1] == brand and (x[2] > 25) == big] for big in (False, True))
+        best += max(sum(max(0.0, round(1 - abs(a[3] - b[3]) / 300, 4)) for a, b in zip(l, p)) for p in itertools.permutations(r))
+    assert abs(sum(x["w"] for x in got) - best) < 1e-6 and len({x["l"] for x in got}) == len(got) == len({x["r"] for x in got})
+
+
+def test_chain_of_all_lines(spark, tables):
+    edges = [(1, 7, 3, 9.0), (600, 7, 1, 1.0), (600, 8, 2, 4.0), (900, 8, 5, 2.0), (901, 9, 1, 1.0)]
+    d = tables(lineitem=(edges, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double"))
+    got = {r["node"] for r in Q.QUERIES["q_chain_expansion_whole"](spark, d).collect()}
+    assert got == {1, 600, 900, -8, -9}
