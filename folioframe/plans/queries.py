@@ -77,8 +77,8 @@ def rrf_fusion(spark, d):
 
 @query()
 def hybrid_retrieve(spark, d):
-    both = table(spark, d, "documents").join(table(spark, d, "embeddings"), F.col("doc_id") == F.col("vec_id"))
-    return V.retrieve(both, both, "doc_id", "text", "embedding", QUESTION, _probe())
+    vectors = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    return V.retrieve(table(spark, d, "documents"), vectors, "doc_id", "text", "embedding", QUESTION, _probe())
 
 
 @query()

@@ -127,3 +127,11 @@ def test_chain_of_all_lines(spark, tables):
     d = tables(lineitem=(edges, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double"))
     got = {r["node"] for r in Q.QUERIES["q_chain_expansion_whole"](spark, d).collect()}
     assert got == {1, 600, 900, -8, -9}
+
+
+def test_hybrid_finds_documents_without_vectors(spark, tables):
+    docs = [(i, "some plain words") for i in range(20)] + [(50, "thand of reanthe erwh estion"), (3, "a reanthe")]
+    vecs = [(i, [float((i * k) % 5 - 2) for k in range(64)]) for i in range(30, 42)]
+    got = Q.QUERIES["q_hybrid_retrieve"](spark, tables(documents=(docs, "doc_id long, text string"), embeddings=(vecs, "vec_id long, embedding array<float>"))).collect()
+    ids = [r["doc_id"] for r in got]
+    assert len(ids) == 8 and 50 in ids and 3 in ids and any(30 <= i < 42 for i in ids)
