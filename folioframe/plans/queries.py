@@ -152,6 +152,13 @@ def related_threads(spark, d):
     return TH.related_threads(threads)
 
 
+@query()
+def related_threads_whole(spark, d):
+    """The same over every line item, the people being the parts themselves."""
+    threads = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("thread_id")).agg(F.min("l_shipdate").alias("first_at"), F.max("l_shipdate").alias("last_at"), F.collect_set("l_partkey").alias("participants"))
+    return TH.related_threads(threads)
+
+
 @query("""with a as (select o_orderkey k, o_orderdate s, o_orderdate + interval 3 days e from orders where o_totalprice > 400000)
 select x.k a, y.k b from a x join a y on x.k <> y.k and y.e >= x.s - interval 2 days and y.s <= x.e + interval 2 days""")
 def interval_overlap(spark, d):
@@ -159,6 +166,13 @@ def interval_overlap(spark, d):
     return TH.overlapping(big, "k", "s", "e", 2).selectExpr("a_k a", "b_k b")
 
 
+@query()
+def interval_overlap_whole(spark, d):
+    """Every order against the same customer's others."""
+    every = table(spark, d, "orders").selectExpr("o_orderkey k", "o_custkey c", "o_orderdate s", "o_orderdate + interval 3 days e")
+    return TH.overlapping(every, "k", "s", "e", 2).where("a_c = b_c").selectExpr("a_k a", "b_k b")
+
+
 @query("""with a as (select o_orderkey ok, o_orderdate od, o_custkey c from orders where o_orderpriority like '1%'),
 b as (select o_orderkey pk, o_orderdate pd, o_custkey c from orders where o_orderpriority like '2%')
 select ok, pk from a join b on abs(date_diff('day', cast(od as date), cast(pd as date))) <= 5 and a.c % 97 = b.c % 89""")
@@ -169,6 +183,15 @@ def near_dates(spark, d):
     return R.near_dates(a, b, "od", "pd", 5).where("ac % 97 = bc % 89").select("ok", "pk")
 
 
+@query()
+def near_dates_whole(spark, d):
+    """Every order against the same customer's others."""
+    orders = table(spark, d, "orders")
+    a = orders.selectExpr("o_orderkey ok", "o_orderdate od", "o_custkey ac")
+    b = orders.selectExpr("o_orderkey pk", "o_orderdate pd", "o_custkey bc")
+    return R.near_dates(a, b, "od", "pd", 5).where("ac = bc and ok <> pk").select("ok", "pk")
+
+
 @query("""with a as (select distinct l_orderkey lk, cast(l_shipdate as date) ld, l_partkey item from lineitem where l_returnflag = 'R'),
 b as (select distinct l_orderkey rk, cast(l_shipdate as date) rd, l_partkey item from lineitem where l_returnflag = 'A')
 select lk, rk, count(*) shared from a join b using (item) where abs(date_diff('day', ld, rd)) <= 5 group by 1, 2
@@ -314,6 +337,12 @@ def graph_components(spark, d):
     return components(Scratch(spark, "components"), edges)
 
 
+@query()
+def graph_components_whole(spark, d):
+    """Orders and the parts in them, over every line item; parts are numbered below 0."""
+    return components(Scratch(spark, "components"), table(spark, d, "lineitem").selectExpr("l_orderkey a", "-1 - l_partkey b").distinct())
+
+
 @query("""with recursive g as (select distinct l_orderkey src, l_partkey + 10000000 dst from lineitem where l_linenumber = 1 and l_quantity = 1), e as (select src x, dst y from g union all select dst, src from g),
 r(node) as (select x from e where x < 500 union select e.y from r join e on e.x = r.node) select node from r""")
 def chain_expansion(spark, d):

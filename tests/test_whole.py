@@ -135,3 +135,33 @@ def test_hybrid_finds_documents_without_vectors(spark, tables):
     got = Q.QUERIES["q_hybrid_retrieve"](spark, tables(documents=(docs, "doc_id long, text string"), embeddings=(vecs, "vec_id long, embedding array<float>"))).collect()
     ids = [r["doc_id"] for r in got]
     assert len(ids) == 8 and 50 in ids and 3 in ids and any(30 <= i < 42 for i in ids)
+
+
+def test_theta_joins_of_all_orders(spark, tables):
+    rows = orders()
+    d = tables(orders=(rows, ORDERS))
+    pairs = [(a[0], b[0], abs((a[2] - b[2]).days)) for a in rows for b in rows if a[0] != b[0] and a[1] == b[1]]
+    got = Q.QUERIES["q_near_dates_whole"](spark, d).collect()
+    assert sorted(map(tuple, got)) == sorted((a, b) for a, b, n in pairs if n <= 5)
+    got = Q.QUERIES["q_interval_overlap_whole"](spark, d).collect()
+    assert sorted(map(tuple, got)) == sorted((a, b) for a, b, n in pairs if n <= 5)  # three days long, widened by two
+
+
+def test_threads_and_components_of_all_lines(spark, tables):
+    day = lambda k: dt.datetime(1995, 1, 1) + dt.timedelta(days=k)
+    rng = np.random.default_rng(5)
+    lines = [(int(rng.integers(0, 60)), int(rng.integers(0, 9)), int(s), day(int(20 * s + rng.integers(0, 20))), int(i % 7 + 1)) for i, s in enumerate(rng.integers(0, 8, 50))]
+    d = tables(lineitem=(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_shipdate timestamp, l_linenumber int"))
+    of = {s: [x for x in lines if x[2] == s] for s in {x[2] for x in lines}}
+    near = {}
+    for a, x in of.items():
+        lo, hi = min(r[3] for r in x) - dt.timedelta(days=14), max(r[3] for r in x) + dt.timedelta(days=14)
+        found = sorted((min(r[3] for r in y), b) for b, y in of.items() if a != b and len({r[1] for r in x} & {r[1] for r in y}) >= 2 and max(r[3] for r in y) >= lo and min(r[3] for r in y) <= hi)
+        near |= {(a, b): k + 1 for k, (_, b) in enumerate(found[:10])}
+    assert {(r["thread_id"], r["other_id"]): r["rank"] for r in Q.QUERIES["q_related_threads_whole"](spark, d).collect()} == near and near
+    least = {n: n for x in lines for n in (x[0], -1 - x[1])}
+    for _ in lines:
+        for x in lines:
+            m = min(least[x[0]], least[-1 - x[1]])
+            least = {n: m if c in (least[x[0]], least[-1 - x[1]]) else c for n, c in least.items()}
+    assert {r["node"]: r["component"] for r in Q.QUERIES["q_graph_components_whole"](spark, d).collect()} == least
