@@ -8,12 +8,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, word_hashes
-
-#: Labelled rows of the fit and unlabelled rows of the exchange at most, those of least hash.
-LABELLED, POOL, SEED = 12_000, 12_000, 5
-#: Rounds of the exchange; the share of the pool's rest that a view labels in a round, on each side, and how sure of it.
-ROUNDS, SHARE, SURE = 5, 0.05, 0.9
+from .common import Scratch, mixed, word_hashes
+
+#: Labelled rows of the fit at most, those of least hash. All unlabelled rows take part in the exchange.
+LABELLED, SEED = 12_000, 5
+#: Rounds of the exchange; the share of the pool's rest that a view labels in a round, on each side, how sure of it, and
+#: what such a label weighs.
+ROUNDS, SHARE, SURE, TAUGHT = 5, 0.05, 0.9, 0.3
+#: Margins of sure rows are counted in so many bins of this width, from the least sure margin on.
+BINS, WIDTH, LEAST = 6000, 0.01, float(np.log(SURE / (1 - SURE)))
 #: Every so many labelled rows, one is held out to calibrate.
 HELD = 5
 SOURCES, LANGS = 64, 16
@@ -71,6 +74,18 @@ class Logistic:
                 break
         self.w = w
 
+    @classmethod
+    def at(cls, mean: np.ndarray, scale: np.ndarray, w: np.ndarray) -> Logistic:
+        out = cls.__new__(cls)
+        out.mean, out.scale, out.w = mean, scale, w
+        return out
+
+    def sums(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and Hessian of the rows, without the ridge."""
+        z = self._z(x)
+        p = _p(z @ self.w)
+        return z.T @ (weight * (p - y)), z.T @ (z * (weight * p * (1 - p) + 1e-9)[:, None])
+
     def _z(self, x: np.ndarray) -> np.ndarray:
         return np.column_stack(((x - self.mean) / self.scale, np.ones(len(x))))
 
@@ -86,10 +101,122 @@ def _p(m: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(m, -30, 30)))
 
 
+def _replayed(rounds: list, inputs: list[np.ndarray], draw: np.ndarray) -> list[np.ndarray]:
+    """What each view has been taught of the rows after the rounds: 1, 0 or -1 for nothing. A round holds both views and,
+    for each and each side, the lowest bin that it labels and the share of that bin, which ``draw`` parts."""
+    taught = [np.full(len(draw), -1, np.int8) for _ in inputs]
+    code = (draw * (1 << 30)).astype(np.uint64)
+    for n, (views, cuts) in enumerate(rounds):
+        free = (taught[0] < 0) & (taught[1] < 0)
+        for k, side, bin_, part in cuts:
+            at = _bins(views[k].margin(inputs[k]), side)
+            lot = mixed(code + np.uint64((2 * n + k + 1) << 32)) / 2.0**64  # drawn anew, as earlier rounds took the low ones
+            taught[1 - k][free & ((at > bin_) | ((at == bin_) & (lot < part)))] = side
+    return taught
+
+
+def _bins(margin: np.ndarray, side: int) -> np.ndarray:
+    """Bin of each margin for the side, -1 where the view isn't sure."""
+    m = margin if side else -margin
+    return np.where(m >= LEAST, np.minimum((m - LEAST) / WIDTH, BINS - 1), -1).astype(int)
+
+
+class Pool:
+    """All unlabelled rows, as packed features in a written table. Each question is one pass over it, which replays the
+    rounds so far; only sums of fixed size for each task reach the driver."""
+
+    def __init__(self, packed: DataFrame):
+        self.packed, self.rounds = packed, []
+
+    def _sum(self, f) -> np.ndarray:
+        rounds = self.packed.sparkSession.sparkContext.broadcast(self.rounds)
+
+        def run(batches):
+            total = None
+            for batch in batches:
+                for raw in batch.column("v"):
+                    x = np.frombuffer(raw.as_buffer()).reshape(-1, PACKED)
+                    inputs = [_wide(x[:, :TEXT_FEATURES]), _unpacked_meta(x)]
+                    got = f(inputs, _replayed(rounds.value, inputs, x[:, -1]))
+                    total = got if total is None else total + got
+            if total is not None:
+                yield pa.RecordBatch.from_pydict({"s": pa.array([total.tobytes()], pa.binary())})
+
+        rows = self.packed.mapInArrow(run, "s binary").collect()
+        rounds.unpersist()
+        return sum((np.frombuffer(r["s"]) for r in rows), np.zeros(1))
+
+    def label(self, views: list) -> bool:
+        """A round: what each view is surest of, on each side, the other is taught."""
+
+        def count(inputs, taught):
+            free = (taught[0] < 0) & (taught[1] < 0)
+            bins = [_bins(views[k].margin(inputs[k]), side)[free] for k in (0, 1) for side in (1, 0)]
+            return np.concatenate([[free.sum()], *[np.bincount(b[b >= 0], minlength=BINS) for b in bins]]).astype(float)
+
+        got = self._sum(count)
+        if got.size == 1:
+            return False
+        most, cuts = int(SHARE * got[0]), []
+        for n, (k, side) in zip(got[1:].reshape(4, BINS), ((k, side) for k in (0, 1) for side in (1, 0))):
+            above = np.cumsum(n[::-1])[::-1]
+            over = np.flatnonzero(above > most)
+            cut = int(over[-1]) if over.size else -1
+            cuts.append((k, side, cut, (most - (above[cut] - n[cut])) / n[cut] if cut >= 0 else 0.0))
+        if not most or not got[1:].any():
+            return False
+        self.rounds.append((views, cuts))
+        return True
+
+    def moments(self, dims: list[int]) -> list[np.ndarray]:
+        """For each view the number of taught rows, their sums and sums of squares."""
+        f = lambda inputs, taught: np.concatenate([np.concatenate([[len(t)], t.sum(0), (t * t).sum(0)]) for t in (x[y >= 0] for x, y in zip(inputs, taught))])
+        got = self._sum(f)
+        return np.split(got, [1 + 2 * dims[0]]) if got.size > 1 else [np.zeros(1 + 2 * d) for d in dims]
+
+    def sums(self, views: list) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each view the gradient and the Hessian over the taught rows."""
+
+        def f(inputs, taught):
+            return np.concatenate([np.concatenate([a.ravel() for a in v.sums(x[y >= 0], y[y >= 0], np.full((y >= 0).sum(), TAUGHT))]) for v, x, y in zip(views, inputs, taught)])
+
+        got, out, at = self._sum(f), [], 0
+        for d in (len(v.w) for v in views):
+            part = got[at : at + d + d * d] if got.size > 1 else np.zeros(d + d * d)
+            out.append((part[:d], part[d:].reshape(d, d)))
+            at += d + d * d
+        return out
+
+
+def _fitted(train: list, pool: Pool, before: list) -> list:
+    """Both views fitted to the labelled rows and to what the pool's rows teach: Newton steps from the views before."""
+    views = []
+    for (x, _), m, v in zip(train, pool.moments([x.shape[1] for x, _ in train]), before):
+        d = x.shape[1]
+        n = len(x) + m[0]
+        mean = (x.sum(0) + m[1 : d + 1]) / n
+        scale = np.sqrt(np.maximum(((x * x).sum(0) + m[d + 1 :]) / n - mean * mean, 0))
+        scale = np.where(scale > 1e-6, scale, 1.0)
+        views.append(Logistic.at(mean, scale, np.append(v.w[:-1] / v.scale * scale, v.w[-1] + (v.w[:-1] * (mean - v.mean) / v.scale).sum())))
+    for _ in range(12):
+        far = 0.0
+        for v, (x, y), (g, h) in zip(views, train, pool.sums(views)):
+            own = v.sums(x, y, np.ones(len(y)))
+            ridge = np.eye(len(v.w))
+            ridge[-1, -1] = 1e-6
+            step = np.linalg.solve(own[1] + h + ridge, own[0] + g + ridge @ v.w)
+            v.w = v.w - step
+            far = max(far, np.abs(step).max())
+        if far < 1e-6:
+            break
+    return views
+
+
 class Model:
     """Two views, the calibration of each, and how their margins combine. None of it without both labels."""
 
-    def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS):
+    def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool=None, rounds: int = ROUNDS):
+        """pool: makes the Pool, if the labels have use for it."""
         self.views = None
         if len(set(y.tolist())) < 2:
             self.rate = float(y.mean()) if len(y) else 0.5
@@ -97,28 +224,17 @@ class Model:
         held = np.arange(len(y)) % HELD == 0
         held &= len(set(y[~held].tolist())) == 2 and len(set(y[held].tolist())) == 2
         inputs = [_wide(text), meta]
-        pools = [_wide(pool_text), pool_meta]
-        train = [(x[~held], y[~held].astype(float), np.ones((~held).sum())) for x in inputs]
-        free = np.ones(len(pool_text), bool)
+        train = [(x[~held], y[~held].astype(float)) for x in inputs]
         self.taught = [0, 0]
         views = [Logistic(*t) for t in train]
-        for _ in range(rounds):
-            most, given = int(SHARE * free.sum()), []
-            for k in (0, 1):
-                m = views[k].margin(pools[k])
-                for side, sign in ((1.0, 1), (0.0, -1)):
-                    rank = np.argsort(-sign * m, kind="stable")
-                    rows = rank[free[rank] & (_p(sign * m[rank]) >= SURE)][:most]
-                    given.append((1 - k, rows, side))
-            for to, rows, side in given:
-                # what one view is sure of, the other learns, at less than a label's weight
-                x, t, w = train[to]
-                train[to] = np.vstack((x, pools[to][rows])), np.concatenate((t, np.full(len(rows), side))), np.concatenate((w, np.full(len(rows), 0.3)))
-                free[rows] = False
-                self.taught[to] += len(rows)
-            if not sum(len(rows) for _, rows, _ in given):
+        free = pool() if pool else None
+        for _ in range(rounds if free else 0):
+            # what one view is sure of, the other learns, at less than a label's weight
+            if not free.label(views):
                 break
-            views = [Logistic(*t) for t in train]
+            views = _fitted(train, free, views)
+        if free and free.rounds:
+            self.taught = [int(m[0]) for m in free.moments([x.shape[1] for x in inputs])]
         self.views = views
         check = held if held.any() else np.ones(len(y), bool)
         margins = [v.margin(x[check]) for v, x in zip(views, inputs)]
@@ -149,28 +265,45 @@ def _features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.array(text).reshape(-1, TEXT_FEATURES), np.array(meta).reshape(-1, META_FEATURES)
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, id_col: str = "doc_id", label_col: str = "quality", columns: tuple = ("text", "source", "lang", "n_chars")) -> Model:
-    """Labels of one document count as their least; null labels and ids take no part. The views' features of the two
-    bounded samples come to the driver, never texts."""
-    scratch = Scratch(docs.sparkSession, "quality")
-    order = F.xxhash64("id", F.lit(SEED))
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).cast("int").alias("y"))
-    some = known.orderBy(order, "id").limit(labelled)
-    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id")).distinct()
-    free = ids.join(known, "id", "left_anti").orderBy(order, "id").limit(pool).withColumn("y", F.lit(-1))
-    chosen = scratch.write(some.unionByName(free))
-    rows = _viewed(docs, id_col, *columns).join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+#: A packed row: the text view, the six numbers of the metadata, source and language (-1 none), and a draw in [0, 1).
+PACKED = TEXT_FEATURES + 6 + 2 + 1
 
-    def run(batches):
-        for batch in batches:
-            text, meta = _features(batch)
-            yield pa.RecordBatch.from_pydict({"id": batch.column("doc_id"), "y": batch.column("y"), "t": pa.array(list(text), pa.list_(pa.float64())), "m": pa.array(list(meta), pa.list_(pa.float64()))})
 
-    got = rows.mapInArrow(run, "id bigint, y int, t array<double>, m array<double>").toArrow()
+def _unpacked_meta(x: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(x), META_FEATURES))
+    out[:, :6] = x[:, TEXT_FEATURES : TEXT_FEATURES + 6]
+    for at, first in ((TEXT_FEATURES + 6, 6), (TEXT_FEATURES + 7, 6 + SOURCES)):
+        code = x[:, at].astype(int)
+        out[np.flatnonzero(code >= 0), first + code[code >= 0]] = 1
+    return out
+
+
+def _packed(batches):
+    for batch in batches:
+        text, meta = _features(batch)
+        codes = [np.where((c := batch.column(name).to_numpy()) >= 0, c % n, -1) for name, n in (("source", SOURCES), ("lang", LANGS))]
+        rows = np.column_stack((text, meta[:, :6], *codes, batch.column("draw").to_numpy()))
+        yield pa.RecordBatch.from_pydict({"id": batch.column("doc_id"), "v": pa.array([r.tobytes() for r in rows], pa.binary())})
+
+
+def _joined(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_pydict({"v": pa.array([b"".join(batch.column("v").to_pylist())], pa.binary())})
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, id_col: str = "doc_id", label_col: str = "quality", columns: tuple = ("text", "source", "lang", "n_chars")) -> Model:
+    """Labels of one document count as their least; null labels and ids take no part. The features of the bounded
+    labelled sample come to the driver, never texts; of all unlabelled rows, only sums."""
+    scratch = Scratch(docs.sparkSession, "quality")
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).cast("int").alias("y"))
+    chosen = scratch.write(known.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(labelled))
+    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(SEED + 1)), F.lit(1 << 30)) / float(1 << 30)
+    rows = scratch.write(_viewed(docs, id_col, *columns, draw.alias("draw")).mapInArrow(_packed, "id bigint, v binary"))
+    got = rows.join(F.broadcast(chosen), "id").select("id", "y", "v").toArrow().combine_chunks()
     pick = np.lexsort((got["id"].to_numpy(),)) if got.num_rows else np.zeros(0, int)
-    flat = lambda c, n: (got[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) if got.num_rows else np.zeros(0)).reshape(-1, n)[pick]
-    y, t, m = got["y"].to_numpy()[pick], flat("t", TEXT_FEATURES), flat("m", META_FEATURES)
-    return Model(t[y >= 0], m[y >= 0], y[y >= 0], t[y < 0], m[y < 0])
+    x = np.frombuffer(b"".join(got["v"].to_pylist())).reshape(-1, PACKED)[pick]
+    free = lambda: Pool(scratch.write(rows.join(known, "id", "left_anti").select("v").mapInArrow(_joined, "v binary")))
+    return Model(x[:, :TEXT_FEATURES], _unpacked_meta(x), got["y"].to_numpy()[pick], free)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", columns: tuple = ("text", "source", "lang", "n_chars")) -> DataFrame:
