@@ -10,12 +10,16 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 MARK = "▁"
 _MARK = MARK.encode()
-#: A worker keeps the codes of this many distinct words, then starts anew; nothing depends on it but speed.
-KEPT_WORDS = 1_000_000
+#: A worker keeps codes of words, and verdicts on neighbouring pieces, up to about so many bytes each, then starts anew;
+#: nothing depends on it but speed. Texts are coded so many bytes at a time.
+KEPT_BYTES, STEP_BYTES = 24 << 20, 1 << 20
+#: What an entry of a table costs besides its bytes, about.
+_ENTRY = 180
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -52,6 +56,7 @@ class Pieces:
         if inner:
             raise ValueError("a piece spans words")
         self.words: dict[bytes, bytes] = {}
+        self.words_size = 0
         self.pairs: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
         odd = "".join(map(re.escape, sorted(self.chars - {MARK})))
@@ -107,8 +112,10 @@ class Pieces:
         return self._merge_walk(words) if self.kind == "bpe" else self._score_walk(words)
 
     def _merge_walk(self, words) -> dict[str, tuple]:
+        if len(self.pairs) * _ENTRY > KEPT_BYTES:
+            self.pairs = {}
         out, ends, pairs, fits = {}, self.ends, self.pairs, self.fits
-        last, path = [0], [()]  # by end: the last piece that fits, -1 if none does, and the pieces up to it
+        last, back = [0], [0]  # by end: the last piece that fits, -1 if none does, and where it starts
         before = ""
         for word in sorted(words):
             if word[:2] == MARK * 2:
@@ -119,11 +126,11 @@ class Pieces:
                 if a != b:
                     break
                 shared += 1
-            del last[shared + 1 :], path[shared + 1 :]
+            del last[shared + 1 :], back[shared + 1 :]
             before = word
             for end in range(shared + 1, len(word) + 1):
                 # pieces that end here, from the shortest; a string that ends no piece ends the search
-                found, way, start = -1, (), end
+                found, origin, start = -1, 0, end
                 while start:
                     start -= 1
                     if (k := ends.get(word[start:end])) is None:
@@ -134,10 +141,17 @@ class Pieces:
                     if ok is None:
                         ok = fits(prior, k) if start else self.stands(k)
                     if ok:
-                        found, way = k, path[start] + (k,)
+                        found, origin = k, start
                 last.append(found)
-                path.append(way)
-            out[word] = path[-1] if last[-1] >= 0 else tuple(self.merged(word))
+                back.append(origin)
+            if last[-1] < 0:
+                out[word] = tuple(self.merged(word))
+                continue
+            codes, end = [], len(word)
+            while end:
+                codes.append(last[end])
+                end = back[end]
+            out[word] = tuple(reversed(codes))
         return out
 
     def _score_walk(self, words) -> dict[str, tuple]:
@@ -169,8 +183,8 @@ class Pieces:
         mark itself where a text holds it, so that decoding gives every text back.
 
         What stands between two spaces is coded once for all texts, with the mark before it."""
-        if len(self.words) > KEPT_WORDS:
-            self.words = {}
+        if self.words_size > KEPT_BYTES:
+            self.words, self.words_size = {}, 0
         out: list = [None] * len(raws)
         get, missing, later = self.words.get, set(), []
         for k, raw in enumerate(raws):
@@ -198,7 +212,8 @@ class Pieces:
             units[w] = (word,) if self.chars.issuperset(word) and MARK not in word[1:] else self.unit.findall(word)
         known = self._coded({u for us in units.values() for u in us})
         for w, us in units.items():
-            self.words[w] = b"".join([array("i", known[u]).tobytes() for u in us])
+            codes = self.words[w] = b"".join([array("i", known[u]).tobytes() for u in us])
+            self.words_size += len(w) + len(codes) + _ENTRY
 
     def _coded(self, units: set[str]) -> dict[str, tuple]:
         held = {u for u in units if u[0] in self.chars}
@@ -241,6 +256,16 @@ def vocabulary(path: str, kind: str) -> Pieces:
     return _LOADED[path, kind]
 
 
+def _steps(batch: pa.RecordBatch, column: str):
+    """The batch in slices of 1024 rows at most, and of STEP_BYTES of text unless one text is longer."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = 0
+    while at < batch.num_rows:
+        n = max(1, min(1024, int(np.searchsorted(np.cumsum(size[at : at + 1024]), STEP_BYTES, "right"))))
+        yield batch.slice(at, n)
+        at += n
+
+
 def encode(docs: DataFrame, path: str | None = None, kind: str = "bpe", id_col: str = "doc_id", text_col: str = "text", tokens: bool = True) -> DataFrame:
     """(doc_id, text, tokens, n_tokens, n_byte_tokens, ids_sha256, restored) of every row, in one pass without shuffle.
 
@@ -256,8 +281,7 @@ def encode(docs: DataFrame, path: str | None = None, kind: str = "bpe", id_col:
         pieces = vocabulary(where, kind)
         low, high = min(pieces.byte), max(pieces.byte)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in _steps(batch, "text"):
                 raws = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in part.column("text")]
                 codes = pieces.encode(raws)
                 cols = {"doc_id": part.column("doc_id")}

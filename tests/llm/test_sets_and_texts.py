@@ -189,6 +189,33 @@ def test_tokens_round_trip(vocabulary, text):
     assert vocabulary.decode(vocabulary.encode([text.encode()])[0]) == text.encode()
 
 
+@pytest.mark.parametrize("kind", ["base64", "cjk", "one letter"])
+def test_long_unbroken_words(vocabulary, kind):
+    """Memory grows with the word, not with its square, and the codes are the library's."""
+    import base64
+    import tracemalloc
+
+    rng, n = random.Random(4), 200_000
+    word = {"base64": lambda: base64.b64encode(rng.randbytes(n))[:n].decode(), "cjk": lambda: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n)), "one letter": lambda: "a" * n}[kind]()
+    tracemalloc.start()
+    codes = vocabulary.encode([word.encode()])[0]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert vocabulary.decode(codes) == word.encode() and most < 200e6
+    short = word[:8000]
+    assert vocabulary.encode([short.encode()])[0].tolist() == sentencepiece.SentencePieceProcessor(model_file=MODEL).encode(short)
+    assert len(vocabulary.merged("▁" + word)) > 0
+
+
+def test_kept_tables_are_bounded(vocabulary, monkeypatch):
+    """Starting the tables anew changes no code."""
+    texts = [f"word{i} {i * 7919} other{i % 9}".encode() for i in range(400)]
+    want = [c.tolist() for c in vocabulary.encode(texts)]
+    monkeypatch.setattr(pieces, "KEPT_BYTES", 2000)
+    p = pieces.Pieces.load(MODEL)
+    assert [p.encode([t])[0].tolist() for t in texts] == want and p.words_size < 6000 and len(p.pairs) < 5000
+
+
 def test_shared_prefixes_change_nothing(vocabulary):
     rng = random.Random(0)
     words = {"▁" + "".join(rng.choices("thean$.", k=rng.randrange(1, 9))) for _ in range(300)}
