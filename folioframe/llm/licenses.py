@@ -204,9 +204,9 @@ def units(docs: DataFrame, text_col: str, cues: list[str] | None) -> DataFrame:
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, paragraph, family, probability, similarity, confirmed) of each notice.
 
-    Paragraphs, parted by blank lines, are judged as a whole, their lines joined, and line by line. A family of a
-    paragraph is reported once for the whole if that is more like a template of it than any of its lines, else for each
-    line that has it. paragraph: the number of the notice's first line in the document, from 0. similarity: the largest
+    Paragraphs, parted by blank lines, are judged as a whole, their lines joined, and line by line. A
+    paragraph is reported once, as a whole, if that is more like a template than any of its lines is, else for each line
+    that has a family. paragraph: the number of the notice's first line in the document, from 0. similarity: the largest
     share of a template's weighted grams, of that family, that stand in it; confirmed from CONFIRM on. A null or empty text has
     no notice; repeated rows give repeated results; null ids come back null; extra columns are ignored.
     """
@@ -224,7 +224,7 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     best = F.array_max(F.array(*[F.struct((F.col("e")[k] / F.col("total")).alias("p"), F.lit(c).alias("family")) for k, c in enumerate(model.classes)]))
     told = top.withColumn("best", best).where((F.col("best.family") != UNKNOWN) & (F.col("best.p") >= model.least)).join(F.broadcast(templates), F.col("best.family") == F.col("f"))
     told = told.select("_row", "_par", "doc_id", "paragraph", "whole", F.col("best.family").alias("family"), F.col("best.p").alias("p"), _share(F.col("held"), F.col("templates")).alias("share"))
-    of = Window.partitionBy("_row", "_par", "family")
+    of = Window.partitionBy("_row", "_par")
     by_line = F.coalesce(F.max(F.when(~F.col("whole"), F.col("share"))).over(of), F.lit(-1.0))
     by_whole = F.coalesce(F.max(F.when(F.col("whole"), F.col("share"))).over(of), F.lit(-1.0))
     told = told.withColumn("by_line", by_line).withColumn("by_whole", by_whole).where(F.col("whole") == (F.col("by_whole") > F.col("by_line")))
