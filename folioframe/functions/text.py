@@ -29,12 +29,14 @@ MARKER = r"\s*\[\^(\d+)\]"
 NO_DECISION = r"(?i)^\s*(no\b[^.]{0,80}?\bdecision\b|there (is|was) no (recorded )?decision|(we|the company) (did not|never) decide)"
 
 
-def normalize_subject(subject: Column, rounds: int = 6) -> Column:
-    """Without reply and forward marks, spaces collapsed, lower case. Marks nest at most ``rounds`` deep on both ends."""
-    out = F.coalesce(subject, F.lit(""))
-    for _ in range(rounds):
-        out = F.regexp_replace(F.regexp_replace(out, REPLY, ""), FORWARDED, "")
-    return F.lower(F.trim(F.regexp_replace(out, r"\s+", " ")))
+# Reply marks before a subject and forward marks behind it, however many there are on either side.
+_BEHIND = FORWARDED.replace(r"\s*\(", r"(?:\s*\(", 1).replace(r"\)\s*$", r"\)\s*)+$")
+
+
+def normalize_subject(subject: Column) -> Column:
+    """Without reply marks in front and forward marks behind, to any depth; spaces collapsed, lower case."""
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(subject, F.lit("")), REPLY, ""), _BEHIND, "")
+    return F.lower(F.trim(F.regexp_replace(bare, r"\s+", " ")))
 
 
 def clean_id(header: Column) -> Column:
@@ -175,4 +177,36 @@ def rfc2822_time(header: Column) -> Column:
 
 
 def valid_date(text: Column) -> Column:
-    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.expr("true") & F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).isNotNull()).otherwise(False)
+    """Whether a text is a date in one of the ISO forms: 2026-01-05, 20260105, 2026-W02-1, 2026W021, 2026-W02, 2026W02."""
+    digits = F.regexp_replace(text, r"[-W]", "")
+    calendar = F.try_to_timestamp(digits, F.lit("yyyyMMdd")).isNotNull()
+    year, week, day = (F.substring(digits, *at).cast("int") for at in ((1, 4), (5, 2), (7, 1)))
+    # a year has a week 53 if its 28th of December is in one
+    weeks = F.weekofyear(F.make_date(year, F.lit(12), F.lit(28)))
+    by_week = (year >= 1) & week.between(1, weeks) & (day.isNull() | day.between(1, 7))
+    return F.coalesce(
+        F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$|^\d{8}$"), calendar & (F.substring(digits, 1, 4) != "0000"))
+        .when(text.rlike(r"^\d{4}-W\d{2}(?:-\d)?$|^\d{4}W\d{2}\d?$"), by_week), F.lit(False),
+    )
+
+
+def cited_parts(markdown: Column) -> Column:
+    """array<struct<text, n>>: what stands before each citation marker and the marker's number, null after the last."""
+    between = F.split(markdown, r"\[\^\d+\]", -1)
+    numbers = F.transform(F.regexp_extract_all(markdown, F.lit(r"\[\^(\d+)\]"), F.lit(1)), lambda n: n.cast("int"))
+    return F.zip_with(between, numbers, lambda text, n: F.struct(text.alias("text"), n.alias("n")))
+
+
+def highlighted(text: Column, quote: Column) -> Column:
+    """struct<before, hit, after>: the first place of the quote, whatever its case; a null hit if it isn't there."""
+    at = F.instr(F.lower(text), F.lower(quote))
+    held = (at > 0) & (F.length(quote) > 0)
+    return F.struct(
+        F.when(held, F.left(text, at - 1)).otherwise(text).alias("before"), F.when(held, F.substr(text, at, F.length(quote))).alias("hit"),
+        F.when(held, F.substr(text, at + F.length(quote))).alias("after"),
+    )
+
+
+def json_or(text: Column, schema: str, default: Column) -> Column:
+    """A JSON text as a value, the default where it can't be read."""
+    return F.coalesce(F.from_json(text, schema), default)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -19,37 +21,46 @@ BLOCK = 512
 
 
 def agglomerate(sim: np.ndarray, can_link: np.ndarray, threshold: float) -> list[list[int]]:
-    """Average-linkage merging of the most similar linkable pair, down to the threshold; of equals, the first pair.
-    What any member may link to, its cluster may. Each row keeps its best, so a merge looks again only at rows whose
-    best it changed."""
-    n = len(sim)
-    members = [[i] for i in range(n)]
-    s = np.where(np.triu(np.ones((n, n), bool), 1), sim, -np.inf).astype(float)
-    s = np.maximum(s, s.T)
-    link = can_link | can_link.T
-    alive = np.ones(n, bool)
-    row = lambda r: np.where(link[r] & alive, s[r], -np.inf)
-    at = np.array([int(row(r).argmax()) for r in range(n)], int)
-    best = np.array([row(r)[at[r]] for r in range(n)], float)
-    while alive.sum() > 1:
-        i = int(best.argmax())
-        if best[i] < threshold:
-            break
-        j = int(row(i).argmax())
-        a, b = len(members[i]), len(members[j])
-        s[i] = s[:, i] = (a * s[i] + b * s[j]) / (a + b)
-        s[i, i] = -np.inf
-        link[i] |= link[j]
-        link[:, i] = link[i]
-        members[i] += members[j]
-        alive[j], best[j] = False, -np.inf
-        new = row(i)
-        more = new > best
-        best[more], at[more] = new[more], i
-        for r in {i, *np.flatnonzero(alive & ~more & ((at == i) | (at == j))).tolist()}:
-            at[r] = row(r).argmax()
-            best[r] = row(r)[at[r]]
-    return [sorted(m) for m, a in zip(members, alive) if a]
+    """Average linkage down to the threshold, over clusters that may link; of equally similar pairs, the first.
+
+    Similarities are kept as sums over the pairs of two clusters, so a merge adds two rows. A heap holds the linkable
+    pairs of clusters that reach the threshold; an entry of a cluster that has changed since is passed over, as its
+    pairs were entered anew. Two clusters may link if any two of their members may."""
+    upper = np.triu(sim, 1).astype(float)
+    total = upper + upper.T
+    may = can_link | can_link.T
+    near = {i: set(np.flatnonzero(row).tolist()) - {i} for i, row in enumerate(may)}
+    members = {i: [i] for i in near}
+    age = dict.fromkeys(near, 0)
+    heap: list[tuple] = []
+
+    def enter(i: int, j: int) -> None:
+        i, j = min(i, j), max(i, j)
+        mean = total[i, j] / (len(members[i]) * len(members[j]))
+        if mean >= threshold:
+            heapq.heappush(heap, (-mean, i, j, age[i], age[j]))
+
+    for i in near:
+        for j in near[i]:
+            if i < j:
+                enter(i, j)
+    while heap:
+        _, i, j, at_i, at_j = heapq.heappop(heap)
+        if age.get(i) != at_i or age.get(j) != at_j:
+            continue
+        members[i] += members.pop(j)
+        total[i] += total[j]
+        total[:, i] += total[:, j]
+        for k in near.pop(j):
+            near[k].discard(j)
+            if k != i:
+                near[k].add(i)
+                near[i].add(k)
+        del age[j]
+        age[i] += 1
+        for k in near[i]:
+            enter(i, k)
+    return sorted(sorted(m) for m in members.values())
 
 
 def _units(vectors) -> np.ndarray:

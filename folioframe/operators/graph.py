@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from ..plans.scratch import Scratch
 
 
-def components(scratch: Scratch, edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(node, component) of every node of the undirected edges (a, b); component is the smallest node reachable.
 
     Alternating large-star and small-star steps over written tables; each round aggregates with partial sums,
-    so a node of very many edges isn't gathered in one task. Nothing but the number of changed edges reaches
-    the driver.
+    so a node of very many edges isn't gathered in one task. The rounds end when one changes no edge, after about the
+    logarithm of the longest chain. Nothing but the number and a checksum of the edges reaches the driver.
     """
     e = scratch.write(edges.where("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         # large star: each neighbour above u is linked to the least neighbour of u
         both = e.select("a", "b").unionAll(e.selectExpr("b a", "a b"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a u", "least(a, m) m")
@@ -32,21 +32,26 @@ def components(scratch: Scratch, edges: DataFrame, rounds: int = 60) -> DataFram
         if tuple(now) == before:
             break
         before = tuple(now)
-    else:
-        raise RuntimeError("components did not settle")
     return e.selectExpr("a node", "b component").unionAll(e.selectExpr("b node", "b component").distinct())
 
 
-def reachable(scratch: Scratch, seeds: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
+def reachable(scratch: Scratch, seeds: DataFrame, edges: DataFrame, merge_every: int = 16) -> DataFrame:
     """(node) that the seeds (node) reach over the edges (src, dst) in either direction, the seeds included.
 
-    A frontier join a round; each round's new nodes are written, and their count alone reaches the driver."""
-    both = edges.selectExpr("src a", "dst b").unionAll(edges.selectExpr("dst a", "src b")).distinct()
-    seen = frontier = scratch.write(seeds.select("node").distinct())
-    for _ in range(rounds):
+    A frontier join a round, until a round finds nothing new. A round's new nodes are written, and whether there are any
+    alone reaches the driver; every so many rounds the nodes seen become one table, so that a long chain's plan stays
+    short."""
+    both = scratch.write(edges.selectExpr("src a", "dst b").unionAll(edges.selectExpr("dst a", "src b")).distinct())
+    frontier = scratch.write(seeds.select("node").distinct())
+    seen, parts = frontier, [frontier]
+    while True:
         step = both.join(frontier, both.a == frontier.node, "left_semi").selectExpr("b node").distinct()
         frontier = scratch.write(step.join(seen, "node", "left_anti"))
         if frontier.isEmpty():
-            break
-        seen = seen.unionAll(frontier)
-    return seen
+            return seen
+        parts.append(frontier)
+        if len(parts) > merge_every:
+            parts = [scratch.write(seen.unionAll(frontier))]
+        seen = parts[0]
+        for p in parts[1:]:
+            seen = seen.unionAll(p)

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import Scratch, partitions
+
 STRONG = ("decision", "approval", "reversal")
 KEEP = ("proposal", "approval", "decision", "reversal", "commitment")
 DECISIVE = ("approval", "confirmation", "reversal")
@@ -149,6 +151,11 @@ def cost(tokens_in: Column, tokens_out: Column, cached_in: Column, price_in: Col
     return ((tokens_in - cached_in) * price_in + cached_in * price_in * 0.1 + tokens_out * price_out) / 1e6
 
 
+def stage_totals(calls: DataFrame, run_id: str, stage: str) -> DataFrame:
+    """Tokens and cost of one run's stage, 0 where it made no call."""
+    return calls.where((F.col("run_id") == run_id) & (F.col("stage") == stage)).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens_in", "tokens_out")], F.round(F.coalesce(F.sum("cost_usd"), F.lit(0.0)), 4).alias("cost_usd"))
+
+
 def latest(df: DataFrame, by: str, order: list[str], *values: str) -> DataFrame:
     """The values of each group's last row."""
     return df.groupBy(by).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_v")).select(by, *[F.col(f"_v.{v}").alias(v) for v in values])
@@ -159,22 +166,33 @@ def guarded_ratio(part: Column, whole: Column, empty: float = 0.0, places: int =
 
 
 def percentiles(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """p50: the median, cut to an integer; p90: the value at place floor(0.9 (n - 1)) of the sorted ones."""
+    """p50: the median, cut to an integer; p90: the value at place floor(0.9 (n - 1)) of the sorted ones.
+
+    Values of a group are counted first, and ranks run over ranges of its values: each range's rows are summed, the sums
+    place the ranges, and only the ranges that hold a wanted place are looked into. No task holds a group."""
     by = by or []
-    w = Window.partitionBy(*by).orderBy(value)
-    n = Window.partitionBy(*by)
-    ranked = df.where(F.col(value).isNotNull()).select(*by, value, F.row_number().over(w).alias("_r"), F.count("*").over(n).alias("_n"))
-    at = F.floor(F.lit(0.9) * (F.col("_n") - 1)) + 1
-    return ranked.groupBy(*by).agg(F.floor(F.median(value)).cast("long").alias("p50"), F.max(F.when(F.col("_r") == at, F.col(value))).alias("p90"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    spark = df.sparkSession
+    part = Scratch(spark, "percentiles").write(counts.repartitionByRange(partitions(spark), *by, value).withColumn("_p", F.spark_partition_id()))
+    sums = part.groupBy(*by, "_p").agg(F.sum("_c").alias("_s"))
+    w = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sums.withColumn("_before", F.coalesce(F.sum("_s").over(w), F.lit(0))).withColumn("_n", F.sum("_s").over(Window.partitionBy(*by)))
+    places = F.array(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2), F.floor(F.lit(0.9) * (F.col("_n") - 1)))
+    placed = placed.withColumn("_at", places).where(F.exists("_at", lambda x: (x >= F.col("_before")) & (x < F.col("_before") + F.col("_s"))))
+    same = [part[c].eqNullSafe(placed[c]) for c in [*by, "_p"]]
+    cond = same[0]
+    for c in same[1:]:
+        cond = cond & c
+    held = part.join(placed, cond).select(*[part[c] for c in by], part[value], part["_p"], "_c", "_before", "_at")
+    upto = F.sum("_c").over(Window.partitionBy(*by, "_p").orderBy(value))
+    held = held.withColumn("_to", F.col("_before") + upto)
+    at = lambda k: F.max(F.when((F.col("_at")[k] < F.col("_to")) & (F.col("_at")[k] >= F.col("_to") - F.col("_c")), F.col(value)))
+    return held.groupBy(*by).agg(F.floor((at(0) + at(1)) / 2).cast("long").alias("p50"), at(2).alias("p90"))
 
 
 def global_percentiles(df: DataFrame, value: str) -> DataFrame:
-    """The same over the whole table, from counts of distinct values, so that no window gathers all rows."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
-    total = counts.agg(F.sum("c").alias("n"), F.floor(F.percentile(value, 0.5, F.col("c"))).cast("long").alias("p50"))
-    w = Window.orderBy(value)
-    upto = counts.withColumn("upto", F.sum("c").over(w)).join(F.broadcast(total))
-    return upto.where(F.col("upto") >= F.floor(F.lit(0.9) * (F.col("n") - 1)) + 1).groupBy("p50").agg(F.min(value).alias("p90"))
+    """The same over the whole table."""
+    return percentiles(df, value)
 
 
 def crosstab(df: DataFrame, by: str, column: str, values: list) -> DataFrame:
@@ -203,8 +221,7 @@ def sequential_ids(df: DataFrame, order: list, form: str, into: str, by: list |
     if by:
         return df.withColumn(into, F.format_string(form, F.row_number().over(Window.partitionBy(*by).orderBy(*order))))
     spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    part = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    part = Scratch(spark, "numbers").write(df.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     counts = part.groupBy(F.shiftright("_at", 33).alias("_p")).agg(F.count("*").alias("_c"))
     first = counts.withColumn("_first", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     out = part.join(F.broadcast(first.select("_p", "_first")), F.shiftright("_at", 33) == F.col("_p"))

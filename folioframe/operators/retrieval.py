@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType
 
 from ..functions import text as T
+from .relational import answer_confidence
 
 K1, B, RRF_K, DIM, PASSAGE_WORDS = 1.2, 0.75, 60, 1024, 120
 
@@ -47,21 +49,39 @@ def passage_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.posexplode(passages(text)).alias("pos", "passage"))
 
 
-@F.pandas_udf(ArrayType(FloatType()))
-def hash_embedding(text: pd.Series) -> pd.Series:
-    """Signed counts of hashed words, word pairs and 4-grams, damped, of length one."""
+def _code(gram: str) -> int:
+    """Twice the bucket of a gram, and one more where its sign is minus."""
+    h = int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=8).digest(), "little")
+    return (h % DIM) * 2 + (h >> 63)
+
 
-    def one(t):
+def embed_texts(texts: list[str]) -> np.ndarray:
+    """Signed counts of hashed words, word pairs and 4-grams, damped, of length one; a row a text. A gram is hashed once
+    for all texts."""
+    row, code, known = [], [], {}
+    for i, t in enumerate(texts):
         t = (t or "").casefold()
         words = re.findall(r"\w+", t)
-        grams = [*words, *("_".join(p) for p in zip(words, words[1:])), *(t[i : i + 4] for i in range(len(t) - 3))]
-        codes = np.array([int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "little") for g in grams], np.uint64)
-        v = np.bincount((codes % np.uint64(DIM)).astype(np.int64), np.where(codes >> np.uint64(63), -1.0, 1.0), DIM)
-        v = np.sign(v) * np.log1p(np.abs(v))
-        n = np.linalg.norm(v)
-        return (v / n if n else v).astype(np.float32)
+        counts = Counter(words)
+        counts.update(f"{a}_{b}" for a, b in zip(words, words[1:]))
+        counts.update(t[k : k + 4] for k in range(len(t) - 3))
+        for g, n in counts.items():
+            if (c := known.get(g)) is None:
+                c = known[g] = _code(g)
+            row.append(i * DIM + (c >> 1))
+            code.append(-n if c & 1 else n)
+        if len(known) > 1_000_000:  # speed alone depends on it
+            known = {}
+    v = np.bincount(np.array(row, np.int64), np.array(code, float), len(texts) * DIM).reshape(len(texts), DIM)
+    v = np.sign(v) * np.log1p(np.abs(v))
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.divide(v, n, out=v, where=n > 0).astype(np.float32)
 
-    return text.map(one)
+
+@F.pandas_udf(ArrayType(FloatType()))
+def hash_embedding(text: pd.Series) -> pd.Series:
+    """The vectors of embed_texts."""
+    return pd.Series([v for at in range(0, len(text), 128) for v in embed_texts(text.iloc[at : at + 128].tolist())], index=text.index, dtype=object)
 
 
 def embed(rows: DataFrame, cache: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -133,6 +153,81 @@ def retrieve(docs: DataFrame, vectors: DataFrame, key: str, text: str, vector: s
     return rrf(rankings, key, top)
 
 
+def field_postings(rows: DataFrame, key: str, fields: list[str], terms: list[str] | None = None) -> DataFrame:
+    """(key, field, term, tf, dl) of several text columns; dl: the words of all columns of the row."""
+    held = [words_of(F.coalesce(F.col(c), F.lit(""))) for c in fields]
+    tok = rows.select(key, *[w.alias(f"_w{i}") for i, w in enumerate(held)])
+    tok = tok.withColumn("dl", sum((F.size(f"_w{i}") for i in range(len(fields))), F.lit(0)))
+    kept = lambda c: F.filter(c, lambda w: w.isin(*terms)) if terms else F.col(c)
+    each = F.flatten(F.array(*[F.transform(kept(f"_w{i}"), lambda w, i=i: F.struct(F.lit(c).alias("field"), w.alias("term"))) for i, c in enumerate(fields)]))
+    return tok.select(key, "dl", F.explode(each).alias("p")).groupBy(key, "dl", "p.field", "p.term").agg(F.count("*").alias("tf")).select(key, "field", "term", "tf", "dl")
+
+
+def build_index(rows: DataFrame, key: str, fields: list[str], root: str, name: str) -> None:
+    """Writes the postings of a table's text columns, parted by a hash of the term so that a question reads few files, and
+    its row count and mean length. Replaces an index of that name."""
+    posts = field_postings(rows, key, fields).withColumn("part", F.pmod(F.xxhash64("term"), F.lit(64)).cast("int"))
+    posts.repartition("part").sortWithinPartitions("term").write.mode("overwrite").partitionBy("part").parquet(f"{root}/{name}_postings")
+    size = sum((F.size(words_of(F.coalesce(F.col(c), F.lit("")))) for c in fields), F.lit(0))
+    rows.agg(F.count("*").alias("n_docs"), F.avg(size).alias("avgdl")).write.mode("overwrite").parquet(f"{root}/{name}_stats")
+
+
+def search(spark, root: str, name: str, key: str, terms: list[str], k: int, weights: dict | None = None) -> DataFrame:
+    """(key, score): BM25 over a written index. A term's frequency in a row is the weighted sum over its columns."""
+    parts = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(F.pmod(F.xxhash64("t"), F.lit(64)).cast("int")).distinct().collect()]
+    posts = spark.read.parquet(f"{root}/{name}_postings").where(F.col("part").isin(*parts) & F.col("term").isin(*terms))
+    return _scored(posts, spark.read.parquet(f"{root}/{name}_stats"), key, k, weights)
+
+
+def _scored(posts: DataFrame, stats: DataFrame, key: str, k: int | None, weights: dict | None = None) -> DataFrame:
+    weight = F.lit(1.0)
+    for c, w in (weights or {}).items():
+        weight = F.when(F.col("field") == c, float(w)).otherwise(weight)
+    tf = posts.groupBy(key, "term", "dl").agg(F.sum(F.col("tf") * weight).alias("tf"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    s = tf.join(F.broadcast(df), "term").join(F.broadcast(stats))
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    out = s.groupBy(key).agg(F.round(F.sum(part), 6).alias("score")).orderBy(F.col("score").desc(), key)
+    return out.limit(k) if k else out
+
+
+def bm25_fields(rows: DataFrame, key: str, fields: list[str], terms: list[str], k: int | None = None, weights: dict | None = None) -> DataFrame:
+    """The same without a written index."""
+    size = sum((F.size(words_of(F.coalesce(F.col(c), F.lit("")))) for c in fields), F.lit(0))
+    stats = rows.agg(F.count("*").alias("n_docs"), F.avg(size).alias("avgdl"))
+    return _scored(field_postings(rows, key, fields, terms), stats, key, k, weights)
+
+
+def index_ledger(emails: DataFrame, decisions: DataFrame, cache: DataFrame, root: str) -> dict[str, DataFrame]:
+    """Builds all that a question reads: passages of new and forwarded text with their vectors, decisions with theirs, and
+    the postings of both. Texts in the cache (key, vec) aren't embedded again; fresh holds what to add to it."""
+    parts = emails.select("message_id", "sent_at", F.posexplode(F.array("new_text", "fwd_text")).alias("part", "text"))
+    rows = parts.select("message_id", "sent_at", "part", F.posexplode(passages("text")).alias("pos", "text"))
+    vectors, fresh = embed(rows.select("message_id", "part", "pos", "text"), cache)
+    told = decisions.withColumn("text", F.trim(F.concat_ws(" ", "canonical_text", "rationale")))
+    of_decisions, more = embed(told.select("decision_id", "text"), cache.unionByName(fresh))
+    pid = F.concat_ws("#", "message_id", F.col("part").cast("string"), F.col("pos").cast("string"))
+    passages_of = vectors.select(pid.alias("passage_id"), "message_id", "text", "vec")
+    passages_of.write.mode("overwrite").parquet(f"{root}/passages")
+    of_decisions.select("decision_id", "vec").write.mode("overwrite").parquet(f"{root}/decision_vectors")
+    build_index(passages_of, "passage_id", ["text"], root, "passages")
+    build_index(decisions, "decision_id", ["canonical_text", "rationale"], root, "decisions")
+    return {"passages": passages_of, "fresh": fresh.unionByName(more).dropDuplicates(["key"])}
+
+
+def retrieve_ledger(spark, root: str, question: str, first_decisions: int = 30, first_passages: int = 40, top: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(decision_id, score) and (passage_id, score) for a question over a built index: BM25 and cosine fused."""
+    asked = spark.createDataFrame([(question,)], "q string").select(T.query_terms(F.col("q")).alias("t"), hash_embedding("q").alias("v")).first()
+    out = []
+    for name, key, vectors, first in (("decisions", "decision_id", "decision_vectors", first_decisions), ("passages", "passage_id", "passages", first_passages)):
+        found = [ranked(nearest(spark.read.parquet(f"{root}/{vectors}"), key, "vec", list(asked["v"]), first), key)]
+        if asked["t"]:
+            found.insert(0, ranked(search(spark, root, name, key, asked["t"], first), key))
+        out.append(rrf(found, key, top))
+    return out[0], out[1]
+
+
 def index_stamp(*tables: tuple[DataFrame, str]) -> DataFrame:
     """(n, checksum) of each table's texts: it changes whenever one does."""
     rows = [t.agg(F.lit(i).alias("i"), F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64(c).cast("decimal(38,0)")), F.lit(0)).alias("checksum")) for i, (t, c) in enumerate(tables)]
@@ -158,3 +253,42 @@ def check_answer(answers: DataFrame, texts: DataFrame, known: DataFrame) -> Data
     unknown = answers.select("answer_id", F.explode("decision_ids").alias("decision_id")).join(known, "decision_id", "left_anti").select("answer_id", F.concat(F.lit("unknown decision id "), F.col("decision_id")).alias("error"))
     errors = loose.unionByName(bad).unionByName(unknown).groupBy("answer_id").agg(F.array_sort(F.collect_list("error")).alias("errors"))
     return answers.select("answer_id").join(good, "answer_id", "left").join(errors, "answer_id", "left")
+
+
+def answered(answers: DataFrame, retries: DataFrame | None, texts: DataFrame, decisions: DataFrame) -> DataFrame:
+    """What a question is told, of answers (answer_id, answer) as ANSWERS["answer"] and second answers to those with errors.
+
+    A second answer stands in unless it has more errors. An answer whose text says that nothing was decided has that
+    status. Statements without a verified citation go, and what is left out is a caveat. (answer_id, status, answer_md,
+    citations, decision_ids, confidence, model_confidence, caveats, closest, verification_errors)."""
+    flat = lambda a: a.select("answer_id", "answer.answer_md", "answer.citations", "answer.decision_ids")
+    none = F.array().cast("array<string>")
+    known = decisions.select("decision_id")
+
+    def checked(a: DataFrame, mark: str) -> DataFrame:
+        got = check_answer(flat(a), texts, known)
+        return a.select("answer_id", F.col("answer").alias(f"a{mark}")).join(got.select("answer_id", F.col("cites").alias(f"c{mark}"), F.coalesce("errors", none).alias(f"e{mark}")), "answer_id", "left")
+
+    both = checked(answers, "1")
+    if retries is not None:
+        both = both.join(checked(retries, "2"), "answer_id", "left")
+        again = F.col("a2").isNotNull() & (F.size("e1") > 0) & (F.size("e2") <= F.size("e1"))
+        pick = lambda c: F.when(again, F.col(f"{c}2")).otherwise(F.col(f"{c}1"))
+    else:
+        pick = lambda c: F.col(f"{c}1")
+    one = both.select("answer_id", pick("a").alias("a"), pick("c").alias("cites"), pick("e").alias("errors"))
+    says_none = F.col("a.status").isin("found", "partial") & F.col("a.answer_md").rlike(T.NO_DECISION)
+    one = one.withColumn("status", F.when(says_none, "no_decision").otherwise(F.col("a.status")))
+    numbers = F.coalesce(F.transform("cites", lambda c: c["n"]), F.array().cast("array<int>"))
+    one = one.withColumn("told", T.enforce_citations(F.col("a.answer_md"), numbers, F.col("status")))
+    cited = one.select("answer_id", F.explode("a.decision_ids").alias("decision_id")).join(decisions.select("decision_id", "decision_type"), "decision_id")
+    explicit = cited.groupBy("answer_id").agg(F.min(F.col("decision_type") == "explicit").alias("all_explicit"), F.array_sort(F.collect_set("decision_id")).alias("used"))
+    one = one.join(explicit, "answer_id", "left")
+    sources = F.size(F.array_distinct(F.coalesce(F.transform("cites", lambda c: c["message_id"]), none)))
+    level = answer_confidence(F.col("status"), F.size("errors"), F.size(numbers), sources, F.size(F.coalesce("a.closest", F.array().cast("array<struct<message_id:string,why:string>>"))), F.col("all_explicit"))
+    gone = F.col("told.dropped")
+    note = F.when(gone > 0, F.array(F.concat(gone.cast("string"), F.lit(" statement(s) without a verified citation were left out")))).when(F.size("errors") > 0, F.array(F.lit("some citations couldn't be verified and were left out"))).otherwise(none)
+    return one.select(
+        "answer_id", "status", F.col("told.text").alias("answer_md"), F.coalesce("cites", F.array().cast("array<struct<n:int,message_id:string,quote:string>>")).alias("citations"), F.coalesce("used", none).alias("decision_ids"),
+        level.alias("confidence"), F.col("a.confidence").alias("model_confidence"), F.concat(F.coalesce("a.caveats", none), note).alias("caveats"), F.col("a.closest").alias("closest"), F.col("errors").alias("verification_errors"),
+    )

@@ -89,9 +89,10 @@ def build_threads(scratch: Scratch, emails: DataFrame) -> tuple[DataFrame, DataF
 def positions(messages: DataFrame, thread: str = "thread_id", order: tuple = ("sent_at", "message_id"), parent: str = "in_reply_to", key: str = "message_id") -> DataFrame:
     """Adds pos, alias (m1, m2, ...) and parent_in_thread."""
     w = Window.partitionBy(thread).orderBy(*order)
-    whole = Window.partitionBy(thread)
     out = messages.withColumn("pos", F.row_number().over(w)).withColumn("alias", F.concat(F.lit("m"), F.col("pos").cast("string")))
-    return out.withColumn("parent_in_thread", F.coalesce(F.array_contains(F.collect_set(key).over(whole), F.col(parent)), F.lit(False)))
+    ids = messages.select(F.col(thread).alias("_thread"), F.col(key).alias("_key")).distinct().withColumn("parent_in_thread", F.lit(True))
+    out = out.join(ids, (F.col(thread) == F.col("_thread")) & (F.col(parent) == F.col("_key")), "left").drop("_thread", "_key")
+    return out.withColumn("parent_in_thread", F.coalesce("parent_in_thread", F.lit(False)))
 
 
 def overlapping(rows: DataFrame, key: str, start: str, stop: str, days: int, bucket_days: int | None = None) -> DataFrame:
@@ -111,11 +112,16 @@ def overlapping(rows: DataFrame, key: str, start: str, stop: str, days: int, buc
 def related_threads(threads: DataFrame, days: int = WINDOW_DAYS, shared: int = 2, most: int = 10) -> DataFrame:
     """(thread_id, other_id, rank): threads near in time with at least ``shared`` people in common, the earliest first.
 
-    Pairs meet by their people, not by time alone, so a busy fortnight doesn't make all its pairs."""
+    Pairs meet by a person and a stretch of time, so neither a person of very many threads nor a busy fortnight makes all
+    pairs; a pair that shares several stretches is made in the first."""
+    width = 4 * days
+    day = lambda c: F.floor(F.unix_timestamp(c) / 86400 / width)
+    wide = F.expr(f"interval {days} days")
     p = threads.select("thread_id", "first_at", "last_at", F.explode(F.array_distinct("participants")).alias("person"))
-    other = p.toDF("other_id", "other_first", "other_last", "person")
-    near = (F.col("other_last") >= F.col("first_at") - F.expr(f"interval {days} days")) & (F.col("other_first") <= F.col("last_at") + F.expr(f"interval {days} days"))
-    pairs = p.join(other, "person").where((F.col("thread_id") != F.col("other_id")) & near).groupBy("thread_id", "other_id", "other_first").count().where(F.col("count") >= shared)
+    left = p.withColumn("lo", day(F.col("first_at") - wide)).withColumn("hi", day(F.col("last_at") + wide)).withColumn("b", F.explode(F.sequence("lo", "hi")))
+    other = p.toDF("other_id", "other_first", "other_last", "person").withColumn("start", day("other_first")).withColumn("b", F.explode(F.sequence("start", day("other_last"))))
+    near = (F.col("other_last") >= F.col("first_at") - wide) & (F.col("other_first") <= F.col("last_at") + wide)
+    pairs = left.join(other, ["person", "b"]).where((F.col("thread_id") != F.col("other_id")) & (F.col("b") == F.greatest("lo", "start")) & near).groupBy("thread_id", "other_id", "other_first").count().where(F.col("count") >= shared)
     w = Window.partitionBy("thread_id").orderBy("other_first", "other_id")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("thread_id", "other_id", "rank")
 
@@ -128,3 +134,12 @@ def render(messages: DataFrame, quoted_most: int = 800, fwd_most: int = 600) ->
         F.when(~F.col("parent_in_thread") & (F.coalesce("quoted_text", F.lit("")) != ""), F.concat(F.lit("[quoted] "), F.substring("quoted_text", 1, quoted_most))),
     )
     return positions(messages).withColumn("part", part).groupBy("thread_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"]), "\n\n").alias("text"))
+
+
+def extract_prompt(messages: DataFrame, related: DataFrame, directory: str = "") -> DataFrame:
+    """(thread_id, text): what an extraction is asked of a thread: the people, the subjects of related threads (thread_id,
+    subject), and the thread itself."""
+    others = related.groupBy("thread_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("- "), "subject"))), "\n").alias("others"))
+    told = render(messages).join(others, "thread_id", "left")
+    head = [F.concat(F.lit("PEOPLE\n"), F.lit(directory))] if directory else []
+    return told.select("thread_id", F.concat_ws("\n\n", *head, F.concat(F.lit("RELATED THREADS\n"), F.col("others")), F.concat(F.lit("THREAD\n"), F.col("text"))).alias("text"))

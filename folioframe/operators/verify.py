@@ -31,7 +31,9 @@ def verify_quotes(quotes: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def quote_stats(verified: DataFrame, examples: int = 20) -> DataFrame:
-    """Counters of a run; re-anchored quotes count among the snapped ones."""
+    """Counters of a run; re-anchored quotes count among the snapped ones. Examples: the first dropped quotes, as a top-k
+    finds them."""
     n = lambda *how: F.count_if(F.col("how").isin(*how))
-    dropped = F.slice(F.array_sort(F.collect_list(F.when(F.col("how") == "dropped", F.substring("quote", 1, 120)))), 1, examples)
-    return verified.agg(F.count("*").alias("quotes_total"), n("exact").alias("quotes_exact"), n("snapped", "reanchored").alias("quotes_snapped"), n("reanchored").alias("quotes_reanchored"), n("dropped").alias("quotes_dropped"), dropped.alias("examples"))
+    counts = verified.agg(F.count("*").alias("quotes_total"), n("exact").alias("quotes_exact"), n("snapped", "reanchored").alias("quotes_snapped"), n("reanchored").alias("quotes_reanchored"), n("dropped").alias("quotes_dropped"))
+    some = verified.where("how = 'dropped'").select(F.substring("quote", 1, 120).alias("x")).orderBy("x").limit(examples).agg(F.array_sort(F.collect_list("x")).alias("examples"))
+    return counts.join(F.broadcast(some))

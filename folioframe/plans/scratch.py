@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share, as the session names it. Without one, a single-machine session gets a
+    folder under its warehouse; a cluster gets an error, for its executors would write where nobody reads."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="folioframe-")
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -22,12 +25,27 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder, to cut lineage and to survive lost executors.
 
-    The shuffle files of a written step are released when the write ends, since later steps read the table.
+    The shuffle files of a written step are released when the write ends, since later steps read the table. Frames made
+    of these tables may be read as long as the session lives; the tables go when it ends, or by ``clear``.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
         self.paths: list[str] = []
+        where = self._path(self.root)
+        where.getFileSystem(self._conf()).deleteOnExit(where)
+
+    def _conf(self):
+        return self.spark.sparkContext._jsc.hadoopConfiguration()
+
+    def _path(self, path: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+    def clear(self) -> None:
+        """Removes all tables; nothing made of them may be read any more."""
+        where = self._path(self.root)
+        where.getFileSystem(self._conf()).delete(where, True)
+        self.paths = []
 
     @contextlib.contextmanager
     def _released(self):
@@ -52,9 +70,8 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         """Deletes the files of a written table that no later step reads."""
         for path in [p for p in self.paths if any(f"{p.split('://')[-1]}/" in f for f in df.inputFiles()[:1])]:
-            jvm = self.spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            where = self._path(path)
+            where.getFileSystem(self._conf()).delete(where, True)
             self.paths.remove(path)
 
 

@@ -31,10 +31,10 @@ EVIDENCE = "struct<message_id:string,quote:string,role:string>"
 ANSWERS = {
     "triage": "has_candidate boolean, messages array<struct<message_id:string,signal:string,note:string>>",
     "extract": f"records array<struct<topic_label:string,decision_text:string,stance:string,decision_type:string,decided_by:array<string>,decision_date:string,rationale:string,alternatives:array<string>,conditions:string,overrides_hint:string,authority_note:string,confidence:double,evidence:array<{EVIDENCE}>>>",
-    "cluster": "groups array<struct<topic:string,record_ids:array<string>>>",
-    "reconcile": f"topic string, summary string, current_state string, decisions array<struct<temp_id:string,canonical_text:string,decided_by:array<string>,decided_at:string,rationale:string,alternatives:array<string>,decision_type:string,status:string,authority_flag:boolean,authority_note:string,confidence:double,evidence:array<{EVIDENCE}>>>, edges array<struct<src:string,dst:string,kind:string,scope:string,aspect:string,rationale:string>>, conflicts array<struct<topic:string,summary:string,sides:array<struct<claimant:string,claim:string,evidence:array<{EVIDENCE}>>>>>, non_decisions array<struct<topic:string,outcome:string>>",
-    "answer": "status string, answer_md string, citations array<struct<n:int,message_id:string,quote:string>>, decision_ids array<string>, confidence string, caveats array<string>, closest array<struct<decision_id:string,why:string>>",
-    "classify": "question_type string, as_of string",
+    "cluster": "groups array<struct<label:string,record_ids:array<string>>>",
+    "reconcile": f"cluster_topic string, decisions array<struct<decision_id_temp:string,canonical_text:string,decided_by:array<string>,decided_at:string,rationale:string,alternatives:array<string>,decision_type:string,status:string,authority_flag:boolean,authority_note:string,merged_record_ids:array<string>,confidence:double,evidence:array<{EVIDENCE}>>>, edges array<struct<src:string,dst:string,kind:string,scope:string,aspect:string,rationale:string>>, conflicts array<struct<topic:string,summary:string,sides:array<struct<claimant:string,claim:string,evidence:array<{EVIDENCE}>>>>>, current_state string, non_decisions array<struct<record_ids:array<string>,reason:string>>",
+    "answer": "status string, answer_md string, citations array<struct<n:int,message_id:string,quote:string>>, decision_ids array<string>, confidence string, caveats array<string>, closest array<struct<message_id:string,why:string>>",
+    "classify": "type string, entities array<string>, as_of_date string",
     "identity": "same_person boolean",
     "role": "role string, org string",
     "same_decision": "verdict string",

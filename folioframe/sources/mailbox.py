@@ -6,9 +6,8 @@ import email
 import email.policy
 import hashlib
 import io
-import mailbox
 import os
-import tempfile
+import re
 import zipfile
 from datetime import datetime, timezone
 from email.utils import getaddresses, parsedate_to_datetime
@@ -25,6 +24,16 @@ SUFFIXES = (".eml", ".mbox", ".zip")
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
+_FROM_LINE = re.compile(rb"(?:\A|(?<=\n\n)|(?<=\r\n\r\n))From [^\n]*\n")
+
+
+def _mbox_parts(content: bytes):
+    """(start, stop) of each message between the separator lines, which stand at the top or after a blank line."""
+    lines = [(m.start(), m.end()) for m in _FROM_LINE.finditer(content)]
+    for (_, start), (stop, _) in zip(lines, [*lines[1:], (len(content) + 1, 0)]):
+        yield start, stop - 1
+
+
 def _members(path: str, content: bytes):
     """(name, bytes) of the messages in a file; zips within zips stay closed."""
     kind = os.path.splitext(path.lower())[1]
@@ -35,12 +44,8 @@ def _members(path: str, content: bytes):
             for name in sorted(n for n in z.namelist() if n.lower().endswith(".eml")):
                 yield f"{path}/{name}", z.read(name)
     elif kind == ".mbox":
-        with tempfile.NamedTemporaryFile(suffix=".mbox") as f:  # the reader wants a file; it lives as long as the call
-            f.write(content)
-            f.flush()
-            box = mailbox.mbox(f.name)
-            for i, key in enumerate(box.keys()):
-                yield f"{path}#{i}", box.get_bytes(key)
+        for i, (start, stop) in enumerate(_mbox_parts(content)):
+            yield f"{path}#{i}", content[start:stop]
 
 
 def _body(msg) -> str:
@@ -91,13 +96,17 @@ def _rows(batches):
         yield pd.DataFrame(rows, columns=[*columns, "_path", "_at"])
 
 
-def scan(spark: SparkSession, *paths: str) -> DataFrame:
-    """Every message under the paths, with repeats. Files are split over the executors by Spark's binary reader."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)).select("path", "content")
+def messages_of(files: DataFrame) -> DataFrame:
+    """Every message of files (path, content), with repeats; other suffixes are passed over."""
     wanted = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*SUFFIXES)
     return files.where(wanted).mapInPandas(_rows, DDL["emails"] + ", _path string, _at bigint")
 
 
+def scan(spark: SparkSession, *paths: str) -> DataFrame:
+    """Every message under the paths, with repeats. Files are split over the executors by Spark's binary reader."""
+    return messages_of(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)).select("path", "content"))
+
+
 def first_seen(messages: DataFrame, key: str = "message_id", order: tuple = ("_path", "_at")) -> DataFrame:
     """The first row of each key in scan order."""
     w = Window.partitionBy(key).orderBy(*order)
@@ -107,3 +116,57 @@ def first_seen(messages: DataFrame, key: str = "message_id", order: tuple = ("_p
 def load_emails(spark: SparkSession, *paths: str) -> DataFrame:
     """Messages, each id once, by time and id."""
     return first_seen(scan(spark, *paths)).drop("_path", "_at").orderBy("sent_at", "message_id")
+
+
+# ---------------------------------------------------------------- mailboxes made of tables
+
+
+def render(messages: DataFrame) -> DataFrame:
+    """(file, eml): each message (message_id, in_reply_to, refs, from_name, from_addr, to_addrs, cc_addrs, sent_at, subject,
+    body) as a mail in UTF-8, numbered by time."""
+    from ..functions.text import slug
+    from ..operators.relational import sequential_ids
+
+    line = lambda name, value: F.when(value.isNotNull() & (value != ""), F.concat(F.lit(f"{name}: "), value))
+    joined = lambda c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), ", ")
+    head = F.concat_ws(
+        "\n", F.concat(F.lit("From: "), F.col("from_name"), F.lit(" <"), F.col("from_addr"), F.lit(">")), line("To", joined(F.col("to_addrs"))), line("Cc", joined(F.col("cc_addrs"))),
+        F.concat(F.lit("Subject: "), F.col("subject")), F.concat(F.lit("Date: "), F.date_format("sent_at", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000")), line("Message-ID", F.col("message_id")),
+        line("In-Reply-To", F.col("in_reply_to")), line("References", F.array_join(F.coalesce("refs", F.array().cast("array<string>")), " ")),
+        F.lit("MIME-Version: 1.0"), F.lit('Content-Type: text/plain; charset="UTF-8"'), F.lit("Content-Transfer-Encoding: 8bit"),
+    )
+    numbered = sequential_ids(messages, ["sent_at", "message_id"], "%04d_", "_no")
+    return numbered.select("message_id", F.concat("_no", slug(F.col("subject")), F.lit(".eml")).alias("file"), F.concat(head, F.lit("\n\n"), F.col("body"), F.lit("\n")).alias("eml"))
+
+
+def strided(rows: DataFrame, order: list, n: int = 6) -> DataFrame:
+    """Adds chunk and place: rows dealt in turn to ``n`` chunks in the given order."""
+    from ..operators.relational import sequential_ids
+
+    at = F.col("_at").cast("long") - 1
+    return sequential_ids(rows, order, "%d", "_at").withColumn("chunk", at % n).withColumn("place", F.floor(at / n)).drop("_at")
+
+
+def trim(messages: DataFrame, most: int, ranks: dict[str, int], group: str = "thread_id", idx: str = "idx", role: str = "role", parent: str = "parent") -> DataFrame:
+    """Threads cut to ``most`` messages: those of the lowest rank of role go first, then the lowest number; the first message
+    and roles without a rank stay. Replies to what goes hang on its nearest parent that stays."""
+    rank = F.lit(None).cast("int")
+    for name, at in ranks.items():
+        rank = F.when(F.col(role) == name, at).otherwise(rank)
+    w = Window.partitionBy(group)
+    first = F.min(idx).over(w)
+    may = messages.withColumn("_rank", F.when(F.col(idx) == first, None).otherwise(rank)).withColumn("_n", F.count("*").over(w))
+    gone = F.col("_rank").isNotNull() & (F.row_number().over(w.orderBy(F.col("_rank").asc_nulls_last(), idx)) <= F.col("_n") - most)
+    told = may.withColumn("_gone", gone).drop("_rank", "_n")
+
+    def climbed(pdf: pd.DataFrame) -> pd.DataFrame:
+        up, lost = dict(zip(pdf[idx], pdf[parent])), set(pdf[idx][pdf["_gone"]])
+        out = []
+        for p in pdf[parent]:
+            while p is not None and p == p and p in lost:
+                p = up[p]
+            out.append(p if p is not None and p == p else None)
+        return pdf.assign(**{parent: pd.array(out, "Int64")})[~pdf["_gone"]].drop(columns="_gone")
+
+    kept = told.drop("_gone")
+    return told.groupBy(group).applyInPandas(lambda pdf: climbed(pdf), kept.schema)

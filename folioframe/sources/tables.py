@@ -59,6 +59,23 @@ def answers(requests: DataFrame, cache: DataFrame, stage: str) -> tuple[DataFram
     return parsed, found.where("response is null").drop("response")
 
 
+def call_rows(requests: DataFrame, cache: DataFrame, run_id: str, stage: str, model: str) -> DataFrame:
+    """Rows of table llm_calls: answers from the cache count as calls without tokens or cost. requests: (key, tokens_in,
+    tokens_out, cost_usd)."""
+    hit = cache.select("key").distinct().withColumn("cached", F.lit(True))
+    told = requests.join(hit, "key", "left").withColumn("cached", F.coalesce("cached", F.lit(False)))
+    spent = lambda c: F.when(F.col("cached"), F.lit(0)).otherwise(F.col(c))
+    return told.select(F.lit(run_id).alias("run_id"), F.lit(stage).alias("stage"), F.lit(model).alias("model"), "cached", spent("tokens_in").alias("tokens_in"), spent("tokens_out").alias("tokens_out"), spent("cost_usd").cast("double").alias("cost_usd"))
+
+
+def classified(requests: DataFrame, cache: DataFrame) -> DataFrame:
+    """(question_id, type, as_of_date) of questions (question_id, request): null where the model gave no answer that can be
+    read, which refines nothing and fails nothing."""
+    found, _ = answers(requests, cache, "classify")
+    told = found.select("question_id", F.col("answer.type").alias("type"), F.when(F.col("answer.as_of_date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("answer.as_of_date")).alias("as_of_date"))
+    return requests.select("question_id").join(told, "question_id", "left")
+
+
 def put(cache: DataFrame, fresh: DataFrame) -> DataFrame:
     """The cache with fresh answers in place of old ones of the same key."""
     return cache.join(fresh.select("key"), "key", "left_anti").unionByName(fresh.select("key", "response"))

@@ -43,3 +43,13 @@ def progress(events: DataFrame) -> DataFrame:
     """Each run and stage: its state after the last event."""
     w = Window.partitionBy("run_id", "stage").orderBy(F.col("seq").desc())
     return events.where("stage is not null").withColumn("r", F.row_number().over(w)).where("r = 1").select("run_id", "stage", "kind", "seq", "payload")
+
+
+def polled(events: DataFrame, at: str, seconds: int = 5) -> DataFrame:
+    """What a client that asks every few seconds is shown: the events so far at the end of each interval that had any."""
+    n = events.groupBy(F.window(at, f"{seconds} seconds").alias("w")).agg(F.count("*").alias("n"))
+    day = F.to_date("start")
+    told = n.select(F.col("w.start").alias("start"), "n").withColumn("_day", day)
+    days = told.groupBy("_day").agg(F.sum("n").alias("_d")).withColumn("_before", F.coalesce(F.sum("_d").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_d")
+    upto = F.sum("n").over(Window.partitionBy("_day").orderBy("start"))
+    return told.withColumn("_upto", upto).join(F.broadcast(days), "_day").select("start", "n", (F.col("_before") + F.col("_upto")).alias("so_far"))
