@@ -180,9 +180,9 @@ def valid_date(text: Column) -> Column:
     """Whether a text is a date in one of the ISO forms: 2026-01-05, 20260105, 2026-W02-1, 2026W021, 2026-W02, 2026W02."""
     digits = F.regexp_replace(text, r"[-W]", "")
     calendar = F.try_to_timestamp(digits, F.lit("yyyyMMdd")).isNotNull()
-    year, week, day = (F.substring(digits, *at).cast("int") for at in ((1, 4), (5, 2), (7, 1)))
+    year, week, day = (F.substring(digits, *at).try_cast("int") for at in ((1, 4), (5, 2), (7, 1)))
     # a year has a week 53 if its 28th of December is in one
-    weeks = F.weekofyear(F.make_date(year, F.lit(12), F.lit(28)))
+    weeks = F.weekofyear(F.make_date(F.greatest(year, F.lit(1)), F.lit(12), F.lit(28)))
     by_week = (year >= 1) & week.between(1, weeks) & (day.isNull() | day.between(1, 7))
     return F.coalesce(
         F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$|^\d{8}$"), calendar & (F.substring(digits, 1, 4) != "0000"))

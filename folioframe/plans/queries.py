@@ -456,3 +456,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+from . import ledger_queries  # noqa: E402, F401  (it adds its queries to these)

@@ -143,8 +143,8 @@ def strided(rows: DataFrame, order: list, n: int = 6) -> DataFrame:
     """Adds chunk and place: rows dealt in turn to ``n`` chunks in the given order."""
     from ..operators.relational import sequential_ids
 
-    at = F.col("_at").cast("long") - 1
-    return sequential_ids(rows, order, "%d", "_at").withColumn("chunk", at % n).withColumn("place", F.floor(at / n)).drop("_at")
+    at = F.col("_nth").cast("long") - 1
+    return sequential_ids(rows, order, "%d", "_nth").withColumn("chunk", at % n).withColumn("place", F.floor(at / n)).drop("_nth")
 
 
 def trim(messages: DataFrame, most: int, ranks: dict[str, int], group: str = "thread_id", idx: str = "idx", role: str = "role", parent: str = "parent") -> DataFrame:
