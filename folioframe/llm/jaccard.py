@@ -1,8 +1,10 @@
 """N-gram Jaccard join with set-relation skipping.
 
 Index lists hold the rarest quarter of each distinct set, sorted by size and position, and are skipped block by block.
-A list isn't expanded into its pairs: every member meets the list's pivot first; what the pivot joins needs no further
-comparison, and the answers of a set near its pivot are derived from the pivot's by the few shingles that differ.
+A list isn't expanded into its pairs: every member meets the list's pivots first; what a pivot joins needs no further
+comparison, and the answers of a set near its pivot are derived from the pivot's by the few shingles that differ. Links
+are then counted component by component: where all sets are that near to one pivot, any two of them link and the count
+is derived; elsewhere blocks of sets meet as packed rows and pass on counts, never pairs.
 """
 
 from __future__ import annotations
@@ -14,11 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, mixed, shingle_hashes
+from .common import Scratch, components, mixed, partitions, shingle_hashes
 
 WORDS = 5
-#: Postings of an index task; postings and shingles that a task holds before it passes them on.
-LIST_TASK, BUFFER = 400_000, 1_500_000
+#: Postings of an index task; postings that a task holds before it passes them on, and shingles that it counts at a time.
+LIST_TASK, BUFFER, COUNTED = 150_000, 500_000, 2_000_000
+#: A list of more sets than this is dealt to chunks of about so many.
+LIST_MOST = 100_000
+#: Sets and shingles of a block when links are counted, about, and shingles of small components counted in one task.
+COUNT_SETS, COUNT_SHINGLES, COUNT_TASK = 512, 300_000, 1_000_000
+#: Pairs that are held against their sketches at a time.
+PIECE = 250_000
 #: A shingle is frequent from so many sets on that one task saw; frequent shingles go last in the common order. The
 #: broadcast table of them holds this many at most (16 bytes each), the most frequent first. Any order is right.
 FREQUENT, FREQUENT_MOST = 24, 1_000_000
@@ -97,7 +105,7 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
                     seen.add(sid[-1])
                     held.append(s)
                     size += s.size
-                if size >= 4 * BUFFER:
+                if size >= COUNTED:
                     yield frequent(held)
                     held, size, seen = [], 0, set()
             blank = pa.nulls(len(n), pa.binary())
@@ -126,21 +134,34 @@ def frequent_table(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 _POSTING = np.dtype([("token", np.uint64), ("sid", np.int64), ("n", np.uint32), ("pos", np.uint32)])
 
 
+def hot_chunks(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many chunks the list of each frequent shingle is dealt to, and the number of its first chunk among all those
+    of dealt lists; one chunk is no chunk."""
+    chunks = np.maximum(1, -(-counts // LIST_MOST))
+    dealt = np.where(chunks > 1, chunks, 0)
+    return chunks, np.cumsum(dealt) - dealt
+
+
 def postings(docs: DataFrame, words: int, frequent, buckets: int, num: int, den: int) -> DataFrame:
     """(bucket, postings) of each distinct set's prefix: so many of its shingles, the rarest first, that two sets alike
-    share one. Equal sets of a task are indexed once."""
+    share one. Equal sets of a task are indexed once. Buckets from ``buckets`` on are chunks of one list each."""
 
     def run(batches):
         tokens, counts = frequent.value
+        chunks, first = hot_chunks(counts)
         held, size, seen = [], 0, set()
 
         def flush():
             p = np.concatenate(held)
-            b = (p["token"] >> np.uint64(20)) % np.uint64(buckets)
+            b = ((p["token"] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+            if (chunks > 1).any():
+                at = np.minimum(np.searchsorted(tokens, p["token"]), tokens.size - 1)
+                hot = (tokens[at] == p["token"]) & (chunks[at] > 1)
+                b[hot] = buckets + first[at[hot]] + (mixed(p["sid"][hot].view(np.uint64)) % chunks[at[hot]].astype(np.uint64)).astype(np.int64)
             order = np.argsort(b, kind="stable")
             p, b = p[order], b[order]
-            at = np.flatnonzero(np.diff(b, prepend=b[0] + np.uint64(1)))
-            return pa.RecordBatch.from_pydict({"bucket": b[at].astype(np.int64), "p": [x.tobytes() for x in np.split(p, at[1:])]})
+            at = np.flatnonzero(np.diff(b, prepend=-1))
+            return pa.RecordBatch.from_pydict({"bucket": b[at], "p": [x.tobytes() for x in np.split(p, at[1:])]})
 
         for batch in batches:
             for raw in _texts(batch, "text"):
@@ -165,13 +186,24 @@ def postings(docs: DataFrame, words: int, frequent, buckets: int, num: int, den:
     return docs.select("text").mapInArrow(run, "bucket bigint, p binary")
 
 
-def _lists(key, table):
-    """The bucket's lists of two sets or more, each sorted by size and position."""
-    p = np.unique(np.concatenate([np.frombuffer(x, _POSTING) for x in table["p"].to_pylist()]))
-    p = p[np.lexsort((p["sid"], p["pos"], p["n"], p["token"]))]
-    same = p["token"][1:] == p["token"][:-1]
-    p = p[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
-    return pa.table({"bucket": pa.array([key[0].as_py()] * bool(p.size), pa.int64()), "p": pa.array([p.tobytes()] * bool(p.size), pa.binary())})
+def _lists(buckets: int):
+    """The bucket's lists of two sets or more, each sorted by size and position; of a chunk, whatever it holds."""
+
+    def run(key, table):
+        p = np.unique(np.concatenate([np.frombuffer(x, _POSTING) for x in table["p"].to_pylist()]))
+        p = p[np.lexsort((p["sid"], p["pos"], p["n"], p["token"]))]
+        if key[0].as_py() < buckets:
+            same = p["token"][1:] == p["token"][:-1]
+            p = p[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
+        return pa.table({"bucket": pa.array([key[0].as_py()] * bool(p.size), pa.int64()), "p": pa.array([p.tobytes()] * bool(p.size), pa.binary())})
+
+    return run
+
+
+def _distinct(pairs: np.ndarray) -> np.ndarray:
+    pairs = pairs[:, np.lexsort(pairs)]
+    new = (pairs[:, 1:] != pairs[:, :-1]).any(0)
+    return pairs[:, np.concatenate(([True], new))] if pairs.size else pairs
 
 
 def _bounds(p: np.ndarray) -> np.ndarray:
@@ -200,10 +232,21 @@ def _stars(batches):
                 pivot = np.repeat(p["sid"][place[first]], size)
                 far = p["sid"] != pivot
                 out.append(np.stack((np.maximum(p["sid"], pivot)[far], np.minimum(p["sid"], pivot)[far])))
-        pairs = np.unique(np.concatenate(out, axis=1), axis=1)
+        pairs = _distinct(np.concatenate(out, axis=1))
         yield pa.RecordBatch.from_pydict({"a": pairs[0], "b": pairs[1]})
 
 
+def _heads(buckets: int):
+    """(token, sid) of each chunk: its least set."""
+
+    def run(batches):
+        for batch in batches:
+            found = [(int(p["token"][0].view(np.int64)), int(p["sid"].min())) for b, raw in zip(batch.column("bucket").to_pylist(), batch.column("p").to_pylist()) if b >= buckets for p in [np.frombuffer(raw, _POSTING)]]
+            yield pa.RecordBatch.from_pydict({"token": pa.array([t for t, _ in found], pa.int64()), "sid": pa.array([s for _, s in found], pa.int64())})
+
+    return run
+
+
 def _folded(sketches: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Distances of the sketches of pairs (i, j), all pairs of two lengths at once."""
     size = np.array([x.size for x in sketches], np.int64)
@@ -239,16 +282,18 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
     return info, np.split(rest, np.cumsum(info["bits"].astype(np.int64))[:-1]) if n else []
 
 
-def open_pairs(p: np.ndarray, component: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Pairs of a list's members of different components that size and position allow, block by block of the list."""
-    out = []
+def open_pairs(p: np.ndarray, component: np.ndarray, num: int, den: int, side: np.ndarray | None = None):
+    """Pairs of a list's members of different components that size and position allow, block by block of the list, in
+    pieces; with ``side``, only pairs of members of different sides."""
+    out, held = [], 0
     n, pos, sid = p["n"].astype(np.int64), p["pos"].astype(np.int64), p["sid"]
     cuts = range(0, p.size, BLOCK)
     least_pos = [pos[c : c + BLOCK].min() for c in cuts]
     only = [component[c] if (component[c : c + BLOCK] == component[c]).all() else None for c in cuts]
     for x, i in enumerate(cuts):
         ni, pi = n[i : i + BLOCK], pos[i : i + BLOCK]
-        for y, j in list(enumerate(cuts))[x:]:
+        for y in range(x, len(only)):
+            j = cuts[y]
             nj, pj = n[j : j + BLOCK], pos[j : j + BLOCK]
             if den * ni[-1] < num * nj[0]:
                 break  # sizes only grow from here
@@ -261,21 +306,109 @@ def open_pairs(p: np.ndarray, component: np.ndarray, num: int, den: int) -> np.n
             share = np.minimum((ni - pi)[:, None], (nj - pj)[None])
             ok = (component[i : i + BLOCK][:, None] != component[j : j + BLOCK][None]) & ((num + den) * share >= num * (ni[:, None] + nj[None]))
             ok &= (den * ni[:, None] >= num * nj[None]) & (den * nj[None] >= num * ni[:, None])
+            if side is not None:
+                ok &= side[i : i + BLOCK][:, None] != side[j : j + BLOCK][None]
             if x == y:
                 ok = np.triu(ok, 1)
             a, b = np.nonzero(ok)
             out.append(np.stack((sid[i + a], sid[j + b])))
-    return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+            held += a.size
+            if held >= PIECE:
+                yield np.concatenate(out, axis=1)
+                out, held = [], 0
+    if held:
+        yield np.concatenate(out, axis=1)
+
+
+def _rows_of_bits(sets: list[np.ndarray]):
+    """Packed rows of the sets over the shingles that several of them hold, some columns at a time."""
+    size = np.array([s.size for s in sets])
+    token, at = np.unique(np.concatenate(sets), return_inverse=True)
+    several = np.bincount(at) > 1
+    column = np.cumsum(several) - 1
+    row, keep = np.repeat(np.arange(len(sets)), size), several[at]
+    row, at = row[keep], column[at[keep]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    wide = 1 << 14
+    for lo in range(0, int(several.sum()), wide):
+        i, j = np.searchsorted(at, (lo, lo + wide))
+        bits = np.zeros((len(sets), min(wide, -(-(int(several.sum()) - lo) // 64) * 64)), bool)
+        bits[row[i:j], at[i:j] - lo] = True
+        yield np.packbits(bits, axis=1).view(np.uint64)
+
+
+def degrees(a: list[np.ndarray], wa: np.ndarray, b: list[np.ndarray] | None, wb: np.ndarray | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each set of a the weight of the sets of b that it links with, and the other way; within a if b is None."""
+    other, w = (a, wa) if b is None else (b, wb)
+    shared = np.zeros((len(a), len(other)), np.int64)
+    for bits in _rows_of_bits(a if b is None else a + b):
+        right = bits if b is None else bits[len(a) :]
+        for i in range(len(a)):
+            shared[i] += np.bitwise_count(bits[i] & right).sum(1, dtype=np.int64)
+    size = lambda sets: np.array([s.size for s in sets], np.int64)
+    ok = alike(shared, size(a)[:, None], size(other)[None], num, den)
+    if b is None:
+        np.fill_diagonal(ok, False)
+    return ok @ w, np.zeros(0, np.int64) if b is None else wa @ ok
+
+
+def count_links(scratch: Scratch, nodes: DataFrame, linked: DataFrame, shingles_of, num: int, den: int) -> DataFrame:
+    """(sid, links): documents of other sets that each set links with; nodes: (sid, n, n_equal, component), linked:
+    (a, b, d) with the shingles in which two linked sets differ.
+
+    Two sets that differ from a pivot in at most (den - num) / (den + num) of their own shingles differ from one another
+    in too few not to link. So in a component that is all so near to one pivot, the counts follow from the sizes."""
+    near = lambda x, pivot: linked.selectExpr(f"{x} x", f"{pivot} pivot", "d")
+    both = near("a", "b").unionAll(near("b", "a")).distinct()
+    of = nodes.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.sum("n_equal").alias("weight"))
+    close = both.join(nodes.selectExpr("sid x", "n", "component"), "x").where(f"{num + den} * d <= {den - num} * n")
+    whole = close.groupBy("component", "pivot").agg(F.count("*").alias("k")).join(of, "component").where("k = m - 1").select("component").distinct()
+    of = scratch.write(of.join(whole.withColumn("derived", F.lit(True)), "component", "left").withColumn("derived", F.coalesce("derived", F.lit(False))))
+    sized = scratch.write(nodes.join(of, "component"))
+    derived = sized.where("derived").selectExpr("sid", "weight - n_equal links")
+    chunks = F.greatest(F.ceil(F.col("m") / COUNT_SETS), F.ceil(F.col("total") / COUNT_SHINGLES)).cast("int")
+    rest = scratch.write(sized.where("not derived").select("sid", "n_equal", "component", "n", chunks.alias("c")))
+    tasks = int(-(-(rest.where("c = 1").agg(F.sum("n")).first()[0] or 0) // COUNT_TASK)) or 1
+    rest = rest.withColumn("k", F.pmod(F.xxhash64("sid"), F.col("c")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    task = F.when(F.col("c") == 1, F.pmod(F.xxhash64("component"), F.lit(tasks))).otherwise(F.xxhash64("component"))
+    rest = rest.select("sid", "n_equal", "component", "k", task.alias("task"), F.least("k", "o").alias("lo"), F.greatest("k", "o").alias("hi"), (F.col("c") > 1).alias("big"))
+    schema = pa.schema([("sid", pa.int64()), ("links", pa.int64())])
+
+    def run(key, table):
+        lo, hi = key[1].as_py(), key[2].as_py()
+        component = table["component"].to_numpy()
+        table = table.take(np.argsort(component, kind="stable"))
+        component = table["component"].to_numpy()
+        sid, w, k = (table[c].to_numpy() for c in ("sid", "n_equal", "k"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["s"].combine_chunks()]
+        out: list[tuple] = []
+        cuts = np.concatenate((np.flatnonzero(np.diff(component, prepend=component[:1] - 1)), [component.size]))
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            rows = np.arange(i, j)
+            left, right = (rows[k[rows] == side] for side in (lo, hi)) if lo != hi else (rows, None)
+            if not left.size or right is not None and not right.size:
+                continue
+            da, db = degrees([sets[r] for r in left], w[left], None if right is None else [sets[r] for r in right], None if right is None else w[right], num, den)
+            out += [(sid[left], da)] + ([] if right is None else [(sid[right], db)])
+        if not out:
+            return schema.empty_table()
+        return pa.table([np.concatenate([s for s, _ in out]), np.concatenate([d for _, d in out])], schema=schema)
+
+    held = rest.join(shingles_of(rest.select("sid").distinct()), "sid").select("task", "lo", "hi", "component", "sid", "n_equal", "k", "s")
+    counted = scratch.write(held.groupBy("task", "lo", "hi").applyInArrow(run, "sid bigint, links bigint")).groupBy("sid").agg(F.sum("links").alias("links"))
+    return scratch.write(derived.unionByName(counted))
 
 
 def join(docs: DataFrame, words: int = WORDS, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_equal) of every row.
+    """(doc_id, n_shingles, component_id, n_equal, n_links) of every row.
 
     A text's set: its distinct shingles of ``words`` words, A-Z as a-z, words parted by ASCII white space; fewer words
     make one shingle; a null text, or one without words, has an empty set that links with nothing. Two documents link
     when their sets' intersection is at least num / den of their union. component_id: the least id reachable by links.
-    n_equal: documents of the same set, the row's own included (0 for an empty set). Rows of one id are one document
-    of several sets; rows of null id come back with a null component and take no part. Extra columns are ignored.
+    n_equal: rows of the same set, the row's own included (0 for an empty set); n_links: other rows that the row links
+    with, those of the same set included. Rows of one id are one document of several sets; rows of null id come back
+    with a null component and take no part. Extra columns are ignored.
 
     Shingles and sets are told apart by 64-bit hashes. Every comparison that decides is exact on these.
     """
@@ -290,7 +423,9 @@ def join(docs: DataFrame, words: int = WORDS, num: int = 75, den: int = 100, id_
     total = sets.agg(F.sum("n")).first()[0] or 0
     frequent = spark.sparkContext.broadcast(frequent_table(told))
     buckets = max(1, -(-total * (den - num) // den // LIST_TASK))
-    lists = scratch.write(postings(real, words, frequent, buckets, num, den).groupBy("bucket").applyInArrow(_lists, "bucket bigint, p binary"))
+    chunks, first_chunk = hot_chunks(frequent.value[1])
+    spread = max(partitions(spark), buckets // 4)
+    lists = scratch.write(postings(real, words, frequent, buckets, num, den).repartition(spread, "bucket").groupBy("bucket").applyInArrow(_lists(buckets), "bucket bigint, p binary"))
 
     def near(pairs: DataFrame) -> DataFrame:
         """Pairs whose sizes and sketches don't rule them out."""
@@ -306,9 +441,9 @@ def join(docs: DataFrame, words: int = WORDS, num: int = 75, den: int = 100, id_
 
         return scratch.write(both.mapInArrow(run, "a bigint, b bigint, na bigint, nb bigint"))
 
-    def shingles_of(pairs: DataFrame) -> DataFrame:
-        """(sid, s) of the sets of the pairs, from their texts."""
-        wanted = pairs.selectExpr("explode(array(a, b)) sid").distinct().join(sets.select("sid", "rep"), "sid").selectExpr("rep as doc_id", "sid as want")
+    def shingles_of(asked: DataFrame) -> DataFrame:
+        """(sid, s) of the sets asked for (sid, each once), from their texts."""
+        wanted = asked.join(sets.select("sid", "rep"), "sid").selectExpr("rep as doc_id", "sid as want")
         # a document's other rows may have other sets
         schema = "sid bigint, s binary"
 
@@ -323,26 +458,34 @@ def join(docs: DataFrame, words: int = WORDS, num: int = 75, den: int = 100, id_
 
         return scratch.write(real.join(wanted, "doc_id").select("text", "want").mapInArrow(run, schema).dropDuplicates(["sid"]))
 
-    # first, every member of a list against the list's pivots
-    first = near(lists.select("p").mapInArrow(_stars, "a bigint, b bigint"))
-    known = shingles_of(first)
+    ends = lambda pairs: pairs.selectExpr("explode(array(a, b)) sid").distinct()
+
+    # first, every member of a list against the list's pivots, and the least sets of a dealt list's chunks with the least
+    stars = lists.select("p").mapInArrow(_stars, "a bigint, b bigint")
+    if (chunks > 1).any():
+        heads = lists.where(F.col("bucket") >= buckets).mapInArrow(_heads(buckets), "token bigint, sid bigint")
+        least = heads.groupBy("token").agg(F.min("sid").alias("b"))
+        stars = stars.unionByName(heads.join(least, "token").where("sid <> b").selectExpr("sid a", "b"))
+    first = near(stars)
+    known = shingles_of(ends(first))
     side = lambda t, s: t.withColumnsRenamed({"sid": s, "s": f"s{s}"})
 
     def against_pivot(batches):
         for t in batches:
-            a, b, inter, plus, minus = [], [], [], [], []
+            a, b, d, plus, minus = [], [], [], [], []
             for r in t.to_pylist():
                 x, p = np.frombuffer(r["sa"], np.uint64), np.frombuffer(r["sb"], np.uint64)
                 o = overlap(x, p)
                 if alike(o, x.size, p.size, num, den):
-                    close = x.size + p.size - 2 * o <= NEAR * p.size
+                    d.append(x.size + p.size - 2 * o)
+                    close = d[-1] <= NEAR * p.size
                     a.append(r["a"])
                     b.append(r["b"])
                     plus.append(np.setdiff1d(x, p, True).tobytes() if close else None)
                     minus.append(np.setdiff1d(p, x, True).tobytes() if close else None)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "plus": pa.array(plus, pa.binary()), "minus": pa.array(minus, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "d": pa.array(d, pa.int64()), "plus": pa.array(plus, pa.binary()), "minus": pa.array(minus, pa.binary())})
 
-    linked = scratch.write(first.join(side(known, "a"), "a").join(side(known, "b"), "b").select("a", "b", "sa", "sb").mapInArrow(against_pivot, "a bigint, b bigint, plus binary, minus binary"))
+    linked = scratch.write(first.join(side(known, "a"), "a").join(side(known, "b"), "b").select("a", "b", "sa", "sb").mapInArrow(against_pivot, "a bigint, b bigint, d bigint, plus binary, minus binary"))
     comp = scratch.write(components(scratch, linked.select("a", "b")))
 
     # then pairs that are still in different components; buckets and what they need of their sets go as packed rows
@@ -375,37 +518,60 @@ def join(docs: DataFrame, words: int = WORDS, num: int = 75, den: int = 100, id_
             out.append(_packed(sid[at], component[at], n[at], [sketch[i] for i in at]))
         return pa.table({"bucket": right["bucket"], "info": pa.array(out, pa.binary())})
 
-    of_bucket = info.groupBy("k").cogroup(lists.mapInArrow(ask, "k bigint, bucket bigint, sids binary").groupBy("k")).applyInArrow(answer, "bucket bigint, info binary")
+    of_bucket = scratch.write(info.groupBy("k").cogroup(lists.mapInArrow(ask, "k bigint, bucket bigint, sids binary").repartition(max(partitions(spark), tasks), "k").groupBy("k")).applyInArrow(answer, "bucket bigint, info binary"))
+
+    # a work is one bucket of lists, or two chunks of one list that don't lie within the same component
+    work = lists.select("bucket").selectExpr("bucket x", "bucket y")
+    if (chunks > 1).any():
+
+        def spans(batches):
+            for batch in batches:
+                got = [(b, int(i["component"].min()), int(i["component"].max())) for b, blob in zip(batch.column("bucket").to_pylist(), batch.column("info").to_pylist()) for i, _ in [_unpacked(blob)] if i.size]
+                yield pa.RecordBatch.from_pydict({name: pa.array([g[n] for g in got], pa.int64()) for n, name in enumerate(("bucket", "lo", "hi"))})
+
+        span = of_bucket.where(F.col("bucket") >= buckets).mapInArrow(spans, "bucket bigint, lo bigint, hi bigint").groupBy("bucket").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        hot = chunks > 1
+        of_list = spark.createDataFrame([(buckets + int(f) + i, int(f)) for f, c in zip(first_chunk[hot], chunks[hot]) for i in range(int(c))], "bucket bigint, list bigint")
+        span = span.join(of_list, "bucket")
+        other = span.toDF("y", "lo2", "hi2", "list")
+        work = work.unionByName(span.withColumnRenamed("bucket", "x").join(other, "list").where("x < y and not (lo = hi and lo2 = hi2 and lo = lo2)").select("x", "y"))
+    work = scratch.write(work)
+    placed = work.selectExpr("x", "y", "explode(array_distinct(array(x, y))) bucket")
 
     def crossing(left, right):
         parts = [_unpacked(x) for x in right["info"].to_pylist()]
         sketches = [x for _, found in parts for x in found]
         known = np.concatenate([i for i, _ in parts]) if parts else np.zeros(0, _INFO)
-        order = np.argsort(known["sid"])
-        sid = known["sid"][order]
+        sid, order = np.unique(known["sid"], return_index=True)
+        n = known["n"].astype(np.int64)
         out = [np.zeros((2, 0), np.int64)]
-        for raw in left["p"].to_pylist():
-            p = np.frombuffer(raw, _POSTING)
-            if not p.size:
-                continue
+        held = [np.frombuffer(x, _POSTING) for x in left["p"].to_pylist()]
+        lists_of = [(p, None) for p in held]
+        if len(held) > 1:  # two chunks of one list
+            both = np.concatenate(held)
+            by = np.lexsort((both["sid"], both["pos"], both["n"]))
+            lists_of = [(both[by], np.repeat(np.arange(2), [p.size for p in held])[by])]
+        for p, sides in lists_of:
             component = known["component"][order[np.searchsorted(sid, p["sid"])]]
             at = _bounds(p)
-            several = np.minimum.reduceat(component, at[:-1]) != np.maximum.reduceat(component, at[:-1])
+            several = np.minimum.reduceat(component, at[:-1]) != np.maximum.reduceat(component, at[:-1]) if p.size else []
             for k in np.flatnonzero(several):
-                out.append(open_pairs(p[at[k] : at[k + 1]], component[at[k] : at[k + 1]], num, den))
-        pairs = np.unique(np.sort(np.concatenate(out, axis=1), axis=0), axis=1)
-        i, j = (order[np.searchsorted(sid, side)] for side in pairs)
-        n = known["n"].astype(np.int64)
-        d = _folded(sketches, i, j)
-        ok = den * (n[i] + n[j] - d) >= num * (n[i] + n[j] + d)
-        return pa.table({"a": pairs[0][ok], "b": pairs[1][ok]})
-
-    rest = near(lists.groupBy("bucket").cogroup(of_bucket.groupBy("bucket")).applyInArrow(crossing, "a bigint, b bigint"))
+                rows = slice(at[k], at[k + 1])
+                for pairs in open_pairs(p[rows], component[rows], num, den, None if sides is None else sides[rows]):
+                    pairs = _distinct(np.sort(pairs, axis=0))
+                    i, j = (order[np.searchsorted(sid, side)] for side in pairs)
+                    d = _folded(sketches, i, j)
+                    out.append(pairs[:, den * (n[i] + n[j] - d) >= num * (n[i] + n[j] + d)])
+        pairs = _distinct(np.concatenate(out, axis=1))
+        return pa.table({"a": pairs[0], "b": pairs[1]})
+
+    of_work = lambda df, *names: placed.join(df, "bucket").toDF("bucket", *names, df.columns[-1]).repartition(spread, *names).groupBy(*names)
+    rest = near(of_work(lists, "x", "y").cogroup(of_work(of_bucket, "x2", "y2")).applyInArrow(lambda left, right: crossing(left, right), "a bigint, b bigint"))
     rest = scratch.write(rest.join(first.select("a", "b"), ["a", "b"], "left_anti").join(first.selectExpr("a as b", "b as a"), ["a", "b"], "left_anti"))
     # a set near its pivot is compared through the pivot
     via = linked.where("plus is not null").groupBy("a").agg(F.min_by(F.struct("b", "plus", "minus"), F.length("plus") + F.length("minus")).alias("v"))
     rest = scratch.write(rest.join(via, "a", "left").select("a", "b", "na", "nb", F.coalesce("v.b", "a").alias("pivot"), "v.plus", "v.minus"))
-    sets_of = shingles_of(rest.selectExpr("pivot as a", "b"))
+    sets_of = shingles_of(ends(rest.selectExpr("pivot as a", "b")))
 
     def through_pivot(batches):
         last, base = None, 0
@@ -426,8 +592,11 @@ def join(docs: DataFrame, words: int = WORDS, num: int = 75, den: int = 100, id_
     if not more.isEmpty():
         comp = scratch.write(components(scratch, linked.select("a", "b").unionAll(more)))
 
+    links = count_links(scratch, comp.withColumnRenamed("node", "sid").join(sets.select("sid", "n", "n_equal"), "sid"), linked, shingles_of, num, den)
+
     # sets of one document belong together, whatever their components
-    node = sets.select("sid", "n_equal").join(comp.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "n_equal", F.coalesce("component", "sid").alias("c"))
+    node = sets.select("sid", "n_equal").join(comp.withColumnRenamed("node", "sid"), "sid", "left").join(links, "sid", "left")
+    node = node.select("sid", "n_equal", F.coalesce("component", "sid").alias("c"), (F.coalesce("links", F.lit(0)) + F.col("n_equal") - 1).alias("n_links"))
     of_member = scratch.write(member.select("doc_id", "sid").join(node, "sid"))
     least = scratch.write(of_member.groupBy("c").agg(F.min("doc_id").alias("least")))
     twice = of_member.groupBy("doc_id").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
@@ -436,9 +605,9 @@ def join(docs: DataFrame, words: int = WORDS, num: int = 75, den: int = 100, id_
         of_c = least.join(merged, least.c == merged.node, "left").select("c", "least", F.coalesce("component", "c").alias("top"))
         tops = of_c.groupBy("top").agg(F.min("least").alias("m"))
         least = scratch.write(of_c.join(tops, "top").selectExpr("c", "m as least"))
-    answer = of_member.join(least, "c").groupBy("doc_id", "sid").agg(F.min("least").alias("component_id"), F.max("n_equal").alias("n_equal")).withColumnsRenamed({"doc_id": "d", "sid": "s"})
+    answer = of_member.join(least, "c").groupBy("doc_id", "sid").agg(F.min("least").alias("component_id"), F.max("n_equal").alias("n_equal"), F.max("n_links").alias("n_links")).withColumnsRenamed({"doc_id": "d", "sid": "s"})
     out = of_doc.select("doc_id", "n", "sid").join(answer, (F.col("doc_id") == F.col("d")) & (F.col("sid") == F.col("s")), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_equal", F.lit(0)).cast("long").alias("n_equal"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_equal", "n_links")])
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
@@ -463,7 +632,8 @@ common as (select a.rep a, b.rep b, a.n na, b.n nb, count(*) k from e a join e b
 links as (select a, b from common where 100 * k >= 75 * (na + nb - k)),
 edges as (select a, b from links union all select b, a from links),
 reach(rep, other) as (select rep, rep from classes union select r.rep, g.b from reach r join edges g on g.a = r.other),
-least as (select rep, min(other) m from reach group by 1)
-select s.doc_id, cast(length(s.sh) as bigint) n_shingles, coalesce(l.m, s.doc_id) component_id, coalesce(c.n_equal, 0) n_equal
-from s left join classes c on c.sh = s.sh left join least l on l.rep = c.rep
+least as (select rep, min(other) m from reach group by 1),
+deg as (select e.a rep, sum(c.n_equal) k from edges e join classes c on c.rep = e.b group by 1)
+select s.doc_id, cast(length(s.sh) as bigint) n_shingles, coalesce(l.m, s.doc_id) component_id, coalesce(c.n_equal, 0) n_equal, cast(coalesce(c.n_equal - 1, 0) + coalesce(d.k, 0) as bigint) n_links
+from s left join classes c on c.sh = s.sh left join least l on l.rep = c.rep left join deg d on d.rep = c.rep
 """

@@ -8,6 +8,7 @@ import os
 import re
 from array import array
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,11 +16,11 @@ from pyspark.sql import DataFrame
 
 MARK = "▁"
 _MARK = MARK.encode()
-#: A worker keeps codes of words, and verdicts on neighbouring pieces, up to about so many bytes each, then starts anew;
-#: nothing depends on it but speed. Texts are coded so many bytes at a time.
+#: A worker keeps codes of words up to about so many bytes, twice, and as much of verdicts on neighbouring pieces; the
+#: codes that weren't asked for lately go first. Nothing depends on it but speed. Texts are coded so many bytes at a time.
 KEPT_BYTES, STEP_BYTES = 24 << 20, 1 << 20
-#: What an entry of a table costs besides its bytes, about.
-_ENTRY = 180
+#: What an entry of either table costs besides its bytes, about.
+_ENTRY, _VERDICT = 150, 90
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -47,7 +48,11 @@ class Pieces:
             raw[i] = bytes([b])
         self.raw, self.raw_size = np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw])
         self.raw_start = np.cumsum(self.raw_size) - self.raw_size
-        self.ends = {p[k:]: -1 for p in self.ids for k in range(1, len(p))} | self.ids
+        self.size = [len(p) for p in pieces]
+        self.ending = ahocorasick.Automaton()  # all pieces that end at a character, the longest first
+        for p, i in self.ids.items():
+            self.ending.add_word(p, i)
+        self.ending.make_automaton()
         self.chars = set("".join(self.ids))
         self.longest = max(map(len, self.ids), default=1)
         self.unknown = min((scores[i] for i in self.ids.values()), default=0.0) - 10.0
@@ -56,6 +61,7 @@ class Pieces:
         if inner:
             raise ValueError("a piece spans words")
         self.words: dict[bytes, bytes] = {}
+        self.earlier: dict[bytes, bytes] = {}  # the generation of words before
         self.words_size = 0
         self.pairs: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
@@ -75,6 +81,8 @@ class Pieces:
 
     def merged(self, word: str) -> list[int]:
         """The codes that merging leaves: the neighbours of highest joint score merge first, of equal ones the first."""
+        if len(word) <= 16:
+            return self._merged_short(word)
         part, left, right = list(word), list(range(-1, len(word) - 1)), list(range(1, len(word) + 1))
         queue: list = []
 
@@ -98,6 +106,23 @@ class Pieces:
                 offer(left[i])
         return [self.ids[p] for p in part if p]
 
+    def _merged_short(self, word: str) -> list[int]:
+        part, ids, scores = list(word), self.ids, self.scores
+        best = [ids.get(a + b, -1) for a, b in zip(part, part[1:])]
+        while True:
+            at, top = -1, None
+            for i, k in enumerate(best):
+                if k >= 0 and (top is None or scores[k] > top):
+                    at, top = i, scores[k]
+            if at < 0:
+                return [ids[p] for p in part]
+            part[at : at + 2] = [part[at] + part[at + 1]]
+            del best[at]
+            if at < len(best):
+                best[at] = ids.get(part[at] + part[at + 1], -1)
+            if at:
+                best[at - 1] = ids.get(part[at - 1] + part[at], -1)
+
     def fits(self, a: int, b: int) -> bool:
         ok = self.pairs[a << 20 | b] = self.merged(self.pieces[a] + self.pieces[b]) == [a, b]
         return ok
@@ -112,10 +137,10 @@ class Pieces:
         return self._merge_walk(words) if self.kind == "bpe" else self._score_walk(words)
 
     def _merge_walk(self, words) -> dict[str, tuple]:
-        if len(self.pairs) * _ENTRY > KEPT_BYTES:
+        if len(self.pairs) * _VERDICT > KEPT_BYTES:
             self.pairs = {}
-        out, ends, pairs, fits = {}, self.ends, self.pairs, self.fits
-        last, back = [0], [0]  # by end: the last piece that fits, -1 if none does, and where it starts
+        out, pairs, alone, size, ending, reach = {}, self.pairs, self.alone, self.size, self.ending, self.longest - 1
+        last, back = [0], [0]  # by end: the last piece, -1 if none fits, and where it starts
         before = ""
         for word in sorted(words):
             if word[:2] == MARK * 2:
@@ -127,31 +152,31 @@ class Pieces:
                     break
                 shared += 1
             del last[shared + 1 :], back[shared + 1 :]
-            before = word
-            for end in range(shared + 1, len(word) + 1):
-                # pieces that end here, from the shortest; a string that ends no piece ends the search
-                found, origin, start = -1, 0, end
-                while start:
-                    start -= 1
-                    if (k := ends.get(word[start:end])) is None:
-                        break
-                    if k < 0 or (prior := last[start]) < 0:
+            before, n = word, len(word)
+            last += [-1] * (n - shared)
+            back += [0] * (n - shared)
+            for end, k in ending.iter(word, max(0, shared - reach)) if self.ids else ():
+                end += 1
+                if end <= shared or last[end] >= 0:
+                    continue
+                if start := end - size[k]:
+                    if (prior := last[start]) < 0:
                         continue
-                    ok = pairs.get(prior << 20 | k) if start else self.alone.get(k)
-                    if ok is None:
-                        ok = fits(prior, k) if start else self.stands(k)
-                    if ok:
-                        found, origin = k, start
-                last.append(found)
-                back.append(origin)
-            if last[-1] < 0:
+                    if (ok := pairs.get(prior << 20 | k)) is None:
+                        ok = self.fits(prior, k)
+                elif (ok := alone.get(k)) is None:
+                    ok = self.stands(k)
+                if ok:
+                    last[end], back[end] = k, start
+            if last[n] < 0:
                 out[word] = tuple(self.merged(word))
                 continue
-            codes, end = [], len(word)
+            codes, end = [], n
             while end:
                 codes.append(last[end])
                 end = back[end]
-            out[word] = tuple(reversed(codes))
+            codes.reverse()
+            out[word] = tuple(codes)
         return out
 
     def _score_walk(self, words) -> dict[str, tuple]:
@@ -184,7 +209,7 @@ class Pieces:
 
         What stands between two spaces is coded once for all texts, with the mark before it."""
         if self.words_size > KEPT_BYTES:
-            self.words, self.words_size = {}, 0
+            self.earlier, self.words, self.words_size = self.words, {}, 0
         out: list = [None] * len(raws)
         get, missing, later = self.words.get, set(), []
         for k, raw in enumerate(raws):
@@ -200,20 +225,25 @@ class Pieces:
                 else:
                     out[k] = b"".join(got)
         if missing:
-            self._learn(missing)
+            for w in missing & self.earlier.keys():
+                self._keep(w, self.earlier[w])
+            self._learn(missing - self.words.keys())
             for k, words in later:
                 out[k] = b"".join(map(self.words.__getitem__, words))
         return [np.frombuffer(x, np.int32) for x in out]
 
+    def _keep(self, word: bytes, codes: bytes) -> None:
+        self.words[word] = codes
+        self.words_size += len(word) + len(codes) + _ENTRY
+
     def _learn(self, words: set[bytes]) -> None:
-        units = {}
+        units, whole = {}, self.chars.issuperset
         for w in words:
             word = MARK + w.decode()
-            units[w] = (word,) if self.chars.issuperset(word) and MARK not in word[1:] else self.unit.findall(word)
+            units[w] = (word,) if whole(word) else self.unit.findall(word)
         known = self._coded({u for us in units.values() for u in us})
         for w, us in units.items():
-            codes = self.words[w] = b"".join([array("i", known[u]).tobytes() for u in us])
-            self.words_size += len(w) + len(codes) + _ENTRY
+            self._keep(w, array("i", known[us[0]]).tobytes() if len(us) == 1 else b"".join([array("i", known[u]).tobytes() for u in us]))
 
     def _coded(self, units: set[str]) -> dict[str, tuple]:
         held = {u for u in units if u[0] in self.chars}
