@@ -7,16 +7,22 @@ from pyspark.sql import functions as F
 
 from .common import fresh
 
+#: Secrets: a value that a name gives away, and forms of keys, tokens and certificates that stand by themselves.
+_SECRET = (
+    r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key|private[_-]?key)[\x22\x27]? ?[=:] ?[\x22\x27]?[A-Za-z0-9+/_.-]{16,}"
+    r"|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+|-----BEGIN [A-Z ]*PRIVATE KEY-----"
+)
 #: Kinds in the order that breaks ties; the first four are the base ones, which always stay. Possessive repeats and
 #: look-behinds leave each pattern's leftmost longest match as it is and keep the matcher linear and off the stack.
 #: kind: (pattern, what a text must hold for it to match, score, words whose nearness raises the score)
 KINDS = {
     "email": (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.9, r"mail|contact|write|kontakt|correo"),
-    "ip": (r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.6, r"\bip\b|address|host|server|login"),
+    "ip": (r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.8, r"\bip\b|address|host|server|login"),
     "card": (r"[0-9](?:[ -]?[0-9])++", None, 0.8, r"card|visa|credit|karte|tarjeta|carte"),
-    "phone": (r"\+[0-9][ ().0-9-]+[0-9]", "+", 0.6, r"phone|tel|call|mobile|fax"),
+    "phone": (r"\+[0-9][ ().0-9-]+[0-9]", "+", 0.8, r"phone|tel|call|mobile|fax"),
     "iban": (r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", None, 0.8, r"iban|account|bank|konto|cuenta|compte"),
     "ssn": (r"[0-9-]++", "-", 0.3, r"ssn|social|security|tax|insurance"),
+    "secret": (_SECRET, None, 0.9, r"key|token|secret|login|auth"),
 }
 BASE = ("email", "ip", "card", "phone")
 #: Added spans stay from this score on; words within so many code points before a span count as near.
@@ -42,6 +48,9 @@ def _valid(kind: str, m: Column) -> Column:
         return F.length(compact).between(15, 34) & (rest == 1)
     if kind == "ssn":
         return m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$")
+    if kind == "secret":
+        # made values mix digits in; words don't
+        return m.rlike("[0-9].*[0-9]|PRIVATE KEY")
     return F.lit(True)
 
 
@@ -55,17 +64,19 @@ def _found(kind: str, text: Column) -> Column:
 
 
 def _spans(kind: str, text: Column, matches: Column) -> Column:
+    """array<struct<start, stop, match>> of the valid matches. The places are carried along as one text and split at the
+    end: an array that grew by one at each step would be copied as often."""
     between = F.split(text, KINDS[kind][0], -1)
-    pairs = F.zip_with(F.slice(between, 1, F.size(matches)), matches, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("len"), m.alias("m"), _valid(kind, m).alias("ok")))
-    empty = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,stop:int,match:string>>)").alias("out"))
+    steps = F.zip_with(F.slice(between, 1, F.size(matches)), matches, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("len")))
+    none = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
-        stop = start + x["len"]
-        one = F.array(F.struct(start.alias("start"), stop.alias("stop"), x["m"].alias("match")))
-        return F.struct(stop.alias("at"), F.when(x["ok"], F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        return F.struct((start + x["len"]).alias("at"), F.concat(acc["out"], start.cast("string"), F.lit(",")).alias("out"))
 
-    return F.when(matches.isNotNull(), F.aggregate(pairs, empty, step)["out"])
+    starts = F.split(F.aggregate(steps, none, step)["out"], ",")
+    spans = F.zip_with(F.slice(starts, 1, F.size(matches)), matches, lambda a, m: F.struct(a.cast("int").alias("start"), (a.cast("int") + F.length(m)).alias("stop"), m.alias("match")))
+    return F.when(matches.isNotNull(), F.filter(spans, lambda x: _valid(kind, x["match"])))
 
 
 def _scored(kind: str, text: Column, spans: Column) -> Column:
@@ -110,21 +121,28 @@ def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The same columns, with each run of overlapping spans replaced by the tag of its first one, as in <email>."""
     spans, joined_spans = fresh(docs, "_pii"), fresh(docs, "_runs")
     df = find(docs, text_col, spans)
-    runs = F.aggregate(
-        F.col(spans), F.expr("cast(array() as array<struct<start:int,stop:int,kind:string>>)"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["stop"] > x["start"]),
-            F.concat(
-                F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-                F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["stop"], x["stop"]).alias("stop"), F.element_at(acc, -1)["kind"].alias("kind"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["kind"].alias("kind"))))),
-    )
-    rebuilt = F.aggregate(
-        F.col(joined_spans), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, x: F.struct(x["stop"].alias("at"), F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, x["start"] - acc["at"]), F.lit("<"), x["kind"], F.lit(">")).alias("out")),
-        lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.length(text_col))),
-    )
+    # as above, what has been found is carried along as a text: start:stop:kind of each run
+    told = lambda acc: F.when(acc["stop"] > 0, F.concat(acc["out"], F.concat_ws(":", acc["start"].cast("string"), acc["stop"].cast("string"), acc["kind"]), F.lit(";"))).otherwise(acc["out"])
+    none = F.struct(F.lit(0).alias("start"), F.lit(0).alias("stop"), F.lit("").alias("kind"), F.lit("").alias("out"))
+
+    def grow(acc: Column, x: Column) -> Column:
+        new = F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["kind"].alias("kind"), told(acc).alias("out"))
+        wider = F.struct(acc["start"].alias("start"), F.greatest(acc["stop"], x["stop"]).alias("stop"), acc["kind"].alias("kind"), acc["out"].alias("out"))
+        return F.when(acc["stop"] > x["start"], wider).otherwise(new)
+
+    parts = F.transform(F.filter(F.split(F.aggregate(F.col(spans), none, grow, told), ";"), lambda r: r != ""), lambda r: F.split(r, ":"))
+    runs = F.transform(parts, lambda r: F.struct(r[0].cast("int").alias("start"), r[1].cast("int").alias("stop"), r[2].alias("kind")))
+
+    # what is left of the text shrinks, so that no step counts code points from its beginning
+    def cut(acc: Column, x: Column) -> Column:
+        gap = x["start"] - acc["at"]
+        return F.struct(
+            x["stop"].alias("at"), F.substr(acc["rest"], gap + (x["stop"] - x["start"]) + 1).alias("rest"),
+            F.concat(acc["out"], F.left(acc["rest"], gap), F.lit("<"), x["kind"], F.lit(">")).alias("out"),
+        )
+
+    begin = F.struct(F.lit(0).alias("at"), F.coalesce(F.col(text_col), F.lit("")).alias("rest"), F.lit("").alias("out"))
+    rebuilt = F.aggregate(F.col(joined_spans), begin, cut, lambda acc: F.concat(acc["out"], acc["rest"]))
     df = df.withColumn(joined_spans, runs)
     return df.withColumn(text_col, F.when(F.size(spans) > 0, rebuilt).otherwise(F.col(text_col))).select(*docs.columns)
 
@@ -168,6 +186,7 @@ found as (
   union all {_sql_spans('card', '[0-9](?:[ -]?[0-9])+', f"length({_DIGITS}) between 12 and 19 and {_LUHN}")}
   union all {_sql_spans('ssn', '[0-9-]+', "regexp_full_match(m, '[0-9]{3}-[0-9]{2}-[0-9]{4}')")}
   union all {_sql_spans('phone', '[+][0-9][ ().0-9-]+[0-9]', f"length({_DIGITS}) between 9 and 15")}
+  union all {_sql_spans('secret', _SECRET, "regexp_matches(m, '[0-9].*[0-9]|PRIVATE KEY')")}
   union all {_sql_spans('iban', '[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?', f"length({_IBAN}) between 15 and 34 and {_MOD97}")}
 ), scored as (
   select f.*, least(1.0, case kind {' '.join(f"when '{k}' then {v[2]}" for k, v in KINDS.items())} end
