@@ -179,11 +179,11 @@ def percentiles(df: DataFrame, value: str, by: list[str] | None = None) -> DataF
     placed = sums.withColumn("_before", F.coalesce(F.sum("_s").over(w), F.lit(0))).withColumn("_n", F.sum("_s").over(Window.partitionBy(*by)))
     places = F.array(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2), F.floor(F.lit(0.9) * (F.col("_n") - 1)))
     placed = placed.withColumn("_at", places).where(F.exists("_at", lambda x: (x >= F.col("_before")) & (x < F.col("_before") + F.col("_s"))))
-    same = [part[c].eqNullSafe(placed[c]) for c in [*by, "_p"]]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    held = part.join(placed, cond).select(*[part[c] for c in by], part[value], part["_p"], "_c", "_before", "_at")
+    placed = placed.select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], F.col("_p").alias("_q"), "_before", "_at")
+    cond = F.col("_p") == F.col("_q")
+    for i, c in enumerate(by):
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_b{i}"))
+    held = part.join(placed, cond).select(*by, value, "_p", "_c", "_before", "_at")
     upto = F.sum("_c").over(Window.partitionBy(*by, "_p").orderBy(value))
     held = held.withColumn("_to", F.col("_before") + upto)
     at = lambda k: F.max(F.when((F.col("_at")[k] < F.col("_to")) & (F.col("_at")[k] >= F.col("_to") - F.col("_c")), F.col(value)))
