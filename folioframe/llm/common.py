@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 
 from ..operators.graph import components  # noqa: F401
 from ..plans.scratch import Scratch, partitions, shared_dir  # noqa: F401
@@ -18,6 +21,24 @@ def fresh(df, name: str) -> str:
     return name
 
 
+def _give_back() -> None:
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run):
+    """A function over Arrow batches whose worker gives memory back when a partition is done: the worker lives on between
+    stages, and what it holds counts against its executor. Batches come from the system's allocator, which keeps none."""
+
+    def wrapped(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        yield from run(batches)
+        _give_back()
+
+    return wrapped
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit integers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -48,37 +69,46 @@ _POW, _INV = _powers(_P, BLOCK), _powers(pow(_P, -1, 1 << 64), BLOCK)
 def word_hashes(raw: bytes, most: int = 0) -> np.ndarray:
     """A 64-bit hash of each word of a text; A-Z count as a-z, words are parted by ASCII white space. With ``most``,
     of the first so many bytes of each word."""
+    return prefix_hashes(raw, (most,))[0]
+
+
+def prefix_hashes(raw: bytes, lengths: tuple) -> list[np.ndarray]:
+    """The same for several lengths at once, 0 for whole words, from one pass over the text."""
     b = np.frombuffer(raw, np.uint8)
+    none = [np.zeros(0, np.uint64) for _ in lengths]
     if not b.size:
-        return np.zeros(0, np.uint64)
+        return none
     gap = _SPACE[b]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).view(np.int8)))
     start, end = edge[::2], edge[1::2]
     if not start.size:
-        return np.zeros(0, np.uint64)
-    if most:
-        end = np.minimum(end, start + most)
-    out = np.zeros(start.size, np.uint64)
+        return none
+    ends = [np.minimum(end, start + most) if most else end for most in lengths]
+    out = [np.zeros(start.size, np.uint64) for _ in lengths]
     k = 0
     while k < start.size:
         # a block of whole words; a word longer than a block is hashed piece by piece
         lo = start[k]
         j = int(np.searchsorted(end, lo + BLOCK, "right"))
         if j <= k:
-            h = np.uint64(0)
-            with np.errstate(over="ignore"):
-                for at in range(lo, end[k], BLOCK):
-                    piece = _CODE[_LOWER[b[at : min(end[k], at + BLOCK)]]]
-                    h = mixed(np.array([h], np.uint64))[0] + (piece * _POW[: piece.size]).sum(dtype=np.uint64)
-            out[k] = h
+            for stop, h_of in zip(ends, out):
+                h = np.uint64(0)
+                with np.errstate(over="ignore"):
+                    for at in range(lo, stop[k], BLOCK):
+                        piece = _CODE[_LOWER[b[at : min(stop[k], at + BLOCK)]]]
+                        more = (piece * _POW[: piece.size]).sum(dtype=np.uint64)
+                        h = mixed(np.array([h], np.uint64))[0] + more if at > lo else more
+                h_of[k] = h
             k += 1
             continue
         hi = end[j - 1]
         total = np.zeros(hi - lo + 1, np.uint64)
         np.cumsum(_CODE[_LOWER[b[lo:hi]]] * _POW[: hi - lo], out=total[1:])
-        out[k:j] = (total[end[k:j] - lo] - total[start[k:j] - lo]) * _INV[start[k:j] - lo]
+        base, scale = total[start[k:j] - lo], _INV[start[k:j] - lo]
+        for stop, h_of in zip(ends, out):
+            h_of[k:j] = (total[stop[k:j] - lo] - base) * scale
         k = j
-    return mixed(out + (end - start).astype(np.uint64) * _BASE)
+    return [mixed(h + (stop - start).astype(np.uint64) * _BASE) for h, stop in zip(out, ends)]
 
 
 def shingle_hashes(raw: bytes, n: int = 5) -> np.ndarray:

@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, mixed, partitions, shingle_hashes
+from .common import Scratch, components, lean, mixed, partitions, shingle_hashes
 
 WORDS = 5
 #: Postings of an index task; postings that a task holds before it passes them on, and shingles that it counts at a time.
-LIST_TASK, BUFFER, COUNTED = 150_000, 500_000, 2_000_000
+LIST_TASK, BUFFER, COUNTED = 250_000, 500_000, 1_000_000
 #: A list of more sets than this is dealt to chunks of about so many.
 LIST_MOST = 100_000
 #: Sets and shingles of a block when links are counted, about, and shingles of small components counted in one task.
@@ -113,7 +113,7 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
         if (last := frequent(held)) is not None:
             yield last
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, sid bigint, sketch binary, tokens binary, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id bigint, n bigint, sid bigint, sketch binary, tokens binary, counts binary")
 
 
 def frequent_table(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +183,7 @@ def postings(docs: DataFrame, words: int, frequent, buckets: int, num: int, den:
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "bucket bigint, p binary")
+    return docs.select("text").mapInArrow(lean(run), "bucket bigint, p binary")
 
 
 def _lists(buckets: int):
@@ -439,7 +439,7 @@ def join(docs: DataFrame, words: int = WORDS, num: int = 75, den: int = 100, id_
                 # d shingles differ: the union is (n + d) / 2 at least
                 yield t.filter(pa.array(den * (n - d) >= num * (n + d), pa.bool_())).select(["a", "b", "na", "nb"])
 
-        return scratch.write(both.mapInArrow(run, "a bigint, b bigint, na bigint, nb bigint"))
+        return scratch.write(both.mapInArrow(lean(run), "a bigint, b bigint, na bigint, nb bigint"))
 
     def shingles_of(asked: DataFrame) -> DataFrame:
         """(sid, s) of the sets asked for (sid, each once), from their texts."""
@@ -456,12 +456,12 @@ def join(docs: DataFrame, words: int = WORDS, num: int = 75, den: int = 100, id_
                         out[want] = s.tobytes()
                 yield pa.RecordBatch.from_pydict({"sid": pa.array(list(out), pa.int64()), "s": pa.array(list(out.values()), pa.binary())})
 
-        return scratch.write(real.join(wanted, "doc_id").select("text", "want").mapInArrow(run, schema).dropDuplicates(["sid"]))
+        return scratch.write(real.join(wanted, "doc_id").select("text", "want").mapInArrow(lean(run), schema).dropDuplicates(["sid"]))
 
     ends = lambda pairs: pairs.selectExpr("explode(array(a, b)) sid").distinct()
 
     # first, every member of a list against the list's pivots, and the least sets of a dealt list's chunks with the least
-    stars = lists.select("p").mapInArrow(_stars, "a bigint, b bigint")
+    stars = lists.select("p").mapInArrow(lean(_stars), "a bigint, b bigint")
     if (chunks > 1).any():
         heads = lists.where(F.col("bucket") >= buckets).mapInArrow(_heads(buckets), "token bigint, sid bigint")
         least = heads.groupBy("token").agg(F.min("sid").alias("b"))
@@ -485,7 +485,7 @@ def join(docs: DataFrame, words: int = WORDS, num: int = 75, den: int = 100, id_
                     minus.append(np.setdiff1d(p, x, True).tobytes() if close else None)
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "d": pa.array(d, pa.int64()), "plus": pa.array(plus, pa.binary()), "minus": pa.array(minus, pa.binary())})
 
-    linked = scratch.write(first.join(side(known, "a"), "a").join(side(known, "b"), "b").select("a", "b", "sa", "sb").mapInArrow(against_pivot, "a bigint, b bigint, d bigint, plus binary, minus binary"))
+    linked = scratch.write(first.join(side(known, "a"), "a").join(side(known, "b"), "b").select("a", "b", "sa", "sb").mapInArrow(lean(against_pivot), "a bigint, b bigint, d bigint, plus binary, minus binary"))
     comp = scratch.write(components(scratch, linked.select("a", "b")))
 
     # then pairs that are still in different components; buckets and what they need of their sets go as packed rows
@@ -551,6 +551,17 @@ def join(docs: DataFrame, words: int = WORDS, num: int = 75, den: int = 100, id_
             both = np.concatenate(held)
             by = np.lexsort((both["sid"], both["pos"], both["n"]))
             lists_of = [(both[by], np.repeat(np.arange(2), [p.size for p in held])[by])]
+        waiting, size = [], 0
+
+        def sift():
+            """What sketches don't rule out of the pairs that wait, those of many lists together."""
+            nonlocal waiting, size
+            pairs = _distinct(np.sort(np.concatenate(waiting, axis=1), axis=0))
+            i, j = (order[np.searchsorted(sid, side)] for side in pairs)
+            d = _folded(sketches, i, j)
+            out.append(pairs[:, den * (n[i] + n[j] - d) >= num * (n[i] + n[j] + d)])
+            waiting, size = [], 0
+
         for p, sides in lists_of:
             component = known["component"][order[np.searchsorted(sid, p["sid"])]]
             at = _bounds(p)
@@ -558,10 +569,12 @@ def join(docs: DataFrame, words: int = WORDS, num: int = 75, den: int = 100, id_
             for k in np.flatnonzero(several):
                 rows = slice(at[k], at[k + 1])
                 for pairs in open_pairs(p[rows], component[rows], num, den, None if sides is None else sides[rows]):
-                    pairs = _distinct(np.sort(pairs, axis=0))
-                    i, j = (order[np.searchsorted(sid, side)] for side in pairs)
-                    d = _folded(sketches, i, j)
-                    out.append(pairs[:, den * (n[i] + n[j] - d) >= num * (n[i] + n[j] + d)])
+                    waiting.append(pairs)
+                    size += pairs.shape[1]
+                    if size >= PIECE:
+                        sift()
+        if waiting:
+            sift()
         pairs = _distinct(np.concatenate(out, axis=1))
         return pa.table({"a": pairs[0], "b": pairs[1]})
 
@@ -588,7 +601,7 @@ def join(docs: DataFrame, words: int = WORDS, num: int = 75, den: int = 100, id_
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     joined = rest.join(sets_of.withColumnsRenamed({"sid": "pivot", "s": "sp"}), "pivot").join(side(sets_of, "b"), "b")
-    more = scratch.write(joined.sortWithinPartitions("pivot", "b").select("a", "b", "na", "nb", "pivot", "plus", "minus", "sp", "sb").mapInArrow(through_pivot, "a bigint, b bigint"))
+    more = scratch.write(joined.sortWithinPartitions("pivot", "b").select("a", "b", "na", "nb", "pivot", "plus", "minus", "sp", "sb").mapInArrow(lean(through_pivot), "a bigint, b bigint"))
     if not more.isEmpty():
         comp = scratch.write(components(scratch, linked.select("a", "b").unionAll(more)))
 

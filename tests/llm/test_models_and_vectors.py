@@ -59,6 +59,24 @@ def test_mix(spark):
     assert mixing.mix(frame(spark, [])).collect() == []
 
 
+def test_mixing_stage(spark):
+    """Rows come as often as the mix takes them, each for itself; nulls, repeats and clashing names do no harm."""
+    rows = [(i, f"w{i} " * (i % 7), "a" if i % 3 else "b") for i in range(60)] + [(1, "other text of one", "a"), (None, "no id", "a"), (None, "no id either", "b"), (None, None, None), (7, "", "a")]
+    rows += [(99, "the same row", "b")] * 5
+    docs = frame(spark, rows).withColumn("copies", F.lit("x")).withColumn("_h", F.lit("y")).withColumn("h", F.lit(1))
+    got = mixing.stage(spark, docs, "")
+    assert got.columns == docs.columns
+    want: dict = {}
+    for r in mixing.mix(docs).collect():
+        want[r["doc_id"], r["size"], r["source"]] = want.get((r["doc_id"], r["size"], r["source"]), 0) + r["copies"]
+    told: dict = {}
+    for r in got.collect():
+        key = (r["doc_id"], len((r["text"] or "").split()), r["source"])
+        told[key] = told.get(key, 0) + 1
+    assert told == {k: n for k, n in want.items() if n}
+    assert mixing.stage(spark, docs.limit(0), "").collect() == []
+
+
 def test_pivotal_keeps_sums_and_means():
     p, size = np.full(40, 0.3), np.arange(1.0, 41.0)
     total = np.zeros(40)
