@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .common import lean
+
 MARK = "▁"
 _MARK = MARK.encode()
 #: A worker keeps codes of words up to about so many bytes, twice, and as much of verdicts on neighbouring pieces; the
@@ -326,7 +328,7 @@ def encode(docs: DataFrame, path: str | None = None, kind: str = "bpe", id_col:
                 }
                 yield pa.RecordBatch.from_pydict(cols)
 
-    return docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text").mapInArrow(run, columns)
+    return docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text").mapInArrow(lean(run), columns)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
