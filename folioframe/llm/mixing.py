@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, Scratch, fresh, partitions
@@ -123,8 +123,13 @@ def dependent_round(scratch: Scratch, rows: DataFrame, by: str, group: int = GRO
             return settled.drop("_block", "_groups")
 
 
+def row_hash(id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7):
+    """Of a row's id, text and source, so that rows without an id, or of one id, are rows of their own."""
+    return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(source_col), F.lit("")), F.lit(seed))
+
+
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, size, source, source_size, target, copies, taken) of every row.
+    """(doc_id, size, source, source_size, target, copies, taken, h) of every row; h tells rows apart but for exact repeats.
 
     size: words of the whole text, parted by ASCII white space (null or empty: 0). A source's rows all get
     target / source_size copies in expectation, at most ``most``; whole copies are sure and the rest is rounded by
@@ -133,17 +138,16 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST, seed: int
     """
     scratch = Scratch(docs.sparkSession, "mix")
     size = F.size(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD), F.lit(0))).cast("long")
-    rows = scratch.write(docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), F.col(source_col).alias("source")))
+    rows = scratch.write(docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), F.col(source_col).alias("source"), row_hash(id_col, text_col, source_col, seed).alias("h")))
     targets = source_targets(scratch, rows, weights, most).withColumnRenamed("source", "_source")
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.col("target") / F.col("source_size"))).otherwise(0.0)
     rated = (
         rows.join(targets, rows.source.eqNullSafe(targets["_source"])).drop("_source").withColumn("rate", rate)
         .withColumn("base", F.floor("rate")).withColumn("p", F.when(F.col("size") > 0, F.col("rate") - F.col("base")).otherwise(0.0))
-        .withColumn("h", F.xxhash64("doc_id", "size", F.lit(seed)))
     )
     picked = dependent_round(scratch, rated, "source")
     copies = (F.col("base") + F.col("p")).cast("long")
-    return picked.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return picked.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "h")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
@@ -152,8 +156,14 @@ def op8(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; those of 0 copies go. Rows of one id come as often as any of them."""
-    key, n = fresh(docs, "_id"), fresh(docs, "_copies")
-    copies = mix(docs).groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(n)).where(F.col(n) > 0)
-    out = docs.join(copies, docs.doc_id.eqNullSafe(copies[key]))
+    """Each row as often as the mix takes it; those of 0 copies go. Rows of one id, or of none, are taken each for itself;
+    exact repeats of a row share the copies of all of them as evenly as can be. An empty table gives an empty one, null
+    texts have no words and go, columns of any names stay."""
+    key, n, c, k, at = (fresh(docs, x) for x in ("_h", "_copies", "_all", "_rows", "_at"))
+    taken = mix(docs).groupBy(F.col("h").alias(key + "m")).agg(F.sum("copies").alias(c), F.count("*").alias(k)).where(F.col(c) > 0)
+    rows = docs.withColumn(key, row_hash()).join(taken, F.col(key) == F.col(key + "m"))
+    one = rows.where(F.col(k) == 1).withColumn(n, F.col(c))
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(key))
+    several = rows.where(F.col(k) > 1).withColumn(at, nth).withColumn(n, F.floor(F.col(c) / F.col(k)) + F.when(F.col(at) <= F.col(c) % F.col(k), 1).otherwise(0)).drop(at)
+    out = one.unionByName(several).where(F.col(n) > 0)
     return out.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).select(*docs.columns)
