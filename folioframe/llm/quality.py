@@ -1,5 +1,6 @@
 """Quality by co-training: a classifier of the text and one of the page's metadata teach each other, and their calibrated
-views together score every document."""
+views together score every document. The views share nothing: one sees the text and no size, the other size, source and
+language as the page's record has them, and no text."""
 
 from __future__ import annotations
 
@@ -8,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mixed, word_hashes
+from .common import Scratch, lean, mixed, word_hashes
 
 #: Labelled rows of the fit at most, those of least hash. All unlabelled rows take part in the exchange.
 LABELLED, SEED = 12_000, 5
@@ -17,18 +18,19 @@ LABELLED, SEED = 12_000, 5
 ROUNDS, SHARE, SURE, TAUGHT = 5, 0.05, 0.9, 0.3
 #: Margins of sure rows are counted in so many bins of this width, from the least sure margin on.
 BINS, WIDTH, LEAST = 6000, 0.01, float(np.log(SURE / (1 - SURE)))
-#: Every so many labelled rows, one is held out to calibrate.
+#: Every so many labelled rows, one is held out to calibrate and one to combine.
 HELD = 5
-SOURCES, LANGS = 64, 16
+#: Labelled rows that a source's or language's rate of good ones is drawn towards the rate of all by.
+PRIOR = 10.0
 
 _KIND = np.zeros(256, np.uint8)  # 1 letter, 2 capital, 3 digit, 4 white space, 5 other ASCII, 6 beyond ASCII
 for _c in range(256):
     _KIND[_c] = 6 if _c >= 128 else 2 if 65 <= _c <= 90 else 1 if 97 <= _c <= 122 else 3 if 48 <= _c <= 57 else 4 if _c in (32, 9, 10, 11, 12, 13) else 5
-TEXT_FEATURES, META_FEATURES = 14, 6 + SOURCES + LANGS
+TEXT_FEATURES, META_FEATURES = 12, 9
 
 
 def text_view(raw: bytes) -> np.ndarray:
-    """What the whole text looks like: kinds of characters, repeats of words and lines, lengths of words."""
+    """What the whole text looks like, whatever its size: kinds of characters, repeats of words and lines, lengths of words."""
     out = np.zeros(TEXT_FEATURES)
     if not raw:
         return out
@@ -38,23 +40,40 @@ def text_view(raw: bytes) -> np.ndarray:
     if w.size:
         _, n = np.unique(w, return_counts=True)
         marks = kinds[5] * len(raw) / w.size
-        out[6:12] = n.size / w.size, np.log1p(n.max() / w.size * 10), (w[1:] == w[:-1]).mean() if w.size > 1 else 0.0, np.log1p(len(raw) / w.size), np.log1p(marks), np.log1p(w.size) / 10
-        out[13] = n.size / np.sqrt(w.size) / 10
+        out[6:11] = n.size / w.size, np.log1p(n.max() / w.size * 10), (w[1:] == w[:-1]).mean() if w.size > 1 else 0.0, np.log1p(len(raw) / w.size), np.log1p(marks)
     lines = raw.split(b"\n")
-    out[12] = 1 - len(set(lines)) / len(lines)
+    out[11] = 1 - len(set(lines)) / len(lines)
     return out
 
 
-def meta_view(source: int, lang: int, n_chars: float, lines: float) -> np.ndarray:
-    """What is known of the page without its words: source, language, size and lines. Hashes are null as -1."""
-    out = np.zeros(META_FEATURES)
-    size = np.log1p(max(n_chars, 0))
-    out[:6] = size / 10, (size / 10) ** 2, np.log1p(lines) / 5, np.log1p(n_chars / max(lines, 1)) / 5, n_chars < 200, n_chars > 5000
-    if source >= 0:
-        out[6 + source % SOURCES] = 1
-    if lang >= 0:
-        out[6 + SOURCES + lang % LANGS] = 1
-    return out
+class Rates:
+    """How good the labelled rows of each source, or language, are: the log-odds of a good one, drawn towards those of all.
+    Every value has a rate of its own; one that no labelled row has, or a null one, has none."""
+
+    def __init__(self, codes: np.ndarray, y: np.ndarray):
+        self.codes, at = np.unique(codes, return_inverse=True)
+        self.good, self.n, self.mean = np.bincount(at, y, self.codes.size), np.bincount(at, minlength=self.codes.size), np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99)
+
+    def features(self, codes: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+        """(rate, known) of rows; own: their labels where they are among the labelled rows, which are then left out of
+        their rates."""
+        if not self.codes.size:
+            return np.zeros((len(codes), 2))
+        at = np.minimum(np.searchsorted(self.codes, codes), self.codes.size - 1)
+        known = (self.codes[at] == codes) & (codes >= 0)
+        good, n = self.good[at], self.n[at].astype(float)
+        if own is not None:
+            good, n = good - own, n - 1
+        share = np.where(known, (good + PRIOR * self.mean) / (n + PRIOR), self.mean)
+        return np.column_stack((np.log(share / (1 - share)) - np.log(self.mean / (1 - self.mean)), known & (n > 0)))
+
+
+def meta_view(meta: np.ndarray, rates: list | None = None, own: np.ndarray | None = None) -> np.ndarray:
+    """What is known of the page without its text: rows (size in characters, source, language), -1 where it is null."""
+    chars, known = np.maximum(meta[:, 0], 0), meta[:, 0] >= 0
+    size = np.log1p(chars) / 10
+    parts = [r.features(meta[:, 1 + k], own) for k, r in enumerate(rates)] if rates else [np.zeros((len(meta), 2))] * 2
+    return np.column_stack((size, size * size, known & (chars < 200), known & (chars > 5000), known, *parts)).astype(float)
 
 
 class Logistic:
@@ -125,19 +144,19 @@ class Pool:
     """All unlabelled rows, as packed features in a written table. Each question is one pass over it, which replays the
     rounds so far; only sums of fixed size for each task reach the driver."""
 
-    def __init__(self, packed: DataFrame):
-        self.packed, self.rounds = packed, []
+    def __init__(self, packed: DataFrame, rates: list | None = None):
+        self.packed, self.rates, self.rounds = packed, rates, []
 
     def _sum(self, f) -> np.ndarray:
-        rounds = self.packed.sparkSession.sparkContext.broadcast(self.rounds)
+        rounds = self.packed.sparkSession.sparkContext.broadcast((self.rounds, self.rates))
 
         def run(batches):
             total = None
             for batch in batches:
                 for raw in batch.column("v"):
                     x = np.frombuffer(raw.as_buffer()).reshape(-1, PACKED)
-                    inputs = [_wide(x[:, :TEXT_FEATURES]), _unpacked_meta(x)]
-                    got = f(inputs, _replayed(rounds.value, inputs, x[:, -1]))
+                    inputs = [_wide(x[:, :TEXT_FEATURES]), _unpacked_meta(x, rounds.value[1])]
+                    got = f(inputs, _replayed(rounds.value[0], inputs, x[:, -1]))
                     total = got if total is None else total + got
             if total is not None:
                 yield pa.RecordBatch.from_pydict({"s": pa.array([total.tobytes()], pa.binary())})
@@ -216,73 +235,67 @@ class Model:
     """Two views, the calibration of each, and how their margins combine. None of it without both labels."""
 
     def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool=None, rounds: int = ROUNDS):
-        """pool: makes the Pool, if the labels have use for it."""
+        """text: text views; meta: rows as meta_view takes them; pool: makes the Pool of some rates, if the labels have use
+        for it. Of the labelled rows one in HELD calibrates the views and another one fits how they combine; neither
+        teaches the views."""
         self.views = None
         if len(set(y.tolist())) < 2:
             self.rate = float(y.mean()) if len(y) else 0.5
             return
-        held = np.arange(len(y)) % HELD == 0
-        held &= len(set(y[~held].tolist())) == 2 and len(set(y[held].tolist())) == 2
-        inputs = [_wide(text), meta]
-        train = [(x[~held], y[~held].astype(float)) for x in inputs]
+        parts = [np.arange(len(y)) % HELD == k for k in (0, 1)]
+        if any(len(set(y[p].tolist())) < 2 for p in (*parts, ~(parts[0] | parts[1]))):
+            parts = [np.ones(len(y), bool)] * 2  # too few labels to part
+            fit = parts[0]
+        else:
+            fit = ~(parts[0] | parts[1])
+        own = y.astype(float)
+        self.rates = [Rates(meta[fit, 1 + k], own[fit]) for k in (0, 1)]
+        train = [(_wide(text[fit]), own[fit]), (meta_view(meta[fit], self.rates, own[fit]), own[fit])]
         self.taught = [0, 0]
         views = [Logistic(*t) for t in train]
-        free = pool() if pool else None
+        free = pool(self.rates) if pool else None
         for _ in range(rounds if free else 0):
             # what one view is sure of, the other learns, at less than a label's weight
             if not free.label(views):
                 break
             views = _fitted(train, free, views)
         if free and free.rounds:
-            self.taught = [int(m[0]) for m in free.moments([x.shape[1] for x in inputs])]
+            self.taught = [int(m[0]) for m in free.moments([x.shape[1] for x, _ in train])]
         self.views = views
-        check = held if held.any() else np.ones(len(y), bool)
-        margins = [v.margin(x[check]) for v, x in zip(views, inputs)]
-        self.calibration = [Logistic(m[:, None], y[check].astype(float)) for m in margins]
-        both = np.column_stack([c.margin(m[:, None]) for c, m in zip(self.calibration, margins)])
-        self.joint = Logistic(both, y[check].astype(float))
+        of = lambda rows: [v.margin(x) for v, x in zip(views, (_wide(text[rows]), meta_view(meta[rows], self.rates)))]
+        self.calibration = [Logistic(m[:, None], own[parts[0]]) for m in of(parts[0])]
+        self.joint = Logistic(np.column_stack([c.margin(m[:, None]) for c, m in zip(self.calibration, of(parts[1]))]), own[parts[1]])
 
     def score(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probability of good quality: by the text, by the metadata, by both."""
         if self.views is None:
             p = np.full(len(text), self.rate)
             return p, p, p
-        m = [c.margin(v.margin(x)[:, None]) for c, v, x in zip(self.calibration, self.views, (_wide(text), meta))]
+        m = [c.margin(v.margin(x)[:, None]) for c, v, x in zip(self.calibration, self.views, (_wide(text), meta_view(meta, self.rates)))]
         return _p(m[0]), _p(m[1]), _p(self.joint.margin(np.column_stack(m)))
 
 
 def _viewed(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, chars_col: str, *more: str) -> DataFrame:
-    code = lambda c: F.when(F.col(c).isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(F.col(c)), F.lit(1 << 30))).cast("long")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), code(source_col).alias("source"), code(lang_col).alias("lang"), F.coalesce(F.col(chars_col).cast("double"), F.length(text_col).cast("double"), F.lit(0.0)).alias("chars"), *more)
+    code = lambda c: F.when(F.col(c).isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(F.col(c)), F.lit(1 << 52))).cast("double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(chars_col).cast("double"), F.lit(-1.0)).alias("chars"), code(source_col).alias("source"), code(lang_col).alias("lang"), *more)
 
 
 def _features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    text, meta = [], []
-    for t, s, l, n in zip(batch.column("text"), *(batch.column(c).to_pylist() for c in ("source", "lang", "chars"))):
-        raw = t.as_buffer().to_pybytes() if t.is_valid else b""
-        text.append(text_view(raw))
-        meta.append(meta_view(s, l, n, raw.count(b"\n") + 1))
-    return np.array(text).reshape(-1, TEXT_FEATURES), np.array(meta).reshape(-1, META_FEATURES)
+    text = [text_view(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column("text")]
+    return np.array(text).reshape(-1, TEXT_FEATURES), np.column_stack([batch.column(c).to_numpy() for c in ("chars", "source", "lang")])
 
 
-#: A packed row: the text view, the six numbers of the metadata, source and language (-1 none), and a draw in [0, 1).
-PACKED = TEXT_FEATURES + 6 + 2 + 1
+#: A packed row: the text view, size, source and language (-1 none), and a draw in [0, 1).
+PACKED = TEXT_FEATURES + 3 + 1
 
 
-def _unpacked_meta(x: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(x), META_FEATURES))
-    out[:, :6] = x[:, TEXT_FEATURES : TEXT_FEATURES + 6]
-    for at, first in ((TEXT_FEATURES + 6, 6), (TEXT_FEATURES + 7, 6 + SOURCES)):
-        code = x[:, at].astype(int)
-        out[np.flatnonzero(code >= 0), first + code[code >= 0]] = 1
-    return out
+def _unpacked_meta(x: np.ndarray, rates: list | None = None) -> np.ndarray:
+    return meta_view(x[:, TEXT_FEATURES : TEXT_FEATURES + 3], rates)
 
 
 def _packed(batches):
     for batch in batches:
-        text, meta = _features(batch)
-        codes = [np.where((c := batch.column(name).to_numpy()) >= 0, c % n, -1) for name, n in (("source", SOURCES), ("lang", LANGS))]
-        rows = np.column_stack((text, meta[:, :6], *codes, batch.column("draw").to_numpy()))
+        rows = np.column_stack((*_features(batch), batch.column("draw").to_numpy()))
         yield pa.RecordBatch.from_pydict({"id": batch.column("doc_id"), "v": pa.array([r.tobytes() for r in rows], pa.binary())})
 
 
@@ -298,17 +311,17 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, id_col:
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).cast("int").alias("y"))
     chosen = scratch.write(known.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(labelled))
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(SEED + 1)), F.lit(1 << 30)) / float(1 << 30)
-    rows = scratch.write(_viewed(docs, id_col, *columns, draw.alias("draw")).mapInArrow(_packed, "id bigint, v binary"))
+    rows = scratch.write(_viewed(docs, id_col, *columns, draw.alias("draw")).mapInArrow(lean(_packed), "id bigint, v binary"))
     got = rows.join(F.broadcast(chosen), "id").select("id", "y", "v").toArrow().combine_chunks()
     pick = np.lexsort((got["id"].to_numpy(),)) if got.num_rows else np.zeros(0, int)
     x = np.frombuffer(b"".join(got["v"].to_pylist())).reshape(-1, PACKED)[pick]
-    free = lambda: Pool(scratch.write(rows.join(known, "id", "left_anti").select("v").mapInArrow(_joined, "v binary")))
-    return Model(x[:, :TEXT_FEATURES], _unpacked_meta(x), got["y"].to_numpy()[pick], free)
+    free = lambda rates: Pool(scratch.write(rows.join(known, "id", "left_anti").select("v").mapInArrow(_joined, "v binary")), rates)
+    return Model(x[:, :TEXT_FEATURES], x[:, TEXT_FEATURES : TEXT_FEATURES + 3], got["y"].to_numpy()[pick], free)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", columns: tuple = ("text", "source", "lang", "n_chars")) -> DataFrame:
     """(doc_id, p_text, p_meta, quality, good) of every row over its whole text. A null text is an empty one; null
-    metadata are no feature; a null size is the text's. Rows of one or of no id are scored each for itself."""
+    metadata, a null size among them, are no feature. Rows of one or of no id are scored each for itself."""
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mixed
+from .common import Scratch, lean, mixed
 
 DEPTH, GRAM = 50, 18
 #: Postings of a sorting task, postings held before they are passed on, and bytes of text that one task joins.
@@ -32,9 +32,9 @@ def _chain(base: int, n: int) -> np.ndarray:
 
 _POW, _INV = _chain(_BASE, _STEP + _MARGIN), _chain(pow(_BASE, -1, 1 << 64), _STEP + _MARGIN)
 #: tag: of the text, which tells rows of one id apart.
-_POSTING = np.dtype([("gram", np.uint64), ("span", np.uint64), ("doc", np.int64), ("tag", np.uint32), ("at", np.uint32), ("first", np.uint8), ("last", np.uint8)])
+_POSTING = np.dtype([("gram", np.uint64), ("span", np.uint64), ("doc", np.int64), ("tag", np.uint32), ("at", np.uint32), ("first", np.uint16), ("last", np.uint16)])
 _RANGE = np.dtype([("doc", np.int64), ("tag", np.uint32), ("start", np.uint32), ("stop", np.uint32)])
-_REQUEST = np.dtype([("gram", np.uint64), ("doc", np.int64), ("tag", np.uint32), ("at", np.uint32), ("first", np.uint8), ("last", np.uint8)])
+_REQUEST = np.dtype([("gram", np.uint64), ("doc", np.int64), ("tag", np.uint32), ("at", np.uint32), ("first", np.uint16), ("last", np.uint16)])
 
 
 def anchors(raw: bytes, depth: int = DEPTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -145,7 +145,7 @@ def _gather(docs: DataFrame, depth: int, gram: int, sorts: int, tasks: int) -> D
                     yield from empty()
         yield from empty()
 
-    return docs.mapInArrow(run, "key bigint, p binary, r binary")
+    return docs.mapInArrow(lean(run), "key bigint, p binary, r binary")
 
 
 def _sorted_pass(depth: int, sorts: int, tasks: int):
@@ -283,6 +283,8 @@ def dedup(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, id_col: str = "
 
     Grams and spans are told apart by 64-bit hashes of their bytes, single windows by the bytes themselves.
     """
+    if not 8 < depth <= _MARGIN or not 1 < gram <= depth:
+        raise ValueError(f"a depth of 9 to {_MARGIN} and a gram within it, please")
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -1,4 +1,5 @@
-"""Toxicity: a cumulative-link ordinal regression over sparse word features, with expected severity."""
+"""Toxicity: a cumulative-link ordinal regression over sparse word features, with expected severity. All thresholds share
+the weights; a penalty leaves most of them at 0."""
 
 from __future__ import annotations
 
@@ -7,27 +8,107 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, word_hashes
+from .common import Scratch, lean, mixed, prefix_hashes
 
-#: Labelled rows of the fit at most, those of least hash; words whose weights are learnt, the most telling ones.
-SAMPLE, WORDS, SEED = 20_000, 512, 11
+#: Labelled rows of the fit at most, those of least hash, and the folds in which they are graded.
+SAMPLE, FOLDS, SEED = 6_000, 3, 11
 #: Severity grades 0 (none) to GRADES. Documents of this expected severity or more are rejected.
 GRADES, REJECT = 3, 0.4
-#: A word is told by its labels from so many documents and standard errors on.
-LEAST_DOCS, LEAST_Z = 4, 5.0
+#: A feature is a word or a word's beginning that so many labelled documents hold; steps of the sparse fit, and how much
+#: harder than need be it keeps features out.
+LEAST_DOCS, STEPS, HARDER = 4, 400, 0.9
 
 #: Bytes of a word's beginnings.
 BEGIN = (4, 5, 6, 7)
 
 _TABLE = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
+_ADD = np.arange(8, dtype=np.uint64)
+
+
+def every_word(raw: bytes) -> np.ndarray:
+    """Hashes of the words of a whole text and of their beginnings; all ASCII but letters parts words, A-Z as a-z.
+    Beginnings let a stem count in words that no labelled text has."""
+    found = prefix_hashes(raw.translate(_TABLE), (0, *BEGIN))
+    return np.concatenate([h + _ADD[k] for h, k in zip(found, (0, *BEGIN))]).view(np.int64)
 
 
 def text_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes of the words of a whole text and of their beginnings, and how often each occurs; all ASCII but
-    letters parts words, A-Z as a-z. Beginnings let a stem count in words that no labelled text has."""
-    plain = raw.translate(_TABLE)
-    every = [word_hashes(plain)] + [word_hashes(plain, k) + np.uint64(k) for k in BEGIN]
-    return np.unique(np.concatenate(every).view(np.int64), return_counts=True)
+    """The distinct ones, and how often each occurs."""
+    return np.unique(every_word(raw), return_counts=True)
+
+
+class Sparse:
+    """Rows of features with their values, in rows of one array."""
+
+    def __init__(self, columns: list[np.ndarray], values: list[np.ndarray], width: int):
+        self.at = np.concatenate([[0], np.cumsum([len(c) for c in columns])]).astype(np.int64)
+        self.columns = np.concatenate(columns).astype(np.int32) if columns else np.zeros(0, np.int32)
+        self.values = np.concatenate(values).astype(np.float32) if values else np.zeros(0, np.float32)
+        self.rows, self.width = len(columns), width
+        self.row = np.repeat(np.arange(self.rows, dtype=np.int32), np.diff(self.at))
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.values * w[self.columns], self.rows)
+
+    def transposed_times(self, e: np.ndarray) -> np.ndarray:
+        return np.bincount(self.columns, self.values * e[self.row], self.width)
+
+    def dense(self, some: np.ndarray) -> np.ndarray:
+        """The columns ``some`` (sorted) as a matrix."""
+        place = np.searchsorted(some, self.columns)
+        held = (place < some.size) & (some[np.minimum(place, max(some.size - 1, 0))] == self.columns) if some.size else np.zeros(self.columns.size, bool)
+        out = np.zeros((self.rows, some.size))
+        out[self.row[held], place[held]] = self.values[held]
+        return out
+
+
+def _proximal(z: np.ndarray, use: np.ndarray, reached: np.ndarray, cut: np.ndarray, penalty: float, w: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Accelerated proximal steps on the mean log-loss of the cumulative indicators, with the penalty on sums of |w|."""
+    n, v, top = use.sum(), np.ones(z.shape[1]), 1e-6
+    for _ in range(15):  # the largest curvature
+        v = z.T @ (use * (z @ (v / (np.linalg.norm(v) or 1.0))))
+        top = max(top, np.linalg.norm(v) / n)
+    rate = 1 / (0.25 * reached.shape[1] * top + 0.25)
+    ahead, ahead_cut = w, cut
+    for step in range(steps):
+        e = use[:, None] * (1 / (1 + np.exp(np.clip(ahead_cut - (z @ ahead)[:, None], -30, 30))) - reached) / n
+        move = ahead - rate * (z.T @ e.sum(1))
+        new = np.sign(move) * np.maximum(np.abs(move) - rate * penalty, 0)
+        new_cut = ahead_cut + rate * e.sum(0)
+        far, speed = np.abs(new - w).max(initial=0) + np.abs(new_cut - cut).max(), step / (step + 3)
+        ahead, ahead_cut, w, cut = new + speed * (new - w), new_cut + speed * (new_cut - cut), new, new_cut
+        if far < 1e-6:
+            break
+    return w, cut
+
+
+def fit_sparse(x: Sparse, y: np.ndarray, grades: int, some: np.ndarray | None = None, steps: int = STEPS, harder: float = HARDER) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds as fit_cumulative has them, over all features, most weights 0.
+
+    The mean log-loss with a penalty on the weights of scaled features, ``harder`` times the least that keeps features
+    without any tie to the grades out. The features that pull hardest are fitted first; as long as one that was left out
+    pulls harder than the penalty holds, it is taken in and the fit goes on, so the end is that of a fit of all. some: the
+    rows to fit on."""
+    use = np.ones(x.rows) if some is None else some.astype(float)
+    n = use.sum()
+    share = np.maximum(x.transposed_times(use) / n, 1e-12)  # about the rows that hold a feature
+    scale = 1 / np.sqrt(share)
+    mean = share * scale
+    reached = np.stack([y >= k for k in range(1, grades + 1)], 1).astype(float)
+    rate = np.clip(use @ reached / n, 1e-4, 1 - 1e-4)
+    cut, w = np.log(1 / rate - 1), np.zeros(x.width)
+    spread = np.sqrt(max(use @ (y * y) / n - (use @ y / n) ** 2, 1e-12))
+    penalty = harder * spread * np.sqrt(2 * np.log(max(x.width, 2)) / n)
+    active = np.zeros(x.width, bool)
+    while True:
+        down = (use[:, None] * (1 / (1 + np.exp(np.clip(cut - (x.times(scale * w) - mean @ w)[:, None], -30, 30))) - reached) / n).sum(1)
+        pull = np.abs(scale * x.transposed_times(down) - mean * down.sum())
+        more = ~active & (pull > penalty * 1.001)
+        if not more.any():
+            return w * scale, cut + mean @ w
+        active |= more
+        cols = np.flatnonzero(active)
+        w[cols], cut = _proximal(x.dense(cols) * scale[cols] - mean[cols], use, reached, cut, penalty, w[cols], steps)
 
 
 def fit_cumulative(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, grades: int = GRADES, l2: float = 0.1, steps: int = 40) -> tuple[np.ndarray, np.ndarray]:
@@ -72,64 +153,83 @@ class Model:
     def margin(self, raw: bytes) -> float:
         if not self.words.size or not raw:
             return 0.0
-        h, n = text_words(raw)
-        if not h.size:
+        h = every_word(raw)
+        at = np.minimum(np.searchsorted(self.words, h), self.words.size - 1)
+        hit = at[self.words[at] == h]
+        if not hit.size:
             return 0.0
-        at = np.minimum(np.searchsorted(h, self.words), h.size - 1)
-        return float(np.where(h[at] == self.words, 1 + np.log(n[at]), 0.0) @ self.weights)
+        k, n = np.unique(hit, return_counts=True)
+        return float((1 + np.log(n)) @ self.weights[k])
+
+
+def graded(x: Sparse, toxic: np.ndarray, fold: np.ndarray, grades: int = GRADES) -> np.ndarray:
+    """Grades of rows that are labelled toxic or not. A clean row is 0. How grave a toxic one is, the other folds say: a
+    model that saw neither the row nor its fold gives it a margin, and its grade is its third of those margins."""
+    margin = np.zeros(x.rows)
+    for f in np.unique(fold):
+        away = fold != f
+        if len(set(toxic[away].tolist())) == 2:
+            w, _ = fit_sparse(x, toxic, 1, away)
+            margin[~away] = x.times(w)[~away]
+    thirds = np.quantile(margin[toxic > 0], np.arange(1, grades) / grades)
+    return np.where(toxic > 0, 1 + np.searchsorted(thirds, margin), 0)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model of labelled documents. A label 0 is grade 0. A toxic one is graded by the words that tell toxic from
-    clean: grade 1 up to the lower third of their counts among toxic documents, GRADES above the upper third.
-    Labels of one document count as their highest; null labels and ids take no part. Without both labels the model
-    knows no word, and its severity is the same everywhere."""
-    scratch = Scratch(docs.sparkSession, "toxicity")
+    """A model of labelled documents, ``sample`` of them at most. Labels are 0 or 1; the grades 1 to GRADES of toxic ones
+    come from models of the other folds (see graded). The sparse fit over all features, those that LEAST_DOCS labelled
+    documents hold, tells which matter; the weights of these and the thresholds are then fitted without its penalty.
+    Labels of one document count as their highest; null labels and ids take no part. Without both labels the model knows
+    no word, and its severity is the same everywhere."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "toxicity")
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).alias("y"))
     known = scratch.write(known.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(sample))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
+    schema = pa.schema([("id", pa.int64()), ("y", pa.int32()), ("h", pa.list_(pa.int64())), ("n", pa.list_(pa.int32()))])
 
     def words(batches):
         for batch in batches:
-            for y, text in zip(batch.column("y").to_pylist(), batch.column("text")):
-                h, n = text_words(text.as_buffer().to_pybytes()) if text.is_valid else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_pydict({"y": [y], "h": [h], "n": [n]}, schema=pa.schema([("y", pa.int32()), ("h", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))]))
+            for id_, y, text in zip(batch.column("id").to_pylist(), batch.column("y").to_pylist(), batch.column("text")):
+                h, n = text_words(text.as_buffer().to_pybytes() if text.is_valid else b"")
+                yield pa.RecordBatch.from_pydict({"id": [id_], "y": [y], "h": [h], "n": [n.astype(np.int32)]}, schema=schema)
 
-    seen = scratch.write(texts.selectExpr("cast(y as int) y", "text").mapInArrow(words, "y int, h array<bigint>, n array<bigint>"))
+    seen = scratch.write(texts.selectExpr("id", "cast(y as int) y", "text").mapInArrow(lean(words), "id bigint, y int, h array<bigint>, n array<int>"))
     clean, toxic = (seen.where(c).count() for c in ("y = 0", "y > 0"))
     if not clean or not toxic:
         return Model(np.zeros(0, np.int64), np.zeros(0), np.array([2.0, 3.0, 4.0]))
-    per = seen.select(F.explode("h").alias("h"), (F.col("y") > 0).cast("int").alias("t")).groupBy("h").agg(F.sum("t").alias("t"), F.count("*").alias("c")).where(f"c >= {LEAST_DOCS}")
-    share = toxic / (clean + toxic)
-    z = (F.col("t") - F.col("c") * share) / F.sqrt(F.col("c") * share * (1 - share))
-    told = per.withColumn("z", z).where(f"z >= {LEAST_Z} and t >= 0.8 * c").orderBy(F.col("z").desc(), "h").limit(WORDS).toPandas().sort_values("h")
-    h = told["h"].to_numpy(np.int64)
+    per = seen.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where(f"c >= {LEAST_DOCS}")
+    h = np.sort(per.select("h").toArrow()["h"].to_numpy())
     if not h.size:
         return Model(h, np.zeros(0), np.array([2.0, 3.0, 4.0]))
-    chosen = docs.sparkSession.sparkContext.broadcast(h)
+    features = spark.sparkContext.broadcast(h)
 
-    def only_chosen(batches):
+    def coded(batches):
         for batch in batches:
-            for y, hs, ns in zip(batch.column("y").to_pylist(), batch.column("h"), batch.column("n")):
-                hs, ns = np.array(hs.as_py(), np.int64), np.array(ns.as_py(), np.int64)
-                at = np.searchsorted(chosen.value, hs)
-                at[at == chosen.value.size] = 0
-                hit = chosen.value[at] == hs
-                yield pa.RecordBatch.from_pydict({"y": pa.array([y], pa.int32()), "k": pa.array([at[hit]], pa.list_(pa.int64())), "n": pa.array([ns[hit]], pa.list_(pa.int64()))})
-
-    got = seen.mapInArrow(only_chosen, "y int, k array<bigint>, n array<bigint>").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["y"], r["k"], r["n"]))  # the sums come out alike in every run
-    x = np.zeros((len(got), h.size))
-    for i, r in enumerate(got):
-        x[i, r["k"]] = 1 + np.log(r["n"])
-    y = np.array([r["y"] > 0 for r in got], int)
-    strength = x.sum(1)
-    thirds = np.quantile(strength[(y > 0) & (strength > 0)], np.arange(1, GRADES) / GRADES) if ((y > 0) & (strength > 0)).any() else np.zeros(GRADES - 1)
-    grade = np.where(y > 0, 1 + np.searchsorted(thirds, strength), 0)
-    # equal rows, as all those without a chosen word, count as one with a weight
-    rows, weight = np.unique(np.column_stack((grade, x)), axis=0, return_counts=True)
+            k, n = [], []
+            for hs, ns in zip(batch.column("h"), batch.column("n")):
+                hs, ns = hs.values.to_numpy(), ns.values.to_numpy()
+                at = np.minimum(np.searchsorted(features.value, hs), features.value.size - 1)
+                hit = features.value[at] == hs
+                k.append(at[hit].astype(np.int32).tobytes())
+                n.append(ns[hit].tobytes())
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "y": batch.column("y"), "k": pa.array(k, pa.binary()), "n": pa.array(n, pa.binary())})
+
+    got = seen.mapInArrow(coded, "id bigint, y int, k binary, n binary").toArrow()
+    ids, y, order = got["id"].to_numpy(), (got["y"].to_numpy() > 0).astype(int), np.argsort(got["id"].to_numpy(), kind="stable")
+    columns = [np.frombuffer(b.as_buffer(), np.int32) for c in got["k"].chunks for b in c]
+    counts = [np.frombuffer(b.as_buffer(), np.int32) for c in got["n"].chunks for b in c]
+    order = sorted(order.tolist(), key=lambda i: (ids[i], y[i], columns[i].tobytes()))  # the sums come out alike in every run
+    x = Sparse([columns[i] for i in order], [1 + np.log(counts[i]) for i in order], h.size)
+    del got, columns, counts
+    y, fold = y[order], mixed(ids[order].view(np.uint64) + np.uint64(SEED)) % np.uint64(FOLDS)
+    grade = graded(x, y, fold)
+    w, _ = fit_sparse(x, grade, GRADES)
+    some = np.flatnonzero(w)
+    # equal rows, as all those without a word that matters, count as one with a weight
+    rows, weight = np.unique(np.column_stack((grade, x.dense(some))), axis=0, return_counts=True)
     w, cut = fit_cumulative(rows[:, 1:], rows[:, 0].astype(int), weight.astype(float))
-    return Model(h, w, cut)
+    return Model(h[some], w, cut)
 
 
 def score(docs: DataFrame, model: Model, reject: float = REJECT, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
@@ -149,8 +249,8 @@ def score(docs: DataFrame, model: Model, reject: float = REJECT, id_col: str = "
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "severity": np.round(s, 6), "grade": np.rint(s).astype(np.int32), "toxic": s >= reject})
 
     if keep:
-        return docs.mapInArrow(severity, docs.schema)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(severity, "doc_id bigint, severity double, grade int, toxic boolean")
+        return docs.mapInArrow(lean(severity), docs.schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(severity), "doc_id bigint, severity double, grade int, toxic boolean")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
@@ -159,5 +259,6 @@ def op2(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model of the labelled ones doesn't call toxic."""
+    """Documents that the model of the labelled ones doesn't call toxic, each row for itself. Null and empty texts stay, as
+    do rows without an id; an empty table gives an empty one, and columns of any names stay."""
     return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), keep=True)
