@@ -7,7 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a step is written: its shuffle files go when it ends, and rows cross to Python in smaller batches, which bounds
+#: what both sides hold of long texts.
+DURING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2500"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,15 +51,17 @@ class Scratch:
 
     @contextlib.contextmanager
     def _released(self):
-        before = self.spark.conf.get(CLEANUP, None)
-        self.spark.conf.set(CLEANUP, "true")
+        before = {k: self.spark.conf.get(k, None) for k in DURING}
+        for k, v in DURING.items():
+            self.spark.conf.set(k, v)
         try:
             yield
         finally:
-            if before is None:
-                self.spark.conf.unset(CLEANUP)
-            else:
-                self.spark.conf.set(CLEANUP, before)
+            for k, v in before.items():
+                if v is None:
+                    self.spark.conf.unset(k)
+                else:
+                    self.spark.conf.set(k, v)
 
     def write(self, df: DataFrame, compression: str = "zstd") -> DataFrame:
         path = f"{self.root}/{self.n}"
