@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": jaccard.ORACLE, "op3_embedding_neardup": vectors.ORACLE_LINKS, "op7_pii": pii.ORACLE, "op9_topk": vectors.ORACLE_TOP}
+    return {"op1_ngram_jaccard": jaccard.ORACLE, "op3_embedding_neardup": vectors.ORACLE_LINKS, "op4_suffix_dedup": repeats.ORACLE, "op7_pii": pii.ORACLE, "op9_topk": vectors.ORACLE_TOP}

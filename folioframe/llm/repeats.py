@@ -329,6 +329,19 @@ def dedup(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, id_col: str = "
     return done.select(*cols)
 
 
+#: For small tables: it makes a row of each byte and a string of each window.
+ORACLE = """
+with d as (select doc_id, row_number() over () r, hex(encode(coalesce(text, ''))) h from documents),
+p as (select doc_id, r, i, substr(h, 2 * i + 1, 2) b, case when 2 * i + 100 <= length(h) then substr(h, 2 * i + 1, 100) end s from (select doc_id, r, h, unnest(range(0, length(h) // 2)) i from d)),
+f as (select s, min(doc_id) m from p where s is not null group by 1 having min(doc_id) < max(doc_id)),
+hit as (select r, i from p join f using (s) where doc_id > m),
+g as (select p.r, p.i, p.b, max(case when hit.i is null then 0 else 1 end) over (partition by p.r order by p.i rows between 49 preceding and current row) gone from (select r, i, b from p) p left join hit on hit.r = p.r and hit.i = p.i),
+e as (select *, lag(gone, 1, 0) over (partition by r order by i) before from g),
+k as (select r, count(*) filter (gone = 1) n_removed, count(*) filter (gone = 1 and before = 0) n_spans, string_agg(b, '' order by i) filter (gone = 0) kept from e group by r)
+select doc_id, cast(length(h) // 2 as bigint) n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(coalesce(kept, ''))) kept_sha256 from d left join k using (r)
+"""
+
+
 def _of_doc(tasks: int):
     def of(batches):
         for batch in batches:
