@@ -39,6 +39,19 @@ def normalize_subject(subject: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(bare, r"\s+", " ")))
 
 
+#: Letters that fold to others than their lower case: one by one, and to two.
+_FOLDED = "".join(c for c in map(chr, range(0x80, 0x2000)) if len(c.casefold()) == 1 and c.casefold() != c.lower())
+_WIDER = {c: c.casefold() for c in "ßŉǰẞﬀﬁﬂﬃﬄﬅﬆ"}
+
+
+def casefold(text: Column) -> Column:
+    """Lower case without distinctions of case: as lower, but for letters that have a folded form of their own."""
+    out = F.translate(F.lower(text), "".join(c.lower() if len(c.lower()) == 1 else c for c in _FOLDED), "".join(c.casefold() for c in _FOLDED))
+    for c, wide in _WIDER.items():
+        out = F.replace(out, F.lit(c), F.lit(wide))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), out).otherwise(F.lower(text))
+
+
 def clean_id(header: Column) -> Column:
     """The first <...> of a header, brackets included; null if there is none."""
     found = F.regexp_extract(header, r"(<[^<>\s]+>)", 1)
@@ -84,7 +97,7 @@ def fts_query(question: Column) -> Column:
 def entities(text: Column, people: Column) -> Column:
     """Capitalized words, words with digits and abbreviations, lower case, without stop words and people's names."""
     words = F.regexp_extract_all(text, F.lit(r"(?U)\b([A-Z][\w&-]+|[a-z]+\d[\w.]*|[A-Z]{2,})\b"), F.lit(1))
-    low = F.transform(words, lambda w: F.regexp_replace(F.lower(w), r"^-+|-+$", ""))
+    low = F.transform(words, lambda w: F.regexp_replace(casefold(w), r"^-+|-+$", ""))
     return F.array_distinct(F.filter(low, lambda w: (F.length(w) >= 2) & ~w.isin(*ENTITY_STOP) & ~F.array_contains(people, w)))
 
 

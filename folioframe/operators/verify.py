@@ -2,10 +2,57 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.matching import exact_span, fuzzy_span, normalized
+from ..plans.scratch import Scratch
+
+
+#: Text of quotes that one pass over the texts looks for.
+PATTERNS = 1 << 20
+
+
+def contained(docs: DataFrame, items: DataFrame, doc_key: str, text: str, item_key: str, quote: str, most: int = PATTERNS) -> DataFrame:
+    """(item_key, doc_key): items whose quote stands in a document's text as it is. Empty and null ones stand nowhere.
+
+    One automaton finds all quotes in one pass over a text. It is sent to the executors, so it holds quotes of ``most``
+    bytes together (and one longer quote by itself); what is beyond that is looked for in further passes."""
+    spark = docs.sparkSession
+    held = items.where(F.length(quote) > 0).select(F.col(item_key).alias("k"), F.col(quote).alias("q"))
+    size = held.agg(F.sum(F.octet_length("q"))).first()[0] or 0
+    passes = int(-(-size // most)) or 1
+    schema = StructType([docs.schema[doc_key], StructField("_at", LongType())])
+    rows = docs.select(doc_key, F.col(text).alias("_t"))
+    numbered = Scratch(spark, "quotes").write(held.withColumn("at", F.monotonically_increasing_id()))
+    out = None
+    for i in range(passes):
+        some = numbered.where(F.pmod(F.xxhash64("q"), F.lit(passes)) == i) if passes > 1 else numbered
+        found = spark.sparkContext.broadcast([(r["at"], r["q"]) for r in some.select("at", "q").toLocalIterator()])
+
+        def look(batches, found=found):
+            import ahocorasick
+
+            tree, of = ahocorasick.Automaton(), {}
+            for at, q in found.value:
+                of.setdefault(q, []).append(at)
+            for q, ats in of.items():
+                tree.add_word(q, tuple(ats))
+            tree.make_automaton()
+            for batch in batches:
+                keys, ats = [], []
+                for n, t in enumerate(batch.column("_t").to_pylist()):
+                    hits = {ats_of for _, ats_of in tree.iter(t)} if t and of else ()
+                    for ats_of in hits:
+                        keys += [n] * len(ats_of)
+                        ats += ats_of
+                yield pa.RecordBatch.from_arrays([batch.column(doc_key).take(pa.array(keys, pa.int64())), pa.array(ats, pa.int64())], names=[doc_key, "_at"])
+
+        part = rows.mapInArrow(look, schema)
+        out = part if out is None else out.unionByName(part)
+    return out.join(numbered.select(F.col("at").alias("_at"), F.col("k").alias(item_key)), "_at").select(item_key, doc_key).distinct()
 
 
 def verify_quotes(quotes: DataFrame, texts: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from ..operators import relational as R
 from ..operators import retrieval as V
 from ..operators import threads as TH
 from ..operators.graph import components, reachable
-from ..operators.verify import verify_quotes
+from ..operators.verify import contained, verify_quotes
 from ..sources.mailbox import first_seen
 from .scratch import Scratch
 
@@ -75,7 +75,11 @@ def rrf_fusion(spark, d):
     return V.rrf([V.ranked(lexical, "id"), V.ranked(near, "id")], "id", 8)
 
 
-@query()
+@query(_BM25 + f""", a as (select doc_id, row_number() over (order by score desc, doc_id) rank from (select * from s order by score desc, doc_id limit 30)),
+c as (select vec_id doc_id, round(list_cosine_similarity(cast(embedding as double[]), {_probe()}::double[]), 6) score from embeddings),
+b as (select doc_id, row_number() over (order by score desc, doc_id) rank from (select * from c order by score desc, doc_id limit 30)),
+u as (select * from a union all select * from b)
+select doc_id, round(sum(1.0 / (60 + rank)), 8) score from u group by doc_id order by sum(1.0 / (60 + rank)) desc, min(rank), doc_id limit 8""")
 def hybrid_retrieve(spark, d):
     vectors = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
     return V.retrieve(table(spark, d, "documents"), vectors, "doc_id", "text", "embedding", QUESTION, _probe())
@@ -152,7 +156,9 @@ def related_threads(spark, d):
     return TH.related_threads(threads)
 
 
-@query()
+@query("""with t as (select l_suppkey k, min(l_shipdate) f, max(l_shipdate) l from lineitem group by 1), p as (select distinct l_suppkey k, l_partkey part from lineitem),
+pairs as (select a.k thread_id, b.k other_id, b.f, count(*) n from (select * from t join p using (k)) a join (select * from t join p using (k)) b on a.part = b.part and a.k <> b.k and b.l >= a.f - interval 14 days and b.f <= a.l + interval 14 days group by all having count(*) >= 2)
+select thread_id, other_id, cast(row_number() over (partition by thread_id order by f, other_id) as int) rank from pairs qualify rank <= 10""")
 def related_threads_whole(spark, d):
     """The same over every line item, the people being the parts themselves."""
     threads = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("thread_id")).agg(F.min("l_shipdate").alias("first_at"), F.max("l_shipdate").alias("last_at"), F.collect_set("l_partkey").alias("participants"))
@@ -166,7 +172,7 @@ def interval_overlap(spark, d):
     return TH.overlapping(big, "k", "s", "e", 2).selectExpr("a_k a", "b_k b")
 
 
-@query()
+@query("select x.o_orderkey a, y.o_orderkey b from orders x join orders y on x.o_custkey = y.o_custkey and x.o_orderkey <> y.o_orderkey and y.o_orderdate + interval 3 days >= x.o_orderdate - interval 2 days and y.o_orderdate <= x.o_orderdate + interval 5 days")
 def interval_overlap_whole(spark, d):
     """Every order against the same customer's others."""
     every = table(spark, d, "orders").selectExpr("o_orderkey k", "o_custkey c", "o_orderdate s", "o_orderdate + interval 3 days e")
@@ -183,7 +189,7 @@ def near_dates(spark, d):
     return R.near_dates(a, b, "od", "pd", 5).where("ac % 97 = bc % 89").select("ok", "pk")
 
 
-@query()
+@query("select a.o_orderkey ok, b.o_orderkey pk from orders a join orders b on a.o_custkey = b.o_custkey and a.o_orderkey <> b.o_orderkey and abs(date_diff('day', cast(a.o_orderdate as date), cast(b.o_orderdate as date))) <= 5")
 def near_dates_whole(spark, d):
     """Every order against the same customer's others."""
     orders = table(spark, d, "orders")
@@ -350,7 +356,8 @@ def chain_expansion(spark, d):
     return reachable(Scratch(spark, "chain"), g.where("src < 500").selectExpr("src node"), g)
 
 
-@query()
+@query("""with recursive e as (select l_orderkey x, -1 - l_partkey y from lineitem union select -1 - l_partkey, l_orderkey from lineitem),
+r(node) as (select x from e where x >= 0 and x < 500 union select e.y from r join e on e.x = r.node) select node from r""")
 def chain_expansion_whole(spark, d):
     """The same over every line item; parts are numbered below 0, so that no order has their number."""
     g = table(spark, d, "lineitem").selectExpr("l_orderkey src", "-1 - l_partkey dst").distinct()
@@ -379,7 +386,7 @@ def lane_packing(spark, d):
     return C.pack_lanes(items, "lane", "s", "e", "k").select("lane", "k", "row")
 
 
-@query()
+@query("select 'T-' || substr(sha1('<' || conv_id || '.' || min(turn) || '@x>'), 1, 10) thread_id, 'topic ' || conv_id subject_norm, count(*) n_msgs from conversations group by conv_id")
 def reply_threads(spark, d):
     """Conversations as mail: turns reply to the one before, a third of them with the link lost."""
     c = table(spark, d, "conversations")
@@ -399,10 +406,8 @@ def subjects(spark, d):
 
 @query("select distinct item_id, doc_id from benchmark b join documents d on contains(d.text, b.text)")
 def verbatim(spark, d):
-    """Benchmark items that stand in a document as they are; the items are a small table."""
-    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote")).where("length(quote) > 0")
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return docs.join(F.broadcast(items), T.is_verbatim(F.col("quote"), F.col("text"))).select("item_id", "doc_id").distinct()
+    """Benchmark items that stand in a document as they are."""
+    return contained(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text")
 
 
 @query("""select distinct item_id, doc_id from (select item_id, regexp_replace(lower(text), '\\s+', ' ', 'g') q from benchmark) b join (select doc_id, regexp_replace(lower(text), '\\s+', ' ', 'g') t from documents) d on contains(t, q)""")
@@ -410,10 +415,15 @@ def normalized_containment(spark, d):
     fold = lambda c: F.regexp_replace(F.lower(c), r"\s+", " ")
     items = table(spark, d, "benchmark").select("item_id", fold("text").alias("q")).where("length(q) > 0")
     docs = table(spark, d, "documents").select("doc_id", fold("text").alias("t"))
-    return docs.join(F.broadcast(items), F.col("t").contains(F.col("q"))).select("item_id", "doc_id").distinct()
+    return contained(docs, items, "doc_id", "t", "item_id", "q")
 
 
-@query()
+_FOLD = "replace(lower(regexp_replace({}, '\\s+', ' ', 'g')), 'ß', 'ss')"
+
+
+@query(f"""with c as (select conv_id, turn, {_FOLD.format('text')} t from conversations), q as (select conv_id, turn, trim({_FOLD.format('upper(substr(text, 1, 40))')}, ' .,;:!?"''-') q from conversations where turn = 1),
+h as (select q.conv_id, min(c.turn) place from q join c on c.conv_id = q.conv_id and length(q) >= 3 and contains(c.t, q.q) group by 1)
+select q.conv_id || '#' || q.turn quote_id, case when h.place is null then q.conv_id || '.0' else q.conv_id || '.' || h.place end source_id, case when h.place is null then 'dropped' when h.place = 0 then 'exact' else 'reanchored' end how, h.place is not null verified from q left join h using (conv_id)""")
 def verified_quotes(spark, d):
     """Each conversation's first words, cited from the wrong turn, with their case and spaces changed."""
     c = table(spark, d, "conversations")
