@@ -24,7 +24,7 @@ SUFFIXES = (".eml", ".mbox", ".zip")
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
-_FROM_LINE = re.compile(rb"(?:\A|(?<=\n\n)|(?<=\r\n\r\n))From [^\n]*\n")
+_FROM_LINE = re.compile(rb"(?:\A|(?<=\n\n)|(?<=\r\n\r\n))From [^\n]* [^\n]*\n")
 
 
 def _mbox_parts(content: bytes):
