@@ -231,18 +231,25 @@ def _pack(size: int):
 
     def block(part, d):
         m = part["q"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        return pa.RecordBatch.from_pydict({"dim": pa.array([int(d)], pa.int32()), "top": pa.array([float(part["norm"][0].as_py())]), "ids": [part["vec_id"].to_numpy().tobytes()], "norms": [part["norm"].to_numpy().tobytes()], "m": [m.tobytes()]}, schema=_BLOCK)
+        kind = next(k for k in _WIDTHS if not m.size or np.iinfo(_WIDTHS[k]).min <= m.min() and m.max() <= np.iinfo(_WIDTHS[k]).max)
+        return pa.RecordBatch.from_pydict({"dim": pa.array([int(d)], pa.int32()), "top": pa.array([float(part["norm"][0].as_py())]), "ids": [part["vec_id"].to_numpy().tobytes()], "norms": [part["norm"].to_numpy().tobytes()], "w": pa.array([kind], pa.int32()), "m": [m.astype(_WIDTHS[kind]).tobytes()]}, schema=_BLOCK)
 
     return run
 
 
-_BLOCK = pa.schema([("dim", pa.int32()), ("top", pa.float64()), ("ids", pa.binary()), ("norms", pa.binary()), ("m", pa.binary())])
-_BLOCK_SQL = "dim int, top double, ids binary, norms binary, m binary"
+#: Components travel in the narrowest of these that holds a block's, by bytes.
+_WIDTHS = {2: np.int16, 4: np.int32, 8: np.int64}
+_BLOCK = pa.schema([("dim", pa.int32()), ("top", pa.float64()), ("ids", pa.binary()), ("norms", pa.binary()), ("w", pa.int32()), ("m", pa.binary())])
+_BLOCK_SQL = "dim int, top double, ids binary, norms binary, w int, m binary"
 
 
 def _products(a: np.ndarray, b: np.ndarray, bound: float) -> np.ndarray:
     # doubles hold every partial sum exactly below 2 ** 53
-    return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64) if bound < 2**53 else a @ b.T
+    if bound < 2**53:
+        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+    if bound < 2**62:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    return (a.astype(object) @ b.astype(object).T).astype(np.int64)  # an error where a product doesn't fit
 
 
 def _search(qid, q, qn, theta, cid, c, cn, k):
@@ -284,7 +291,7 @@ def _search(qid, q, qn, theta, cid, c, cn, k):
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query row's k highest integer inner products among all other rows.
 
-    Components become floor(scale * x). Ties go to the smaller id. Vectors that are null, empty or hold null or
+    Components become floor(scale * x). Ties go to the smaller id. A product beyond 64 bits is an error, never a wrong score. Vectors that are null, empty or hold null or
     non-finite components, and rows of null id, take no part; only vectors of one width meet. Of rows that share an
     id the least vector stands for it. An empty table gives an empty result. ``is_query`` is an expression over
     vec_id. Candidates are dealt by length to buckets of falling norm. The longest bucket gives each query a bound;
@@ -308,7 +315,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
 
     def unpack(row):
         ids, norms = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["norms"])
-        return ids, norms, np.frombuffer(row["m"], np.int64).reshape(len(ids), -1)
+        return ids, norms, np.frombuffer(row["m"], _WIDTHS[row["w"]]).reshape(len(ids), -1)
 
     def search(batches):
         for batch in batches:
@@ -327,8 +334,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
         right = cs.select("b", "dim", "top", (F.col("b") % salts).cast("int").alias("s"))
         near = F.col("least").isNull() | (F.col("qtop") * F.col("top") >= F.col("least"))
         pairs = left.join(right, (F.col("qd") == F.col("dim")) & (F.col("qs") == F.col("s")) & near).select("qb", "b")
-        queries_of = qs.select(F.col("b").alias("qb"), "theta", F.struct("ids", "norms", "m").alias("q"))
-        met = pairs.join(queries_of, "qb").join(cs.select("b", F.struct("ids", "norms", "m").alias("c")), "b")
+        queries_of = qs.select(F.col("b").alias("qb"), "theta", F.struct("ids", "norms", "w", "m").alias("q"))
+        met = pairs.join(queries_of, "qb").join(cs.select("b", F.struct("ids", "norms", "w", "m").alias("c")), "b")
         return met.select("qb", "theta", "q", "c").mapInArrow(search, schema)
 
     # the longest bucket of each width seeds the bounds
