@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.scratch import Scratch
 from .relational import DECISIVE, STRONG, alias_join, anti, fix_statuses, has_candidate, sane_edges, sequential_ids
 from .verify import verify_quotes
 
@@ -132,11 +133,13 @@ def reconcile(recs: DataFrame, evidence: DataFrame, emails: DataFrame, answers:
     records that it merges, and goes without any. Final records left out become decisions of their own. Edges stay
     between decisions that stay, conflicts with two sides of verified evidence or more; a cluster whose conflicts left no
     decision contested gets one for each conflict."""
-    r_alias, e_alias = prompt_aliases(recs, evidence, emails)
+    write = Scratch(recs.sparkSession, "reconcile").write
+    r_alias, e_alias = map(write, prompt_aliases(recs, evidence, emails))
     alone = recs.groupBy("cluster_id").agg(F.count("*").alias("n")).where("n = 1").select("cluster_id")
     direct = recs.join(alone, "cluster_id", "left_semi").where((F.col("stance") == "final") & (F.coalesce("authority_note", F.lit("")) == ""))
     asked = answers.join(direct.select("cluster_id"), "cluster_id", "left_anti")
     told = better_answers(asked, retries, recs, r_alias) if retries is not None else asked.select("cluster_id", "answer")
+    told = write(told)
     texts = e_alias.join(emails.select("message_id", "new_text", "fwd_text"), "message_id").select(F.col("cluster_id").alias("thread_id"), "message_id", F.substring("alias", 2, 9).cast("int").alias("pos"), "new_text", "fwd_text")
     own = evidence.where("owner_kind = 'record' and verified").select(F.col("owner_id").alias("record_id"), "message_id", "quote", "role")
 
@@ -144,7 +147,7 @@ def reconcile(recs: DataFrame, evidence: DataFrame, emails: DataFrame, answers:
     merged = said.select("cluster_id", "temp_id", F.posexplode("d.merged_record_ids").alias("at", "a")).select("cluster_id", "temp_id", "at", F.trim("a").alias("alias")).join(r_alias, ["cluster_id", "alias"])
     sources = merged.join(recs.select("record_id", F.col("decision_type").alias("kind")), "record_id").groupBy("cluster_id", "temp_id").agg(F.array_sort(F.collect_list(F.struct("at", "record_id"))).alias("m"), F.min_by("kind", "at").alias("kind"))
     sources = sources.select("cluster_id", "temp_id", F.transform("m", lambda x: x["record_id"]).alias("sources"), "kind")
-    quoted = _checked(said.select("cluster_id", "temp_id", F.posexplode("d.evidence").alias("k", "e")), ["temp_id"], e_alias, texts)
+    quoted = write(_checked(said.select("cluster_id", "temp_id", F.posexplode("d.evidence").alias("k", "e")), ["temp_id"], e_alias, texts))
     lent = merged.join(own, "record_id").join(quoted.select("cluster_id", "temp_id").distinct(), ["cluster_id", "temp_id"], "left_anti").select("cluster_id", "temp_id", "message_id", "quote", "role")
     kind = F.when(F.col("d.decision_type").isin("explicit", "implicit"), F.col("d.decision_type")).otherwise(F.coalesce("kind", F.lit("explicit")))
     drafts = said.join(sources, ["cluster_id", "temp_id"], "left").select(
@@ -156,18 +159,19 @@ def reconcile(recs: DataFrame, evidence: DataFrame, emails: DataFrame, answers:
     left = recs.join(left.drop("cluster_id"), "record_id")
     plain = _from_records(direct, F.lit("d1")).unionByName(_from_records(left, F.concat(F.lit("dr"), F.col("k"))))
     theirs = plain.select("cluster_id", "temp_id", F.col("sources")[0].alias("record_id")).join(own, "record_id").select("cluster_id", "temp_id", "message_id", "quote", "role")
-    shown = quoted.unionByName(lent).unionByName(theirs)
+    shown = write(quoted.unionByName(lent).unionByName(theirs))
     held = shown.select("cluster_id", "temp_id").distinct()
     # a lone final record stays even if its evidence is gone
-    drafts = drafts.unionByName(plain.where("temp_id <> 'd1'")).join(held, ["cluster_id", "temp_id"], "left_semi").unionByName(plain.where("temp_id = 'd1'"))
+    drafts = write(drafts.unionByName(plain.where("temp_id <> 'd1'")).join(held, ["cluster_id", "temp_id"], "left_semi").unionByName(plain.where("temp_id = 'd1'")))
 
     ends = lambda c: drafts.select("cluster_id", F.col("temp_id").alias(c))
     edges = told.select("cluster_id", F.explode("answer.edges").alias("e")).select("cluster_id", "e.*").where("src <> dst").join(ends("src"), ["cluster_id", "src"], "left_semi").join(ends("dst"), ["cluster_id", "dst"], "left_semi")
 
     disputes = told.select("cluster_id", F.posexplode("answer.conflicts").alias("c", "x")).withColumn("conflict_id", F.concat_ws("/", "cluster_id", F.col("c").cast("string")))
     claims = disputes.select("cluster_id", "conflict_id", F.posexplode("x.sides").alias("s", "y")).withColumn("side", F.format_string("%03d", F.col("s")))
-    proof = _checked(claims.select("cluster_id", "conflict_id", "side", F.posexplode("y.evidence").alias("k", "e")), ["conflict_id", "side"], e_alias, texts)
+    proof = write(_checked(claims.select("cluster_id", "conflict_id", "side", F.posexplode("y.evidence").alias("k", "e")), ["conflict_id", "side"], e_alias, texts))
     conflicts, sides = keep_conflicts(disputes.select("conflict_id", "cluster_id", "x.topic", "x.summary"), claims.select("conflict_id", "side", "y.claimant", "y.claim"), proof.withColumn("verified", F.lit(True)))
+    conflicts, sides = write(conflicts), write(sides)
     proof = proof.join(sides.select("conflict_id", "side"), ["conflict_id", "side"], "left_semi")
     dates = proof.join(emails.select("message_id", "sent_at", "sent_tz"), "message_id").groupBy("conflict_id").agg(F.max(F.date_format(T.local_time(F.col("sent_at"), F.col("sent_tz")), "yyyy-MM-dd")).alias("day"))
     who = sides.groupBy("conflict_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("side", "claimant"))), lambda x: x["claimant"]).alias("decided_by"))
