@@ -20,7 +20,7 @@ from .common import Scratch, components, lean, mixed, partitions, shingle_hashes
 
 WORDS = 5
 #: Postings of an index task; postings that a task holds before it passes them on, and shingles that it counts at a time.
-LIST_TASK, BUFFER, COUNTED = 250_000, 500_000, 1_000_000
+LIST_TASK, BUFFER, COUNTED = 200_000, 500_000, 1_000_000
 #: A list of more sets than this is dealt to chunks of about so many.
 LIST_MOST = 100_000
 #: Sets and shingles of a block when links are counted, about, and shingles of small components counted in one task.
@@ -518,11 +518,10 @@ def join(docs: DataFrame, words: int = WORDS, num: int = 75, den: int = 100, id_
             out.append(_packed(sid[at], component[at], n[at], [sketch[i] for i in at]))
         return pa.table({"bucket": right["bucket"], "info": pa.array(out, pa.binary())})
 
-    of_bucket = scratch.write(info.groupBy("k").cogroup(lists.mapInArrow(ask, "k bigint, bucket bigint, sids binary").repartition(max(partitions(spark), tasks), "k").groupBy("k")).applyInArrow(answer, "bucket bigint, info binary"))
+    of_bucket = info.groupBy("k").cogroup(lists.mapInArrow(ask, "k bigint, bucket bigint, sids binary").groupBy("k")).applyInArrow(answer, "bucket bigint, info binary")
 
-    # a work is one bucket of lists, or two chunks of one list that don't lie within the same component
-    work = lists.select("bucket").selectExpr("bucket x", "bucket y")
-    if (chunks > 1).any():
+    def works() -> DataFrame:
+        """(x, y): a work is one bucket of lists, or two chunks of one list that don't lie within the same component."""
 
         def spans(batches):
             for batch in batches:
@@ -534,9 +533,8 @@ def join(docs: DataFrame, words: int = WORDS, num: int = 75, den: int = 100, id_
         of_list = spark.createDataFrame([(buckets + int(f) + i, int(f)) for f, c in zip(first_chunk[hot], chunks[hot]) for i in range(int(c))], "bucket bigint, list bigint")
         span = span.join(of_list, "bucket")
         other = span.toDF("y", "lo2", "hi2", "list")
-        work = work.unionByName(span.withColumnRenamed("bucket", "x").join(other, "list").where("x < y and not (lo = hi and lo2 = hi2 and lo = lo2)").select("x", "y"))
-    work = scratch.write(work)
-    placed = work.selectExpr("x", "y", "explode(array_distinct(array(x, y))) bucket")
+        own = lists.select("bucket").selectExpr("bucket x", "bucket y")
+        return own.unionByName(span.withColumnRenamed("bucket", "x").join(other, "list").where("x < y and not (lo = hi and lo2 = hi2 and lo = lo2)").select("x", "y"))
 
     def crossing(left, right):
         parts = [_unpacked(x) for x in right["info"].to_pylist()]
@@ -578,8 +576,14 @@ def join(docs: DataFrame, words: int = WORDS, num: int = 75, den: int = 100, id_
         pairs = _distinct(np.concatenate(out, axis=1))
         return pa.table({"a": pairs[0], "b": pairs[1]})
 
-    of_work = lambda df, *names: placed.join(df, "bucket").toDF("bucket", *names, df.columns[-1]).repartition(spread, *names).groupBy(*names)
-    rest = near(of_work(lists, "x", "y").cogroup(of_work(of_bucket, "x2", "y2")).applyInArrow(lambda left, right: crossing(left, right), "a bigint, b bigint"))
+    if (chunks > 1).any():
+        of_bucket = scratch.write(of_bucket)
+        placed = scratch.write(works()).selectExpr("x", "y", "explode(array_distinct(array(x, y))) bucket")
+        of_work = lambda df, *names: placed.join(df, "bucket").toDF("bucket", *names, df.columns[-1]).repartition(spread, *names).groupBy(*names)
+        met = of_work(lists, "x", "y").cogroup(of_work(of_bucket, "x2", "y2"))
+    else:
+        met = lists.repartition(spread, "bucket").groupBy("bucket").cogroup(of_bucket.repartition(spread, "bucket").groupBy("bucket"))
+    rest = near(met.applyInArrow(lambda left, right: crossing(left, right), "a bigint, b bigint"))
     rest = scratch.write(rest.join(first.select("a", "b"), ["a", "b"], "left_anti").join(first.selectExpr("a as b", "b as a"), ["a", "b"], "left_anti"))
     # a set near its pivot is compared through the pivot
     via = linked.where("plus is not null").groupBy("a").agg(F.min_by(F.struct("b", "plus", "minus"), F.length("plus") + F.length("minus")).alias("v"))
