@@ -336,5 +336,6 @@ def op6(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document with its codes."""
+    """Each row with the codes of its whole text, each for itself: null codes of a null text, none of an empty one. Rows of one
+    id or of none stay; an empty table gives an empty one."""
     return encode(docs).select("doc_id", "tokens", "n_tokens", "ids_sha256", "restored")

@@ -160,7 +160,8 @@ def op7(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data masked."""
+    """All rows, with personal data in their whole texts masked, each row for itself. Null and empty texts stay as they are,
+    as do rows without an id and columns of any names; an empty table gives an empty one."""
     return mask(docs)
 
 

@@ -266,7 +266,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 
 def score(docs: DataFrame, model: Model, reject: float = REJECT, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """(doc_id, severity, grade, toxic) of every row over its whole text; with ``keep`` the rows' own columns instead,
-    of those that aren't toxic. A null or empty text has no words, and the severity of none. Rows of one id are
+    of those that aren't toxic. Toxic is a severity of ``reject`` or more that words of the text speak for. A null or empty
+    text has no words, and the severity of none. Rows of one id are
     scored each for itself."""
     known = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -275,10 +276,11 @@ def score(docs: DataFrame, model: Model, reject: float = REJECT, id_col: str = "
             texts = batch.column(text_col if keep else "text")
             m = np.array([known.value.margin(t.as_buffer().to_pybytes()) if t.is_valid else 0.0 for t in texts])
             s = expected_severity(m, known.value.cut) if m.size else m
+            bad = (s >= reject) & (m > 0)
             if keep:
-                yield batch.filter(pa.array(s < reject, pa.bool_()))
+                yield batch.filter(pa.array(~bad, pa.bool_()))
             else:
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "severity": np.round(s, 6), "grade": np.rint(s).astype(np.int32), "toxic": s >= reject})
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "severity": np.round(s, 6), "grade": np.rint(s).astype(np.int32), "toxic": bad})
 
     if keep:
         return docs.mapInArrow(lean(severity), docs.schema)

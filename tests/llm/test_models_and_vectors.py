@@ -297,6 +297,48 @@ def test_search_prunes_only_what_cannot_win():
 # ---------------------------------------------------------------- pipeline
 
 
+def awkward_docs(spark):
+    """Nulls in any column, empty and long texts, repeated rows and ids, columns named as those within the operators."""
+    texts = [" ".join(random.Random(i).choices([f"w{k}" for k in range(97)], k=40)) for i in range(20)]
+    fine = texts.__getitem__
+    rows = [(i, fine(i), "s") for i in range(20)] + [(30, fine(3), "t"), (31, fine(3) + " more", None), (2, fine(2), "s"), (2, fine(9) + " x y z", "s"), (40, None, "s"), (41, "", None), (42, " \n", "s"), (43, "one two", "s"), (44, "ONE  two", "s"), (None, fine(5), "s"), (None, None, None), (45, "long " * 30000, "s"), (46, "mail a@b.cd from 10.0.0.1 é", "s")]
+    return frame(spark, rows).withColumns({n: F.lit("z") for n in ("sid", "n", "pii", "h", "copies", "y", "tokens", "component_id", "d")}), rows
+
+
+def test_stages_with_awkward_rows(spark, tmp_path):
+    import corpus_pipeline
+    from folioframe.llm import jaccard, pieces
+
+    docs, rows = awkward_docs(spark)
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(20)] + [(40, 1, 1), (None, 1, 1), (3, 1, None)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    d = str(tmp_path)
+    told = lambda df: sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "", r["text"] is None) for r in df.collect()))
+    every = told(docs)
+    # no label tells on any word here, so nobody is toxic but by the words that toxic rows alone share
+    kept = stages["toxicity"](spark, docs, d)
+    assert kept.columns == docs.columns and set(told(kept)) <= set(every)
+    assert {r for r in every if r[3] or not r[2].strip()} <= set(told(kept))
+    # of equal and near texts the least id stays with all its rows; empty ones and rows without an id stay
+    alone = stages["ngram_jaccard"](spark, docs, d)
+    ids = [r["doc_id"] for r in alone.collect()]
+    assert alone.columns == docs.columns and not {30, 31, 44} & set(ids) and {3, 40, 41, 42, 43, 45} <= set(ids) and ids.count(2) == 3 and ids.count(None) == 2
+    reps = {r["doc_id"] for r in jaccard.join(docs).where("doc_id = component_id").collect()}
+    assert {i for i in ids if i is not None} == reps
+    masked = stages["pii"](spark, docs, d)
+    assert masked.columns == docs.columns and [r["text"] for r in masked.where("doc_id = 46").collect()] == ["mail <email> from <ip> é"]
+    assert [r for r in told(masked) if r[1] != 46] == [r for r in every if r[1] != 46]
+    coded = stages["sentencepiece"](spark, docs, d)
+    assert coded.columns == ["doc_id", "tokens", "n_tokens", "ids_sha256", "restored"] and coded.count() == len(rows) and coded.where("not restored").count() == 0
+    assert coded.where("tokens is null").count() == sum(t is None for _, t, _ in rows)
+    p = pieces.vocabulary(pieces.model_path(), "bpe")
+    want = {i: p.encode([t.encode()])[0].tolist() for i, t, _ in rows if t is not None and i not in (None, 2)}
+    assert {r["doc_id"]: list(r["tokens"]) for r in coded.where("tokens is not null and doc_id is not null and doc_id <> 2").collect()} == want
+    for name, stage in stages.items():
+        assert stage(spark, docs.limit(0), d).collect() == [], name
+
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_pipeline(spark):
     import corpus_pipeline
