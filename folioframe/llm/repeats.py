@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, lean, mixed
+from .common import Scratch, lean, mixed, partitions
 
 DEPTH, GRAM = 50, 18
 #: Postings of a sorting task, postings held before they are passed on, and bytes of text that one task joins.
@@ -295,10 +295,12 @@ def dedup(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, id_col: str = "
     tasks = max(1, total // TEXT_TASK + 1)
     key = lambda df: df.mapInArrow(_of_doc(tasks), "doc_id bigint, text string, key bigint")
     keyed = "key bigint, r binary, q binary"
-    second = scratch.write(_gather(real, depth, gram, sorts, tasks).groupBy("key").applyInArrow(_sorted_pass(depth, sorts, tasks), keyed))
+    # tasks follow the input, so that none grows with it
+    dealt = lambda df, n: df.repartition(max(partitions(spark), int(n)), "key").groupBy("key")
+    second = scratch.write(dealt(_gather(real, depth, gram, sorts, tasks), sorts + tasks).applyInArrow(_sorted_pass(depth, sorts, tasks), keyed))
     asked = second.where("q is not null").select("key", "q")
-    spans = key(real).groupBy("key").cogroup(asked.groupBy("key")).applyInArrow(_spans(depth, gram, sorts), "key bigint, q binary, b binary")
-    third = scratch.write(spans.groupBy("key").applyInArrow(_last_passes(depth, gram, tasks), keyed))
+    spans = dealt(key(real), tasks).cogroup(dealt(asked, tasks)).applyInArrow(_spans(depth, gram, sorts), "key bigint, q binary, b binary")
+    third = scratch.write(dealt(spans, sorts).applyInArrow(_last_passes(depth, gram, tasks), keyed))
     ranges = second.where("r is not null").select("key", "r").unionAll(third.select("key", "r"))
     extra = ", kept binary, spans array<struct<start:bigint,stop:bigint>>" * texts
 
@@ -317,7 +319,7 @@ def dedup(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, id_col: str = "
         types = {"doc_id": pa.int64(), "m": pa.string(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary(), "spans": pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))}
         return pa.table({k: pa.array(out[k], types[k]) for k in names})
 
-    done = key(docs).groupBy("key").cogroup(ranges.groupBy("key")).applyInArrow(cut, "doc_id bigint, m string, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + extra)
+    done = dealt(key(docs), tasks).cogroup(dealt(ranges, tasks)).applyInArrow(cut, "doc_id bigint, m string, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + extra)
     done = done.join(copies.withColumnRenamed("m", "m2"), F.col("m") == F.col("m2"), "left")
     # all windows of a copy start in the least document of its text
     copy = (F.col("doc_id") > F.col("least")) & (F.col("n_bytes") >= depth)
