@@ -633,7 +633,8 @@ def op1(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one of the least id, with all rows of that id; documents
-    without words and rows without an id stay."""
+    without words, of null text among them, and rows without an id stay. An empty table gives an empty one, and columns of
+    any names stay."""
     kept = join(docs).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
