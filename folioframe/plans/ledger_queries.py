@@ -19,6 +19,7 @@ from ..operators import relational as R
 from ..operators import retrieval as V
 from ..operators import serving as S
 from ..operators import threads as TH
+from ..schemas import ANSWERS
 from ..sources import mailbox, tables
 from ..streaming import ingest
 from .queries import query, table
@@ -859,3 +860,101 @@ def accepted_uploads(spark, d):
 def rendered_threads(spark, d):
     m = frame(spark, d, "messages").withColumn("quoted_text", F.lit(""))
     return TH.render(m).select("thread_id", F.md5("text").alias("digest"))
+
+
+# ---------------------------------------------------------------- people, questions and reconciled answers
+
+_NAMED = """select c_custkey, concat('c', c_custkey, '@', case when c_custkey % 5 < 3 then 'in' else concat('d', c_nationkey) end, '.example') addr,
+  concat(substr(md5(cast(c_custkey % 60 as string)), 1, 9), ' ', substr(md5(cast(c_custkey % 60 as string)), 10, 9)) "name" from {customer}"""
+
+
+@query(f"""with p as ({_NAMED.format(customer='customer')}) select "name" canonical_name, count(*) addresses, bool_or(addr like '%@in.example') is_internal from p group by 1""")
+def resolved_people(spark, d):
+    """Addresses of a name are one person, within a domain and across."""
+    p = spark.sql(_NAMED.replace('"name"', "name"), customer=table(spark, d, "customer"))
+    emails = p.select(F.col("addr").alias("from_addr"), F.col("name").alias("from_name"), F.array().cast("array<struct<name:string,addr:string>>").alias("to_named"))
+    people, idents = I.resolve(Scratch(spark, "people"), emails)
+    n = idents.where("kind = 'email'").groupBy(F.col("person_id").alias("id")).agg(F.count("*").alias("addresses"))
+    return people.join(n, "id").select("canonical_name", "addresses", "is_internal")
+
+
+@query(f"""with p as ({_NAMED.format(customer='customer')}) select a.addr a, b.addr b, true same_name from p a join p b on a."name" = b."name" and a.addr < b.addr and split_part(a.addr, '@', 2) <> split_part(b.addr, '@', 2)""")
+def similar_people(spark, d):
+    p = spark.sql(_NAMED.replace('"name"', "name"), customer=table(spark, d, "customer"))
+    return I.similar_pairs(p, "addr", "name")
+
+
+@query(over("people") + """, m as (select id, canonical_name, 'Head of ' || (id % 7) role, 'Org ' || (id % 4) org from people) select id, role role_guess, org from m""")
+def signed_roles(spark, d):
+    people = frame(spark, d, "people").select("id", "canonical_name", F.lit(None).cast("string").alias("role_guess"), F.lit("x").alias("org"), "is_internal")
+    idents = frame(spark, d, "identities").where("value like 's%@x.example'")
+    often = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))
+    mails = people.withColumn("k", often).select(
+        F.concat(F.lit("s"), "id", F.lit("@x.example")).alias("from_addr"), F.concat(F.lit("<"), "id", F.lit("."), "k", F.lit(">")).alias("message_id"), F.timestamp_seconds(F.col("k")).alias("sent_at"),
+        F.concat(F.lit("hello\n\n"), "canonical_name", F.lit("\nHead of "), F.when(F.col("k") == 1, F.lit("nothing")).otherwise((F.col("id") % 7).cast("string")), F.lit(", Org "), (F.col("id") % 4).cast("string")).alias("body_raw"),
+    )
+    return I.roles(mails, people, idents).select("id", "role_guess", "org")
+
+
+_CHAIN = (over("decisions", "edges") + ", g as (select src x, dst y from edges union all select dst, src from edges), r(node) as (select decision_id from decisions where authority_flag and status = 'contested' union select y from r join g on x = node)").replace("with decisions", "with recursive decisions", 1)
+
+
+@query(_CHAIN + " select decision_id, decided_at > '1998-01-01' after_as_of from decisions where decision_id in (select node from r)")
+def answer_context(spark, d):
+    decisions, edges, evidence, emails = frames(spark, d, "decisions", "edges", "evidence", "emails")
+    seeds = decisions.where("authority_flag and status = 'contested'").select(F.col("decision_id").alias("node"))
+    emails = emails.withColumn("fwd_meta", F.lit(None).cast("struct<from_name:string,from_addr:string,date:string>"))
+    return S.context(Scratch(spark, "context"), seeds, decisions, edges, evidence, emails, "1998-01-01")["decisions"].select("decision_id", "after_as_of")
+
+
+_LONG = "length(trim(substr(new_text, 1, 30), ' .,;:!?\"''-')) >= 3"
+
+
+@query(over("messages") + f"""select message_id answer_id, 'Told by ' || from_name || ' [^1].' answer_md, 'found' status, case when pos % 2 = 0 then 'low' else 'medium' end confidence, 1 caveats from messages where {_LONG}""")
+def answered_questions(spark, d):
+    """One answer for each message: a cited sentence, one that nothing backs, and now and then a citation that doesn't hold."""
+    m = frame(spark, d, "messages").where(F.length(F.regexp_replace(F.substring("new_text", 1, 30), r"^[ .,;:!?\"'-]+|[ .,;:!?\"'-]+$", "")) >= 3)
+    cite = lambda n, q: F.struct(F.lit(n).alias("n"), F.col("message_id"), q.alias("quote"))
+    good = F.array(cite(1, F.substring("new_text", 1, 30)))
+    cites = F.when(F.col("pos") % 2 == 0, F.concat(good, F.array(cite(2, F.lit("zq zq"))))).otherwise(good)
+    md = F.concat(F.lit("Told by "), "from_name", F.lit(" [^1]. Nobody knows why."))
+    answer = F.struct(F.lit("found").alias("status"), md.alias("answer_md"), cites.alias("citations"), F.array(F.lit("DEC-1")).alias("decision_ids"), F.lit("high").alias("confidence"), F.array().cast("array<string>").alias("caveats"), F.array().cast("array<struct<message_id:string,why:string>>").alias("closest"))
+    known = spark.createDataFrame([("DEC-1", "explicit")], "decision_id string, decision_type string")
+    out = V.answered(m.select(F.col("message_id").alias("answer_id"), answer.alias("answer")), None, m.select("message_id", "new_text", "fwd_text"), known)
+    return out.select("answer_id", "answer_md", "status", "confidence", F.size("caveats").alias("caveats"))
+
+
+@query("""with c as (select conv_id, turn, row_number() over (partition by conv_id order by turn) a, count(*) over (partition by conv_id) n from conversations where length(trim(substr(text, 1, 30), ' .,;:!?"''-')) >= 3),
+f as (select conv_id, a, row_number() over (partition by conv_id order by a) k from c where turn % 2 = 0 and a > 1 and n > 1)
+select 'C-' || conv_id cluster_id, 'd1' temp_id, 'R-' || conv_id || '-' || turn source from c where a = 1 and (n > 1 or turn % 2 = 0) union all select 'C-' || f.conv_id, 'dr' || k, 'R-' || f.conv_id || '-' || c.turn from f join c using (conv_id, a)
+union all select 'C-' || conv_id, 'd1', 'R-' || conv_id || '-' || turn from c where a = 1 and n = 1 and turn % 2 = 1""")
+def reconciled(spark, d):
+    """A record for each message, those of even turns final; the answers merge a conversation's first record and leave out
+    the others."""
+    m = frame(spark, d, "messages").where(F.length(F.regexp_replace(F.substring("new_text", 1, 30), r"^[ .,;:!?\"'-]+|[ .,;:!?\"'-]+$", "")) >= 3).withColumn("sent_tz", F.lit("+0000"))
+    rid, none = F.concat_ws("-", F.lit("R"), "conv_id", "turn"), F.lit(None).cast("string")
+    empty = F.array().cast("array<string>")
+    recs = m.select(
+        rid.alias("record_id"), "thread_id", F.lit("topic").alias("topic_label"), F.lit("do it").alias("decision_text"), F.when(F.col("turn") % 2 == 0, "final").otherwise("proposed").alias("stance"), F.lit("explicit").alias("decision_type"), empty.alias("decided_by"),
+        F.format_string("2026-01-%02d", F.col("turn") + 1).alias("decision_date"), none.alias("rationale"), empty.alias("alternatives"), none.alias("conditions"), none.alias("overrides_hint"), none.alias("authority_note"), F.lit(0.5).alias("confidence"), F.concat(F.lit("C-"), "conv_id").alias("cluster_id"),
+    )
+    ev = m.select(F.lit(1).cast("long").alias("id"), F.lit("record").alias("owner_kind"), rid.alias("owner_id"), "message_id", F.substring("new_text", 1, 30).alias("quote"), F.lit("decision").alias("role"), F.lit(True).alias("verified"))
+    said = '{"cluster_topic": "t", "decisions": [{"decision_id_temp": "d1", "canonical_text": "x", "decided_by": [], "decided_at": "2026-01-01", "alternatives": [], "decision_type": "explicit", "status": "active", "authority_flag": false, "merged_record_ids": ["r1"], "confidence": 0.9, "evidence": [{"message_id": "e1", "quote": "zq zq", "role": "decision"}]}], "edges": [], "conflicts": [], "current_state": "", "non_decisions": []}'
+    answers = recs.select("cluster_id").distinct().withColumn("answer", F.from_json(F.lit(said), ANSWERS["reconcile"]))
+    out = L.reconcile(recs, ev, m, answers)["decisions"]
+    return out.select("cluster_id", "temp_id", F.col("sources")[0].alias("source"))
+
+
+@query(over("messages") + "select message_id, 'ask [email] or [phone], pay [IBAN]' note, message_id inner_id, ['by [email]'] tags from messages")
+def redacted_rows(spark, d):
+    m = frame(spark, d, "messages").select("message_id", F.concat(F.lit("ask "), "from_addr", F.lit(" or +31 20 555 12 34, pay NL91ABNA0417164300")).alias("note"), F.struct(F.col("message_id"), F.array(F.concat(F.lit("by "), "from_addr")).alias("tags")).alias("x"))
+    return T.redact(m).select("message_id", "note", F.col("x.message_id").alias("inner_id"), "x.tags")
+
+
+@query("""with m as (select event_type, round(avg(value), 3) v, row_number() over (order by event_type) i from events group by 1)
+select i line, '| ' || event_type || ' | ' || regexp_replace(printf('%.3f', v), '[.]?0+$', '') || ' | 50 | ' || case when v >= 50 then 'yes' else 'no' end || ' |' as "text" from m""")
+def scorecard(spark, d):
+    m = table(spark, d, "events").groupBy("event_type").agg(F.round(F.avg("value"), 3).alias("v")).orderBy("event_type").collect()
+    text = tables.scorecard([{"name": r["event_type"], "value": r["v"], "target": 50, "met": r["v"] >= 50} for r in m])
+    rows = [(i, line) for i, line in enumerate(text.strip().split("\n")[2:], 1)]
+    return spark.createDataFrame(rows, "line bigint, text string")
