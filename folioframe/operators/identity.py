@@ -48,20 +48,41 @@ def _same_domain(pdf: pd.DataFrame) -> pd.DataFrame:
             return " ".join(w.capitalize() for w in re.split(r"[._-]+", sorted(g["addrs"])[0].split("@")[0]) if w)
         return max(g["names"], key=lambda n: (len(n.split()) >= 2, g["names"][n], len(n), n))
 
-    merged = True
-    while merged:
-        merged = False
-        for i in range(len(groups)):
-            for j in range(i + 1, len(groups)):
-                if similar_names(canonical(groups[i]), canonical(groups[j])):
-                    other = groups.pop(j)
-                    groups[i]["addrs"] += other["addrs"]
-                    for n, c in other["names"].items():
-                        groups[i]["names"][n] = groups[i]["names"].get(n, 0) + c
-                    merged = True
-                    break
-            if merged:
+    for g in groups:
+        g["norm"] = norm_name(canonical(g))
+    known: dict[tuple, bool] = {}
+
+    def alike(x, y) -> bool:
+        a, b = x["norm"], y["norm"]
+        if a == b:
+            return bool(a)
+        if (a, b) not in known:
+            known[a, b] = similar_names(a, b)
+        return known[a, b]
+
+    def merge(i: int, j: int) -> bool:
+        """Takes the later group into the earlier one; whether its name changed."""
+        one, other = groups[i], groups.pop(j)
+        one["addrs"] += other["addrs"]
+        for n, c in other["names"].items():
+            one["names"][n] = one["names"].get(n, 0) + c
+        before, one["norm"] = one["norm"], norm_name(canonical(one))
+        return one["norm"] != before
+
+    # always the first pair that is alike: pairs before it that weren't stay so, unless the merged group's name changed
+    i, since = 0, 1
+    while i < len(groups):
+        j = next((j for j in range(max(since, i + 1), len(groups)) if alike(groups[i], groups[j])), None)
+        if j is None:
+            i, since = i + 1, 0
+            continue
+        changed, since = merge(i, j), j
+        while changed:
+            since = 0
+            k = next((k for k in range(i) if alike(groups[k], groups[i])), None)
+            if k is None:
                 break
+            changed, i = merge(k, i), k
     return pd.DataFrame([(a, min(g["addrs"]), canonical(g)) for g in groups for a in g["addrs"]], columns=["addr", "person", "canonical"])
 
 

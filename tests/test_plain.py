@@ -162,6 +162,31 @@ def test_similar_people(spark):
     assert got == want and len(want) >= 4
 
 
+def test_people_of_a_domain_merge_as_by_restarts():
+    """The pairs of a domain merge in the order that starting anew after each merge would give."""
+    import random
+
+    from folioframe.functions.matching import similar_names
+
+    def plain(pdf):
+        groups = []
+        for addr, part in pdf.sort_values(["addr", "name"]).groupby("addr", sort=True):
+            groups.append({"addrs": [addr], "names": {n: c for n, c in zip(part["name"], part["n"]) if isinstance(n, str)}})
+        name = lambda g: max(g["names"], key=lambda n: (len(n.split()) >= 2, g["names"][n], len(n), n)) if g["names"] else " ".join(w.capitalize() for w in re.split(r"[._-]+", min(g["addrs"]).split("@")[0]) if w)
+        while pair := next(((i, j) for i in range(len(groups)) for j in range(i + 1, len(groups)) if similar_names(name(groups[i]), name(groups[j]))), None):
+            one, other = groups[pair[0]], groups.pop(pair[1])
+            one["addrs"] += other["addrs"]
+            one["names"] = {n: one["names"].get(n, 0) + other["names"].get(n, 0) for n in {**one["names"], **other["names"]}}
+        return sorted((a, min(g["addrs"]), name(g)) for g in groups for a in g["addrs"])
+
+    rng = random.Random(1)
+    first, last = "Ann Anne Bob Kim Maria Mario Jon John Lee Li".split(), "Lee Ray Smith Smyth Smithe Oord Garcia Lopez".split()
+    for _ in range(150):
+        rows = {(f"a{k}@x", rng.choice([None, rng.choice(first), *(f"{rng.choice(first)} {rng.choice(last)}" for _ in range(4))])): rng.randrange(1, 4) for k in range(rng.randrange(1, 12)) for _ in range(2)}
+        pdf = pd.DataFrame([(*k, n) for k, n in rows.items()], columns=["addr", "name", "n"])
+        assert sorted(map(tuple, I._same_domain(pdf).to_numpy().tolist())) == plain(pdf)
+
+
 def test_reachable_along_a_long_chain(spark):
     from folioframe.operators.graph import reachable
     from folioframe.plans.scratch import Scratch
