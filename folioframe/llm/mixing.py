@@ -162,8 +162,8 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     key, n, c, k, at = (fresh(docs, x) for x in ("_h", "_copies", "_all", "_rows", "_at"))
     taken = mix(docs).groupBy(F.col("h").alias(key + "m")).agg(F.sum("copies").alias(c), F.count("*").alias(k)).where(F.col(c) > 0)
     rows = docs.withColumn(key, row_hash()).join(taken, F.col(key) == F.col(key + "m"))
-    one = rows.where(F.col(k) == 1).withColumn(n, F.col(c))
-    nth = F.row_number().over(Window.partitionBy(key).orderBy(key))
-    several = rows.where(F.col(k) > 1).withColumn(at, nth).withColumn(n, F.floor(F.col(c) / F.col(k)) + F.when(F.col(at) <= F.col(c) % F.col(k), 1).otherwise(0)).drop(at)
-    out = one.unionByName(several).where(F.col(n) > 0)
+    # the join has dealt and sorted the rows by their hash, as the window wants them
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))
+    share = F.floor(F.col(c) / F.col(k)) + F.when(F.col(at) <= F.col(c) % F.col(k), 1).otherwise(0)
+    out = rows.withColumn(at, nth).withColumn(n, share).where(F.col(n) > 0)
     return out.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).select(*docs.columns)
