@@ -72,7 +72,7 @@ def direct_decisions(recs: DataFrame, evidence: DataFrame) -> DataFrame:
     return one.select("cluster_id", F.concat(F.lit("x-"), F.col("record_id")).alias("temp_id"), F.col("decision_text").alias("canonical_text"), "decided_by", F.col("decision_date").alias("decided_at"), "rationale", "alternatives", "decision_type", F.lit("active").alias("status"), F.lit(False).alias("authority_flag"), "authority_note", "confidence", F.array("record_id").alias("sources"))
 
 
-def prompt_aliases(recs: DataFrame, evidence: DataFrame, emails: DataFrame, most: int = 80) -> tuple[DataFrame, DataFrame]:
+def prompt_aliases(recs: DataFrame, evidence: DataFrame, emails: DataFrame, most: int = 40) -> tuple[DataFrame, DataFrame]:
     """(cluster_id, alias, record_id) and (cluster_id, alias, message_id): how a cluster's prompt names its records, r1 on by
     date, and its mails, e1 on by time: those that the records cite, and their whole threads where that is no more than
     ``most`` mails."""
