@@ -92,22 +92,25 @@ def similar_pairs(people: DataFrame, key: str = "person", name: str = "canonical
 
     Names that are alike share a word, or else so many letters that they share pairs of neighbouring ones: of two texts
     of ratio 0.9 each keeps all but four tenths of its pairs, so one of its rarest ones is in the other too."""
-    p = people.select(key, F.col(name).alias("name"), T.domain_of(F.col(key)).alias("domain")).withColumn("norm", normalized_name("name")).where("norm <> ''")
-    p = p.withColumn("sorted", F.array_join(F.array_sort(F.array_distinct(F.split("norm", " "))), " "))
-    words = p.select(key, F.explode(F.array_distinct(F.split("norm", " "))).alias("at"))
+    p = people.select(F.col(key).alias("k"), T.domain_of(F.col(key)).alias("domain"), normalized_name(name).alias("norm")).where("norm <> ''")
+    # names are compared once each, however many people bear them
+    names = Scratch(people.sparkSession, "names").write(p.select("norm").distinct())
+    flat = names.withColumn("sorted", F.array_join(F.array_sort(F.array_distinct(F.split("norm", " "))), " "))
+    words = flat.select("norm", F.explode(F.array_distinct(F.split("norm", " "))).alias("at"))
     places = F.sequence(F.lit(1), F.greatest(F.length("sorted") - 1, F.lit(1)))
-    grams = p.select(key, F.length("sorted").alias("n"), F.posexplode(F.transform(places, lambda i: F.substr("sorted", i, F.lit(2)))).alias("pos", "gram"))
-    nth = Window.partitionBy(key, "gram").orderBy("pos")
-    grams = grams.withColumn("at", F.concat_ws("#", F.col("gram"), F.row_number().over(nth).cast("string"))).select(key, "n", "at")
-    rarest = Window.partitionBy(key).orderBy("c", "at")
+    grams = flat.select("norm", F.length("sorted").alias("n"), F.posexplode(F.transform(places, lambda i: F.substr("sorted", i, F.lit(2)))).alias("pos", "gram"))
+    nth = Window.partitionBy("norm", "gram").orderBy("pos")
+    grams = grams.withColumn("at", F.concat_ws("#", F.col("gram"), F.row_number().over(nth).cast("string"))).select("norm", "n", "at")
+    rarest = Window.partitionBy("norm").orderBy("c", "at")
     kept = F.col("n") - 1 - F.greatest(F.ceil(0.6 * F.col("n") - 1), F.lit(1)) + 1
-    grams = grams.join(grams.groupBy("at").agg(F.count("*").alias("c")), "at").withColumn("r", F.row_number().over(rarest)).where(F.col("r") <= F.greatest(kept, F.lit(1))).select(key, F.concat(F.lit("#"), "at").alias("at"))
+    grams = grams.join(grams.groupBy("at").agg(F.count("*").alias("c")), "at").withColumn("r", F.row_number().over(rarest)).where(F.col("r") <= F.greatest(kept, F.lit(1))).select("norm", F.concat(F.lit("#"), "at").alias("at"))
     where = words.unionByName(grams)
-    met = where.withColumnRenamed(key, "a").join(where.withColumnRenamed(key, "b"), "at").where("a < b").select("a", "b").distinct()
-    side = lambda s: p.select(F.col(key).alias(s), F.col("norm").alias(f"n{s}"), F.col("domain").alias(f"d{s}"))
-    met = met.join(side("a"), "a").join(side("b"), "b").where("da <> db").where(F.size(F.split("na", " ")) >= 2)
-    alike = met.where((F.col("na") == F.col("nb")) | names_alike("na", "nb"))
-    return alike.select("a", "b", (F.col("na") == F.col("nb")).alias("same_name"))
+    met = where.withColumnRenamed("norm", "na").join(where.withColumnRenamed("norm", "nb"), "at").where("na < nb").select("na", "nb").distinct()
+    alike = met.where(names_alike("na", "nb"))
+    both = alike.unionAll(alike.select(F.col("nb").alias("na"), F.col("na").alias("nb"))).unionAll(names.select(F.col("norm").alias("na"), F.col("norm").alias("nb"))).where(F.size(F.split("na", " ")) >= 2)
+    side = lambda s: p.select(F.col("k").alias(s), F.col("norm").alias(f"n{s}"), F.col("domain").alias(f"d{s}"))
+    out = both.join(side("a"), "na").join(side("b"), "nb").where("a < b and da <> db")
+    return out.select("a", "b", (F.col("na") == F.col("nb")).alias("same_name"))
 
 
 def people_by_address(identities: DataFrame, people: DataFrame) -> DataFrame:
