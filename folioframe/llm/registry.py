@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, licenses, mixing, pieces, pii, quality, repeats, toxicity, vectors
+from . import jaccard, licenses, mixing, pieces, pii, quality, repeats, toxicity, trie, vectors
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_mixing": mixing.op8,
         "op9_topk": vectors.op9,
         "op10_licenses": licenses.op10,
+        "op11_prefix_trie": trie.op11,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": jaccard.ORACLE, "op3_embedding_neardup": vectors.ORACLE_LINKS, "op4_suffix_dedup": repeats.ORACLE, "op7_pii": pii.ORACLE, "op9_topk": vectors.ORACLE_TOP}
+    return {"op1_ngram_jaccard": jaccard.ORACLE, "op3_embedding_neardup": vectors.ORACLE_LINKS, "op4_suffix_dedup": repeats.ORACLE, "op7_pii": pii.ORACLE, "op9_topk": vectors.ORACLE_TOP, "op11_prefix_trie": trie.ORACLE}
