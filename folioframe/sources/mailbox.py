@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from ..functions.mailbody import html_to_text, split_body
 from ..schemas import DDL
+from .mailfiles import SUFFIXES, raw_messages, reachable
 
-SUFFIXES = (".eml", ".mbox", ".zip")
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
@@ -89,11 +89,18 @@ def parse_message(data: bytes, source_file: str) -> dict:
     }
 
 
+_COLUMNS = [*(c.split(" ")[0] for c in DDL["emails"].replace("struct<", "struct:").split(", ")), "_path", "_at"]
+
+
 def _rows(batches):
-    columns = [c.split(" ")[0] for c in DDL["emails"].replace("struct<", "struct:").split(", ")]
     for pdf in batches:
         rows = [parse_message(data, name) | {"_path": path, "_at": at} for path, content in zip(pdf["path"], pdf["content"]) for at, (name, data) in enumerate(_members(path, content))]
-        yield pd.DataFrame(rows, columns=[*columns, "_path", "_at"])
+        yield pd.DataFrame(rows, columns=_COLUMNS)
+
+
+def _parsed(batches):
+    for pdf in batches:
+        yield pd.DataFrame([parse_message(r.content, r.source_file) | {"_path": r.path, "_at": r.at} for r in pdf.itertuples()], columns=_COLUMNS)
 
 
 def messages_of(files: DataFrame) -> DataFrame:
@@ -102,8 +109,12 @@ def messages_of(files: DataFrame) -> DataFrame:
     return files.where(wanted).mapInPandas(_rows, DDL["emails"] + ", _path string, _at bigint")
 
 
-def scan(spark: SparkSession, *paths: str) -> DataFrame:
-    """Every message under the paths, with repeats. Files are split over the executors by Spark's binary reader."""
+def scan(spark: SparkSession, *paths: str, **options) -> DataFrame:
+    """Every message under the paths, with repeats. Large mailboxes and archives are split over tasks (``mailfiles``, which
+    takes the options); _at is a message's byte in its mailbox, and names it. In a store that only Spark's readers reach,
+    each file is one task's and at most 2 GB."""
+    if all(map(reachable, paths)):
+        return raw_messages(spark, *paths, **options).mapInPandas(_parsed, DDL["emails"] + ", _path string, _at bigint")
     return messages_of(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)).select("path", "content"))
 
 
@@ -113,9 +124,9 @@ def first_seen(messages: DataFrame, key: str = "message_id", order: tuple = ("_p
     return messages.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def load_emails(spark: SparkSession, *paths: str) -> DataFrame:
+def load_emails(spark: SparkSession, *paths: str, **options) -> DataFrame:
     """Messages, each id once, by time and id."""
-    return first_seen(scan(spark, *paths)).drop("_path", "_at").orderBy("sent_at", "message_id")
+    return first_seen(scan(spark, *paths, **options)).drop("_path", "_at").orderBy("sent_at", "message_id")
 
 
 # ---------------------------------------------------------------- mailboxes made of tables
