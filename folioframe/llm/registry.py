@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, licenses, mixing, pieces, pii, quality, repeats, toxicity, trie, vectors
+from . import jaccard, leaks, licenses, mixing, names, pieces, pii, quality, repeats, toxicity, trie, vectors
 
 
 def queries() -> dict:
@@ -18,8 +18,10 @@ def queries() -> dict:
         "op9_topk": vectors.op9,
         "op10_licenses": licenses.op10,
         "op11_prefix_trie": trie.op11,
+        "op12_name_join": names.op12,
+        "op13_decontaminate": leaks.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": jaccard.ORACLE, "op3_embedding_neardup": vectors.ORACLE_LINKS, "op4_suffix_dedup": repeats.ORACLE, "op7_pii": pii.ORACLE, "op9_topk": vectors.ORACLE_TOP, "op11_prefix_trie": trie.ORACLE}
+    return {"op1_ngram_jaccard": jaccard.ORACLE, "op3_embedding_neardup": vectors.ORACLE_LINKS, "op4_suffix_dedup": repeats.ORACLE, "op7_pii": pii.ORACLE, "op9_topk": vectors.ORACLE_TOP, "op11_prefix_trie": trie.ORACLE, "op12_name_join": names.ORACLE, "op13_decontaminate": leaks.ORACLE}
