@@ -229,13 +229,13 @@ _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'
 ORACLE = f"""
 with d as (select doc_id, row_number() over () r, {_WORDS} w from documents),
 i as (select item_id, {_WORDS} w from benchmark where text is not null),
-win as (select distinct item_id, k, array_to_string(w[at:at + k - 1], ' ') g from
-  (select item_id, w, least(length(w), 10) k, unnest(range(1, length(w) - least(length(w), 10) + 2)) at from i where length(w) > 0)),
+win as (select distinct item_id, k, array_to_string(list_slice(w, s, s + k - 1), ' ') g from
+  (select item_id, w, least(length(w), 10) k, unnest(range(1, length(w) - least(length(w), 10) + 2)) s from i where length(w) > 0)),
 sizes as (select distinct k from win),
-grams as (select r, at, k, array_to_string(w[at:at + k - 1], ' ') g from (select r, w, k, unnest(range(1, length(w) - k + 2)) at from d join sizes on length(w) >= k)),
-met as (select distinct r, at, k, item_id from grams join win using (k, g)),
-hit as (select r, count(distinct p) n from (select r, unnest(range(at, at + k)) p from met) group by r),
-its as (select r, count(*) n, sha256(string_agg(x, ',' order by x)) s from (select distinct r, cast(item_id as varchar) x from met) group by r)
-select d.doc_id, cast(length(d.w) as bigint) n_words, cast(coalesce(hit.n, 0) as bigint) n_hit, cast(coalesce(its.n, 0) as bigint) n_items, coalesce(its.s, sha256('')) items_sha256, coalesce(hit.n, 0) > 0 contaminated
+grams as (select r, s, k, array_to_string(list_slice(w, s, s + k - 1), ' ') g from (select r, w, k, unnest(range(1, length(w) - k + 2)) s from d join sizes on length(w) >= k)),
+met as (select distinct r, s, k, item_id from grams join win using (k, g)),
+hit as (select r, count(distinct p) n from (select r, unnest(range(s, s + k)) p from met) group by r),
+its as (select r, count(*) n, sha256(string_agg(x, ',' order by x)) sha from (select distinct r, cast(item_id as varchar) x from met) group by r)
+select d.doc_id, cast(length(d.w) as bigint) n_words, cast(coalesce(hit.n, 0) as bigint) n_hit, cast(coalesce(its.n, 0) as bigint) n_items, coalesce(its.sha, sha256('')) items_sha256, coalesce(hit.n, 0) > 0 contaminated
 from d left join hit on hit.r = d.r left join its on its.r = d.r
 """

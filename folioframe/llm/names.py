@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean
+from .common import crc_sql, lean
 
 #: Edits of a pair at most. The cuts, shifts and filters below hold for two.
 EDITS = 2
@@ -168,15 +168,9 @@ def op12(spark, sf_dir: str) -> DataFrame:
     return out.agg(F.sum("n").alias("n_clients"), F.min("first").alias("first_client_id"), F.sum("crc").alias("clients_crc"))
 
 
-def _crc(text: str) -> str:
-    """crc32 by its bits in SQL: each byte is followed by seven zeros, and each of these shifts once (0xEDB88320, reflected)."""
-    return f"""xor(cast(4294967295 as bigint), list_reduce(list_prepend(cast(4294967295 as bigint), flatten(list_transform(string_split({text}, ''), lambda b: [cast(ascii(b) as bigint), 0, 0, 0, 0, 0, 0, 0]))),
-  lambda c, x: cast(xor(cast(xor(c, x) >> 1 as bigint), cast(3988292384 * (xor(c, x) & 1) as bigint)) as bigint)))"""
-
-
 #: A swap costs one where neither of its two code points takes another edit: the rest before and behind it is compared plainly.
 ORACLE = f"""
-with h as (select vendor_id, name, length(name) l, {_crc("cast(vendor_id as varchar)")} h from vendors where length(name) > 0),
+with h as (select vendor_id, name, length(name) l, {crc_sql("cast(vendor_id as varchar)")} h from vendors where length(name) > 0),
 v as (select distinct vendor_id, case when h % 2 = 0 and l >= 2 then substring(name, 1, cast(h % (l - 1) as bigint)) || substring(name, cast(h % (l - 1) as bigint) + 2, 1) || substring(name, cast(h % (l - 1) as bigint) + 1, 1) || substring(name, cast(h % (l - 1) as bigint) + 3, l) else name end a from h),
 p as (select a, name b, levenshtein(a, name) d from (select distinct a from v) join (select distinct name from clients where length(name) > 0) on abs(length(a) - length(name)) <= 2 and levenshtein(a, name) <= 4),
 i as (select a, b, d, unnest(range(1, length(a))) i from p),
@@ -185,7 +179,7 @@ one as (select a, b, min(1 + levenshtein(substring(a, 1, i - 1), substring(b, 1,
 two as (select x.a, x.b, 2 d from s x join s y on x.a = y.a and x.b = y.b and x.i = x.j and y.i = y.j and y.i >= x.i + 2
   where substring(x.a, 1, x.i - 1) || substring(x.b, x.i, 2) || substring(x.a, x.i + 2, y.i - x.i - 2) || substring(x.b, y.i, 2) || substring(x.a, y.i + 2, length(x.a)) = x.b),
 near as (select a, b, min(d) d from (select a, b, d from p union all select * from one union all select * from two) group by a, b having min(d) <= 2),
-c as (select name, client_id, {_crc("cast(client_id as varchar)")} crc from clients where length(name) > 0)
+c as (select name, client_id, {crc_sql("cast(client_id as varchar)")} crc from clients where length(name) > 0)
 select v.vendor_id, cast(near.d as int) distance, count(*) n_clients, min(c.client_id) first_client_id, cast(sum(c.crc) as bigint) clients_crc
 from v join near on near.a = v.a join c on c.name = near.b group by 1, 2
 """

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.running import running
-from .common import Scratch, partitions
+from .common import Scratch, crc_sql, partitions
 
 #: The query's rebuilding: conversations by fives take up to this many turns, less one, of the first of their five.
 FAMILY, HEADS = 5, 9
@@ -172,12 +172,9 @@ def op11(spark, sf_dir: str) -> DataFrame:
     return trie(*rebuilt(turns_of(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
 
 
-#: crc32 by its bits: each byte is followed by seven zeros, and each of these shifts once (0xEDB88320, reflected).
-CRC = """xor(cast(4294967295 as bigint), list_reduce(list_prepend(cast(4294967295 as bigint), flatten(list_transform(string_split({}, ''), lambda b: [cast(ascii(b) as bigint), 0, 0, 0, 0, 0, 0, 0]))),
-  lambda c, x: cast(xor(cast(xor(c, x) >> 1 as bigint), cast(3988292384 * (xor(c, x) & 1) as bigint)) as bigint)))"""
 ORACLE = f"""
 with t as (select conv_id c, row_number() over (partition by conv_id order by turn nulls first, role) pos, coalesce(role, '') || chr(1) || coalesce(text, '') turn, coalesce(text, '') txt from conversations where conv_id is not null),
-ids as (select c, count(*) n, {CRC.format("cast(c as varchar)")} % 9 h from t group by c),
+ids as (select c, count(*) n, {crc_sql("cast(c as varchar)")} % 9 h from t group by c),
 seq as (select i.c, t.pos d, t.turn, t.txt from ids i join t on t.c = i.c - i.c % 5 and t.pos <= i.h
   union all select i.c, t.pos - i.h + least(i.h, coalesce(b.n, 0)) d, t.turn, t.txt from ids i join t on t.c = i.c and t.pos > i.h left join ids b on b.c = i.c - i.c % 5),
 pre as (select a.c, a.d, sha256(string_agg(b.turn, chr(2) order by b.d)) k, any_value(a.txt) txt from seq a join seq b on b.c = a.c and b.d <= a.d group by a.c, a.d),
