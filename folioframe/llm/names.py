@@ -136,7 +136,8 @@ def near_names(cut: DataFrame, whole: DataFrame, cut_col: str = "name", whole_co
     apart = F.bit_count(F.col("cut_bag").bitwiseXOR(F.col("whole_bag")))
     plain = F.levenshtein("cut_name", "whole_name", 2 * EDITS)
     within = (apart <= 2 * EDITS) & plain.between(0, 2 * EDITS - F.ceil(apart / 2))
-    met = left.join(right, (F.col("key") == F.col("whole_key")) & within).select("cut_name", "whole_name")
+    # a merge join: the keys of either side grow with the input, so none is broadcast, however few they look
+    met = left.join(right.hint("merge"), (F.col("key") == F.col("whole_key")) & within).select("cut_name", "whole_name")
 
     def verify(batches):
         for batch in batches:
@@ -163,8 +164,8 @@ def op12(spark, sf_dir: str) -> DataFrame:
     pairs = near_names(forms, clients, "form", "name")
     crc = F.crc32(F.col("client_id").cast("string"))
     held = clients.where(F.length("name") > 0).groupBy("name").agg(F.count("*").alias("n"), F.min("client_id").alias("first"), F.sum(crc).alias("crc"))
-    by_form = pairs.join(held, F.col("whole_name") == F.col("name")).groupBy("cut_name", "distance").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.sum("crc").alias("crc"))
-    out = forms.join(by_form, F.col("form") == F.col("cut_name")).groupBy("vendor_id", "distance")
+    by_form = pairs.join(held.hint("merge"), F.col("whole_name") == F.col("name")).groupBy("cut_name", "distance").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.sum("crc").alias("crc"))
+    out = forms.join(by_form.hint("merge"), F.col("form") == F.col("cut_name")).groupBy("vendor_id", "distance")
     return out.agg(F.sum("n").alias("n_clients"), F.min("first").alias("first_client_id"), F.sum("crc").alias("clients_crc"))
 
 
