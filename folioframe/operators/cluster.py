@@ -6,18 +6,20 @@ import heapq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans.scratch import Scratch, partitions
 from .graph import components
+from .nearest import BLOCK, SLACK, near_stars, top_cosine
 from .relational import DECISIVE  # noqa: F401
-from .retrieval import cosine
+from .running import running
 
 THRESHOLD, BONUS, STRONG, HINT = 0.62, 0.25, 0.85, 0.55
-#: Records a block of the exact search for strong pairs, about.
-BLOCK = 512
+#: Records that are clustered together without a look at what can part them, at most.
+CELL = 2000
 
 
 def agglomerate(sim: np.ndarray, can_link: np.ndarray, threshold: float) -> list[list[int]]:
@@ -92,47 +94,50 @@ def similarities(vectors, people, entities, bonus: float = BONUS, strong: float
 
 
 def strong_edges(scratch: Scratch, records: DataFrame, strong: float = STRONG, block: int = BLOCK) -> DataFrame:
-    """(a, b): edges that connect whatever pairs of cosine >= strong connect, by products of all pairs of blocks. A pair
-    of blocks gives a star for each group of its graph, not all pairs of the group."""
-    n = -(-max(1, records.count()) // block)
-    keyed = records.select("record_id", "vec", F.pmod(F.xxhash64("record_id"), F.lit(n)).alias("k")).repartition(min(n, 4 * partitions(records.sparkSession)), "k")
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "ids": [pdf["record_id"].tolist()], "v": [_units(pdf["vec"].tolist()).tobytes()]})
-
-    packed = scratch.write(keyed.groupBy("k").applyInPandas(pack, "k bigint, ids array<string>, v binary"))
-    met = packed.toDF("ka", "ids_a", "va").crossJoin(packed.toDF("kb", "ids_b", "vb")).where("ka <= kb").select("ids_a", "va", "ids_b", "vb")
-
-    def stars(batches):
-        for pdf in batches:
-            out = []
-            for ia, va, ib, vb in pdf.itertuples(index=False):
-                near = np.frombuffer(va).reshape(len(ia), -1) @ np.frombuffer(vb).reshape(len(ib), -1).T >= strong
-                rest = near.any(1)
-                while rest.any():
-                    rows, cols = np.zeros(len(ia), bool), np.zeros(len(ib), bool)
-                    first = rest.argmax()
-                    fresh = np.arange(len(ia)) == first
-                    while fresh.any():
-                        rows |= fresh
-                        more = near[fresh].any(0) & ~cols
-                        cols |= more
-                        fresh = near[:, more].any(1) & ~rows
-                    rest &= ~rows
-                    out += [(ia[first], x) for x in {*(ia[r] for r in np.flatnonzero(rows)), *(ib[c] for c in np.flatnonzero(cols))} - {ia[first]}]
-            yield pd.DataFrame(out, columns=["a", "b"], dtype=object)
-
-    return met.mapInPandas(stars, "a string, b string")
-
-
-def cluster_records(scratch: Scratch, records: DataFrame, threshold: float = THRESHOLD, hints: DataFrame | None = None) -> DataFrame:
-    """(record_id, root). Merges never leave a component of the can-link graph, so each is clustered alone, over the
-    similarities of all its pairs. hints (a, b) join the clusters of their records afterwards."""
-    person = records.select("record_id", F.explode("people").alias("p"))
-    least = person.groupBy("p").agg(F.min("record_id").alias("b"))
-    edges = scratch.write(person.join(least, "p").selectExpr("record_id a", "b").unionByName(strong_edges(scratch, records)).where("a <> b").distinct())
-    comp = components(scratch, edges)
-    inside = records.select("record_id", "vec", "people", "entities").join(comp, F.col("record_id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "record_id")).drop("node", "component")
+    """(a, b): edges that connect whatever pairs of cosine >= strong connect."""
+    return near_stars(scratch, records, strong, "record_id", "vec", block=block)
+
+
+def may_merge(scratch: Scratch, records: DataFrame, threshold: float, bonus: float = BONUS, strong: float = STRONG, block: int = BLOCK, most: int = CELL) -> DataFrame:
+    """(record_id, cell): records of different cells are never merged, whatever the order of merges.
+
+    A merge needs two members that may link, a person in common or a strong cosine; and, as a mean reaches the threshold,
+    two whose similarity does, that is a cosine of the threshold, or of the threshold less the bonus with an entity in common. So what
+    is merged is connected by links and connected by such pairs, and the parts that both give are the cells. Within a cell the
+    same holds again, so cells of more than ``most`` records are parted anew while that parts any further."""
+    cells = records.select("record_id", F.lit(0).cast("long").alias("cell"))
+    while True:
+        told = scratch.write(records.select("record_id", "vec", "people", "entities").join(cells, "record_id"))
+        large = told.join(told.groupBy("cell").count().where(F.col("count") > most), "cell", "left_semi").drop("count")
+        if large.isEmpty():
+            return cells
+        large = scratch.write(large)
+
+        def parts(*edges: DataFrame) -> DataFrame:
+            every = edges[0]
+            for e in edges[1:]:
+                every = every.unionByName(e)
+            return components(scratch, scratch.write(every.where("a <> b").distinct()))
+
+        person = large.select("cell", "record_id", F.explode("people").alias("p")).where("p is not null")
+        least = person.groupBy("cell", "p").agg(F.min("record_id").alias("b"))
+        same = person.join(least, ["cell", "p"]).selectExpr("record_id a", "b")
+        by_link = parts(same, near_stars(scratch, large, strong - SLACK, "record_id", "vec", block=block, group_col="cell"))
+        entity = large.select("record_id", "vec", "cell", F.explode("entities").alias("e")).where("e is not null").withColumn("e", F.struct("cell", "e"))
+        close = near_stars(scratch, large, threshold - SLACK, "record_id", "vec", block=block, group_col="cell")
+        by_near = parts(close, near_stars(scratch, entity, threshold - bonus - SLACK, "record_id", "vec", block=block, group_col="e"))
+        of = large.select("record_id", "cell").join(by_link.toDF("n1", "c1"), F.col("record_id") == F.col("n1"), "left").join(by_near.toDF("n2", "c2"), F.col("record_id") == F.col("n2"), "left")
+        of = of.select("record_id", F.xxhash64("cell", F.coalesce("c1", "record_id"), F.coalesce("c2", "record_id")).alias("cell"))
+        before, now = (x.select("cell").distinct().count() for x in (large, of))
+        cells = scratch.write(told.join(of.select("record_id"), "record_id", "left_anti").select("record_id", "cell").unionByName(of))
+        if before == now:
+            return cells
+
+
+def cluster_records(scratch: Scratch, records: DataFrame, threshold: float = THRESHOLD, hints: DataFrame | None = None, most: int = CELL) -> DataFrame:
+    """(record_id, root). Each cell of ``may_merge`` is clustered alone, over the similarities of all its pairs; no larger set of
+    records meets. hints (a, b) join the clusters of their records afterwards. A threshold must be above the bonus."""
+    inside = records.select("record_id", "vec", "people", "entities").join(may_merge(scratch, records, threshold, most=most), "record_id").withColumnRenamed("cell", "c")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("record_id")
@@ -149,15 +154,14 @@ def cluster_records(scratch: Scratch, records: DataFrame, threshold: float = THR
     return out.join(merged, F.col("root") == F.col("node"), "left").select("record_id", F.coalesce("component", "root").alias("root"))
 
 
-def override_hints(hints: DataFrame, records: DataFrame, most: int = 3, least: float = HINT) -> DataFrame:
-    """(a, b): a record that hints at what it overrides, with earlier records near the hint that share an entity. The
-    nearest ``most`` are chosen before the tests. hints: (record_id, hint_vec, decision_date, entities, probe_key)."""
-    h = hints.selectExpr("record_id a", "hint_vec", "decision_date da", "entities ea", "probe_key")
-    r = records.selectExpr("record_id b", "vec", "decision_date db", "entities eb", "probe_key")
-    near = h.join(r, "probe_key").where("a <> b").withColumn("cos", cosine(F.col("hint_vec"), F.col("vec")))
-    w = Window.partitionBy("a").orderBy(F.col("cos").desc(), "b")
-    top = near.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
-    return top.where((F.col("db") <= F.col("da")) & (F.col("cos") >= least) & F.arrays_overlap("ea", "eb")).select("a", "b")
+def override_hints(scratch: Scratch, hints: DataFrame, records: DataFrame, most: int = 3, least: float = HINT) -> DataFrame:
+    """(a, b): a record that hints at what it overrides, with other, not later records near the hint that share an entity. The
+    nearest ``most`` of all records are chosen before these tests, the record itself among them. hints: (record_id, hint_vec,
+    decision_date, entities); records: (record_id, vec, decision_date, entities)."""
+    near = top_cosine(scratch, hints.selectExpr("record_id id", "hint_vec vec"), records.selectExpr("record_id id", "vec"), most).selectExpr("query_id a", "id b", "cos")
+    told = near.where((F.col("cos") >= least) & (F.col("a") != F.col("b")))
+    told = told.join(hints.selectExpr("record_id a", "decision_date da", "entities ea"), "a").join(records.selectExpr("record_id b", "decision_date db", "entities eb"), "b")
+    return told.where((F.col("db") <= F.col("da")) & F.arrays_overlap("ea", "eb")).select("a", "b")
 
 
 def first_groups(groups: DataFrame, records: DataFrame) -> DataFrame:
@@ -182,7 +186,7 @@ def name_clusters(assigned: DataFrame, records: DataFrame, by: str = "root") ->
 
 def assign(weight: np.ndarray) -> list[tuple[int, int]]:
     """Pairs (row, column) of greatest total weight, each row and column once, none of weight 0: shortest augmenting
-    paths with potentials."""
+    paths with potentials, over a small dense table."""
     w = np.asarray(weight, float)
     if not w.size:
         return []
@@ -213,18 +217,82 @@ def assign(weight: np.ndarray) -> list[tuple[int, int]]:
     return sorted(p for p in pairs if w[p] > 0)
 
 
-def match(candidates: DataFrame, left: str, right: str, weight: str, block: str) -> DataFrame:
-    """One-to-one matches of greatest weight within each block of candidate pairs; blocks share no row."""
+def auction(row: np.ndarray, col: np.ndarray, weight: np.ndarray, unit: float = 1e-4) -> np.ndarray:
+    """Numbers of the candidates (row, col, weight) that match rows and columns one to one with greatest total weight, if weights
+    are multiples of ``unit``; else within ``unit`` of it. Rows and columns are numbered from 0.
+
+    All free rows bid at once for the column that is worth most to them at the present prices, by what it is worth more
+    than their second best and a margin; the highest bid has it, and who had it is free again. Margins shrink by steps to
+    less than unit over the rows there are, where no better match is left. Memory follows the candidates, not rows times
+    columns. So that any row may stay alone, rows and columns each have a copy: the copies are matched as the first ones
+    are, and a row may take its own copy at no weight."""
+    keep = np.flatnonzero(weight > 0)
+    if not keep.size:
+        return keep
+    # rows and copies of columns bid for columns and copies of rows
+    n, m = int(row.max()) + 1, int(col.max()) + 1
+    who = np.concatenate((row[keep], n + col[keep], np.arange(n), n + np.arange(m)))
+    what = np.concatenate((col[keep], m + row[keep], m + np.arange(n), np.arange(m)))
+    worth = np.concatenate((weight[keep], weight[keep], np.zeros(n + m)))
+    of = np.concatenate((keep, np.full(keep.size + n + m, -1)))
+    order = np.lexsort((what, who))
+    who, what, worth, of = who[order], what[order], worth[order], of[order]
+    total, start = n + m, np.searchsorted(who, np.arange(n + m + 1))
+    price, last = np.zeros(total), unit / (2 * total + 2)
+    margin = max(last, float(worth.max()) / 4)
+    while True:
+        owner, held = np.full(total, -1), np.full(total, -1)  # of what, and the candidate by which
+        free = np.arange(total)
+        while free.size:
+            size = start[free + 1] - start[free]
+            first = np.concatenate(([0], np.cumsum(size)[:-1]))
+            at = np.repeat(start[free] - first, size) + np.arange(size.sum())
+            gain = worth[at] - price[what[at]]
+            best = np.maximum.reduceat(gain, first)
+            group = np.repeat(np.arange(free.size), size)
+            top = np.flatnonzero(gain == best[group])
+            chosen = top[np.unique(group[top], return_index=True)[1]]
+            gain[chosen] = -np.inf
+            second = np.maximum.reduceat(gain, first)  # a lone candidate, one's own copy, has no rival
+            bid = price[what[at[chosen]]] + np.where(np.isfinite(second), best - second, 0.0) + margin
+            thing = what[at[chosen]]
+            by = np.lexsort((-free, bid, thing))
+            won = by[np.flatnonzero(np.concatenate((thing[by][1:] != thing[by][:-1], [True])))]
+            lost = owner[thing[won]]
+            price[thing[won]], owner[thing[won]], held[thing[won]] = bid[won], free[won], at[chosen[won]]
+            free = np.concatenate((np.delete(free, won), lost[lost >= 0]))
+        if margin <= last:
+            return np.sort(of[held][of[held] >= 0])
+        margin = max(last, margin / 6)
+
+
+#: A block of so many cells at most is matched as a dense table.
+DENSE = 1 << 14
+
+
+def match(candidates: DataFrame, left: str, right: str, weight: str, block: str, unit: float = 1e-4) -> DataFrame:
+    """One-to-one matches of greatest weight within each block of candidate pairs; blocks share no row. Of a pair that is
+    given twice, the greater weight counts. Within a block, what no candidates connect is matched apart, so a task holds the
+    candidates of one connected part; a large part is matched by ``auction``, exactly for weights that are multiples of
+    ``unit``."""
+    types = dict(candidates.dtypes)
+    scratch = Scratch(candidates.sparkSession, "match")
+    some = scratch.write(candidates.where(F.col(weight) > 0).groupBy(block, left, right).agg(F.max(weight).cast("double").alias(weight)))
+    node = lambda c, side: F.xxhash64(F.lit(side), block, c)
+    part = components(scratch, some.select(node(left, 0).alias("a"), node(right, 1).alias("b")))
+    told = some.join(part, node(left, 0) == F.col("node")).drop("node")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, cols = sorted(set(pdf[left])), sorted(set(pdf[right]))
-        at, to = {x: i for i, x in enumerate(rows)}, {x: i for i, x in enumerate(cols)}
-        w = np.zeros((len(rows), len(cols)))
-        w[[at[x] for x in pdf[left]], [to[x] for x in pdf[right]]] = pdf[weight]
-        return pd.DataFrame([(rows[i], cols[j], float(w[i, j])) for i, j in assign(w)], columns=[left, right, weight])
+        pdf = pdf.sort_values([left, right], ignore_index=True)
+        (row, rows), (col, cols) = (pd.factorize(pdf[c], sort=True) for c in (left, right))
+        if len(rows) * len(cols) <= DENSE:
+            w = np.zeros((len(rows), len(cols)))
+            w[row, col] = pdf[weight]
+            found = [(rows[i], cols[j], float(w[i, j])) for i, j in assign(w)]
+            return pd.DataFrame(found, columns=[left, right, weight])
+        return pdf.loc[auction(row, col, pdf[weight].to_numpy(), unit), [left, right, weight]]
 
-    types = dict(candidates.dtypes)
-    return candidates.groupBy(block).applyInPandas(lambda pdf: run(pdf), f"{left} {types[left]}, {right} {types[right]}, {weight} double")
+    return told.groupBy(block, "component").applyInPandas(lambda pdf: run(pdf), f"{left} {types[left]}, {right} {types[right]}, {weight} double")
 
 
 def match_candidates(truth: DataFrame, found: DataFrame, pairs: DataFrame, days: int = 5, least: float = 0.55) -> DataFrame:
@@ -237,20 +305,38 @@ def match_candidates(truth: DataFrame, found: DataFrame, pairs: DataFrame, days:
 
 
 def pack_lanes(items: DataFrame, lane: str, start: str, stop: str, key: str) -> DataFrame:
-    """Adds row: within a lane, each item takes the first row that is free at its start."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ends: list = []
-        rows = []
-        pdf = pdf.sort_values([start, key])
-        for a, b in zip(pdf[start], pdf[stop]):
-            r = next((i for i, e in enumerate(ends) if e <= a), len(ends))
-            ends[r : r + 1] = [b]
-            rows.append(r)
-        return pdf.assign(row=rows)
-
-    ddl = ", ".join(f"{n} {t}" for n, t in items.dtypes) + ", row bigint"
-    return items.groupBy(lane).applyInPandas(lambda pdf: run(pdf), ddl)
+    """Adds row: within a lane, each item takes the first row that is free at its start.
+
+    A lane is cut wherever all that began before has ended, for there the rows begin anew: cuts are where a start isn't
+    before the latest stop so far. So a long lane is many tasks, and rows of one run are taken from a heap of free ones.
+    Items without either end have no row."""
+    scratch, kinds = Scratch(items.sparkSession, "lanes"), dict(items.dtypes)
+    ticks = lambda c: F.unix_micros(F.col(c).cast("timestamp")) if kinds[c].startswith(("timestamp", "date")) else F.col(c).cast("long")
+    rows = items.withColumns({"_lane": F.xxhash64(lane), "_from": ticks(start), "_to": ticks(stop)})
+    whole = rows.where("_from is not null and _to is not null")
+    order = [lane, "_from", key]
+    cut = running(scratch, whole, "_lane", order, _latest=("_to", "max before")).withColumn("_cut", (F.col("_from") >= F.col("_latest")).cast("long"))
+    runs = running(scratch, cut.drop("_latest"), "_lane", order, _run=("_cut", "sum")).drop("_cut")
+    columns = items.columns
+
+    def fill(batches):
+        run, busy, free, n = None, [], [], 0
+        for batch in batches:
+            placed = []
+            for *now, a, b in zip(*(batch.column(c).to_pylist() for c in ("_lane", lane, "_run", "_from", "_to"))):
+                if now != run:
+                    run, busy, free, n = now, [], [], 0
+                while busy and busy[0][0] <= a:
+                    heapq.heappush(free, heapq.heappop(busy)[1])
+                row = heapq.heappop(free) if free else n
+                n += row == n
+                heapq.heappush(busy, (b, row))
+                placed.append(row)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(placed, pa.int64())], [*columns, "row"])
+
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", row bigint"
+    dealt = runs.repartition(partitions(items.sparkSession), "_lane", "_run").sortWithinPartitions("_lane", lane, "_run", "_from", key)
+    return dealt.mapInArrow(fill, ddl).unionByName(rows.where("_from is null or _to is null").select(*columns, F.lit(None).cast("long").alias("row")))
 
 
 def threshold_grid(pairs_scored: DataFrame, thresholds: list[float], bonuses: list[float], top: int = 12) -> DataFrame:

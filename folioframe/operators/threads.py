@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..plans.scratch import Scratch
+from ..plans.scratch import Scratch, partitions
 from .graph import components
+from .running import running
 
 WINDOW_DAYS, OVERLAP = 14, 0.5
+#: People of more threads are busy; as many threads make a block.
+BUSY = 512
 
 
 def participants(df: DataFrame) -> DataFrame:
@@ -109,16 +114,119 @@ def overlapping(rows: DataFrame, key: str, start: str, stop: str, days: int, buc
     return meet.drop("_b", "_lo", "_hi", "_from", "_to")
 
 
-def related_threads(threads: DataFrame, days: int = WINDOW_DAYS, shared: int = 2, most: int = 10) -> DataFrame:
+def _time_blocks(scratch: Scratch, threads: DataFrame, size: int) -> DataFrame:
+    """(no, top, lo, until, ids, firsts, lasts, people, sizes): blocks of threads (id, f, l, people) in the order of their first
+    times and ids, numbered from 0; lo is the earliest first time, until the latest last time, top that of all blocks so far."""
+    kind = dict(threads.dtypes)["id"]
+
+    def pack(batches):
+        rest, n = None, 0
+
+        def block(t: pa.Table) -> pa.RecordBatch:
+            nonlocal n
+            n += 1
+            f, last = t["f"].to_numpy(), t["l"].to_numpy()
+            people = t["people"].to_pylist()
+            return pa.RecordBatch.from_pydict({
+                "at": [(t["part"][0].as_py() << 32) + n], "lo": [f[0]], "until": [last.max()], "ids": [t["id"].to_pylist()], "firsts": [f.tobytes()], "lasts": [last.tobytes()],
+                "people": [np.array([p for x in people for p in x], np.int64).tobytes()], "sizes": [np.array([len(x) for x in people], np.int64).tobytes()]})
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            rest = t if rest is None else pa.concat_tables([rest, t])
+            while len(rest) >= size:
+                yield block(rest.slice(0, size))
+                rest = rest.slice(size)
+        if rest is not None and len(rest):
+            yield block(rest)
+
+    dealt = threads.repartitionByRange(partitions(scratch.spark), "f", "id").sortWithinPartitions("f", "id").withColumn("part", F.spark_partition_id().cast("long"))
+    packed = scratch.write(dealt.mapInArrow(pack, f"at bigint, lo bigint, until bigint, ids array<{kind}>, firsts binary, lasts binary, people binary, sizes binary"))
+    numbered = running(scratch, packed.select(F.lit(0).cast("long").alias("k"), "at", "until", F.lit(1).alias("one")), "k", ["at"], no=("one", "sum before"), top=("until", "max"))
+    return scratch.write(packed.join(numbered.select("at", "no", "top"), "at").drop("at"))
+
+
+def _busy_pairs(scratch: Scratch, threads: DataFrame, ticks: int, shared: int, most: int, size: int) -> DataFrame:
+    """(id, other, other_f): for each of the threads (id, f, l, people) the first ``most`` others, by first time and id, that are at most
+    so many ticks away and share so many people.
+
+    Blocks of threads stand in order of time. Each block meets the others from the first one that isn't over yet, one, then two,
+    then four a round, and is done when all its threads have found enough or the rest begins too late."""
+    blocks = _time_blocks(scratch, threads, size)
+    kind = dict(threads.dtypes)["id"]
+    schema = f"no bigint, id {kind}, other {kind}, other_f bigint"
+
+    def meet(batches):
+        for batch in batches:
+            out: list = []
+            for r in batch.to_pylist():
+                sides = []
+                for s in ("a_", "b_"):
+                    sides.append((r[s + "ids"], *(np.frombuffer(r[s + c], np.int64) for c in ("firsts", "lasts", "people", "sizes"))))
+                (ia, fa, la, pa_, na), (ib, fb, lb, pb, nb) = sides
+                codes = np.unique(pa_)
+                a = np.zeros((len(ia), codes.size), np.float32)
+                a[np.repeat(np.arange(len(ia)), na), np.searchsorted(codes, pa_)] = 1
+                at = np.minimum(np.searchsorted(codes, pb), max(codes.size - 1, 0))
+                known = codes[at] == pb
+                b = np.zeros((len(ib), codes.size), np.float32)
+                b[np.repeat(np.arange(len(ib)), nb)[known], at[known]] = 1
+                ok = (a @ b.T >= shared) & (lb[None, :] >= fa[:, None] - ticks) & (fb[None, :] <= la[:, None] + ticks)
+                if r["no"] == r["b_no"]:
+                    np.fill_diagonal(ok, False)
+                ok &= np.cumsum(ok, axis=1) <= most  # a block is in order
+                out += [(r["no"], ia[x], ib[y], int(fb[y])) for x, y in zip(*np.nonzero(ok))]
+            if out:
+                yield pa.RecordBatch.from_pydict({n: pa.array(v) for n, v in zip(("no", "id", "other", "other_f"), zip(*out))})
+
+    # the first block whose end, or an earlier one's, isn't before a block's beginning: blocks of earlier ends, counted in order
+    asked = blocks.select(F.lit(0).cast("long").alias("k"), (F.col("lo") - ticks).alias("v"), F.lit(0).alias("kind"), "no").unionByName(blocks.select(F.lit(0).cast("long").alias("k"), F.col("top").alias("v"), F.lit(1).alias("kind"), "no"))
+    start = running(scratch, asked, "k", ["v", "kind", "no"], next=("kind", "sum")).where("kind = 0").select("no", "next")
+    still = scratch.write(blocks.select("no", "until", F.size("ids").alias("n")).join(start, "no"))
+    found, width = [], 1
+    while not still.isEmpty():
+        head = blocks.select(F.col("no").alias("b_no"), F.col("lo").alias("b_lo"), F.col("until").alias("b_until"))
+        steps = still.select("no", "until", F.explode(F.sequence("next", F.col("next") + width - 1)).alias("b_no")).join(head, "b_no").where(F.col("b_lo") <= F.col("until") + ticks)
+        payload = lambda s: blocks.select(F.col("no").alias("no" if s == "a_" else "b_no"), *[F.col(c).alias(s + c) for c in ("ids", "firsts", "lasts", "people", "sizes")])
+        met = steps.select("no", "b_no").join(payload("a_"), "no").join(payload("b_"), "b_no")
+        found.append(scratch.write(met.mapInArrow(meet, schema)))
+        every = found[0]
+        for more in found[1:]:
+            every = every.unionByName(more)
+        full = every.groupBy("no", "id").agg(F.count("*").alias("found")).where(F.col("found") >= most).groupBy("no").agg(F.count("*").alias("full"))
+        ahead = still.withColumn("next", F.col("next") + width).join(full, "no", "left").where(F.coalesce("full", F.lit(0)) < F.col("n")).drop("full")
+        # of what is ahead, the next block tells whether any can still begin in time
+        still = scratch.write(ahead.join(head.select("b_no", "b_lo"), F.col("next") == F.col("b_no")).where(F.col("b_lo") <= F.col("until") + ticks).drop("b_no", "b_lo"))
+        width = min(2 * width, 64)
+    out = scratch.spark.createDataFrame([], schema)
+    for f in found:
+        out = out.unionByName(f)
+    return out.drop("no")
+
+
+def related_threads(threads: DataFrame, days: int = WINDOW_DAYS, shared: int = 2, most: int = 10, busy: int = BUSY, block: int = BUSY) -> DataFrame:
     """(thread_id, other_id, rank): threads near in time with at least ``shared`` people in common, the earliest first.
 
-    Pairs meet by their people, not by time alone, so a busy fortnight doesn't make all its pairs. (Parting a person's
-    threads by stretches of time as well was tried: threads of years fill many stretches, and it took six times as long.)"""
-    p = threads.select("thread_id", "first_at", "last_at", F.explode(F.array_distinct("participants")).alias("person"))
-    other = p.toDF("other_id", "other_first", "other_last", "person")
-    near = (F.col("other_last") >= F.col("first_at") - F.expr(f"interval {days} days")) & (F.col("other_first") <= F.col("last_at") + F.expr(f"interval {days} days"))
-    pairs = p.join(other, "person").where((F.col("thread_id") != F.col("other_id")) & near).groupBy("thread_id", "other_id", "other_first").count().where(F.col("count") >= shared)
-    w = Window.partitionBy("thread_id").orderBy("other_first", "other_id")
+    People of at most ``busy`` threads make pairs by their threads. The others would make the square of them; threads that
+    share only such people meet in blocks by time, until each has ``most`` (``_busy_pairs``). Pairs of the first kind count
+    what busy people they share as well. Threads without times or people have none."""
+    scratch = Scratch(threads.sparkSession, "related")
+    people = F.array_distinct(F.array_compact("participants"))
+    rows = scratch.write(threads.where("first_at is not null and last_at is not null").select("thread_id", F.unix_micros(F.col("first_at").cast("timestamp")).alias("f"), F.unix_micros(F.col("last_at").cast("timestamp")).alias("l"), F.transform(people, lambda p: F.xxhash64(p)).alias("people")))
+    person = rows.select("thread_id", "f", "l", F.explode("people").alias("person"))
+    sizes = person.groupBy("person").agg(F.count("*").alias("n")).where("n > 1")
+    told = scratch.write(person.join(sizes, "person").select("thread_id", "f", "l", "person", (F.col("n") > busy).alias("is_busy")))
+    heavy = told.where("is_busy").groupBy("thread_id").agg(F.array_sort(F.collect_list("person")).alias("heavy"))
+    light = told.where("not is_busy").join(heavy, "thread_id", "left").select("thread_id", "f", "l", "person", F.coalesce("heavy", F.array().cast("array<bigint>")).alias("heavy"))
+    ticks = days * 86_400_000_000
+    other = light.toDF("other_id", "other_f", "other_l", "person", "other_heavy")
+    near = (F.col("other_l") >= F.col("f") - ticks) & (F.col("other_f") <= F.col("l") + ticks)
+    met = light.join(other, "person").where((F.col("thread_id") != F.col("other_id")) & near).groupBy("thread_id", "other_id", "other_f").agg(F.count("*").alias("n"), F.max(F.size(F.array_intersect("heavy", "other_heavy"))).alias("m"))
+    pairs = met.where(F.col("n") + F.col("m") >= shared).select("thread_id", "other_id", "other_f")
+    crowd = heavy.where(F.size("heavy") >= shared).join(rows.select("thread_id", "f", "l"), "thread_id").select(F.col("thread_id").alias("id"), "f", "l", F.col("heavy").alias("people"))
+    if not crowd.isEmpty():
+        pairs = pairs.unionByName(_busy_pairs(scratch, crowd, ticks, shared, most, block).toDF("thread_id", "other_id", "other_f")).distinct()
+    w = Window.partitionBy("thread_id").orderBy("other_f", "other_id")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("thread_id", "other_id", "rank")
 
 

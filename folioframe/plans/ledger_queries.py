@@ -292,13 +292,15 @@ def conflicts_surfaced(spark, d):
 
 
 @query("""with v as (select vec_id, label, embedding::double[] e, 1900 + (vec_id * 7) % 90 y, vec_id % 3 topic from embeddings),
-t as (select a.vec_id a, b.vec_id b, a.y ya, b.y yb, a.topic ta, b.topic tb, list_cosine_similarity(a.e, b.e) s from v a join v b on a.label = b.label and a.vec_id <> b.vec_id),
-top as (select *, row_number() over (partition by a order by s desc, b) r from t) select a, b from top where r <= 3 and yb <= ya and s >= 0.2 and ta = tb""")
+t as (select a.vec_id a, b.vec_id b, a.y ya, b.y yb, a.topic ta, b.topic tb, list_cosine_similarity(a.e, b.e) s from (select * exclude (e), list_transform(e, lambda x, i: case when i > 1 then e[i - 1] else e[length(e)] end) e from v) a, v b),
+top as (select *, row_number() over (partition by a order by s desc, b) r from t) select a, b from top where a <> b and r <= 3 and yb <= ya and s >= 0.02 and ta = tb""")
 def override_hints(spark, d):
+    """Each vector, turned by one place, hints at the three nearest of all."""
     e = table(spark, d, "embeddings")
     v = F.transform("embedding", lambda x: x.cast("double"))
-    base = e.select(F.col("vec_id").alias("record_id"), v.alias("vec"), v.alias("hint_vec"), (1900 + (F.col("vec_id") * 7) % 90).alias("decision_date"), F.array(F.col("vec_id") % 3).alias("entities"), F.col("label").alias("probe_key"))
-    return C.override_hints(base.drop("vec"), base.drop("hint_vec"), least=0.2)
+    hint = F.concat(F.slice(v, F.size(v), 1), F.slice(v, 1, F.size(v) - 1))
+    base = e.select(F.col("vec_id").alias("record_id"), v.alias("vec"), hint.alias("hint_vec"), (1900 + (F.col("vec_id") * 7) % 90).alias("decision_date"), F.array(F.col("vec_id") % 3).alias("entities"))
+    return C.override_hints(Scratch(spark, "hints"), base.drop("vec"), base.drop("hint_vec"), least=0.02)
 
 
 @query(over("messages") + """, mail as (select row_number() over (order by from_addr) id, from_addr addr, case when from_addr like 'user%' then 'Th Person' when from_addr like 'assistant%' then 'La Person' else 'Other Person' end canonical_name from (select distinct from_addr from messages)),
@@ -690,6 +692,30 @@ def parsed_mail(spark, d):
     return mailbox.messages_of(files).select("message_id", "in_reply_to", "from_addr", "from_name", "to_addrs", "sent_at", "sent_tz", "subject", "new_text")
 
 
+_FOLDER_KIND = "(conv_id + turn) % 4"
+_OLD = "concat(chr(10), chr(10), 'From: Eva <e@x.example>', chr(10), 'Sent: Monday', chr(10), 'To: Ana <a@x.example>', chr(10), 'Subject: before', chr(10), chr(10), 'it was said ', turn, ' times')"
+
+
+@query(over("messages") + f"""select message_id, from_addr, sent_at, 'Topic ' || conv_id subject, rtrim(text, chr(10)) || case {_FOLDER_KIND} when 3 then {_OLD} else '' end body,
+  case {_FOLDER_KIND} when 3 then trim({_OLD}, chr(10)) else '' end quoted_text, case {_FOLDER_KIND} when 2 then ['f' || turn || '.bin'] else [] end attachment_names
+from messages join (select conv_id c2, turn t2, text from conversations) on c2 = conv_id and t2 = turn""")
+def mail_folder(spark, d):
+    """Whole turns as plain, HTML, multipart and forwarded mail, written as mailboxes to the shared folder and read again in byte
+    ranges."""
+    m = frame(spark, d, "messages").join(table(spark, d, "conversations").selectExpr("conv_id c2", "turn t2", "text"), F.expr("c2 = conv_id and t2 = turn"))
+    coded = F.replace(F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit("\n"), F.lit("<br>"))
+    kind = lambda subtype: F.lit(f'Content-Type: text/{subtype}; charset="UTF-8"\nContent-Transfer-Encoding: 8bit\n\n')
+    plain, html = F.concat(kind("plain"), "text"), F.concat(kind("html"), F.lit("<html><head><title>no</title></head><body><div>"), coded, F.lit("</div></body></html>"))
+    part = F.concat(F.lit('\n--cut\nContent-Type: application/octet-stream\nContent-Disposition: attachment; filename="f'), F.col("turn").cast("string"), F.lit('.bin"\nContent-Transfer-Encoding: base64\n\nAAAA\n--cut--\n'))
+    mixed = F.concat(F.lit('Content-Type: multipart/mixed; boundary="cut"\n\n--cut\nContent-Type: multipart/alternative; boundary="alt"\n\n--alt\n'), html, F.lit("\n--alt\n"), plain, F.lit("\n--alt--\n"), part)
+    body = F.when(F.expr(f"{_FOLDER_KIND} = 0"), plain).when(F.expr(f"{_FOLDER_KIND} = 1"), html).when(F.expr(f"{_FOLDER_KIND} = 2"), mixed).otherwise(F.concat(plain, F.expr(_OLD.replace("chr(", "char("))))
+    head = F.concat(F.lit("From a@x.example Mon Jan  5 10:00:00 2026\nFrom: Ana Lo <"), "from_addr", F.lit(">\nSubject: Topic "), F.col("conv_id").cast("string"), F.lit("\nDate: "), F.date_format("sent_at", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000\nMessage-ID: "), "message_id", F.lit("\nMIME-Version: 1.0\n"))
+    scratch = Scratch(spark, "folder")
+    m.select(F.concat(head, body, F.lit("\n")).alias("value")).write.text(f"{scratch.root}/box")
+    mails = mailbox.scan(spark, f"{scratch.root}/box", kind="mbox", split=1 << 20)
+    return mails.select("message_id", "from_addr", "sent_at", "subject", F.rtrim(F.col("body_raw"), F.lit("\n")).alias("body"), "quoted_text", "attachment_names")
+
+
 @query("select o_orderkey, (row_number() over (order by o_orderdate, o_orderkey) - 1) % 6 chunk, (row_number() over (order by o_orderdate, o_orderkey) - 1) // 6 place from orders")
 def strided_chunks(spark, d):
     return mailbox.strided(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"]).select("o_orderkey", "chunk", "place")

@@ -19,21 +19,11 @@ from pyspark.sql import functions as F
 
 from ..functions.mailbody import html_to_text, split_body
 from ..schemas import DDL
-from .mailfiles import SUFFIXES, raw_messages, reachable
+from .mailfiles import SUFFIXES, raw_messages, reachable, split_mbox
 
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
-_FROM_LINE = re.compile(rb"(?:\A|(?<=\n\n)|(?<=\r\n\r\n))From [^\n]* [^\n]*\n")
-
-
-def _mbox_parts(content: bytes):
-    """(start, stop) of each message between the separator lines, which stand at the top or after a blank line."""
-    lines = [(m.start(), m.end()) for m in _FROM_LINE.finditer(content)]
-    for (_, start), (stop, _) in zip(lines, [*lines[1:], (len(content) + 1, 0)]):
-        yield start, stop - 1
-
-
 def _members(path: str, content: bytes):
     """(name, bytes) of the messages in a file; zips within zips stay closed."""
     kind = os.path.splitext(path.lower())[1]
@@ -44,8 +34,8 @@ def _members(path: str, content: bytes):
             for name in sorted(n for n in z.namelist() if n.lower().endswith(".eml")):
                 yield f"{path}/{name}", z.read(name)
     elif kind == ".mbox":
-        for i, (start, stop) in enumerate(_mbox_parts(content)):
-            yield f"{path}#{i}", content[start:stop]
+        for i, (_, part) in enumerate(split_mbox(io.BytesIO(content), 0, len(content))):
+            yield f"{path}#{i}", part
 
 
 def _body(msg) -> str:

@@ -18,8 +18,8 @@ SUFFIXES = (".eml", ".mbox", ".zip")
 #: Bytes of a partition, about; bytes that a mailbox is read by, and rows of a batch.
 SPLIT, CHUNK, ROWS = 32 << 20, 1 << 20, 256
 SCHEMA = "path string, at bigint, source_file string, content binary"
-#: A separator line stands at the top of the file or after a blank line, and holds a sender and a date.
-_FROM_LINE = re.compile(rb"(?:(?<=\n\n)|(?<=\r\n\r\n))From [^\n]* [^\n]*\n")
+#: A separator line stands at the top of the file or after a blank line, and holds a sender and a date, which begins with a weekday.
+_FROM_LINE = re.compile(rb"(?:(?<=\n\n)|(?<=\r\n\r\n))From \S+ +(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)\b[^\n]*\n")
 
 
 def split_mbox(file, start: int, end: int, chunk: int = CHUNK) -> Iterator[tuple[int, bytes]]:

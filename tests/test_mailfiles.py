@@ -2,6 +2,7 @@
 
 import io
 import random
+import re
 import zipfile
 from email.message import EmailMessage
 
@@ -36,8 +37,10 @@ def boxed(mails: list[bytes]) -> bytes:
 @pytest.mark.parametrize("split, chunk", [(64, 16), (1000, 64), (4096, 1 << 20)])
 def test_ranges_of_a_mailbox_give_each_message_once(split, chunk):
     rng = random.Random(split)
-    box = boxed([mail(k, rng) for k in range(60)]) + b"From x y\nlast, without an end"
-    whole = [box[a:b] for a, b in mailbox._mbox_parts(box)]
+    box = boxed([mail(k, rng) for k in range(60)]) + b"From x Mon Jan  1 09:00:00 2024\nlast, without an end"
+    lines = [m.span() for m in re.finditer(rb"(?:\A|(?<=\n\n))From \S+ +(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)\b[^\n]*\n", box)]
+    whole = [box[a : b - 1] for (_, a), (b, _) in zip(lines, [*lines[1:], (len(box) + 1, 0)])]
+    assert len(whole) == 61
     got = [m for start in range(0, len(box), split) for m in split_mbox(io.BytesIO(box), start, min(len(box), start + split), chunk)]
     assert [c for _, c in got] == whole
     assert all(box[at : at + 5] == b"From " for at, _ in got)

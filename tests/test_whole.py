@@ -38,15 +38,15 @@ def clouds(n=60, dim=8):
     return [(f"r{i:02}", [float(x) for x in vec[i]], [f"p{i % 9}"], [f"e{i % 11}"]) for i in range(n)]
 
 
-@pytest.mark.parametrize("threshold", [0.4, 0.62])
-def test_clusters_across_people(spark, scratch, threshold):
+@pytest.mark.parametrize("threshold, most", [(0.4, 2000), (0.4, 5), (0.62, 5)])
+def test_clusters_across_people(spark, scratch, threshold, most):
     rows = clouds()
     u = np.array([r[1] for r in rows])
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     cos = u @ u.T
     same = lambda k: np.array([[bool(set(a[k]) & set(b[k])) for b in rows] for a in rows])
     want = merged(cos + 0.25 * same(3), same(2) | (cos >= 0.85), threshold)
-    got = C.cluster_records(scratch, spark.createDataFrame(rows, "record_id string, vec array<double>, people array<string>, entities array<string>"), threshold)
+    got = C.cluster_records(scratch, spark.createDataFrame(rows, "record_id string, vec array<double>, people array<string>, entities array<string>"), threshold, most=most)
     told: dict = {}
     for r in got.collect():
         told.setdefault(r["root"], []).append(int(r["record_id"][1:]))
