@@ -19,7 +19,9 @@ TEMPLATES = {
     "gpl-2.0": ("This work is licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License.", "SPDX-License-Identifier: GPL-2.0-only", "Released under GPL v2."),
     "lgpl": ("This library is licensed under the GNU Lesser General Public License, version 3.", "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.", "SPDX-License-Identifier: LGPL-2.1-or-later", "Released under LGPL v2.1.", "Licensed under the LGPL, version 3."),
     "agpl": ("Licensed under the GNU Affero General Public License, version 3.", "You should have received a copy of the GNU Affero General Public License along with this program.", "SPDX-License-Identifier: AGPL-3.0-only", "Released under AGPL v3.", "Distributed under the AGPL, version 3."),
-    "bsd": ("Distributed under the BSD 3-Clause License.", "Released under the BSD license.", "This software is provided by the copyright holders and contributors as is and any express or implied warranties are disclaimed.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "SPDX-License-Identifier: BSD-3-Clause"),
+    "bsd": ("Distributed under the BSD 3-Clause License.", "Released under the BSD license.", "This software is provided by the copyright holders and contributors as is and any express or implied warranties are disclaimed.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "SPDX-License-Identifier: BSD-3-Clause"),
+    "isc": ("Released under the ISC License.", "Licensed under the terms of the ISC license.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "SPDX-License-Identifier: ISC"),
+    "eupl": ("Licensed under the EUPL, Version 1.2.", "Released under the terms of the European Union Public Licence.", "This work is made available under the European Union Public Licence, version 1.2.", "SPDX-License-Identifier: EUPL-1.2"),
     "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"),
     "cc-by": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "cc-by-sa": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
@@ -27,8 +29,8 @@ TEMPLATES = {
     "cc0": ("Released under CC0 1.0 Universal.", "To the extent possible under law, the author has waived all copyright and dedicated this work to the public domain.", "SPDX-License-Identifier: CC0-1.0"),
     "proprietary": ("Copyright. All rights reserved.", "All rights reserved. No part of this publication may be reproduced without prior written permission of the publisher.", "This document is proprietary and confidential. Unauthorized copying is prohibited."),
 }
-#: Ordinary uses of the words, which must stay unknown; every third is held out to calibrate.
-ORDINARY = ("He renewed his driving licence at the office.", "The license plate was covered in mud.", "A fishing license costs ten dollars in this state.", "The company licensed its patents to a rival.", "Poetic license allows for such turns.", "The apache helicopter landed near the village.", "Public schools are free of charge.", "The general spoke in public about the third version of the plan.", "A researcher at mit gave a talk.", "The copyright dispute went to court.", "She lost her nursing license after the trial.", "Permission was granted to enter the building.", "They reserved all rooms at the hotel.", "The foundation published free books.", "Version 2.0 of the game is out.", "His pilot licence was issued in version 3 of the form.", "The library is open to the public under new rules.", "No part of the bridge was closed without permission.", "The author of this work has lived in the city for years.", "You may use the gym free of charge.", "The source of the river is a file of small lakes.", "Software is sold with a license to print money.", "The terms of the contract were confidential.", "Creative people of the commons met in public.", "The domain of the lord was dedicated to hunting.", "All documents can be found at the office of the general.", "The car is sold as is.", "The watch comes with a warranty of two years.")
+#: Ordinary uses of the words, which must stay unknown.
+ORDINARY = ("He renewed his driving licence at the office.", "The license plate was covered in mud.", "A fishing license costs ten dollars in this state.", "The company licensed its patents to a rival.", "Poetic license allows for such turns.", "The apache helicopter landed near the village.", "Public schools are free of charge.", "The general spoke in public about the third version of the plan.", "A researcher at mit gave a talk.", "The copyright dispute went to court.", "She lost her nursing license after the trial.", "Permission was granted to enter the building.", "They reserved all rooms at the hotel.", "The foundation published free books.", "Version 2.0 of the game is out.", "His pilot licence was issued in version 3 of the form.", "The library is open to the public under new rules.", "No part of the bridge was closed without permission.", "The author of this work has lived in the city for years.", "You may use the gym free of charge.", "The source of the river is a file of small lakes.", "Software is sold with a license to print money.", "The terms of the contract were confidential.", "Creative people of the commons met in public.", "The domain of the lord was dedicated to hunting.", "All documents can be found at the office of the general.", "The car is sold as is.", "The watch comes with a warranty of two years.", "A university in California sold licences to its fans.", "Fans of BSD systems met at the university.", "The union issued a public statement on European law.", "He gave permission to use the hall for any purpose.", "The names of all contributors were read out.", "The holder of the record must retain the title.")
 UNKNOWN = "unknown"
 WORD = r"[a-z0-9]+(?:\.[0-9]+)*"
 #: Common words; a gram of these alone has no weight.
@@ -84,27 +86,30 @@ class Model:
             lead, tail = (rng.choices(filler, k=rng.choice((0, 0, 2, 8))) for _ in range(2))
             return grams(" ".join([*lead, *w, *tail]))
 
-        notices = [(varied(t), f) for f, ts in TEMPLATES.items() for t in ts for _ in range(24)]
-        mixed = [(grams(" ".join(rng.choices(filler, k=rng.choice((3, 10, 30))))), UNKNOWN) for _ in range(400)]
-        mixed += [(grams(p) if isinstance(p, str) else p, UNKNOWN) for p in plain]
-        rng.shuffle(notices)
-        of = lambda ts: [(varied(t), UNKNOWN) for t in ts for _ in range(24)]
-        held = notices[::4] + mixed[::4] + of(ORDINARY[::3])
-        fit = [r for part in (notices, mixed) for k, r in enumerate(part) if k % 4] + of([t for k, t in enumerate(ORDINARY) if k % 3])
+        # rows come with a third of theirs: a template and all its variants are in one
+        notices = [(varied(t), f, k % 3) for f, ts in TEMPLATES.items() for k, t in enumerate(ts) for _ in range(24)]
+        others = [(varied(t), UNKNOWN, k % 3) for k, t in enumerate(ORDINARY) for _ in range(24)]
+        mixed = [grams(" ".join(rng.choices(filler, k=rng.choice((3, 10, 30))))) for _ in range(400)]
+        mixed += [grams(p) if isinstance(p, str) else p for p in plain]
+        rows = notices + others + [(g, UNKNOWN, k % 3) for k, g in enumerate(mixed)]
 
         def matrix(rows):
             x = np.zeros((len(rows), len(at) + 1))
-            for k, (gs, f) in enumerate(rows):
+            for k, (gs, f, _) in enumerate(rows):
                 x[k, [at[g] for g in gs if g in at]] = 1
                 x[k, -1] = self.classes.index(f)
             rows, n = np.unique(x, axis=0, return_counts=True)  # equal rows, as those without a known gram, count as one
             return rows[:, :-1], rows[:, -1].astype(int), n / n.sum()
 
-        x, y, share = matrix(fit)
-        self.w, self.b = self._fitted(x, np.eye(len(self.classes))[y], share, sparse)
-        # the temperature of least held-out loss, and the least probability that lets few held-out unknowns through
-        x, y, share = matrix(held)
-        z = x @ self.w + self.b
+        # calibrated on what models of the other thirds make of each third, so on templates that they have never seen
+        parts = []
+        for part in range(3):
+            x, y, share = matrix([r for r in rows if r[2] != part])
+            w, b = self._fitted(x, np.eye(len(self.classes))[y], share, sparse)
+            x, y, share = matrix([r for r in rows if r[2] == part])
+            parts.append((x @ w + b, y, share / 3))
+        z, y, share = (np.concatenate(p) for p in zip(*parts))
+        # the temperature of least loss, and the least probability that lets few unknowns through
         loss = lambda t: -(share * np.log(self._softmax(z / t)[np.arange(len(y)), y] + 1e-12)).sum()
         self.temperature = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0), key=loss)
         p = self._softmax(z / self.temperature)
@@ -113,7 +118,14 @@ class Model:
         order = np.argsort(-best)
         passed = np.cumsum(of[order]) > FALSE * of.sum()
         self.least = float(np.clip(best[order][passed][0], 0.5, 0.95)) if passed.any() else 0.5
-        self.held_out = float((share * (p.argmax(1) == y)).sum())
+        known = ~out
+        #: Share of notices of templates left out that are told right.
+        self.unseen = float((share[known] * (p[known].argmax(1) == y[known])).sum() / share[known].sum())
+        x, y, share = matrix(rows)
+        self.w, self.b = self._fitted(x, np.eye(len(self.classes))[y], share, sparse)
+        #: The same of new variants of all templates and sentences.
+        x, y, share = matrix([(varied(t), f, 0) for f, ts in (*TEMPLATES.items(), (UNKNOWN, ORDINARY)) for t in ts for _ in range(6)])
+        self.held_out = float((share * ((x @ self.w + self.b).argmax(1) == y)).sum())
         self.cues = self._cues()
 
     def _fitted(self, x, aim, share, sparse) -> tuple[np.ndarray, np.ndarray]:
@@ -174,31 +186,27 @@ def train(docs: DataFrame, sample: int = SAMPLE, lines: int = LINES, id_col: str
     return Model([g for g in held if all(len(t.intersection(g)) < 0.3 * len(t) for t in templates)])
 
 
-#: Paragraphs end at blank lines.
-BLANK = r"\n(?:[ \t\r]*\n)+"
+#: Each line is marked with its number, so that what is split off tells where it stood; paragraphs end at blank lines.
+MARK, MARKS, BLANK = "\x01", "(^|\n)[0-9]+\x01", "\n(?:[0-9]+\x01[ \t\r]*\n)+"
 
 
 def units(docs: DataFrame, text_col: str, cues: list[str] | None) -> DataFrame:
     """Rows (_row, _par, paragraph, whole, w) of docs (with ``text_col``): each paragraph, its lines joined, and each line
-    of a paragraph of several, with their words; paragraph is the number of the unit's first line, from 0. Units that
-    hold no cue are left out."""
+    of a paragraph of several, with their words; paragraph is the number of the unit's first line, from 0, and _par that of
+    its paragraph. Units that hold no cue are left out. A text is split once, and its parts go on without it, so a text of very many
+    paragraphs costs what it is long."""
     held = (lambda w: among(w, cues)) if cues is not None else (lambda w: F.lit(True))
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    rows = rows.where(held(words_of(F.col(text_col))))
-    parts = F.split(text_col, BLANK)
-    lines_in = lambda t: F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
-    par = rows.select("*", parts.alias("_parts")).select("*", F.regexp_extract_all(text_col, F.lit(BLANK), F.lit(0)).alias("_gaps"))
-    par = par.select(*[c for c in par.columns if c not in ("_parts", "_gaps", text_col)], "_gaps", "_parts", F.posexplode("_parts").alias("_par", "_p"))
-    # only of a paragraph that may hold a notice, the lines before it are counted
-    par = par.withColumn("_w", words_of(F.col("_p"))).where(held(F.col("_w")))
-    before = F.aggregate(F.zip_with(F.slice("_parts", F.lit(1), F.col("_par")), F.slice("_gaps", F.lit(1), F.col("_par")), lambda a, g: lines_in(a) + lines_in(g)), F.lit(0), lambda s, n: s + n)
-    par = par.withColumn("_first", before).drop("_gaps", "_parts")
+    rows = docs.withColumn("_row", F.monotonically_increasing_id()).where(held(words_of(F.col(text_col))))
+    marked = F.array_join(F.transform(F.split(text_col, "\n"), lambda t, i: F.concat(i.cast("string"), F.lit(MARK), t)), "\n")
+    par = rows.select(*[c for c in docs.columns if c != text_col], "_row", F.explode(F.split(marked, BLANK)).alias("_p"))
+    par = par.withColumn("_w", words_of(F.regexp_replace("_p", MARKS, "$1"))).where(held(F.col("_w")))
+    number = lambda t: F.substring_index(t, MARK, 1).cast("int")
     lines = F.split("_p", "\n")
     none = F.expr("cast(array() as array<struct<line:int,whole:boolean,w:array<string>>>)")
-    each = F.when(F.size(lines) > 1, F.transform(lines, lambda t, i: F.struct(i.alias("line"), F.lit(False).alias("whole"), words_of(t).alias("w")))).otherwise(none)
-    each = F.concat(F.array(F.struct(F.lit(0).alias("line"), F.lit(True).alias("whole"), F.col("_w").alias("w"))), F.filter(each, lambda u: held(u["w"])))
-    out = par.withColumn("u", F.explode(each)).withColumn("paragraph", F.col("_first") + F.col("u.line")).withColumn("whole", F.col("u.whole")).withColumn("w", F.col("u.w"))
-    return out.drop("_p", "_w", "_first", "u")
+    each = F.when(F.size(lines) > 1, F.transform(lines, lambda t: F.struct(number(t).alias("line"), F.lit(False).alias("whole"), words_of(F.substr(t, F.instr(t, MARK) + 1)).alias("w")))).otherwise(none)
+    each = F.concat(F.array(F.struct(number(F.col("_p")).alias("line"), F.lit(True).alias("whole"), F.col("_w").alias("w"))), F.filter(each, lambda u: held(u["w"])))
+    out = par.withColumn("_par", number(F.col("_p"))).withColumn("u", F.explode(each))
+    return out.select(*[c for c in par.columns if c not in ("_p", "_w")], "_par", F.col("u.line").alias("paragraph"), F.col("u.whole").alias("whole"), F.col("u.w").alias("w"))
 
 
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,7 +216,7 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     paragraph is reported once, as a whole, if that is more like a template than any of its lines is, else for each line
     that has a family. paragraph: the number of the notice's first line in the document, from 0. similarity: the largest
     share of a template's weighted grams, of that family, that stand in it; confirmed from CONFIRM on. A null or empty text has
-    no notice; repeated rows give repeated results; null ids come back null; extra columns are ignored.
+    no notice, an empty table no row; texts of any length and number of paragraphs are judged whole; repeated rows give repeated results; null ids come back null; extra columns are ignored.
     """
     spark = docs.sparkSession
     n = len(model.classes)

@@ -44,10 +44,15 @@ def _keyed(names: DataFrame, name: str, cut: bool) -> DataFrame:
         of, other = (n, n + delta) if cut else (n - delta, n)
         for start, length, place in _places(of, delta):
             ok = (of > 0) & (other > 0) & (place >= 0) & (place + length <= other)
-            at = start if cut else place
-            entries.append(F.when(ok, F.struct(other.alias("m"), place.cast("int").alias("place"), at.cast("int").alias("at"), length.cast("int").alias("length"))))
-    every = F.array_distinct(F.array_compact(F.array(*entries)))
-    rows = names.select(name, _bag(F.col(name)).alias("bag"), F.explode(every).alias("e"))
+            if cut:
+                told = F.struct(other.alias("m"), place.cast("int").alias("place"), start.cast("int").alias("at"), length.cast("int").alias("length"))
+            else:  # place and length in one long, as the same ones come for names of several lengths
+                told = place.cast("long") * (1 << 31) + length
+            entries.append(F.when(ok, told))
+    every = F.array_compact(F.array(*entries))
+    rows = names.select(name, _bag(F.col(name)).alias("bag"), F.explode(every if cut else F.array_distinct(every)).alias("e"))
+    if not cut:
+        rows = rows.select(name, "bag", F.struct(n.alias("m"), F.shiftright("e", 31).cast("int").alias("place"), F.shiftright("e", 31).cast("int").alias("at"), (F.col("e") % (1 << 31)).cast("int").alias("length")).alias("e"))
     piece = F.substring(F.col(name), F.col("e.at") + 1, F.col("e.length"))
     return rows.select(F.xxhash64("e.m", "e.place", "e.length", piece).alias("key"), name, "bag")
 

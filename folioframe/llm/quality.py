@@ -18,6 +18,8 @@ LABELLED, SEED = 12_000, 5
 ROUNDS, SHARE, SURE, TAUGHT = 5, 0.05, 0.9, 0.3
 #: Margins of sure rows are counted in so many bins of this width, from the least sure margin on.
 BINS, WIDTH, LEAST = 6000, 0.01, float(np.log(SURE / (1 - SURE)))
+#: Sums that are put together at a time.
+FAN = 64
 #: Every so many labelled rows, one is held out to calibrate and one to combine.
 HELD = 5
 #: Labelled rows that a source's or language's rate of good ones is drawn towards the rate of all by.
@@ -142,26 +144,37 @@ def _bins(margin: np.ndarray, side: int) -> np.ndarray:
 
 class Pool:
     """All unlabelled rows, as packed features in a written table. Each question is one pass over it, which replays the
-    rounds so far; only sums of fixed size for each task reach the driver."""
+    rounds so far. A task gives sums of fixed size; these are put together on the executors until FAN of them at most are
+    left, so what reaches the driver is bounded, whatever the input."""
 
     def __init__(self, packed: DataFrame, rates: list | None = None):
         self.packed, self.rates, self.rounds = packed, rates, []
+        self.tasks = packed.rdd.getNumPartitions()
 
     def _sum(self, f) -> np.ndarray:
         rounds = self.packed.sparkSession.sparkContext.broadcast((self.rounds, self.rates))
 
         def run(batches):
-            total = None
+            total, part = None, 0
             for batch in batches:
+                part = batch.column("part")[0].as_py() if batch.num_rows else part
                 for raw in batch.column("v"):
                     x = np.frombuffer(raw.as_buffer()).reshape(-1, PACKED)
                     inputs = [_wide(x[:, :TEXT_FEATURES]), _unpacked_meta(x, rounds.value[1])]
                     got = f(inputs, _replayed(rounds.value[0], inputs, x[:, -1]))
                     total = got if total is None else total + got
             if total is not None:
-                yield pa.RecordBatch.from_pydict({"s": pa.array([total.tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "s": pa.array([total.tobytes()], pa.binary())})
 
-        rows = self.packed.mapInArrow(run, "s binary").collect()
+        def add(key, table):
+            # in the order of the parts, so that reruns agree to the last bit
+            rows = sorted(zip(table["part"].to_pylist(), table["s"].to_pylist()))
+            return pa.table({"part": [key[0].as_py()], "s": pa.array([sum(np.frombuffer(s) for _, s in rows).tobytes()], pa.binary())})
+
+        sums, left = self.packed.withColumn("part", F.spark_partition_id().cast("long")).mapInArrow(run, "part bigint, s binary"), self.tasks
+        while left > FAN:
+            sums, left = sums.groupBy(F.expr(f"part div {FAN}").alias("group")).applyInArrow(add, "part bigint, s binary"), -(-left // FAN)
+        rows = sorted(sums.collect())
         rounds.unpersist()
         return sum((np.frombuffer(r["s"]) for r in rows), np.zeros(1))
 
@@ -320,8 +333,9 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, id_col:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", columns: tuple = ("text", "source", "lang", "n_chars")) -> DataFrame:
-    """(doc_id, p_text, p_meta, quality, good) of every row over its whole text. A null text is an empty one; null
-    metadata, a null size among them, are no feature. Rows of one or of no id are scored each for itself."""
+    """(doc_id, p_text, p_meta, quality, good) of every row over its whole text, however long. A null text is an empty one; null
+    metadata, a null size among them, are no feature. Rows of one or of no id are scored each for itself; other columns are
+    ignored, whatever their names; an empty table gives no row."""
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -178,6 +179,30 @@ def test_licenses(spark):
     assert licenses.scan(frame(spark, []), licenses.train(frame(spark, []))).collect() == []
 
 
+def test_licenses_of_very_many_paragraphs(spark):
+    # each paragraph holds a cue; the text of one must not travel with every paragraph
+    model = licenses.Model([])
+    text = "\n\n".join([f"item 1.0 of {k}" for k in range(50_000)] + ["Released under the MIT License."])
+    got = licenses.scan(frame(spark, [(1, text, "s")]), model).collect()
+    assert [(r["paragraph"], r["family"]) for r in got if r["confirmed"]] == [(100_000, "mit")]
+
+
+def test_licence_units_as_plain_python(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["mit word", "1\x01", "x", "\n", "\n", " \t", "\r\n", "a b"]) for _ in range(rng.randrange(40))) for _ in range(120)] + ["", "\n\n", "mit\n\n", None]
+    got = licenses.units(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "text", ["mit"])
+    want = []
+    for k, t in enumerate(texts):
+        at = 0
+        for part, gap in zip(re.split(r"\n(?:[ \t\r]*\n)+", t or ""), [*re.findall(r"\n(?:[ \t\r]*\n)+", t or ""), ""]):
+            lines = part.split("\n")
+            units = [(at, True, part)] + [(at + n, False, line) for n, line in enumerate(lines) if len(lines) > 1]
+            words = [(line, whole, re.findall(licenses.WORD, u.lower())) for line, whole, u in units]
+            want += [(k, at, line, whole, w) for line, whole, w in words if "mit" in w]
+            at += part.count("\n") + gap.count("\n")
+    assert sorted((r["id"], r["_par"], r["paragraph"], r["whole"], r["w"]) for r in got.collect()) == sorted(want)
+
+
 def test_licenses_as_plain_python(spark):
     model = licenses.Model(["some plain words stand here"])
     lines = [t for ts in licenses.TEMPLATES.values() for t in ts] + list(licenses.ORDINARY)

@@ -1,6 +1,7 @@
 """The ten operators over the whole of their input."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from folioframe.llm import quality
@@ -16,11 +17,13 @@ def test_quality_exchange_grows_with_the_input(spark):
     assert sum(model.taught) > 12_000
 
 
-def test_quality_sums_as_one_fit(spark):
+@pytest.mark.parametrize("fan", [64, 2])
+def test_quality_sums_as_one_fit(spark, monkeypatch, fan):
+    monkeypatch.setattr(quality, "FAN", fan)
     rng = np.random.default_rng(1)
     x, draw = rng.random((300, quality.PACKED)), rng.random(300)
     x[:, -3], x[:, -2], x[:, -1] = rng.integers(-1, 5, 300), rng.integers(-1, 3, 300), draw
-    packed = spark.createDataFrame([(bytearray(p.tobytes()),) for p in np.array_split(x, 7)], "v binary").repartition(3)
+    packed = spark.createDataFrame([(bytearray(p.tobytes()),) for p in np.array_split(x, 7)], "v binary").repartition(7)
     inputs = [quality._wide(x[:, : quality.TEXT_FEATURES]), quality._unpacked_meta(x)]
     y = (x[:, 0] + 0.2 * rng.random(300) > 0.6).astype(float)
     train = [(v[:100], y[:100]) for v in inputs]
