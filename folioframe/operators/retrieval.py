@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType
 
 from ..functions import text as T
+from ..plans.scratch import Scratch
 from .relational import answer_confidence
+from .segments import Segments
 
 K1, B, RRF_K, DIM, PASSAGE_WORDS = 1.2, 0.75, 60, 1024, 120
 
@@ -88,6 +90,7 @@ def embed(rows: DataFrame, cache: DataFrame, text: str = "text") -> tuple[DataFr
     """(rows with vec, fresh cache rows): texts of the cache aren't embedded again."""
     keyed = rows.withColumn("key", F.sha2(F.concat(F.lit("hash:"), F.col(text)), 256))
     missing = keyed.select("key", text).dropDuplicates(["key"]).join(cache, "key", "left_anti").select("key", hash_embedding(text).alias("vec"))
+    missing = Scratch(rows.sparkSession, "embed").write(missing)  # both results read it; a vector is computed once
     return keyed.join(cache.unionByName(missing), "key"), missing
 
 
@@ -164,19 +167,15 @@ def field_postings(rows: DataFrame, key: str, fields: list[str], terms: list[str
 
 
 def build_index(rows: DataFrame, key: str, fields: list[str], root: str, name: str) -> None:
-    """Writes the postings of a table's text columns, parted by a hash of the term so that a question reads few files, and
-    its row count and mean length. Replaces an index of that name."""
-    posts = field_postings(rows, key, fields).withColumn("part", F.pmod(F.xxhash64("term"), F.lit(64)).cast("int"))
-    posts.repartition("part").sortWithinPartitions("term").write.mode("overwrite").partitionBy("part").parquet(f"{root}/{name}_postings")
-    size = sum((F.size(words_of(F.coalesce(F.col(c), F.lit("")))) for c in fields), F.lit(0))
-    rows.agg(F.count("*").alias("n_docs"), F.avg(size).alias("avgdl")).write.mode("overwrite").parquet(f"{root}/{name}_stats")
+    """Writes the index of a table's text columns (``Segments``). Replaces an index of that name."""
+    index = Segments(rows.sparkSession, root, name)
+    index.clear()
+    index.refresh(rows, key, fields)
 
 
 def search(spark, root: str, name: str, key: str, terms: list[str], k: int, weights: dict | None = None) -> DataFrame:
     """(key, score): BM25 over a written index. A term's frequency in a row is the weighted sum over its columns."""
-    parts = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(F.pmod(F.xxhash64("t"), F.lit(64)).cast("int")).distinct().collect()]
-    posts = spark.read.parquet(f"{root}/{name}_postings").where(F.col("part").isin(*parts) & F.col("term").isin(*terms))
-    return _scored(posts, spark.read.parquet(f"{root}/{name}_stats"), key, k, weights)
+    return Segments(spark, root, name).search(key, terms, k, weights)
 
 
 def _scored(posts: DataFrame, stats: DataFrame, key: str, k: int | None, weights: dict | None = None) -> DataFrame:
@@ -200,8 +199,9 @@ def bm25_fields(rows: DataFrame, key: str, fields: list[str], terms: list[str],
 
 
 def index_ledger(emails: DataFrame, decisions: DataFrame, cache: DataFrame, root: str) -> dict[str, DataFrame]:
-    """Builds all that a question reads: passages of new and forwarded text with their vectors, decisions with theirs, and
-    the postings of both. Texts in the cache (key, vec) aren't embedded again; fresh holds what to add to it."""
+    """Builds, or brings up to date, all that a question reads: passages of new and forwarded text with their vectors, decisions with
+    theirs, and the postings of both. Texts in the cache (key, vec) aren't embedded again, and rows that are as they were aren't
+    read for words again; fresh holds what to add to the cache."""
     parts = emails.select("message_id", "sent_at", F.posexplode(F.array("new_text", "fwd_text")).alias("part", "text"))
     rows = parts.select("message_id", "sent_at", "part", F.posexplode(passages("text")).alias("pos", "text"))
     vectors, fresh = embed(rows.select("message_id", "part", "pos", "text"), cache)
@@ -211,8 +211,9 @@ def index_ledger(emails: DataFrame, decisions: DataFrame, cache: DataFrame, root
     passages_of = vectors.select(pid.alias("passage_id"), "message_id", "text", "vec")
     passages_of.write.mode("overwrite").parquet(f"{root}/passages")
     of_decisions.select("decision_id", "vec").write.mode("overwrite").parquet(f"{root}/decision_vectors")
-    build_index(passages_of, "passage_id", ["text"], root, "passages")
-    build_index(decisions, "decision_id", ["canonical_text", "rationale"], root, "decisions")
+    spark = emails.sparkSession
+    Segments(spark, root, "passages").refresh(spark.read.parquet(f"{root}/passages"), "passage_id", ["text"])
+    Segments(spark, root, "decisions").refresh(decisions, "decision_id", ["canonical_text", "rationale"])
     return {"passages": passages_of, "fresh": fresh.unionByName(more).dropDuplicates(["key"])}
 
 

@@ -2,57 +2,82 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.matching import exact_span, fuzzy_span, normalized
 from ..plans.scratch import Scratch
 
 
-#: Text of quotes that one pass over the texts looks for.
-PATTERNS = 1 << 20
-
-
-def contained(docs: DataFrame, items: DataFrame, doc_key: str, text: str, item_key: str, quote: str, most: int = PATTERNS) -> DataFrame:
+#: Bytes of a text that are looked at together; a position in them takes so many bits.
+BLOCK, BITS = 1 << 19, 32
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _anchors(raw: bytes, classes: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each class c the anchors (hash, place) of a text in UTF-8: of every 2 ** c bytes the gram of half as many whose hash is
+    least, of equals the first. Grams of twice the length are hashed from the ones before."""
+    out: dict = {c: [] for c in classes}
+    for block in range(0, max(len(raw), 1), BLOCK):
+        b = np.frombuffer(raw[block : block + BLOCK + (1 << max(classes)) - 1], np.uint8)
+        h = _mixed(b.astype(np.uint64) + np.uint64(1))
+        for c in range(max(classes) + 1):
+            if c > 1:  # from grams of 2 ** (c - 2) bytes to those of 2 ** (c - 1)
+                step = 1 << (c - 2)
+                h = _mixed(h[:-step] * np.uint64(0x9E3779B97F4A7C15) + h[step:]) if h.size > step else h[:0]
+            if c not in out or not h.size:
+                continue
+            v = (h >> np.uint64(BITS) << np.uint64(BITS)) | np.arange(h.size, dtype=np.uint64)
+            width = 1 if c == 0 else (1 << (c - 1)) + 1  # grams of a window
+            done = 1
+            while done < width and v.size:  # the least of twice as many each time
+                step = min(done, width - done)
+                v = np.minimum(v[:-step], v[step:]) if v.size > step else v[:0]
+                done += step
+            # windows that begin in the block; those behind belong to the next one
+            at = np.unique(v[: BLOCK] & np.uint64((1 << BITS) - 1)).astype(np.int64)
+            out[c].append((h[at].view(np.int64), at + block))
+    return {c: tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (list(zip(*parts)) or ((), ()))) for c, parts in out.items()}
+
+
+def contained(docs: DataFrame, items: DataFrame, doc_key: str, text: str, item_key: str, quote: str) -> DataFrame:
     """(item_key, doc_key): items whose quote stands in a document's text as it is. Empty and null ones stand nowhere.
 
-    One automaton finds all quotes in one pass over a text. It is sent to the executors, so it holds quotes of ``most``
-    bytes together (and one longer quote by itself); what is beyond that is looked for in further passes."""
-    spark = docs.sparkSession
-    held = items.where(F.length(quote) > 0).select(F.col(item_key).alias("k"), F.col(quote).alias("q"))
-    size = held.agg(F.sum(F.octet_length("q"))).first()[0] or 0
-    passes = int(-(-size // most)) or 1
-    schema = StructType([docs.schema[doc_key], StructField("_at", LongType())])
-    rows = docs.select(doc_key, F.col(text).alias("_t"))
-    numbered = Scratch(spark, "quotes").write(held.withColumn("at", F.monotonically_increasing_id()))
-    out = None
-    for i in range(passes):
-        some = numbered.where(F.pmod(F.xxhash64("q"), F.lit(passes)) == i) if passes > 1 else numbered
-        found = spark.sparkContext.broadcast([(r["at"], r["q"]) for r in some.select("at", "q").toLocalIterator()])
-
-        def look(batches, found=found):
-            import ahocorasick
-
-            tree, of = ahocorasick.Automaton(), {}
-            for at, q in found.value:
-                of.setdefault(q, []).append(at)
-            for q, ats in of.items():
-                tree.add_word(q, tuple(ats))
-            tree.make_automaton()
-            for batch in batches:
-                keys, ats = [], []
-                for n, t in enumerate(batch.column("_t").to_pylist()):
-                    hits = {ats_of for _, ats_of in tree.iter(t)} if t and of else ()
-                    for ats_of in hits:
-                        keys += [n] * len(ats_of)
-                        ats += ats_of
-                yield pa.RecordBatch.from_arrays([batch.column(doc_key).take(pa.array(keys, pa.int64())), pa.array(ats, pa.int64())], names=[doc_key, "_at"])
-
-        part = rows.mapInArrow(look, schema)
-        out = part if out is None else out.unionByName(part)
-    return out.join(numbered.select(F.col("at").alias("_at"), F.col("k").alias(item_key)), "_at").select(item_key, doc_key).distinct()
+    An equi-join on anchors: a quote of 2 ** c bytes or more, and less than twice that, has one in its first 2 ** c bytes, and
+    wherever it stands the text has the same. So the texts are scanned once, whatever the number of quotes, equal ones once for all; what meets is
+    verified byte by byte. Nothing but the classes c that occur, a few numbers, reaches the driver."""
+    scratch = Scratch(docs.sparkSession, "quotes")
+    held = items.where(F.length(quote) > 0).select(F.col(item_key).alias("k"), F.encode(quote, "utf-8").alias("q")).distinct()
+    held = scratch.write(held.withColumn("c", F.floor(F.log2(F.octet_length("q").cast("double"))).cast("int")))
+    classes = sorted(r[0] for r in held.select("c").distinct().collect())
+    if not classes:
+        return items.select(item_key).limit(0).join(docs.select(doc_key).limit(0))
+    texts = docs.where(F.length(text) > 0).select(F.col(doc_key).alias("d"), F.encode(text, "utf-8").alias("t")).withColumn("h", F.xxhash64("t"))
+
+    def scan(batches):
+        for batch in batches:
+            for t, h in zip(batch.column("t").to_pylist(), batch.column("h").to_pylist()):
+                for c, (g, at) in _anchors(t, classes).items():
+                    yield pa.RecordBatch.from_pydict({"h": np.full(g.size, h), "c": np.full(g.size, c, np.int32), "g": g, "at": at})
+
+    def anchor(batches):
+        for batch in batches:
+            first = [[int(x[0]) for x in _anchors(q[: 1 << c], [c])[c]] for q, c in zip(batch.column("q").to_pylist(), batch.column("c").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in first], pa.int64()), pa.array([x[1] for x in first], pa.int64())], [*batch.schema.names, "g", "off"])
+
+    kind = dict(items.dtypes)[item_key]
+    quotes = scratch.write(held.mapInArrow(anchor, f"k {kind}, q binary, c int, g bigint, off bigint"))
+    places = texts.select("t", "h").dropDuplicates(["h", "t"]).mapInArrow(scan, "h bigint, c int, g bigint, at bigint")
+    met = scratch.write(places.join(quotes.withColumnsRenamed({"c": "qc", "g": "qg"}), (F.col("c") == F.col("qc")) & (F.col("g") == F.col("qg"))).select("k", "q", "h", (F.col("at") - F.col("off")).cast("int").alias("start")).where("start >= 0"))
+    stands = F.substring(F.col("t"), F.col("start") + 1, F.octet_length("q")) == F.col("q")
+    return met.join(texts.withColumnRenamed("h", "th"), F.col("h") == F.col("th")).where(stands).select(F.col("k").alias(item_key), F.col("d").alias(doc_key)).distinct()
 
 
 def verify_quotes(quotes: DataFrame, texts: DataFrame) -> DataFrame:

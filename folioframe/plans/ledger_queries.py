@@ -650,6 +650,25 @@ def checked_answers(spark, d):
     return V.check_answer(answers, m.select("message_id", "new_text", "fwd_text"), spark.createDataFrame([("DEC-1",)], "decision_id string")).select("answer_id", "errors")
 
 
+_SAID = "trim(split_part({x}, '. ', 1), ' .,')"
+
+
+@query(over("messages") + f"""select 'R-' || conv_id || '-' || case turn when 0 then '01' else '03' end record_id, 'topic ' || turn topic_label, case turn when 0 then strftime(sent_at, '%Y-%m-%d') else '2026-01-05' end decision_date, {_SAID.format(x='new_text')} quote, message_id
+from messages where turn in (0, 1) and length({_SAID.format(x='new_text')}) >= 3""")
+def extracted_records(spark, d):
+    """Answers of three records for each conversation: one dated by its quote, one whose quote was never said, one that cites the second
+    turn by its alias and keeps its date."""
+    m = TH.positions(frame(spark, d, "messages")).withColumn("sent_tz", F.lit("+0000"))
+    said = F.btrim(F.split_part("new_text", F.lit(". "), F.lit(1)), F.lit(" .,"))
+    first = m.groupBy("thread_id").agg(F.max(F.when(F.col("turn") == 0, said)).alias("q0"), F.max(F.when(F.col("turn") == 1, said)).alias("q1"))
+    rec = "named_struct('topic_label', '{}', 'decision_text', 'x', 'stance', 'final', 'decision_type', 'explicit', 'decided_by', array('a'), 'decision_date', '{}', 'rationale', '', 'alternatives', array(''), 'conditions', '', 'overrides_hint', '', 'authority_note', '', 'confidence', 0.5D, 'evidence', array({}))"
+    cite = "named_struct('message_id', '{}', 'quote', {}, 'role', 'confirmation')"
+    three = [rec.format("topic 0", "2026-02-30", cite.format("m1", "upper(q0)")), rec.format("never", "2026-01-05", cite.format("m1", "'words that nobody ever said here'")), rec.format("topic 1", "2026-01-05", cite.format("m2", "q1"))]
+    answers = first.select("thread_id", F.expr(f"named_struct('records', array({', '.join(three)}))").alias("answer"))
+    recs, evidence = L.records(answers, m)
+    return recs.join(evidence.selectExpr("owner_id record_id", "message_id", "quote"), "record_id").select("record_id", "topic_label", "decision_date", "quote", "message_id")
+
+
 # ---------------------------------------------------------------- mail, sources and sinks
 
 _MAILED = "concat('body ', conv_id, ' ', turn, ' of ', role)"

@@ -123,9 +123,9 @@ def left_lookup(spark, d):
     return R.lookup(table(spark, d, "customer"), nation, "c_nationkey", "n_name", F.col("c_name"), "shown").select("c_custkey", "shown")
 
 
-@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority like '1%')")
 def anti_join(spark, d):
-    return R.anti(table(spark, d, "customer"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey").select("c_custkey")
+    return R.anti(table(spark, d, "customer"), table(spark, d, "orders").where("o_orderpriority like '1%'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey").select("c_custkey")
 
 
 @query("select distinct c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority like '1%')")
@@ -390,6 +390,20 @@ def normalized_containment(spark, d):
 _FOLD = "replace(lower(regexp_replace({}, '\\s+', ' ', 'g')), 'ß', 'ss')"
 
 
+_SENTENCES = """select conv_id, turn, i, s from (select conv_id, turn, unnest(range(1, length(p) + 1)) i, p from (select conv_id, turn, string_split(replace(text, chr(10), ' '), '. ') p from conversations)), lateral (select trim(p[i], ' .,') s) where length(s) between 24 and 400"""
+
+
+@query(f"""select conv_id || '#' || turn || '#' || i quote_id, conv_id || '.' || turn source_id, s span, 'snapped' how from ({_SENTENCES})""")
+def snapped_quotes(spark, d):
+    """Every sentence of every turn, cited with one letter wrong."""
+    c = table(spark, d, "conversations").withColumn("text", F.replace("text", F.lit("\n"), F.lit(" ")))
+    texts = c.select(F.col("conv_id").cast("string").alias("thread_id"), F.concat_ws(".", "conv_id", "turn").alias("message_id"), F.col("turn").alias("pos"), F.col("text").alias("new_text"), F.lit("").alias("fwd_text"))
+    q = c.select("conv_id", "turn", F.posexplode(F.split("text", r"\. ")).alias("i", "s")).withColumn("s", F.btrim("s", F.lit(" .,"))).where("length(s) between 24 and 400")
+    wrong = F.expr("overlay(s placing '#' from cast(length(s) / 2 as int))")
+    q = q.select(F.concat_ws("#", "conv_id", "turn", F.col("i") + 1).alias("quote_id"), F.col("conv_id").cast("string").alias("thread_id"), F.concat_ws(".", "conv_id", "turn").alias("message_id"), wrong.alias("quote"), F.lit("decision").alias("role"))
+    return verify_quotes(q, texts).select("quote_id", "source_id", "span", "how")
+
+
 @query(f"""with c as (select conv_id, turn, {_FOLD.format('text')} t from conversations), q as (select conv_id, turn, trim({_FOLD.format('upper(substr(text, 1, 40))')}, ' .,;:!?"''-') q from conversations where turn = 1),
 h as (select q.conv_id, min(c.turn) place from q join c on c.conv_id = q.conv_id and length(q) >= 3 and contains(c.t, q.q) group by 1)
 select q.conv_id || '#' || q.turn quote_id, case when h.place is null then q.conv_id || '.0' else q.conv_id || '.' || h.place end source_id, case when h.place is null then 'dropped' when h.place = 0 then 'exact' else 'reanchored' end how, h.place is not null verified from q left join h using (conv_id)""")

@@ -165,3 +165,36 @@ def test_related_threads_with_busy_people(spark, busy, block):
         near = sorted((c, o) for o, c, d, q in rows if o != t and len(set(p or ()) & set(q or ())) >= 2 and d >= a - wide and c <= b + wide)[:10]
         want |= {(t, n + 1): o for n, (_, o) in enumerate(near)}
     assert got == want
+
+
+@pytest.mark.parametrize("block", [1 << 19, 64])
+def test_containment_is_that_of_plain_search(spark, monkeypatch, block):
+    from folioframe.operators import verify
+
+    monkeypatch.setattr(verify, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    word = ["ab", "aa", "é", "日本", "b ", "a", "\n", "😀"]
+    text = lambda n: "".join(rng.choice(word) for _ in range(n))
+    docs = [(k, text(rng.integers(0, 200))) for k in range(60)] + [(7, "twice"), (None, "abab"), (61, None), (62, "")]
+    items = [(f"i{k}", d[a : a + n]) for k in range(300) if (d := docs[rng.integers(0, 60)][1] + text(3)) and (a := rng.integers(0, len(d))) >= 0 and (n := rng.integers(0, 2 ** rng.integers(1, 8))) >= 0]
+    items += [("none", None), ("empty", ""), ("far", "zzz"), ("i0", "aa")]
+    got = verify.contained(spark.createDataFrame(docs, "d long, t string").repartition(3), spark.createDataFrame(items, "i string, q string"), "d", "t", "i", "q").collect()
+    assert {(r["i"], r["d"]) for r in got} == {(i, d) for i, q in items for d, t in docs if q and t and q in t} and len({tuple(r) for r in got}) == len(got)
+
+
+def test_fuzzy_windows_are_those_of_all_windows():
+    from folioframe.functions import matching
+
+    rng = np.random.default_rng(6)
+    for _ in range(600):
+        n = int(rng.integers(3, 60))
+        needle = "".join(rng.choice(list("abcde "), n))
+        inner = list(needle)
+        for _ in range(rng.integers(0, 5)):
+            at = int(rng.integers(0, len(inner) + 1))
+            inner[at : at + int(rng.integers(0, 2))] = rng.choice(list("abcde "), int(rng.integers(0, 2)))
+        text = "".join(rng.choice(list("abcde "), int(rng.integers(0, 90)))) + "".join(inner) + "".join(rng.choice(list("abcde "), int(rng.integers(0, 90))))
+        least = float(rng.choice([80, 90, 95]))
+        best = matching.best_window(needle, text)
+        got = matching.best_window(needle, text, least)
+        assert got == best if best[0] >= least else got[0] < least
