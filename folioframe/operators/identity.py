@@ -203,3 +203,24 @@ def received_sample(emails: DataFrame, people: DataFrame, identities: DataFrame,
     both = sent.withColumn("kind", F.lit("sent")).unionByName(got.withColumn("kind", F.lit("received")).distinct()).join(active, "person_id", "left_semi")
     w = Window.partitionBy("person_id", "kind").orderBy("sent_at", "message_id")
     return both.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("person_id", "kind", "message_id")
+
+
+def role_prompts(emails: DataFrame, people: DataFrame, identities: DataFrame, chars: int = 300) -> DataFrame:
+    """(person_id, text): what a model is asked about insiders whose signatures show no role: their first mails and the first
+    that others sent them by name, as ``received_sample`` takes them."""
+    asked = people.where("is_internal and coalesce(role_guess, '') = ''").select(F.col("id").alias("person_id"), "canonical_name")
+    sample = received_sample(emails, people, identities).join(asked, "person_id").join(emails.select("message_id", "subject", "from_name", "sent_at", "new_text"), "message_id")
+    said = F.substring(F.trim("new_text"), 1, chars)
+    line = F.concat(F.when(F.col("kind") == "sent", F.concat(F.lit("- "), F.coalesce("subject", F.lit("")))).otherwise(F.concat(F.lit("- from "), F.coalesce("from_name", F.lit("")))), F.lit(": "), said)
+    listed = lambda kind: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("sent_at", "message_id", line.alias("line"))))), lambda x: x["line"]), "\n")
+    told = sample.groupBy("person_id", "canonical_name").agg(listed("sent").alias("sent"), listed("received").alias("got"))
+    head = F.concat(F.lit("PERSON: "), "canonical_name", F.lit("\n\nSENT BY THEM:\n"), "sent", F.lit("\n\nSENT TO THEM BY OTHERS:\n"), "got")
+    return told.select("person_id", head.alias("text"))
+
+
+def inferred_roles(people: DataFrame, prompts: DataFrame, answers: DataFrame) -> DataFrame:
+    """people with the roles that answers (person_id, answer) give to those who were asked about, marked as inferred; a role
+    that is known stays, and so does what nothing was said of."""
+    said = answers.join(prompts.select("person_id"), "person_id", "left_semi").select(F.col("person_id").alias("_p"), F.col("answer.role").alias("_role"))
+    told = F.when((F.coalesce("role_guess", F.lit("")) == "") & (F.coalesce("_role", F.lit("")) != ""), F.concat("_role", F.lit(" (inferred from behaviour)"))).otherwise(F.col("role_guess"))
+    return people.join(said, F.col("id") == F.col("_p"), "left").withColumn("role_guess", told).drop("_p", "_role")

@@ -941,6 +941,27 @@ def signed_roles(spark, d):
     return I.roles(mails, people, idents).select("id", "role_guess", "org")
 
 
+_ROLE_MAIL = """select concat('<', l_orderkey, '.', l_linenumber, '.', l_partkey, '.', l_suppkey, '@x>') message_id, concat('s', l_suppkey, '@x.example') from_addr, concat('N', l_suppkey) from_name, concat('s', l_partkey % 40 + 1, '@x.example') to_addr, concat('order ', l_orderkey) subject,
+  concat('Dear supplier#', lpad(cast(l_partkey % 40 + 1 as string), 9, '0'), ', take part ', l_partkey) new_text, l_shipdate sent_at, l_suppkey sender, l_partkey % 40 + 1 receiver from {lineitem}"""
+
+
+@query(over("people") + f""", m as ({_ROLE_MAIL.format(lineitem='lineitem')}),
+both_ as (select 'sent' kind, sender id, message_id, sent_at, '- ' || subject || ': ' || new_text line from m union all select distinct 'received', receiver, message_id, sent_at, '- from ' || from_name || ': ' || new_text from m join people on id = receiver where contains(lower(new_text), lower(split_part(canonical_name, ' ', 1)))),
+few as (select * from both_ where id in (select sender from m group by 1 having count(*) >= 3) qualify row_number() over (partition by id, kind order by sent_at, message_id) <= 8),
+told as (select id, coalesce(string_agg(line, chr(10) order by sent_at, message_id) filter (kind = 'sent'), '') sent, coalesce(string_agg(line, chr(10) order by sent_at, message_id) filter (kind = 'received'), '') got from few group by 1)
+select p.id, case when told.id is not null and p.id % 2 = 0 and is_internal and role_guess is null then 'Head ' || p.id || ' (inferred from behaviour)' else role_guess end role_guess,
+  case when is_internal and role_guess is null then 'PERSON: ' || canonical_name || chr(10) || chr(10) || 'SENT BY THEM:' || chr(10) || sent || chr(10) || chr(10) || 'SENT TO THEM BY OTHERS:' || chr(10) || got end prompt from people p left join told using (id)""")
+def inferred_roles(spark, d):
+    """Insiders without a role are asked about with their own and others' mails; answers for every second one name a role."""
+    people = frame(spark, d, "people")
+    idents = frame(spark, d, "identities").where("value like 's%@x.example'")
+    mails = spark.sql(_ROLE_MAIL, lineitem=table(spark, d, "lineitem")).withColumn("to_addrs", F.array("to_addr")).withColumn("cc_addrs", F.array().cast("array<string>"))
+    prompts = I.role_prompts(mails, people, idents)
+    answers = people.select(F.col("id").alias("person_id"), F.struct(F.when(F.col("id") % 2 == 0, F.concat(F.lit("Head "), "id")).alias("role"), F.lit(None).cast("string").alias("org")).alias("answer"))
+    out = I.inferred_roles(people, prompts, answers).select("id", "role_guess")
+    return out.join(prompts.withColumnRenamed("person_id", "id"), "id", "left").withColumnRenamed("text", "prompt")
+
+
 _CHAIN = (over("decisions", "edges") + ", g as (select src x, dst y from edges union all select dst, src from edges), r(node) as (select decision_id from decisions where authority_flag and status = 'contested' union select y from r join g on x = node)").replace("with decisions", "with recursive decisions", 1)
 
 
