@@ -133,11 +133,17 @@ def people_directory(identities: DataFrame, people: DataFrame, addresses: list[s
     return people_values(identities, people).where(F.col("is_internal") | held).select("id", "canonical_name", "is_internal", line.alias("line"))
 
 
+def local_people(scratch: Scratch, emails: DataFrame) -> DataFrame:
+    """(addr, person, canonical): addresses of a domain whose names are alike are one person, named by the least of them."""
+    named = addresses(emails).withColumn("domain", T.domain_of(F.col("addr")))
+    return scratch.write(named.groupBy("domain").applyInPandas(lambda pdf: _same_domain(pdf), "addr string, person string, canonical string"))
+
+
 def resolve(scratch: Scratch, emails: DataFrame, verdicts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Tables people and identities. Within a domain alike names are one person; across domains equal ones are, or the
-    pairs that a table of verdicts (a, b, same_person) holds for one."""
+    pairs that a table of verdicts (a, b, same_person) holds for one; ``similar_pairs`` of ``local_people`` are what to judge."""
     named = addresses(emails).withColumn("domain", T.domain_of(F.col("addr")))
-    local = scratch.write(named.groupBy("domain").applyInPandas(lambda pdf: _same_domain(pdf), "addr string, person string, canonical string"))
+    local = local_people(scratch, emails)
     people = local.groupBy("person").agg(F.first("canonical").alias("canonical")).withColumn("norm", normalized_name("canonical"))
     several = people.where(F.size(F.split("norm", " ")) >= 2)
     root = several.groupBy("norm").agg(F.min("person").alias("b"))

@@ -929,6 +929,31 @@ def similar_people(spark, d):
     return I.similar_pairs(p, "addr", "name")
 
 
+_MISTYPED = """select c_custkey, concat('c', c_custkey, '@d', c_nationkey, '.example') addr, c_custkey % 60 base, c_custkey % 4 = 1 wrong,
+  concat(case when c_custkey % 4 = 1 then concat(substr(md5(cast(c_custkey % 60 as string)), 1, 4), 'z', substr(md5(cast(c_custkey % 60 as string)), 6, 4)) else substr(md5(cast(c_custkey % 60 as string)), 1, 9) end, ' ', substr(md5(cast(c_custkey % 60 as string)), 10, 9)) "name" from {customer}"""
+
+
+@query(f"""with p as ({_MISTYPED.format(customer='customer')}) select a.addr a, b.addr b, a.wrong = b.wrong same_name from p a join p b on a.base = b.base and a.addr < b.addr and split_part(a.addr, '@', 2) <> split_part(b.addr, '@', 2)""")
+def alike_people(spark, d):
+    """Every fourth customer's name has a letter wrong; the pairs are those of equal and of mistyped names."""
+    p = spark.sql(_MISTYPED.replace('"name"', "name"), customer=table(spark, d, "customer"))
+    return I.similar_pairs(p, "addr", "name")
+
+
+@query(f"""with p as ({_MISTYPED.format(customer='customer')}), top as (select split_part(addr, '@', 2) domain from p group by 1 order by count(*) desc, 1 limit 1)
+select base % 60 base, count(*) addresses, bool_or(split_part(addr, '@', 2) = (select domain from top)) is_internal from p group by 1""")
+def judged_people(spark, d):
+    """The same people, after all pairs of alike names of different domains were judged to be one person."""
+    p = spark.sql(_MISTYPED.replace('"name"', "name"), customer=table(spark, d, "customer"))
+    emails = p.select(F.col("addr").alias("from_addr"), F.col("name").alias("from_name"), F.array().cast("array<struct<name:string,addr:string>>").alias("to_named"))
+    scratch = Scratch(spark, "people")
+    local = I.local_people(scratch, emails).select("person", "canonical").distinct()
+    verdicts = I.similar_pairs(local).select("a", "b", F.lit(True).alias("same_person"))
+    people, idents = I.resolve(scratch, emails, verdicts)
+    of = idents.where("kind = 'email'").join(p.select(F.col("addr").alias("value"), "base"), "value").groupBy(F.col("person_id").alias("id")).agg(F.count("*").alias("addresses"), F.min("base").alias("base"))
+    return people.join(of, "id").select("base", "addresses", "is_internal")
+
+
 @query(over("people") + """, m as (select id, canonical_name, 'Head of ' || (id % 7) role, 'Org ' || (id % 4) org from people) select id, role role_guess, org from m""")
 def signed_roles(spark, d):
     people = frame(spark, d, "people").select("id", "canonical_name", F.lit(None).cast("string").alias("role_guess"), F.lit("x").alias("org"), "is_internal")
