@@ -57,16 +57,36 @@ def _code(gram: str) -> int:
     return (h % DIM) * 2 + (h >> 63)
 
 
+def _four_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(text, gram, grams): how often which of the distinct 4-grams stands in which text, as rows (text * grams + gram, count)
+    and the grams themselves. Code points are numbered within the batch, so that four of them are one number."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    text = np.repeat(np.arange(len(texts)), sizes)
+    whole = np.flatnonzero(text[:-3] == text[3:]) if points.size > 3 else np.zeros(0, np.int64)
+    alphabet, code = np.unique(points, return_inverse=True)
+    key, base = np.zeros(whole.size, object if alphabet.size > 1 << 15 else np.int64), max(int(alphabet.size), 1)
+    for k in range(4):
+        key = key * base + code[whole + k]
+    distinct, of = np.unique(key, return_inverse=True)
+    pair, count = np.unique(text[whole] * max(distinct.size, 1) + of, return_counts=True)
+    parts = []
+    for _ in range(4):
+        parts.append(alphabet[(distinct % base).astype(np.int64)] if distinct.size else alphabet[:0])
+        distinct = distinct // base
+    joined = np.stack(parts[::-1], 1).astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+    return pair, count, [joined[k : k + 4] for k in range(0, len(joined), 4)]
+
+
 def embed_texts(texts: list[str]) -> np.ndarray:
     """Signed counts of hashed words, word pairs and 4-grams, damped, of length one; a row a text. A gram is hashed once
     for all texts."""
+    texts = [(t or "").casefold() for t in texts]
     row, code, known = [], [], {}
     for i, t in enumerate(texts):
-        t = (t or "").casefold()
         words = re.findall(r"\w+", t)
         counts = Counter(words)
         counts.update(f"{a}_{b}" for a, b in zip(words, words[1:]))
-        counts.update(t[k : k + 4] for k in range(len(t) - 3))
         for g, n in counts.items():
             if (c := known.get(g)) is None:
                 c = known[g] = _code(g)
@@ -74,7 +94,12 @@ def embed_texts(texts: list[str]) -> np.ndarray:
             code.append(-n if c & 1 else n)
         if len(known) > 1_000_000:  # speed alone depends on it
             known = {}
-    v = np.bincount(np.array(row, np.int64), np.array(code, float), len(texts) * DIM).reshape(len(texts), DIM)
+    pair, count, grams = _four_grams(texts)
+    of = np.array([_code(g) for g in grams], np.int64)
+    text, gram = np.divmod(pair, max(len(grams), 1))
+    at = np.concatenate((np.array(row, np.int64), text * DIM + (of[gram] >> 1)))
+    n = np.concatenate((np.array(code, float), np.where(of[gram] & 1, -count, count)))
+    v = np.bincount(at.astype(np.int64), n, len(texts) * DIM).reshape(len(texts), DIM)
     v = np.sign(v) * np.log1p(np.abs(v))
     n = np.linalg.norm(v, axis=1, keepdims=True)
     return np.divide(v, n, out=v, where=n > 0).astype(np.float32)

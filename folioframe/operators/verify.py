@@ -21,12 +21,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _anchors(raw: bytes, classes: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def _anchors(raw: bytes, classes: list[int], size: int | None = None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """For each class c the anchors (hash, place) of a text in UTF-8: of every 2 ** c bytes the gram of half as many whose hash is
     least, of equals the first. Grams of twice the length are hashed from the ones before."""
     out: dict = {c: [] for c in classes}
-    for block in range(0, max(len(raw), 1), BLOCK):
-        b = np.frombuffer(raw[block : block + BLOCK + (1 << max(classes)) - 1], np.uint8)
+    size = size or BLOCK
+    for block in range(0, max(len(raw), 1), size):
+        b = np.frombuffer(raw[block : block + size + (1 << max(classes)) - 1], np.uint8)
         h = _mixed(b.astype(np.uint64) + np.uint64(1))
         for c in range(max(classes) + 1):
             if c > 1:  # from grams of 2 ** (c - 2) bytes to those of 2 ** (c - 1)
@@ -42,17 +43,17 @@ def _anchors(raw: bytes, classes: list[int]) -> dict[int, tuple[np.ndarray, np.n
                 v = np.minimum(v[:-step], v[step:]) if v.size > step else v[:0]
                 done += step
             # windows that begin in the block; those behind belong to the next one
-            at = np.unique(v[: BLOCK] & np.uint64((1 << BITS) - 1)).astype(np.int64)
+            at = np.unique(v[:size] & np.uint64((1 << BITS) - 1)).astype(np.int64)
             out[c].append((h[at].view(np.int64), at + block))
     return {c: tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (list(zip(*parts)) or ((), ()))) for c, parts in out.items()}
 
 
-def contained(docs: DataFrame, items: DataFrame, doc_key: str, text: str, item_key: str, quote: str) -> DataFrame:
+def contained(docs: DataFrame, items: DataFrame, doc_key: str, text: str, item_key: str, quote: str, block: int | None = None) -> DataFrame:
     """(item_key, doc_key): items whose quote stands in a document's text as it is. Empty and null ones stand nowhere.
 
     An equi-join on anchors: a quote of 2 ** c bytes or more, and less than twice that, has one in its first 2 ** c bytes, and
     wherever it stands the text has the same. So the texts are scanned once, whatever the number of quotes, equal ones once for all; what meets is
-    verified byte by byte. Nothing but the classes c that occur, a few numbers, reaches the driver."""
+    verified byte by byte. A text is looked at in blocks of so many bytes. Nothing but the classes c that occur, a few numbers, reaches the driver."""
     scratch = Scratch(docs.sparkSession, "quotes")
     held = items.where(F.length(quote) > 0).select(F.col(item_key).alias("k"), F.encode(quote, "utf-8").alias("q")).distinct()
     held = scratch.write(held.withColumn("c", F.floor(F.log2(F.octet_length("q").cast("double"))).cast("int")))
@@ -64,7 +65,7 @@ def contained(docs: DataFrame, items: DataFrame, doc_key: str, text: str, item_k
     def scan(batches):
         for batch in batches:
             for t, h in zip(batch.column("t").to_pylist(), batch.column("h").to_pylist()):
-                for c, (g, at) in _anchors(t, classes).items():
+                for c, (g, at) in _anchors(t, classes, block).items():
                     yield pa.RecordBatch.from_pydict({"h": np.full(g.size, h), "c": np.full(g.size, c, np.int32), "g": g, "at": at})
 
     def anchor(batches):
