@@ -50,7 +50,8 @@ def _keyed(names: DataFrame, name: str, cut: bool) -> DataFrame:
                 told = place.cast("long") * (1 << 31) + length
             entries.append(F.when(ok, told))
     every = F.array_compact(F.array(*entries))
-    rows = names.select(name, _bag(F.col(name)).alias("bag"), F.explode(every if cut else F.array_distinct(every)).alias("e"))
+    # the bag is made before the rows are, or each row would make it anew
+    rows = names.select(name, _bag(F.col(name)).alias("bag"), (every if cut else F.array_distinct(every)).alias("e")).select(name, "bag", F.explode("e").alias("e"))
     if not cut:
         rows = rows.select(name, "bag", F.struct(n.alias("m"), F.shiftright("e", 31).cast("int").alias("place"), F.shiftright("e", 31).cast("int").alias("at"), (F.col("e") % (1 << 31)).cast("int").alias("length")).alias("e"))
     piece = F.substring(F.col(name), F.col("e.at") + 1, F.col("e.length"))
