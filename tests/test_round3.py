@@ -81,3 +81,20 @@ def test_large_domain_of_few_names():
     start = time.perf_counter()
     assert I._same_domain(rows)["person"].nunique() == 60
     assert time.perf_counter() - start < 15  # with a scan a merge it took four times as long for twice the rows
+
+
+def test_steps_of_a_graph_are_wide(spark):
+    from folioframe.operators.graph import components
+    from folioframe.plans.scratch import WIDE, Scratch
+
+    seen, plain = [], {k: spark.conf.get(k, None) for k in WIDE}
+
+    class Watched(Scratch):
+        def write(self, df, compression="zstd", wide=False):
+            with self._released(wide):
+                seen.append({k: spark.conf.get(k, None) for k in WIDE})
+            return super().write(df, compression, wide)
+
+    out = components(Watched(spark, "t"), spark.range(1, 200).selectExpr("id a", "id div 2 b"))
+    assert {tuple(r) for r in out.collect()} == {(i, 0) for i in range(200)}
+    assert seen and all(s == WIDE for s in seen) and {k: spark.conf.get(k, None) for k in WIDE} == plain
