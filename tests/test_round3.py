@@ -98,3 +98,16 @@ def test_steps_of_a_graph_are_wide(spark):
     out = components(Watched(spark, "t"), spark.range(1, 200).selectExpr("id a", "id div 2 b"))
     assert {tuple(r) for r in out.collect()} == {(i, 0) for i in range(200)}
     assert seen and all(s == WIDE for s in seen) and {k: spark.conf.get(k, None) for k in WIDE} == plain
+
+
+def test_long_texts_cross_in_small_batches(spark, monkeypatch):
+    from folioframe.plans.scratch import Scratch
+
+    size = F.pandas_udf(lambda x: x * 0 + len(x), "long")
+    rows = Scratch(spark, "t").write(spark.range(0, 1000, 1, 1).select(size("id").alias("n")), small=True)
+    assert rows.agg(F.max("n")).first()[0] <= 128
+    asked = []
+    monkeypatch.setattr(Scratch, "write", lambda self, df, *a, **k: asked.append(k.get("small")) or df)
+    for name in ("q_passages", "q_page_text"):
+        Q.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert asked == [True, True]
