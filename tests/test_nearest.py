@@ -198,3 +198,16 @@ def test_fuzzy_windows_are_those_of_all_windows():
         best = matching.best_window(needle, text)
         got = matching.best_window(needle, text, least)
         assert got == best if best[0] >= least else got[0] < least
+
+
+@pytest.mark.parametrize("threshold", [0.4, 0.62, 0.9])
+def test_clusters_over_near_pairs_alone(threshold):
+    rng = np.random.default_rng(int(threshold * 100))
+    for dim, spread in ((6, 0.5), (16, 0.35), (16, 1.0)):
+        middle = rng.normal(size=(12, dim))
+        vectors = [middle[k % 12] + spread * rng.normal(size=dim) for k in range(150)] + [None, np.zeros(dim)]
+        people = [None if k % 17 == 0 else [f"p{k % 9}", None] if k % 5 else [f"p{k % 9}", f"p{k % 7}"] for k in range(152)]
+        entities = [None if k % 13 == 0 else [f"e{x}" for x in rng.integers(0, 20, k % 3)] for k in range(152)]
+        sim, link = cluster.similarities(vectors, people, entities)
+        want = cluster.agglomerate(sim, link, threshold)
+        assert cluster.agglomerate_near(vectors, people, entities, threshold) == want and 1 < len(want) < 152
