@@ -211,3 +211,23 @@ def test_clusters_over_near_pairs_alone(threshold):
         sim, link = cluster.similarities(vectors, people, entities)
         want = cluster.agglomerate(sim, link, threshold)
         assert cluster.agglomerate_near(vectors, people, entities, threshold) == want and 1 < len(want) < 152
+
+
+def test_vectors_travel_once_a_share(spark, monkeypatch):
+    rows = [(k, v) for k, v in vectors(5, 400, 12, 30) if v and len(v) == 12 and np.isfinite(v).all() and any(v)]
+    items = spark.createDataFrame([(f"i{k}", v) for k, v in rows], "id string, vec array<double>")
+    asked = spark.createDataFrame(rows, "id long, vec array<double>")
+    seen, write = [], Scratch.write
+
+    def told(self, df, *a, **k):
+        out = write(self, df, *a, **k)
+        if k.get("small"):
+            seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(Scratch, "write", told)
+    got = nearest.top_cosine(Scratch(spark, "shares"), asked, items, 3, pivots=4, block=8).collect()
+    u = np.array([unit(v) for _, v in rows])
+    best = {rows[n][0]: sorted(-c)[:3] for n, c in enumerate(u @ u.T)}
+    assert len(seen) == 1 and "share" in seen[0] and len(got) == 3 * len(rows)
+    assert all(abs(r["cos"] + best[r["query_id"]][r["rank"] - 1]) < 1e-9 for r in got)
