@@ -231,3 +231,24 @@ def test_vectors_travel_once_a_share(spark, monkeypatch):
     best = {rows[n][0]: sorted(-c)[:3] for n, c in enumerate(u @ u.T)}
     assert len(seen) == 1 and "share" in seen[0] and len(got) == 3 * len(rows)
     assert all(abs(r["cos"] + best[r["query_id"]][r["rank"] - 1]) < 1e-9 for r in got)
+
+
+def test_classes_are_matched_as_their_rows(spark):
+    rng = np.random.default_rng(3)
+    lefts = [(k, "xy"[k % 2], float(rng.integers(0, 8))) for k in range(70)]
+    rights = [(k, "xy"[k % 2], float(rng.integers(0, 8))) for k in range(60)]
+    weight = lambda a, b: round(max(0.0, 1 - abs(a - b) / 5), 4)
+    p, q = spark.createDataFrame(lefts, "l long, block string, lp double"), spark.createDataFrame(rights, "r long, block string, rp double")
+    sizes = lambda df, c: df.groupBy("block", c).agg(F.count("*").alias(f"n_{c}"))
+    w = F.round(F.greatest(F.lit(0.0), 1 - F.abs(F.col("lp") - F.col("rp")) / 5), 4)
+    cand = sizes(p, "lp").join(sizes(q, "rp"), "block").withColumn("w", w)
+    best = 0.0
+    for b in "xy":
+        best += sum(m[i, j] for m in [np.array([[weight(x, y) for _, c, y in rights if c == b] for _, a, x in lefts if a == b])] for i, j in cluster.assign(m))
+    for most in (cluster.CLASSES, 1):
+        found = cluster.match_classes(cand, "lp", "rp", "w", "block", "n_lp", "n_rp", most=most)
+        got = cluster.pairs_of_classes(found, p, q, "lp", "rp", "block", "l", "r").collect()
+        assert len({r["l"] for r in got}) == len({r["r"] for r in got}) == len(got)
+        at, to = {k: (b, x) for k, b, x in lefts}, {k: (b, x) for k, b, x in rights}
+        assert all(at[r["l"]] == (r["block"], r["lp"]) and to[r["r"]] == (r["block"], r["rp"]) and r["w"] == weight(r["lp"], r["rp"]) > 0 for r in got)
+        assert abs(sum(r["w"] for r in got) - best) < 1e-6
