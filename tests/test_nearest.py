@@ -252,3 +252,19 @@ def test_classes_are_matched_as_their_rows(spark):
         at, to = {k: (b, x) for k, b, x in lefts}, {k: (b, x) for k, b, x in rights}
         assert all(at[r["l"]] == (r["block"], r["lp"]) and to[r["r"]] == (r["block"], r["rp"]) and r["w"] == weight(r["lp"], r["rp"]) > 0 for r in got)
         assert abs(sum(r["w"] for r in got) - best) < 1e-6
+
+
+def test_related_threads_leave_pairs_of_late_bands_unmade(spark):
+    from folioframe.operators import threads as TH
+
+    rng = np.random.default_rng(8)
+    rows = [(k, 1000 * int(rng.integers(0, 9)), 1000 * int(rng.integers(9, 20)), int(p)) for k in range(120) for p in rng.choice(15, 7, replace=False)]
+    first = {k: rows[7 * k][1] for k in range(120)}
+    rows = [(k, first[k], n, p) for k, _, n, p in rows]
+    light = spark.createDataFrame(rows, "thread_id long, f long, l long, person long").withColumn("heavy", F.array().cast("array<bigint>"))
+    people = {k: {r[3] for r in rows if r[0] == k} for k in range(120)}
+    pairs = {k: sorted((first[o], o) for o in people if o != k and len(people[k] & people[o]) >= 2) for k in people}
+    got = [tuple(r) for r in TH._light_pairs(Scratch(spark, "bands"), light, 10**9, 2, 4, 16).collect()]
+    assert len(set(got)) == len(got) < sum(map(len, pairs.values())) // 4
+    for k in people:
+        assert sorted((f, o) for t, o, f in got if t == k)[:4] == pairs[k][:4]
