@@ -25,8 +25,8 @@ LIST_TASK, BUFFER, COUNTED = 200_000, 500_000, 1_000_000
 LIST_MOST = 100_000
 #: Sets and shingles of a block when links are counted, about, and shingles of small components counted in one task.
 COUNT_SETS, COUNT_SHINGLES, COUNT_TASK = 512, 300_000, 1_000_000
-#: Pairs that are held against their sketches at a time.
-PIECE = 250_000
+#: Pairs that are held against their sketches at a time, and so many times as many that are remembered as judged.
+PIECE, JUDGED = 250_000, 16
 #: A shingle is frequent from so many sets on that one task saw; frequent shingles go last in the common order. The
 #: broadcast table of them holds this many at most (16 bytes each), the most frequent first. Any order is right.
 FREQUENT, FREQUENT_MOST = 24, 1_000_000
@@ -186,20 +186,42 @@ def postings(docs: DataFrame, words: int, frequent, buckets: int, num: int, den:
     return docs.select("text").mapInArrow(lean(run), "bucket bigint, p binary")
 
 
-def _lists(buckets: int):
-    """The bucket's lists of two sets or more, each sorted by size and position; of a chunk, whatever it holds."""
+def _lists(buckets: int, num: int = 75, den: int = 100):
+    """The bucket's lists of two sets or more, each sorted by size and position; of a chunk, whatever it holds. They go on by
+    their least set: near copies share many lists, and most of these have one least set, so that a pair of them meets in
+    few buckets, not in one for each shingle it shares. Where lists as long would fill more than a task with one least set,
+    they are dealt to pieces."""
 
     def run(key, table):
+        bucket = key[0].as_py()
         p = np.unique(np.concatenate([np.frombuffer(x, _POSTING) for x in table["p"].to_pylist()]))
         p = p[np.lexsort((p["sid"], p["pos"], p["n"], p["token"]))]
-        if key[0].as_py() < buckets:
-            same = p["token"][1:] == p["token"][:-1]
-            p = p[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
-        return pa.table({"bucket": pa.array([key[0].as_py()] * bool(p.size), pa.int64()), "p": pa.array([p.tobytes()] * bool(p.size), pa.binary())})
+        if bucket >= buckets:
+            return pa.table({"bucket": pa.array([bucket], pa.int64()), "p": pa.array([p.tobytes()], pa.binary())})
+        same = p["token"][1:] == p["token"][:-1]
+        p = p[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
+        at = _bounds(p)
+        size = np.diff(at)
+        if not size.size:
+            return pa.table({"bucket": pa.array([], pa.int64()), "p": pa.array([], pa.binary())})
+        least = np.minimum.reduceat(p["sid"], at[:-1])
+        n = p["n"][p["sid"] == np.repeat(least, size)].astype(np.int64)
+        prefix = n - (num * n + den - 1) // den + 1
+        pieces = np.uint64(1) << np.ceil(np.log2(np.maximum(1, size * prefix / LIST_TASK))).astype(np.uint64)
+        b = (mixed(least.view(np.uint64) + mixed(p["token"][at[:-1]]) % pieces) % np.uint64(buckets)).astype(np.int64)
+        b = np.repeat(b, size)
+        order = np.argsort(b, kind="stable")
+        p, b = p[order], b[order]
+        cut = np.flatnonzero(np.diff(b, prepend=-1))
+        return pa.table({"bucket": pa.array(b[cut], pa.int64()), "p": pa.array([x.tobytes() for x in np.split(p, cut[1:])], pa.binary())})
 
     return run
 
 
+def _together(key, table):
+    return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "p": pa.array([b"".join(table["p"].to_pylist())], pa.binary())})
+
+
 def _distinct(pairs: np.ndarray) -> np.ndarray:
     pairs = pairs[:, np.lexsort(pairs)]
     new = (pairs[:, 1:] != pairs[:, :-1]).any(0)
@@ -425,7 +447,8 @@ def join(docs: DataFrame, words: int = WORDS, num: int = 75, den: int = 100, id_
     buckets = max(1, -(-total * (den - num) // den // LIST_TASK))
     chunks, first_chunk = hot_chunks(frequent.value[1])
     spread = max(partitions(spark), buckets // 4)
-    lists = scratch.write(postings(real, words, frequent, buckets, num, den).repartition(spread, "bucket").groupBy("bucket").applyInArrow(_lists(buckets), "bucket bigint, p binary"))
+    lists = postings(real, words, frequent, buckets, num, den).repartition(spread, "bucket").groupBy("bucket").applyInArrow(_lists(buckets, num, den), "bucket bigint, p binary")
+    lists = scratch.write(lists.repartition(spread, "bucket").groupBy("bucket").applyInArrow(_together, "bucket bigint, p binary"))
 
     def near(pairs: DataFrame) -> DataFrame:
         """Pairs whose sizes and sketches don't rule them out."""
@@ -549,15 +572,21 @@ def join(docs: DataFrame, words: int = WORDS, num: int = 75, den: int = 100, id_
             both = np.concatenate(held)
             by = np.lexsort((both["sid"], both["pos"], both["n"]))
             lists_of = [(both[by], np.repeat(np.arange(2), [p.size for p in held])[by])]
-        waiting, size = [], 0
+        waiting, size, judged = [], 0, np.zeros(0, np.int64)
 
         def sift():
-            """What sketches don't rule out of the pairs that wait, those of many lists together."""
-            nonlocal waiting, size
-            pairs = _distinct(np.sort(np.concatenate(waiting, axis=1), axis=0))
-            i, j = (order[np.searchsorted(sid, side)] for side in pairs)
-            d = _folded(sketches, i, j)
-            out.append(pairs[:, den * (n[i] + n[j] - d) >= num * (n[i] + n[j] + d)])
+            """What sketches don't rule out of the pairs that wait, those of many lists together; near copies share many
+            lists, and a pair that one list has brought isn't judged again."""
+            nonlocal waiting, size, judged
+            i, j = (np.searchsorted(sid, side) for side in np.sort(np.concatenate(waiting, axis=1), axis=0))
+            code = np.unique(i * sid.size + j)
+            at = np.searchsorted(judged, code)
+            new = judged[np.minimum(at, judged.size - 1)] != code if judged.size else np.ones(code.size, bool)
+            judged = np.insert(judged, at[new], code[new]) if judged.size < JUDGED * PIECE else code  # speed alone depends on it
+            i, j = np.divmod(code[new], sid.size)
+            x, y = order[i], order[j]
+            d = _folded(sketches, x, y)
+            out.append(np.stack((sid[i], sid[j]))[:, den * (n[x] + n[y] - d) >= num * (n[x] + n[y] + d)])
             waiting, size = [], 0
 
         for p, sides in lists_of:

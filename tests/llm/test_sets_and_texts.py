@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -132,6 +133,30 @@ def test_degrees(sets, cut):
         assert (a == link[:k, k:] @ w[k:]).all() and (b == w[:k] @ link[:k, k:]).all()
 
 
+def test_jaccard_near_copies_meet_in_few_buckets(monkeypatch):
+    """Thirty sets share forty shingles, whose lists lie in forty buckets: a pair was made once in each of them."""
+    buckets, lists = 40, {}
+    for token in range(40):
+        p = np.zeros(30, jaccard._POSTING)
+        p["token"], p["sid"], p["n"], p["pos"] = token << 20, np.arange(100, 130), 160, token
+        lists[token] = p[token % 5 :] if token % 10 == 0 else p
+
+    def dealt():
+        out: dict = {}
+        for bucket, p in lists.items():
+            table = jaccard._lists(buckets)((pa.scalar(bucket),), pa.table({"p": [p[:9].tobytes(), p[5:].tobytes()]}))
+            for b, x in zip(table["bucket"].to_pylist(), table["p"].to_pylist()):
+                out.setdefault(b, []).append(np.frombuffer(x, jaccard._POSTING))
+        return {b: np.concatenate(x) for b, x in out.items()}
+
+    whole = lambda got: np.sort(np.concatenate(list(got.values()))).tolist() == np.sort(np.concatenate(list(lists.values()))).tolist()
+    got = dealt()
+    assert whole(got) and len(got) <= 2
+    monkeypatch.setattr(jaccard, "LIST_TASK", 150)
+    got = dealt()
+    assert whole(got) and 2 < len(got) and max(p.size for p in got.values()) < 1200 / 2
+
+
 def test_jaccard_empty(spark):
     assert jaccard.join(frame(spark, [])).collect() == []
     assert [r["component_id"] for r in jaccard.join(frame(spark, [(1, None), (2, "")])).orderBy("doc_id").collect()] == [1, 2]
