@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -51,10 +50,46 @@ def passage_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.posexplode(passages(text)).alias("pos", "passage"))
 
 
-def _code(gram: str) -> int:
-    """Twice the bucket of a gram, and one more where its sign is minus."""
-    h = int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=8).digest(), "little")
-    return (h % DIM) * 2 + (h >> 63)
+#: Codes of words and 4-grams that a worker keeps between batches, at most; speed alone depends on it.
+KNOWN = 400_000
+_known: dict[str, int] = {}
+
+
+def _hashed(grams: list[str]) -> np.ndarray:
+    """Twice the bucket of each gram, and one more where its sign is minus."""
+    h = np.frombuffer(b"".join([hashlib.blake2b(g.encode(), digest_size=8).digest() for g in grams]), "<u8")
+    return (h % np.uint64(DIM) * np.uint64(2) + (h >> np.uint64(63))).astype(np.int64)
+
+
+def _codes(grams: list[str]) -> np.ndarray:
+    """The same for grams that texts share with those before, each hashed once."""
+    new = [g for g in grams if g not in _known]
+    if len(_known) + len(new) > KNOWN:
+        _known.clear()
+        new = grams
+    code = _hashed(new)
+    if len(new) == len(grams):
+        if len(new) <= KNOWN:
+            _known.update(zip(new, code.tolist()))
+        return code
+    _known.update(zip(new, code.tolist()))
+    return np.fromiter(map(_known.__getitem__, grams), np.int64, len(grams))
+
+
+def _words(texts: list[str]):
+    """(text, gram, count, codes) of the texts' words, then of their pairs of neighbours, which are numbered, so that each is
+    hashed once for all texts."""
+    held = [re.findall(r"\w+", t) for t in texts]
+    number: dict[str, int] = {}
+    word = np.array([number.setdefault(w, len(number)) for words in held for w in words], np.int64)
+    text, names = np.repeat(np.arange(len(held)), [len(words) for words in held]), list(number)
+    at, count = np.unique(text * max(len(names), 1) + word, return_counts=True)
+    yield *np.divmod(at, max(len(names), 1)), count, _codes(names)
+    next_to = np.flatnonzero(text[:-1] == text[1:])
+    distinct, of = np.unique(word[next_to] * max(len(names), 1) + word[next_to + 1], return_inverse=True)
+    at, count = np.unique(text[next_to] * max(distinct.size, 1) + of, return_counts=True)
+    left, right = np.divmod(distinct, max(len(names), 1))
+    yield *np.divmod(at, max(distinct.size, 1)), count, _hashed([f"{names[a]}_{names[b]}" for a, b in zip(left.tolist(), right.tolist())])
 
 
 def _four_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -82,24 +117,12 @@ def embed_texts(texts: list[str]) -> np.ndarray:
     """Signed counts of hashed words, word pairs and 4-grams, damped, of length one; a row a text. A gram is hashed once
     for all texts."""
     texts = [(t or "").casefold() for t in texts]
-    row, code, known = [], [], {}
-    for i, t in enumerate(texts):
-        words = re.findall(r"\w+", t)
-        counts = Counter(words)
-        counts.update(f"{a}_{b}" for a, b in zip(words, words[1:]))
-        for g, n in counts.items():
-            if (c := known.get(g)) is None:
-                c = known[g] = _code(g)
-            row.append(i * DIM + (c >> 1))
-            code.append(-n if c & 1 else n)
-        if len(known) > 1_000_000:  # speed alone depends on it
-            known = {}
-    pair, count, grams = _four_grams(texts)
-    of = np.array([_code(g) for g in grams], np.int64)
-    text, gram = np.divmod(pair, max(len(grams), 1))
-    at = np.concatenate((np.array(row, np.int64), text * DIM + (of[gram] >> 1)))
-    n = np.concatenate((np.array(code, float), np.where(of[gram] & 1, -count, count)))
-    v = np.bincount(at.astype(np.int64), n, len(texts) * DIM).reshape(len(texts), DIM)
+    pair, times, grams = _four_grams(texts)
+    v = np.zeros(len(texts) * DIM)
+    for text, gram, count, codes in (*_words(texts), (*np.divmod(pair, max(len(grams), 1)), times, _codes(grams))):
+        code = codes[gram]
+        v += np.bincount(text * DIM + (code >> 1), np.where(code & 1, -count, count), v.size)
+    v = v.reshape(len(texts), DIM)
     v = np.sign(v) * np.log1p(np.abs(v))
     n = np.linalg.norm(v, axis=1, keepdims=True)
     return np.divide(v, n, out=v, where=n > 0).astype(np.float32)

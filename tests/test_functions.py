@@ -143,3 +143,14 @@ def test_hash_embedding(spark):
     v = [r["v"] for r in df.collect()]
     assert v[0] == v[1] != v[2] and abs(sum(x * x for x in v[0]) - 1) < 1e-5 and not any(v[3])
     assert isinstance(pd.Series(v[0]).iloc[0], float)
+
+
+def test_words_and_grams_are_hashed_once_a_worker(monkeypatch):
+    hashed: list = []
+    real = V.hashlib.blake2b
+    monkeypatch.setattr(V.hashlib, "blake2b", lambda raw, **k: hashed.append(raw) or real(raw, **k))
+    first = V.embed_texts(["gate fence gate", "fence"])
+    hashed.clear()
+    assert (V.embed_texts(["gate fence gate", "fence"]) == first).all() and sorted(hashed) == [b"fence_gate", b"gate_fence"]
+    monkeypatch.setattr(V, "KNOWN", 3)
+    assert (V.embed_texts(["gate fence gate", "fence"]) == first).all() and not V.embed_texts(["", None]).any() and V.embed_texts([]).shape == (0, V.DIM)
