@@ -4,8 +4,11 @@ over by their best possible score, and segments are merged when there are many."
 from __future__ import annotations
 
 import math
-from functools import reduce
+from functools import partial, reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,50 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
+def _changes(*columns: pa.Array) -> np.ndarray:
+    """Where rows begin that differ from the row before in one of the columns."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def _packed(batches, key: str, tfs: list[str]):
+    """Blocks of words (term, bucket, key, dl, counts by column) that come by term, bucket and key: equal keys are one posting of
+    a block, their counts summed. A block holds the keys of one bucket, which stay about as many as BLOCK."""
+
+    def blocks(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        term, bucket, keys, dl, *counts = (t[c].combine_chunks() for c in ("term", "bucket", key, "dl", *tfs))
+        at = _changes(term, bucket, keys)
+        counts = [np.add.reduceat(c.to_numpy(), at).astype(np.int32) for c in counts]
+        term, bucket, keys, dl = (c.take(pa.array(at)) for c in (term, bucket, keys, dl))
+        at = _changes(term, bucket)
+        ends = pa.array(np.append(at, len(term)).astype(np.int32))
+        listed = lambda values: pa.ListArray.from_arrays(ends, values)
+        out = {"term": term.take(pa.array(at)), "bucket": bucket.take(pa.array(at)), "n": np.diff(ends.to_numpy()), "least": np.minimum.reduceat(dl.to_numpy(), at)}
+        out |= {f"top_{c}": np.maximum.reduceat(v, at) for c, v in zip(tfs, counts)}
+        out |= {key: listed(keys), "dl": listed(dl)} | {c: listed(pa.array(v)) for c, v in zip(tfs, counts)}
+        return pa.RecordBatch.from_pydict(out)
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = int(_changes(batch["term"], batch["bucket"])[-1])
+        # the last block may go on in the next batch, as may the one held with this batch's first rows
+        same = held and (batch["term"][0], batch["bucket"][0]) == (held[-1]["term"][0], held[-1]["bucket"][0])
+        if held and (last or not same):
+            yield blocks(pa.Table.from_batches([*held, batch.slice(0, last)]))
+            held = []
+        elif last:
+            yield blocks(pa.Table.from_batches([batch.slice(0, last)]))
+        held.append(batch.slice(last))
+    if held:
+        yield blocks(pa.Table.from_batches(held))
+
+
 class Segments:
     """The index ``name`` under ``root`` of a table's text columns.
 
@@ -73,28 +120,31 @@ class Segments:
         stamped = rows.select(F.col(key).alias("_k"), stamp.alias("_new"))
         if now:
             diff = stamped.join(self.live(now, key).select(key, "stamp", "dl", "seg"), F.col("_k") == F.col(key), "full_outer").where(~F.col("_new").eqNullSafe(F.col("stamp")))
-        else:
-            kind = dict(rows.dtypes)[key]
-            diff = stamped.selectExpr("_k", "_new", f"cast(null as {kind}) `{key}`", "cast(null as struct<a:bigint,b:bigint>) stamp", "cast(null as int) dl", "cast(null as int) seg")
-        diff = scratch.write(diff)
-        gone = F.col("_new").isNull()
-        counts = diff.agg(F.count_if(F.col("stamp").isNull()).alias("new"), F.count_if(F.col("stamp").isNotNull() & ~gone).alias("changed"), F.count_if(gone).alias("gone"), F.coalesce(F.sum("dl"), F.lit(0)).alias("less")).first()
-        told = {c: counts[c] for c in ("new", "changed", "gone")}
-        if now and not any(told.values()):
-            return told
+            diff = scratch.write(diff)
+            gone = F.col("_new").isNull()
+            counts = diff.agg(F.count_if(F.col("stamp").isNull()).alias("new"), F.count_if(F.col("stamp").isNotNull() & ~gone).alias("changed"), F.count_if(gone).alias("gone"), F.coalesce(F.sum("dl"), F.lit(0)).alias("less")).first().asDict()
+            if not counts["new"] + counts["changed"] + counts["gone"]:
+                return {c: counts[c] for c in ("new", "changed", "gone")}
+            fresh = rows.join(diff.where(~gone).select(F.col("_k").alias(key), F.col("_new").alias("stamp")), key)
+            stale_keys = diff.where("stamp is not null").select(key, F.col("seg").alias("old"))
+        else:  # all rows are new, and none has to be looked for
+            counts = {"changed": 0, "gone": 0, "less": 0}
+            fresh = rows.where(F.col(key).isNotNull()).withColumn("stamp", stamp)
+            stale_keys = rows.limit(0).select(key, F.lit(0).alias("old"))
         version = now["version"] + 1 if now else 0
-        fresh = rows.join(diff.where(~gone).select(F.col("_k").alias(key), F.col("_new").alias("stamp")), key)
         fresh = fresh.select(key, "stamp", *[words_of(F.col(c)).alias(f"_w{i}") for i, c in enumerate(fields)])
         fresh = scratch.write(fresh.withColumn("dl", sum((F.size(f"_w{i}") for i in range(len(fields))), F.lit(0))))
         fresh.select(key, "stamp", "dl").write.mode("overwrite").parquet(f"{self.root}/rows-{version}")
-        diff.where("stamp is not null").select(key, F.col("seg").alias("old")).write.mode("overwrite").parquet(f"{self.root}/stale-{version}")
+        stale_keys.write.mode("overwrite").parquet(f"{self.root}/stale-{version}")
         sums = fresh.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).first()
+        counts.setdefault("new", sums["n"])
+        told = {c: counts[c] for c in ("new", "changed", "gone")}
         n = (now["n"] if now else 0) + told["new"] - told["gone"]
         words = (now["words"] if now else 0) + sums["words"] - counts["less"]
         buckets = now["buckets"] if now else max(1, n // BLOCK)
         told_by = lambda i: F.transform(f"_w{i}", lambda w: F.struct(w.alias("term"), F.lit(i).alias("f")))
         each = F.flatten(F.array(*map(told_by, range(len(fields)))))
-        posts = fresh.select(key, "dl", F.explode(each).alias("p")).groupBy(key, "dl", "p.term").agg(*[F.count_if(F.col("p.f") == i).cast("int").alias(f"tf{i}") for i in range(len(fields))])
+        posts = fresh.select(key, "dl", F.explode(each).alias("p")).select("p.term", key, "dl", *[(F.col("p.f") == i).cast("int").alias(f"tf{i}") for i in range(len(fields))])
         self._write(posts, key, len(fields), buckets, version, sums["words"])
         stale = bool(now and (now["stale"] or told["changed"] or told["gone"]))
         self._commit(version, fields, [*(now["segments"] if now else []), version], stale, n, words, buckets)
@@ -105,12 +155,12 @@ class Segments:
     def _write(self, posts: DataFrame, key: str, fields: int, buckets: int, version: int, size: int) -> None:
         tfs = [f"tf{i}" for i in range(fields)]
         files = max(1, -(-size // FILE))
-        # dealt by postings, not by blocks: those of a term and bucket stay together, and are packed where they are
-        keyed = posts.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).repartitionByRange(files, "term", "bucket")
-        # a block holds the keys of one bucket, which stay about as many as BLOCK
-        block = keyed.groupBy("term", "bucket").agg(F.sort_array(F.collect_list(F.struct(key, "dl", *tfs))).alias("p"), F.count("*").cast("int").alias("n"), F.min("dl").alias("least"), *[F.max(c).alias(f"top_{c}") for c in tfs])
-        flat = block.select("term", "bucket", "n", "least", *[f"top_{c}" for c in tfs], *[F.col(f"p.{c}").alias(c) for c in (key, "dl", *tfs)])
-        flat.sortWithinPartitions("term", "bucket").write.mode("overwrite").parquet(f"{self.root}/postings-{version}")
+        # dealt by words, not by blocks: those of a term and bucket stay together, and are counted and packed where they are
+        keyed = posts.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).select("term", "bucket", key, "dl", *tfs)
+        keyed = keyed.repartitionByRange(files, "term", "bucket").sortWithinPartitions("term", "bucket", key)
+        kind = dict(posts.dtypes)[key]
+        schema = ", ".join(["term string, bucket int, n int, least int", *[f"top_{c} int" for c in tfs], f"`{key}` array<{kind}>, dl array<int>", *[f"{c} array<int>" for c in tfs]])
+        keyed.mapInArrow(partial(_packed, key=key, tfs=tfs), schema).write.mode("overwrite").parquet(f"{self.root}/postings-{version}")
 
     def merge(self, key: str) -> None:
         """All segments become one, without what is stale."""

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from folioframe.operators import retrieval as V
@@ -67,3 +68,32 @@ def test_common_terms_are_read_for_few_buckets(spark, tmp_path, monkeypatch):
     found = index.search("id", ["rare", "the", "of"], 3)
     plan = found._jdf.queryExecution().toString()
     assert "PushedFilters" in plan and "In(bucket" in plan.replace(" ", "") and [r["id"] for r in found.collect()] == [7, 444, 821]
+
+
+def test_a_first_index_joins_nothing(spark, tmp_path, monkeypatch):
+    """All rows are new then, and none is looked for."""
+    rows = some(random.Random(5), 60)
+    df, index = table(spark, rows), Segments(spark, f"file://{tmp_path}", "t")
+    with monkeypatch.context() as m:
+        m.setattr(type(df), "join", lambda *_: 1 / 0)
+        assert index.refresh(df, "id", FIELDS) == {"new": 60, "changed": 0, "gone": 0}
+    agree(spark, index, rows, (["the", "w3", "rare"], 7))
+
+
+def test_blocks_are_packed_over_batches():
+    """Blocks and postings that go on in later batches are one, whatever the batches' length."""
+    rng = random.Random(6)
+    words = sorted((rng.choice("abc"), rng.randrange(2), rng.randrange(9), rng.randrange(2)) for _ in range(200))
+    want: dict = {}
+    for term, bucket, key, f in words:
+        want.setdefault((term, bucket), {}).setdefault(key, [0, 0])[f] += 1
+    cols = list(zip(*words))
+    ints = lambda x: pa.array(x, pa.int32())
+    t = pa.table({"term": cols[0], "bucket": ints(cols[1]), "id": cols[2], "dl": ints([k + 5 for k in cols[2]]), "tf0": ints([1 - f for f in cols[3]]), "tf1": ints(cols[3])})
+    for size in (1, 7, 50, 200):
+        got = [r for b in segments._packed(iter(t.to_batches(size)), "id", ["tf0", "tf1"]) for r in b.to_pylist()]
+        assert [(r["term"], r["bucket"]) for r in got] == sorted(want)
+        for r in got:
+            of = want[r["term"], r["bucket"]]
+            assert r["id"] == sorted(of) and r["n"] == len(of) and r["dl"] == [k + 5 for k in sorted(of)] and r["least"] == min(of) + 5
+            assert list(zip(r["tf0"], r["tf1"])) == [tuple(of[k]) for k in sorted(of)] and r["top_tf0"] == max(a for a, _ in of.values())
