@@ -3,6 +3,8 @@ the weights; a penalty leaves most of them at 0."""
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -204,6 +206,32 @@ def graded(x: Sparse, toxic: np.ndarray, fold: np.ndarray, grades: int = GRADES)
     return np.where(toxic > 0, 1 + np.searchsorted(thirds, margin), 0)
 
 
+def fitted(batches, width: int):
+    """The fit (see train) on all labelled rows (id, y, features and their counts packed), as one row: the features that matter,
+    their weights and the thresholds, packed."""
+    ids, y, columns, counts = [], [], [], []
+    for batch in batches:
+        ids += batch.column("id").to_pylist()
+        y += [int(v > 0) for v in batch.column("y").to_pylist()]
+        columns += [np.frombuffer(v, np.int32) for v in batch.column("k").to_pylist()]
+        counts += [np.frombuffer(v, np.int32) for v in batch.column("n").to_pylist()]
+    # the sums come out alike in every run
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], y[i], columns[i].size, int(columns[i].sum()), int(counts[i].sum())))
+    x = Sparse([columns[i] for i in order], [(1 + np.log(counts[i])).astype(np.float32) for i in order], width)
+    del columns, counts
+    ids, y = np.array(ids, np.int64)[order], np.array(y)[order]
+    fold = mixed(ids.view(np.uint64) + np.uint64(SEED)) % np.uint64(FOLDS)
+    # which features matter is told by their presence alone, lest one long document speaks for its words
+    held = x.present()
+    grade = graded(held, y, fold)
+    w, _ = fit_sparse(held, grade, GRADES)
+    some = np.flatnonzero(w)
+    # equal rows, as all those without a word that matters, count as one with a weight
+    rows, weight = np.unique(np.column_stack((grade, x.dense(some))), axis=0, return_counts=True)
+    w, cut = fit_cumulative(rows[:, 1:], rows[:, 0].astype(int), weight.astype(float))
+    yield pa.RecordBatch.from_pydict({"some": [some.astype(np.int64).tobytes()], "w": [w.astype(float).tobytes()], "cut": [cut.astype(float).tobytes()]})
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model of labelled documents, ``sample`` of them at most. Labels are 0 or 1; the grades 1 to GRADES of toxic ones
     come from models of the other folds (see graded). The sparse fit over all features, those that LEAST_DOCS labelled
@@ -244,24 +272,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
                 n.append(ns[hit].tobytes())
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "y": batch.column("y"), "k": pa.array(k, pa.binary()), "n": pa.array(n, pa.binary())})
 
-    got = seen.mapInArrow(coded, "id bigint, y int, k binary, n binary").toArrow()
-    ids, y = got["id"].to_numpy(), (got["y"].to_numpy() > 0).astype(int)
-    columns = [np.frombuffer(b.as_buffer(), np.int32) for c in got["k"].chunks for b in c]
-    counts = [np.frombuffer(b.as_buffer(), np.int32) for c in got["n"].chunks for b in c]
-    # the sums come out alike in every run
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], y[i], columns[i].size, int(columns[i].sum()), int(counts[i].sum())))
-    x = Sparse([columns[i] for i in order], [(1 + np.log(counts[i])).astype(np.float32) for i in order], h.size)
-    del got, columns, counts
-    y, fold = y[order], mixed(ids[order].view(np.uint64) + np.uint64(SEED)) % np.uint64(FOLDS)
-    # which features matter is told by their presence alone, lest one long document speaks for its words
-    held = x.present()
-    grade = graded(held, y, fold)
-    w, _ = fit_sparse(held, grade, GRADES)
-    some = np.flatnonzero(w)
-    # equal rows, as all those without a word that matters, count as one with a weight
-    rows, weight = np.unique(np.column_stack((grade, x.dense(some))), axis=0, return_counts=True)
-    w, cut = fit_cumulative(rows[:, 1:], rows[:, 0].astype(int), weight.astype(float))
-    return Model(h[some], w, cut)
+    # the fit is one task's, on its bounded rows, so neither they nor its matrices are held by the driver
+    fit = seen.mapInArrow(lean(coded), "id bigint, y int, k binary, n binary").repartition(1).mapInArrow(lean(partial(fitted, width=h.size)), "some binary, w binary, cut binary")
+    got = scratch.write(fit, small=True).first()
+    return Model(h[np.frombuffer(got["some"], np.int64)], np.frombuffer(got["w"]), np.frombuffer(got["cut"]))
 
 
 def score(docs: DataFrame, model: Model, reject: float = REJECT, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:

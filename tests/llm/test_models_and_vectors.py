@@ -133,6 +133,21 @@ def test_toxicity(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no tables")
+def test_toxicity_is_not_fitted_by_the_driver(spark, monkeypatch):
+    """Labelled rows and the fit's matrices stay on the executors; the driver gets the words' hashes and the model."""
+
+    def never(*_):
+        raise AssertionError("fitted by the driver")
+
+    collected, to_arrow = [], type(spark.range(0)).toArrow
+    monkeypatch.setattr(toxicity, "fit_sparse", never)
+    monkeypatch.setattr(type(spark.range(0)), "toArrow", lambda self: collected.append(self.columns) or to_arrow(self))
+    docs = frame(spark, [(i, "fine words here" + (" you moron" if i % 4 == 0 else " again"), "s") for i in range(120)])
+    known = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(100)], "doc_id bigint, quality int, toxic int")
+    got = toxicity.score(docs, toxicity.train(docs, known)).collect()
+    assert all(r["toxic"] == (r["doc_id"] % 4 == 0) for r in got) and collected == [["h"]]
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(4))
