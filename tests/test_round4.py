@@ -24,3 +24,26 @@ def test_extracted_records_of_a_long_conversation(spark, tmp_path, strict):
     finally:
         spark.conf.set("spark.sql.ansi.enabled", before)
     assert got == want and len(want) == 4
+
+
+def _written(spark) -> int:
+    """Rows that all stages so far have written to shuffles."""
+    gate = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gate.new_array(gate.jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_people_of_a_name_travel_to_few_shares(spark):
+    """A person went to every share of the name, and their number grew with it, so what was moved grew with its square."""
+    from folioframe.operators import identity as I
+
+    rows = [(f"p{i}@d{i % 3}.example", "Anna Bergmann" if i % 4 else "Anna Bergman") for i in range(400)]
+    people = spark.createDataFrame(rows, "person string, canonical string")
+    want = {(min(a, b), max(a, b), x == y) for k, (a, x) in enumerate(rows) for b, y in rows[:k] if a.split("@")[1] != b.split("@")[1]}
+    before = _written(spark)
+    got = I.similar_pairs(people, share=1).collect()
+    moved = _written(spark) - before
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert moved < 20 * len(rows)
+    got = I.similar_pairs(people, share=1, most=20).collect()  # what a task holds stays bounded
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
