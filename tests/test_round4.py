@@ -47,3 +47,31 @@ def test_people_of_a_name_travel_to_few_shares(spark):
     assert moved < 20 * len(rows)
     got = I.similar_pairs(people, share=1, most=20).collect()  # what a task holds stays bounded
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_people_of_one_name_travel_to_few_shares(spark):
+    from folioframe.operators import identity as I
+
+    rows = [(f"p{i}@{'in' if i % 5 < 3 else f'd{i % 2}'}.example", "Carl Ohm") for i in range(400)]
+    people = spark.createDataFrame(rows, "person string, canonical string")
+    want = {(min(a, b), max(a, b), True) for k, (a, _) in enumerate(rows) for b, _ in rows[:k] if a.split("@")[1] != b.split("@")[1]}
+    before = _written(spark)
+    got = I.similar_pairs(people, share=1).collect()
+    moved = _written(spark) - before
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert moved < 20 * len(rows)
+
+
+def test_clusters_of_near_pairs_with_several_entities():
+    """Weights of entities are summed at once for all clusters near a merged one; the clusters are those of the table of all pairs."""
+    import numpy as np
+    from folioframe.operators import cluster as C
+
+    rng = np.random.default_rng(4)
+    for n in (2, 40, 300):
+        vec = rng.normal(size=(n, 8))
+        vec[::3] = vec[0] + rng.normal(size=vec[::3].shape) * 0.1
+        vec = [None if k % 37 == 5 else list(v) for k, v in enumerate(vec)]
+        people = [[f"p{k % 7}"] if k % 4 else [] for k in range(n)]
+        entities = [None if k % 11 == 3 else [f"e{k % 5}", f"e{k % 9}", None][: k % 4] for k in range(n)]
+        assert C.agglomerate_near(vec, people, entities, 0.5) == C.agglomerate(*C.similarities(vec, people, entities), 0.5)
